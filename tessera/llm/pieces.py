@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Chunks that a table holds before it starts anew; about 150 bytes each.
+#: Chunks that a table holds before it starts anew (one text's own chunks come on top); about 150 bytes each.
 TABLE_ROWS = 300_000
 #: Texts longer than this go in a batch of their own.
 BATCH_BYTES = 4 << 20
@@ -42,8 +42,6 @@ class ChunkTable:
         self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.table) + len(new) > TABLE_ROWS:
-            self.table.clear()
         marked = [c for c in new if c[0] == MARK]
         bare = [c for c in new if c[0] != MARK]
         for c, ids in zip(marked, self.lib.encode([c[1:] for c in marked], num_threads=1) if marked else [], strict=True):
@@ -65,9 +63,11 @@ class ChunkTable:
             try:
                 body = b"".join([self.table[c] for c in chunks])
             except KeyError:
-                self._learn([c for c in dict.fromkeys(chunks) if c not in self.table])
-                if len(self.table) < len(set(chunks)):  # the table was begun anew: learn what this text still needs
-                    self._learn([c for c in dict.fromkeys(chunks) if c not in self.table])
+                new = [c for c in dict.fromkeys(chunks) if c not in self.table]
+                if len(self.table) + len(new) > TABLE_ROWS:
+                    self.table.clear()
+                    new = list(dict.fromkeys(chunks))
+                self._learn(new)
                 body = b"".join([self.table[c] for c in chunks])
             out.append(self.ends[0] + body + self.ends[1])
         return out

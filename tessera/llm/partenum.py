@@ -107,7 +107,7 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (id, doc, n; under a random key, so that copies spread) and one for each signature of each set."""
+    """A row for each document (set id, doc_id, size; under a random key, so that copies spread) and one for each signature of each set (set id, size, note)."""
     for batch in batches:
         done: set[int] = set()
         for i, d, v, sizes, ids in _sets(batch.column("text")):
@@ -123,30 +123,33 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             o, s, n = set_signatures(d[mine], v[mine], np.where(fresh, sizes, 0))
             for k in range(0, len(o), 200_000):
                 part = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(s[part].view(np.int64)), pa.array(ids[o[part]]), pa.nulls(len(o[part]), pa.int64()), pa.array(n[part].astype(np.int32)), pa.array(np.zeros(len(o[part]), bool))], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(s[part].view(np.int64)), pa.array(ids[o[part]]), pa.array(sizes[o[part]].astype(np.int64)), pa.array(n[part].astype(np.int32)), pa.array(np.zeros(len(o[part]), bool))], _NAMES)
 
 
 _NAMES = ["key", "id", "doc", "n", "is_doc"]
-_FOUND = "what int, a long, b long, n int"  # 0: document b is set a of n shingles; 1: compare sets a and b; 2: set b has the common signature a, need n
+#: what 0: document b has set a of n shingles; 1: sets a and b share n signatures, their notes are x and y; 2: set b has the common signature a, its note is n.
+_FOUND = "what int, a long, b long, n int, x int, y int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by key: passes documents on, turns signatures of few sets into pairs and names the members of common ones."""
 
-    def rows(what: int, a: np.ndarray, b: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), what, np.int32)), pa.array(a), b, pa.array(n.astype(np.int32))], ["what", "a", "b", "n"])
+    def rows(what: int, a: np.ndarray, b: pa.Array, n: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
+        more = [pa.nulls(len(a), pa.int32()) if c is None else pa.array(c.astype(np.int32)) for c in (x, y)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), what, np.int32)), pa.array(a), b, pa.array(n.astype(np.int32)), *more], ["what", "a", "b", "n", "x", "y"])
 
     pairs: list[np.ndarray] = []
     held = 0
-    carry = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    names = ("key", "id", "n", "doc")
+    carry = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64))
     common: int | None = None  # a key that is known to be common, though its last rows are still to come
 
-    def settle(key: np.ndarray, ident: np.ndarray, note: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+    def settle(key: np.ndarray, ident: np.ndarray, note: np.ndarray, size: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal pairs, held, carry, common
         if len(key):
             keep = np.ones(len(key), bool)
             keep[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-            key, ident, note = key[keep], ident[keep], note[keep]
+            key, ident, note, size = key[keep], ident[keep], note[keep], size[keep]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             counts = np.diff(np.concatenate([starts, [len(key)]]))
             often = counts > PAIRS_UP_TO
@@ -156,29 +159,38 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not last:
                 common = int(key[-1]) if often[-1] else None
                 stop -= common is None
-                carry = (key[starts[-1] :], ident[starts[-1] :], note[starts[-1] :]) if common is None else tuple(x[:0] for x in carry)
+                carry = tuple(x[starts[-1] :] if common is None else x[:0] for x in (key, ident, note, size))
             group = np.repeat(np.arange(len(starts)), counts)
             named = often[group] & (group < stop)
             if named.any():
                 yield rows(2, key[named], pa.array(ident[named]), note[named])
             for m in np.unique(counts[:stop][~often[:stop] & (counts[:stop] > 1)]):
                 at = starts[:stop][~often[:stop] & (counts[:stop] == m)]
-                x, y = np.triu_indices(m, 1)
-                pairs.append(np.stack([ident[at[:, None] + x].ravel(), ident[at[:, None] + y].ravel()], 1))
-                held += len(pairs[-1])
-        if held > 500_000 or last:
+                i, j = np.triu_indices(m, 1)  # ids ascend inside a key
+                i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                alike = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+                i, j = i[alike], j[alike]
+                pairs.append(np.stack([ident[i], ident[j], note[i].astype(np.int64) << 32 | note[j]], 1))
+                held += len(i)
+        if held > 400_000 or last:
             if held:
-                p = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+                p = np.concatenate(pairs)
+                order = np.lexsort(p.T)
+                p = p[order]
+                new = np.concatenate([[True], (p[1:] != p[:-1]).any(1)])
+                at = np.flatnonzero(new)
+                n = np.diff(np.concatenate([at, [len(p)]]))
+                p = p[at]
                 pairs, held = [], 0
-                yield rows(1, p[:, 0], pa.array(p[:, 1]), np.zeros(len(p)))
+                yield rows(1, p[:, 0], pa.array(p[:, 1]), n, p[:, 2] >> 32, p[:, 2] & 0xFFFFFFFF)
 
     for batch in batches:
         is_doc = batch.column("is_doc").to_numpy(zero_copy_only=False)
-        key, ident, note = (batch.column(c).to_numpy() for c in ("key", "id", "n"))
         if is_doc.any():
-            yield rows(0, ident[is_doc], batch.column("doc").filter(pa.array(is_doc)), note[is_doc])
-        sig = ~is_doc
-        yield from settle(*(np.concatenate([c, x[sig]]) for c, x in zip(carry, (key, ident, note), strict=True)), False)
+            some = batch.filter(pa.array(is_doc))
+            yield rows(0, some.column("id").to_numpy(), some.column("doc"), some.column("n").to_numpy())
+        sigs = batch.filter(pa.array(~is_doc))
+        yield from settle(*(np.concatenate([c, sigs.column(x).to_numpy()]) for c, x in zip(carry, names, strict=True)), False)
     final, carry = carry, tuple(x[:0] for x in carry)
     yield from settle(*final, True)
 
@@ -299,7 +311,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     that links reach; repeated rows get equal results; a null doc_id stands in no component's minimum but its own.
     Shingles and sets are told apart by 64-bit hashes.
 
-    A signature that at most PAIRS_UP_TO sets share gives candidate pairs. One that more share gives none; a set for
+    A signature that at most PAIRS_UP_TO sets share gives candidate pairs, counted before the shuffle; pairs that share
+    fewer signatures than similar sets must are dropped. One that more share gives none; a set for
     which fewer than ``need`` signatures are left could lose a partner that way, so all such sets which common
     signatures connect are compared in blocks by sparse products. Either way every link is found, with no row for each pair of a large group.
     """
@@ -309,16 +322,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = cut(signed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "id").mapInArrow(_meet, _FOUND), "met")
     members = met.where("what = 0").select(F.col("a").alias("id"), F.col("b").alias("doc"), "n")
 
-    common = met.where("what = 2").select(F.col("a").alias("sig"), F.col("b").alias("id"), (F.col("n") % 4).alias("kind"), F.floor(F.col("n") / 4).alias("need"))
-    leaning = common.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("hot"), F.max("need").alias("need")).where("hot >= need").select("id", "kind")
-    leaning = cut(leaning, "leaning")
+    kind, need = (lambda c: F.col(c) % 4), (lambda c: F.floor(F.col(c) / 4))
+    common = met.where("what = 2").select(F.col("a").alias("sig"), F.col("b").alias("id"), kind("n").alias("kind"), need("n").alias("need"))
+    heat = cut(common.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("hot"), F.max("need").alias("need")), "heat")
+    leaning = heat.where("hot >= need").select("id", "kind")
     edges = common.join(leaning, ["id", "kind"], "left_semi").select("sig", "id")
     low = edges.groupBy("sig").agg(F.min("id").alias("low"))
     linked = connected_components(edges.join(low, "sig").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     sizes = linked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("c"))
     placed = cut(linked.join(sizes, "component").select("id", F.col("component").alias("comp"), "c", F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("block")), "placed")
 
-    pairs = cut(met.where("what = 1").select("a", "b").distinct(), "pairs")
+    # A similar pair shares at least as many signatures as either set needs, less those of the set that are common.
+    met_pairs = met.where("what = 1").groupBy("a", "b", "x", "y").agg(F.sum("n").alias("n"))
+    for side, note in (("a", "x"), ("b", "y")):
+        hot = heat.select(F.col("id").alias(side), F.col("kind").alias("_kind"), F.col("hot").alias(f"hot_{side}"))
+        met_pairs = met_pairs.withColumn("_kind", kind(note)).join(hot, [side, "_kind"], "left").drop("_kind")
+    least = F.greatest(need("x") - F.coalesce("hot_a", F.lit(0)), need("y") - F.coalesce("hot_b", F.lit(0)))
+    pairs = cut(met_pairs.where(F.col("n") >= least).select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(placed.select("id")).distinct()
     sets = _wanted(plain, members, cut(ids, "ids"))
 

@@ -21,7 +21,7 @@ CTE = {
     "rets": """SELECT *, price / lag(price) OVER w - 1 AS r, ln(price / lag(price) OVER w) AS lr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)""",
     "sect": "SELECT s_suppkey AS entity, s_nationkey AS sector, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "market": "SELECT date, avg(r) AS m FROM rets WHERE r IS NOT NULL GROUP BY date",
-    "regime": """SELECT date, m, CASE WHEN abs(m) > 0.04 THEN 'high' WHEN abs(m) < 0.015 THEN 'low' ELSE 'normal' END AS regime FROM market""",
+    "regime": """SELECT date, m, CASE WHEN abs(m) > 0.17 THEN 'high' WHEN abs(m) < 0.13 THEN 'low' ELSE 'normal' END AS regime FROM market""",
     "fund": """SELECT o_custkey AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS as_of, avg(o_totalprice) / 1500000 AS roe,
  CASE WHEN count(*) > 1 THEN max(o_totalprice) / 2000000 END AS roic, 2 * min(o_totalprice) / max(o_totalprice) AS de, 20 - avg(o_totalprice) / 20000 AS ev,
  CAST(0.7 * count(*) AS DOUBLE) AS pb, sum(o_totalprice) / 1000000 AS mca, min(o_totalprice) / max(o_totalprice) AS stab, sum(o_totalprice) / 100000 AS ic, sum(o_totalprice) AS amount FROM orders GROUP BY 1, 2""",
@@ -68,7 +68,7 @@ def market(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regime(spark: SparkSession, d: str) -> DataFrame:
-    return market(spark, d).withColumn("regime", F.expr("CASE WHEN abs(m) > 0.04 THEN 'high' WHEN abs(m) < 0.015 THEN 'low' ELSE 'normal' END"))
+    return market(spark, d).withColumn("regime", F.expr("CASE WHEN abs(m) > 0.17 THEN 'high' WHEN abs(m) < 0.13 THEN 'low' ELSE 'normal' END"))
 
 
 def fund(spark: SparkSession, d: str) -> DataFrame:

@@ -17,25 +17,30 @@ from tessera.llm.pieces import encoded
 from tessera.llm.pii import replace_entities
 from tessera.llm.quality import accepted
 from tessera.llm.scratch import cut
+from tessera.workers import reach
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted to the labels of these documents, scores 0.5 or more."""
+    reach(spark)
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by shingle Jaccard 0.8 or more."""
+    reach(spark)
     return one_of_each(docs)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by keyed surrogates."""
+    reach(spark)
     return replace_entities(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for."""
+    reach(spark)
     return mixed_rows(docs)
 
 
@@ -43,6 +48,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit, begin and end included) and the decoded text's digest."""
     import public_tokenizers
 
+    reach(spark)
     out = encoded(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "lang", "source"])
     return out.select("doc_id", "lang", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -40,16 +40,22 @@ _DETECTORS: list[tuple[str, re.Pattern]] = [
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical form) of the entities, in order and without overlap; the earlier detector wins."""
+    """(start, end, type, canonical form) of the entities, in order and without overlap.
+
+    The earlier detector wins; what it took is blanked for the later ones, so that an entity beside it is still seen whole.
+    """
     taken: list[tuple[int, int, str, str]] = []
+    left = text
     for kind, pattern in _DETECTORS:
-        for m in pattern.finditer(text):
+        spans = []
+        for m in pattern.finditer(left):
             s, e = m.span("name") if kind == "person" else m.span()
             if kind == "person" and not text[s].isupper():
                 continue
-            if any(a < e and s < b for a, b, *_ in taken):
-                continue
+            spans.append((s, e))
             taken.append((s, e, kind, canonical(kind, text[s:e], m.group("title") if kind == "person" else "")))
+        for s, e in spans:
+            left = left[:s] + "\0" * (e - s) + left[e:]
     return sorted(taken)
 
 

@@ -262,6 +262,15 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert replace_entities(df.limit(0)).count() == 0
 
 
+def test_entities_side_by_side_are_all_seen():
+    from tessera.llm.pii import find, rewrite
+
+    text = "call +1 (017) 555-7713 129.38.82.176 4845168114407329 a.b@c.example.com +1 (974) 555-3436"
+    assert [k for *_, k, _ in find(text)] == ["phone", "ip", "card", "email", "phone"]
+    table = {(k, c): c for *_, k, c in find(text)}
+    assert rewrite(text, table) == text
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     from tessera.llm import pii
 

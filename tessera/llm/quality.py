@@ -16,7 +16,7 @@ from tessera.llm.scratch import cut
 
 #: Labelled rows that the fit takes at most, the first by hash of doc_id; the statistics and the scoring cover every row.
 SAMPLE_ROWS = 20_000
-STATS = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "punct", "pipe", "symbol", "nonascii", "distinct", "line_words", "repeated_lines", "end_marks", "short_words", "long_words", "shout_words"]
+STATS = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "punct", "pipe", "symbol", "nonascii", "distinct", "line_words", "repeated_lines", "end_marks", "short_words", "long_words", "shout_words", "repeats"]
 
 
 def _per_text(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -55,12 +55,14 @@ def statistics(texts: pa.Array) -> np.ndarray:
         at = np.flatnonzero(new)
         sums = np.add.reduceat(w.hash * (np.arange(len(line)) - at[np.cumsum(new) - 1] + 1).astype(np.uint64), at) if len(at) else np.zeros(0, np.uint64)
         line_doc = w.doc[at]
+        again = np.zeros(len(w.hash), bool)
+        again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
         lines = np.bincount(line_doc, minlength=len(off) - 1)
         unique, _ = distinct_sorted(line_doc, sums)
         parts.append(np.stack([
             np.log1p(w.size), np.log1p(w.count), np.bincount(w.doc, length, len(off) - 1) / words, share["upper"] / size, share["digit"] / size, share["punct"] / size, share["pipe"] / words, share["symbol"] / words, share["nonascii"] / size,
             np.bincount(d, minlength=len(off) - 1) / words, w.count / np.maximum(lines, 1), (lines - np.bincount(unique, minlength=len(off) - 1)) / np.maximum(lines, 1),
-            per_word(np.isin(last, list(b"#$%&*!"))) / words, per_word(length <= 3) / words, per_word(length >= 12) / words, per_word((upper[w.end] - upper[w.start] >= 2) if len(w.end) else np.zeros(0, bool)) / words,
+            per_word(np.isin(last, list(b"#$%&*!"))) / words, per_word(length <= 3) / words, per_word(length >= 12) / words, per_word((upper[w.end] - upper[w.start] >= 2) if len(w.end) else np.zeros(0, bool)) / words, per_word(again) / words,
         ], 1))
     return np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
 

@@ -54,8 +54,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             spans.append((s, e))
             taken.append((s, e, kind, canonical(kind, text[s:e], m.group("title") if kind == "person" else "")))
-        for s, e in spans:
-            left = left[:s] + "\0" * (e - s) + left[e:]
+        if spans:
+            ends = [0, *(e for _, e in spans)]
+            left = "".join(x for (s, e), at in zip(spans, ends, strict=False) for x in (left[at:s], "\0" * (e - s))) + left[ends[-1] :]
     return sorted(taken)
 
 

@@ -104,5 +104,34 @@ FROM (
 """
 
 
+_OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i : array_to_string(w[i : i + 4], ' ')) END) AS shingle FROM w
+), n AS (
+  SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON other = a
+)
+SELECT reach.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(other) AS component_id FROM reach JOIN n ON n.doc_id = reach.doc_id GROUP BY 1
+"""
+
+_OP8 = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _OP4.replace(' COLLATE "C"', "")}
+    return {"op4_mixing": _OP4.replace(' COLLATE "C"', ""), "op5_ngram_jaccard_join": _OP5, "op8_warc_revisits": _OP8}

@@ -15,16 +15,19 @@ from tessera import registry
 from tessera.functions.columns import div, over
 from tessera.operators import returns
 
+#: Prices are net of 7 % tax, and the ratios below are over primes, so that no value lies halfway between two rounded ones.
+TAX = 1.07
+
 CTE = {
-    "bars": """SELECT l_suppkey AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS price,
- sum(l_quantity) AS qty, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low FROM lineitem GROUP BY 1, 2""",
+    "bars": """SELECT l_suppkey AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) / 1.07::DOUBLE AS price,
+ sum(l_quantity) AS qty, max(l_extendedprice / l_quantity) / 1.07::DOUBLE AS high, min(l_extendedprice / l_quantity) / 1.07::DOUBLE AS low FROM lineitem GROUP BY 1, 2""",
     "rets": """SELECT *, price / lag(price) OVER w - 1 AS r, ln(price / lag(price) OVER w) AS lr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)""",
     "sect": "SELECT s_suppkey AS entity, s_nationkey AS sector, n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "market": "SELECT date, avg(r) AS m FROM rets WHERE r IS NOT NULL GROUP BY date",
     "regime": """SELECT date, m, CASE WHEN abs(m) > 0.17 THEN 'high' WHEN abs(m) < 0.13 THEN 'low' ELSE 'normal' END AS regime FROM market""",
-    "fund": """SELECT o_custkey AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS as_of, avg(o_totalprice) / 1500000 AS roe,
- CASE WHEN count(*) > 1 THEN max(o_totalprice) / 2000000 END AS roic, 2 * min(o_totalprice) / max(o_totalprice) AS de, 20 - avg(o_totalprice) / 20000 AS ev,
- CAST(0.7 * count(*) AS DOUBLE) AS pb, sum(o_totalprice) / 1000000 AS mca, min(o_totalprice) / max(o_totalprice) AS stab, sum(o_totalprice) / 100000 AS ic, sum(o_totalprice) AS amount FROM orders GROUP BY 1, 2""",
+    "fund": """SELECT o_custkey AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS as_of, avg(o_totalprice) / 1499977 AS roe,
+ CASE WHEN count(*) > 1 THEN max(o_totalprice) / 2000003 END AS roic, 2 * min(o_totalprice) / max(o_totalprice) AS de, 20 - avg(o_totalprice) / 19997 AS ev,
+ CAST(0.7 * count(*) AS DOUBLE) AS pb, sum(o_totalprice) / 999983 AS mca, min(o_totalprice) / max(o_totalprice) AS stab, sum(o_totalprice) / 99991 AS ic, sum(o_totalprice) AS amount FROM orders GROUP BY 1, 2""",
     "latest": "SELECT * FROM fund QUALIFY row_number() OVER (PARTITION BY entity ORDER BY as_of DESC) = 1",
 }
 _NEEDS = {"rets": ["bars"], "market": ["rets"], "regime": ["market"], "latest": ["fund"]}
@@ -51,7 +54,8 @@ def query(body: str | None = None, *names: str) -> Callable:
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
     li = registry.table(spark, d, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
-    return returns.resample(li.select(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").alias("t"), "l_extendedprice", "l_quantity", "unit"), "month")
+    b = returns.resample(li.select(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").alias("t"), "l_extendedprice", "l_quantity", "unit"), "month")
+    return b.withColumns({c: F.col(c) / TAX for c in ("price", "high", "low")})
 
 
 def rets(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +80,8 @@ def fund(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("o_totalprice")
     g = o.groupBy(F.col("o_custkey").alias("entity"), F.date_trunc("quarter", "o_orderdate").cast("date").alias("as_of"))
     return g.agg(
-        (F.avg(p) / 1500000).alias("roe"), F.when(F.count(p) > 1, F.max(p) / 2000000).alias("roic"), div(2 * F.min(p), F.max(p)).alias("de"), (20 - F.avg(p) / 20000).alias("ev"),
-        (F.lit(0.7) * F.count(p)).alias("pb"), (F.sum(p) / 1000000).alias("mca"), div(F.min(p), F.max(p)).alias("stab"), (F.sum(p) / 100000).alias("ic"), F.sum(p).alias("amount"),
+        (F.avg(p) / 1499977).alias("roe"), F.when(F.count(p) > 1, F.max(p) / 2000003).alias("roic"), div(2 * F.min(p), F.max(p)).alias("de"), (20 - F.avg(p) / 19997).alias("ev"),
+        (F.lit(0.7) * F.count(p)).alias("pb"), (F.sum(p) / 999983).alias("mca"), div(F.min(p), F.max(p)).alias("stab"), (F.sum(p) / 99991).alias("ic"), F.sum(p).alias("amount"),
     )
 
 

@@ -17,9 +17,9 @@ def _rules(spark, rows):
     return spark.createDataFrame([(i, t, "*", a, b, True, "high") for i, t, a, b in rows], "rule_id string, rule_type string, target string, p1 double, p2 double, enabled boolean, priority string")
 
 
-@query(_B + " SELECT 'up' AS rule_id, entity, round(price, 6) AS value, 1550.0::DOUBLE AS threshold FROM b WHERE rn = 1 AND price > 1550 UNION ALL SELECT 'down', entity, round(price, 6), 1400.0 FROM b WHERE rn = 1 AND price < 1400", "bars")
+@query(_B + " SELECT 'up' AS rule_id, entity, round(price, 6) AS value, 1450.0::DOUBLE AS threshold FROM b WHERE rn = 1 AND price > 1450 UNION ALL SELECT 'down', entity, round(price, 6), 1300.0 FROM b WHERE rn = 1 AND price < 1300", "bars")
 def w29_price_alerts(spark, d):
-    return alerts.price_level(_rules(spark, [("up", "price_above", 1550.0, None), ("down", "price_below", 1400.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value"), "threshold")
+    return alerts.price_level(_rules(spark, [("up", "price_above", 1450.0, None), ("down", "price_below", 1300.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value"), "threshold")
 
 
 @query(_B + ", g AS (SELECT entity, (max(price) FILTER (rn = 1) / max(price) FILTER (rn = 4) - 1) * 100 AS v FROM b GROUP BY 1) SELECT 'p' AS rule_id, entity, round(v, 6) AS value, 5.0::DOUBLE AS threshold FROM g WHERE v >= 5", "bars")
@@ -91,7 +91,7 @@ def w46_padded_context(spark, d):
     return backtest.pad_context(some, proxy, "entity", "sector", "date", "price", 60).select("entity", "date", *r6("price"), "padded")
 
 
-_TRADES = "t AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS dt, CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_suppkey || '-' || l_extendedprice AS seq, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, round(l_extendedprice / l_quantity, 4) AS p FROM lineitem WHERE l_suppkey < 3)"
+_TRADES = "t AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS dt, CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_suppkey || '-' || l_extendedprice AS seq, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice / l_quantity / 1.07::DOUBLE AS p FROM lineitem WHERE l_suppkey < 3)"
 
 
 @query(f"""WITH {_TRADES}, c AS (SELECT *, sum(abs(q)) OVER (PARTITION BY entity, q > 0 ORDER BY dt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t), b AS (SELECT *, e - q AS s FROM c WHERE q > 0), k AS (SELECT *, e + q AS s FROM c WHERE q < 0)
@@ -99,7 +99,7 @@ _TRADES = "t AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS dt, CAS
 def a85_lot_matching(spark, d):
     li = table(spark, d, "lineitem").where("l_suppkey < 3")
     seq = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    t = li.select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").cast("date").alias("dt"), seq.alias("seq"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("p"))
+    t = li.select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").cast("date").alias("dt"), seq.alias("seq"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), (F.col("l_extendedprice") / F.col("l_quantity") / 1.07).alias("p"))
     return backtest.match_lots(t, "entity", "dt", "seq", "q", "p").withColumn("pl", F.round("pl", 4))
 
 

@@ -1,4 +1,4 @@
-"""Makes this library importable for Python workers that start elsewhere."""
+"""Sets up Python workers: the library on their path, batches of bounded size."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Rows of one Arrow batch between Spark and a Python worker where the session leaves Spark's default: texts of some kB make batches of some MB.
+BATCH_ROWS = 2000
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -15,4 +17,6 @@ def reach(spark: SparkSession) -> SparkSession:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark

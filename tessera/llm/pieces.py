@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Chunks that a table holds before it starts anew (one text's own chunks come on top); about 150 bytes each.
-TABLE_ROWS = 300_000
+TABLE_ROWS = 120_000
 #: Texts longer than this go in a batch of their own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 class ChunkTable:

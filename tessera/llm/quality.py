@@ -207,8 +207,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> D
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs whose text the classifier doesn't reject, with docs' columns."""
     names = docs.columns
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col(text).alias("_t"))
-    stats = cut(with_statistics(wrapped, "_t", ["doc_id"]), "stats")
+    stats = cut(with_statistics(docs, text, ["doc_id"]), "stats")
     score = train(stats, labels).column()
-    keep = with_statistics(wrapped, "_t", ["_row"]).where(score >= 0.5)
-    return keep.select("_row.*")
+    at = names.index(text)
+    schema = T.StructType([T.StructField("_row", docs.schema), *(T.StructField(s, T.DoubleType()) for s in STATS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("_row")
+            x = statistics(rows.field(at))
+            yield pa.RecordBatch.from_arrays([rows, *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATS)))], ["_row", *STATS])
+
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    return wrapped.mapInArrow(run, schema).where(score >= 0.5).select("_row.*")

@@ -11,6 +11,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from tessera.llm.scratch import cut
 
 #: Redraws after which the key space of some format counts as exhausted.
 ATTEMPTS = 64
+#: Surrogates that a task remembers; it only saves drawing them anew.
+MEMO = 20_000
 #: Forms of address and the gender they tell.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "г-н": "m", "г-жа": "f", "κ": "m", "κα": "f"}
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
@@ -192,10 +195,11 @@ def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, surrogate) for each entity: distinct surrogates of each kind, none an entity itself.
+    """(kind, canon, surrogate, attempt) for each entity: distinct surrogates of each kind, none an entity itself.
 
     Of entities that draw one surrogate the first by order keeps it and the others draw again; so do those that drew
     an entity of the corpus. Each round is a shuffle by surrogate over what is still open and what is given already.
+    ``surrogate`` gives a row's surrogate again from its attempt, which is 0 for all but those that drew again.
     """
     names = cut(found.select("kind", "canon").distinct(), "entities")
     given, open_ = None, names
@@ -211,7 +215,8 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
         if given is not None:
             taken = taken.unionByName(given.select("kind", "surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        good = cut(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canon", "surrogate"), "good")
+        kept = first.join(taken, ["kind", "surrogate"], "left_anti")
+        good = cut(kept.select("kind", "canon", "surrogate", F.lit(attempt).alias("attempt")), "good")
         given = good if given is None else given.unionByName(good)
         open_ = cut(open_.join(good, ["kind", "canon"], "left_anti"), "open")
         if open_.isEmpty():
@@ -219,6 +224,18 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"no free surrogate after {ATTEMPTS} draws: some format has more entities than half of its values")
 
 
+class Drawn(dict):
+    """Surrogates by (kind, canon), each drawn with its attempt, 0 by default, when it is first asked for."""
+
+    def __init__(self, draw: Callable[[str, str, int], str], attempts: dict[tuple[str, str], int]):
+        super().__init__()
+        self.draw, self.attempts = draw, attempts
+
+    def __missing__(self, entity: tuple[str, str]) -> str:
+        self[entity] = self.draw(*entity, self.attempts.get(entity, 0))
+        return self[entity]
+
+
 def rewrite(text: str, table: dict[tuple[str, str], str]) -> str:
     out, at = [], 0
     for s, e, kind, canon in find(text):
@@ -230,24 +247,26 @@ def rewrite(text: str, table: dict[tuple[str, str], str]) -> str:
 def replace_entities(docs: DataFrame, key: bytes = b"surrogates-1", text: str = "text") -> DataFrame:
     """docs with the entities of ``text`` replaced; the other columns stay, and ``n_chars``, where docs has it, is counted anew for texts that are looked at.
 
-    Null, empty and entity-free texts stay as they are. Texts without a trigger character or word aren't shuffled;
-    the others are joined by text hash with the surrogates of their entities, so equal texts are worked out once and a
-    text or entity that very many rows share is one row of the table that is joined.
+    Null, empty and entity-free texts stay as they are. A surrogate follows from the key, the entity and the number of
+    its attempt, so texts are rewritten where they lie; only the numbers of entities that drew again are joined to
+    them, by text hash. A text or entity that very many rows share is one row of the table that is joined.
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     may = F.coalesce(F.col(f"`{text}`").rlike(TRIGGER), F.lit(False))
     look = docs.where(may).select(row.alias("_row"), F.col(f"`{text}`").alias("_text"), F.xxhash64(f"`{text}`").alias("h1"), F.xxhash64(F.lit("second"), f"`{text}`").alias("h2"))
-    found = cut(look.select("h1", "h2", "_text").mapInArrow(entities, "h1 long, h2 long, kind string, canon string").distinct(), "found")
-    given = cut(assign(found, key), "surrogates")
-    per_text = found.join(given, ["kind", "canon"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("table"))
+    found = cut(look.select("h1", "h2", "_text").mapInArrow(entities, "h1 long, h2 long, kind string, canon string"), "found")
+    again = cut(assign(found, key).where("attempt > 0").select("kind", "canon", "attempt"), "again")
+    per_text = found.join(again, ["kind", "canon"]).distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("table"))
     per_text = cut(per_text, "tables")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = lru_cache(maxsize=MEMO)(lambda kind, canon, attempt: surrogate(kind, canon, attempt, key))
         for b in batches:
             new = []
             for t, table in zip(b.column("_text").to_pylist(), b.column("table").to_pylist(), strict=True):
-                new.append(t if not table else rewrite(t, {(x["kind"], x["canon"]): x["surrogate"] for x in table}))
+                attempts = {(x["kind"], x["canon"]): x["attempt"] for x in table or ()}
+                new.append(rewrite(t, Drawn(drawn, attempts)))
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
 
     schema = T.StructType([T.StructField("_row", docs.schema), T.StructField("_new", T.StringType())])

@@ -281,6 +281,16 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(out) == 40 == len({r.surrogate for r in out}) and not {r.surrogate for r in out} & {r.canon for r in out}
 
 
+def test_entities_that_drew_again_are_rewritten_alike_in_every_text(spark):
+    from tessera.llm.pii import find, replace_entities
+
+    mails = [f"{c}@mail.acme.example.com" for c in "abcdefghijklmnopqrs"]  # 19 of the 26 one-letter surrogates: some collide
+    rows = [(1, "to " + " and ".join(mails), "s"), *((i, m, "s") for i, m in enumerate(mails, 2))]
+    got = {r.doc_id: r.text for r in replace_entities(frame(spark, rows)).collect()}
+    first = [c for *_, c in find(got[1])]
+    assert first == [got[i] for i in range(2, 21)] and len(set(first)) == 19 and not set(first) & set(mails)
+
+
 # --- op6
 
 

@@ -103,6 +103,18 @@ def a85_lot_matching(spark, d):
     return backtest.match_lots(t, "entity", "dt", "seq", "q", "p").withColumn("pl", F.round("pl", 4))
 
 
+_LEDGER = "t AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS dt, concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS seq, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice / l_quantity / 1.07::DOUBLE AS p FROM lineitem)"
+
+
+@query(f"""WITH {_LEDGER}, c AS (SELECT *, sum(abs(q)) OVER (PARTITION BY entity, q > 0 ORDER BY dt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t), b AS (SELECT *, e - q AS s FROM c WHERE q > 0), k AS (SELECT *, e + q AS s FROM c WHERE q < 0)
+ SELECT b.entity, b.seq AS buy, k.seq AS sell, least(b.e, k.e) - greatest(b.s, k.s) AS qty, round((least(b.e, k.e) - greatest(b.s, k.s)) * (k.p - b.p), 4) AS pl FROM b JOIN k ON b.entity = k.entity AND b.s < k.e AND k.s < b.e""")
+def a85_lot_matching_whole(spark, d):
+    """The whole ledger; a85_lot_matching and its SQL take the trades of three suppliers only."""
+    seq = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").cast("date").alias("dt"), seq.alias("seq"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), (F.col("l_extendedprice") / F.col("l_quantity") / 1.07).alias("p"))
+    return backtest.match_lots(t, "entity", "dt", "seq", "q", "p").withColumn("pl", F.round("pl", 4))
+
+
 @query(""", x AS (SELECT *, price / max(price) OVER (PARTITION BY entity ORDER BY date) - 1 AS dd, price / lag(price) OVER (PARTITION BY entity ORDER BY date) - 1 AS r FROM bars), y AS (SELECT *, CASE WHEN count(r) OVER w >= 6 THEN stddev_samp(r) OVER w END AS vol FROM x WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
  z AS (SELECT *, coalesce(dd < -0.5 OR vol > 0.6, dd < -0.5) AS breach FROM y) SELECT entity, date, round(dd, 6) AS dd, breach, min(CASE WHEN breach THEN date END) OVER (PARTITION BY entity) AS first_breach FROM z""", "bars")
 def a86_equity_flags(spark, d):

@@ -26,7 +26,10 @@ CLASSES, SUB = 64, 4
 END = CLASSES - 1  # class of the end token; the start of a text counts as one
 CONTEXTS = CLASSES * SUB * CLASSES
 SLICES = 16
-HASHED, STEPS = 4096, 12
+HASHED, STEPS = 8192, 16
+FEATURES = 5  # of each context
+#: Gradients are summed in so many ranges of feature numbers.
+RANGES = 16
 #: Texts are dealt with in units of about this many bytes; a unit's words are distinct in its table.
 UNIT_BYTES = 4 << 20
 _END_HASH = np.uint64(0xE1D0C0FFEE123457)
@@ -154,36 +157,55 @@ def _log_softmax(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
     return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
+def _partial(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Observed and expected counts per feature and class over a task's contexts, by range of features."""
+    seen, expected = np.zeros((HASHED, CLASSES)), np.zeros((HASHED, CLASSES))
+    for batch in batches:
+        for k, a in zip(batch.column("bucket").to_pylist(), batch.column("a").to_pylist(), strict=True):
+            counts = np.frombuffer(a, "<i8").reshape(-1, CLASSES).astype(np.float64)
+            some = np.flatnonzero(counts.sum(1))
+            f = features(k * (CONTEXTS // SLICES) + some)
+            p = np.exp(_log_softmax(weights, f)) * counts[some].sum(1, keepdims=True)
+            for c in range(FEATURES):
+                np.add.at(seen, f[:, c], counts[some])
+                np.add.at(expected, f[:, c], p)
+    width = HASHED // RANGES
+    for k in range(RANGES):
+        at = slice(k * width, (k + 1) * width)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[at].tobytes()], pa.binary()), pa.array([expected[at].tobytes()], pa.binary())], ["range", "seen", "expected"])
+
+
+def _step(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """New weights of each range of features from the sums of its partial counts."""
+    sums: dict[int, np.ndarray] = {}
+    width = HASHED // RANGES
+    for batch in batches:
+        for k, *both in zip(*(batch.column(c).to_pylist() for c in ("range", "seen", "expected")), strict=True):
+            sums.setdefault(k, np.zeros((2, width, CLASSES)))
+            for i in (0, 1):
+                sums[k][i] += np.frombuffer(both[i], "<f8").reshape(width, CLASSES)
+    for k, (seen, expected) in sums.items():
+        old = weights[k * width : (k + 1) * width]
+        new = old + (seen - expected - 0.01 * old) / (FEATURES * np.maximum(seen, expected) * 0.5 + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([new.tobytes()], pa.binary())], ["range", "weights"])
+
+
 def train(events: DataFrame, steps: int = STEPS) -> np.ndarray:
     """Weights (HASHED, CLASSES) after ``steps`` distributed gradient steps over the counted events.
 
-    Each step sends the weights out, gets observed minus expected and expected counts back per feature and class (their
-    size is fixed) and moves each weight by their ratio, over the number of features of a context so that it can't overshoot.
+    Each step sends the weights out, sums observed and expected counts per feature and class by a shuffle on ranges of
+    features and moves each weight there by observed minus expected over their size, over the number of features of a
+    context so that it can't overshoot. The driver gets the new weights only, once a step, whatever the number of tasks.
     """
     spark = events.sparkSession
     weights = np.zeros((HASHED, CLASSES), np.float64)
     for _ in range(steps):
         told = spark.sparkContext.broadcast(weights)
-
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            seen, expected = np.zeros((HASHED, CLASSES)), np.zeros((HASHED, CLASSES))
-            for batch in batches:
-                for k, a in zip(batch.column("bucket").to_pylist(), batch.column("a").to_pylist(), strict=True):
-                    counts = np.frombuffer(a, "<i8").reshape(-1, CLASSES).astype(np.float64)
-                    some = np.flatnonzero(counts.sum(1))
-                    f = features(k * (CONTEXTS // SLICES) + some)
-                    p = np.exp(_log_softmax(told.value, f)) * counts[some].sum(1, keepdims=True)
-                    for c in range(f.shape[1]):
-                        np.add.at(seen, f[:, c], counts[some])
-                        np.add.at(expected, f[:, c], p)
-            yield pa.RecordBatch.from_arrays([pa.array([seen.astype("<f4").tobytes()]), pa.array([expected.astype("<f4").tobytes()])], ["seen", "expected"])
-
-        got = events.select("bucket", "a").coalesce(4).mapInArrow(run, "seen binary, expected binary").collect()
-        if not got:
-            break
-        seen, expected = (sum(np.frombuffer(r[k], "<f4").astype(np.float64) for r in got).reshape(HASHED, CLASSES) for k in ("seen", "expected"))
-        del got
-        weights = weights + (seen - expected - 0.01 * weights) / (5 * np.maximum(seen, expected) * 0.5 + 1)
+        parts = events.select("bucket", "a").mapInArrow(lambda b, told=told: _partial(b, told.value), "range int, seen binary, expected binary")
+        moved = parts.repartition(RANGES, "range").mapInArrow(lambda b, told=told: _step(b, told.value), "range int, weights binary")
+        weights = weights.copy()
+        for r in moved.collect():  # 4 MB in all
+            weights[r.range * (HASHED // RANGES) : (r.range + 1) * (HASHED // RANGES)] = np.frombuffer(r.weights, "<f8").reshape(-1, CLASSES)
         told.destroy()
     return weights
 

@@ -324,6 +324,27 @@ def test_class_model_learns_and_is_normalised(spark):
     assert np.allclose(p.sum(1), 1)
 
 
+def test_class_weights_equal_plain_gradient_steps(spark):
+    from tessera.llm import maxent
+
+    rng = np.random.default_rng(7)
+    width = maxent.CONTEXTS // maxent.SLICES
+    counts = rng.poisson(0.002, (maxent.CONTEXTS, maxent.CLASSES)) * rng.integers(1, 9, (maxent.CONTEXTS, 1))
+    table = spark.createDataFrame([(k, bytearray(counts[k * width : (k + 1) * width].astype("<i8").tobytes())) for k in range(maxent.SLICES)], "bucket int, a binary").repartition(7)
+    some = np.flatnonzero(counts.sum(1))
+    f, n = maxent.features(some), counts[some].astype(float)
+    w = np.zeros((8192, maxent.CLASSES))  # the model's size and steps before they were cut to 4,096 and 12
+    for _ in range(16):
+        p = np.exp(maxent._log_softmax(w, f)) * n.sum(1, keepdims=True)
+        seen, expected = np.zeros_like(w), np.zeros_like(w)
+        for c in range(5):
+            np.add.at(seen, f[:, c], n)
+            np.add.at(expected, f[:, c], p)
+        w = w + (seen - expected - 0.01 * w) / (5 * np.maximum(seen, expected) * 0.5 + 1)
+    got = maxent.train(table)
+    assert got.shape == w.shape and np.allclose(got, w, rtol=0, atol=1e-9)
+
+
 # --- op7
 
 

@@ -101,6 +101,19 @@ def j12_nearest_event(spark, d):
     return asof.nearest(ev, bars(spark, d), "entity", "t", "date", "price", [1, 3]).select("o_orderkey", "observed", *r6("ret_1", "ret_3"))
 
 
+@query(""", ev AS (SELECT DISTINCT o_orderkey, l_suppkey AS entity, CAST(o_orderdate AS DATE) AS t FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT *, lead(price, 1) OVER w / price - 1 AS r1, lead(price, 3) OVER w / price - 1 AS r3 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+ x AS (SELECT ev.*, n.date AS d1, n.r1, n.r3 FROM ev ASOF LEFT JOIN n ON ev.entity = n.entity AND ev.t >= n.date), y AS (SELECT x.*, n.date AS d2, n.r1 AS s1, n.r3 AS s3 FROM x ASOF LEFT JOIN n ON x.entity = n.entity AND x.t <= n.date),
+ z AS (SELECT *, d1 IS NOT NULL AND (d2 IS NULL OR t - d1 <= d2 - t) AS back FROM y)
+ SELECT o_orderkey, entity, CASE WHEN back THEN d1 ELSE d2 END AS observed, round(CASE WHEN back THEN r1 ELSE s1 END, 6) AS ret_1, round(CASE WHEN back THEN r3 ELSE s3 END, 6) AS ret_3 FROM z""", "bars")
+def j12_nearest_event_whole(spark, d):
+    """Every order, once for each of its suppliers; j12_nearest_event and its SQL take the dearest orders and 100 entities only."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("entity")).distinct()
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("t")).distinct()
+    near = asof.nearest(o.join(li, "o_orderkey"), bars(spark, d), "entity", "t", "date", "price", [1, 3]).select("o_orderkey", "entity", "observed", *r6("ret_1", "ret_3"))
+    # Orders without lines have no supplier; they go round the windows, where they would share one key.
+    return near.unionByName(o.join(li, "o_orderkey", "left_anti").select("o_orderkey"), allowMissingColumns=True)
+
+
 @query(""", e AS (SELECT date, m FROM market WHERE month(date) % 2 = 0) SELECT entity, date, round(last_value(m IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS m FROM bars LEFT JOIN e USING (date)""", "market")
 def j13_exogenous_fill(spark, d):
     e = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("m")).where(F.month("date") % 2 == 0)

@@ -34,3 +34,21 @@ def test_lots_of_the_whole_ledger_equal_a_queue(spark):
     assert want == collections.Counter((r.entity, r.buy, r.sell, round(float(r.qty), 6)) for r in got.itertuples())
     few = registry.queries()["a85_lot_matching"](spark, SF).count()
     assert len(got) > few
+
+
+def test_every_order_meets_every_supplier_of_its(spark):
+    got = registry.queries()["j12_nearest_event_whole"](spark, SF).toPandas()
+    li, o = rows("lineitem"), rows("orders")
+    want = o[["o_orderkey", "o_orderdate"]].merge(li[["l_orderkey", "l_suppkey"]].drop_duplicates(), how="left", left_on="o_orderkey", right_on="l_orderkey").drop_duplicates()
+    months = {e: sorted(set(g.astype("datetime64[ns]").dt.to_period("M").dt.to_timestamp())) for e, g in li.groupby("l_suppkey").l_shipdate}
+    near = lambda r: min(months[r.l_suppkey], key=lambda m: (abs((m - r.day).days), m)) if r.l_suppkey == r.l_suppkey else None
+    want["day"] = want.o_orderdate.astype("datetime64[ns]").dt.normalize()
+    show = lambda k, e, m: (k, None if e != e else int(e), None if m is None or m != m else str(m)[:10])
+    assert sorted(map(str, (show(r.o_orderkey, r.l_suppkey, near(r)) for r in want.itertuples()))) == sorted(map(str, (show(r.o_orderkey, r.entity, r.observed) for r in got.itertuples())))
+    assert set(got.entity.dropna()) == set(li.l_suppkey) and set(got.o_orderkey) == set(o.o_orderkey)
+
+
+def test_gaps_are_those_of_the_whole_series(spark):
+    got = {r.entity: r.gap for r in registry.queries()["p09_unadjusted_whole"](spark, SF).collect()}
+    gap = rows("lineitem").groupby("l_suppkey").l_discount.mean()
+    assert set(got) == set(gap[gap < 0.05037].index) and all(abs(got[e] - gap[e]) < 6e-5 for e in got)

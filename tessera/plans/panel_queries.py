@@ -195,6 +195,14 @@ def a06_pivot_wide(spark, d):
     return p.groupBy("date").pivot("region", [0, 1, 2]).agg(F.round(F.first("p"), 6))
 
 
+@query("SELECT date, " + ", ".join(f'round(max(CASE WHEN region = {k} THEN p END), 6) AS "{k}"' for k in range(5)) + " FROM (SELECT date, region, avg(price) AS p FROM bars JOIN sect USING (entity) GROUP BY 1, 2) GROUP BY 1", "bars", "sect")
+def a06_pivot_wide_whole(spark, d):
+    """A column for each region of the table; a06_pivot_wide and its SQL have the first three of five."""
+    keys = sorted(r.r_regionkey for r in table(spark, d, "region").select("r_regionkey").distinct().collect())
+    p = bars(spark, d).join(sect(spark, d), "entity").groupBy("date", "region").agg(F.avg("price").alias("p"))
+    return p.groupBy("date").pivot("region", keys).agg(F.round(F.first("p"), 6))
+
+
 @query("SELECT entity, date, round(price, 6) AS price, qty, round(high, 6) AS high, round(low, 6) AS low FROM bars", "bars")
 def a07_period_bars(spark, d):
     return bars(spark, d).select("entity", "date", *r6("price"), "qty", *r6("high", "low"))

@@ -52,3 +52,8 @@ def test_gaps_are_those_of_the_whole_series(spark):
     got = {r.entity: r.gap for r in registry.queries()["p09_unadjusted_whole"](spark, SF).collect()}
     gap = rows("lineitem").groupby("l_suppkey").l_discount.mean()
     assert set(got) == set(gap[gap < 0.05037].index) and all(abs(got[e] - gap[e]) < 6e-5 for e in got)
+
+
+def test_pivot_has_a_column_for_each_region(spark):
+    got = registry.queries()["a06_pivot_wide_whole"](spark, SF)
+    assert set(got.columns) == {"date", *map(str, rows("region").r_regionkey)}

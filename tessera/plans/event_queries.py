@@ -91,6 +91,16 @@ def w46_padded_context(spark, d):
     return backtest.pad_context(some, proxy, "entity", "sector", "date", "price", 60).select("entity", "date", *r6("price"), "padded")
 
 
+@query(""", s AS (SELECT b.entity, sector, date, price FROM bars b JOIN sect USING (entity)), px AS (SELECT sector, date, avg(price) AS p FROM s GROUP BY 1, 2), f AS (SELECT entity, sector, min(date) AS fd, min_by(price, date) AS v, count(*) AS n FROM s GROUP BY 1, 2),
+ e AS (SELECT f.entity, f.sector, px.date, px.p * v / p0.p AS price, row_number() OVER (PARTITION BY f.entity ORDER BY px.date DESC) AS k, n FROM f JOIN px p0 ON p0.sector = f.sector AND p0.date = fd JOIN px ON px.sector = f.sector AND px.date < fd WHERE n < 84)
+ SELECT entity, date, round(price, 6) AS price, false AS padded FROM s UNION ALL SELECT entity, date, round(price, 6), true FROM e WHERE k <= 84 - n""", "bars", "sect")
+def w46_padded_context_whole(spark, d):
+    """All bars, and only series that are short in the table are padded; w46_padded_context and its SQL drop the early bars of odd entities."""
+    b = bars(spark, d).join(sect(spark, d).select("entity", "sector"), "entity")
+    proxy = b.groupBy("sector", "date").agg(F.avg("price").alias("price"))
+    return backtest.pad_context(b.select("entity", "sector", "date", "price"), proxy, "entity", "sector", "date", "price", 84).select("entity", "date", *r6("price"), "padded")
+
+
 _TRADES = "t AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS dt, CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_suppkey || '-' || l_extendedprice AS seq, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice / l_quantity / 1.07::DOUBLE AS p FROM lineitem WHERE l_suppkey < 3)"
 
 

@@ -120,6 +120,13 @@ def j13_exogenous_fill(spark, d):
     return returns.forward_fill(bars(spark, d).join(e, "date", "left"), "entity", "date", "m").select("entity", "date", *r6("m"))
 
 
+@query(""" SELECT entity, date, round(last_value(m IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS m FROM bars LEFT JOIN market USING (date)""", "market")
+def j13_exogenous_fill_whole(spark, d):
+    """All market values; j13_exogenous_fill and its SQL take those of every second month only."""
+    e = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("m"))
+    return returns.forward_fill(bars(spark, d).join(e, "date", "left"), "entity", "date", "m").select("entity", "date", *r6("m"))
+
+
 @query("SELECT CAST(c_custkey AS BIGINT) AS entity, o.k IS NOT NULL AS member, coalesce(n_name, 'none') AS place FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 450000) o ON c_custkey = o.k LEFT JOIN nation ON c_nationkey = n_nationkey")
 def j14_reconcile_dimension(spark, d):
     o = table(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("m", F.lit(True))

@@ -1,11 +1,13 @@
 """Queries that do the whole of a job whose older query takes a part of the rows, against plain loops over all rows."""
 
 import collections
+import datetime as dt
 import os
 
 import pandas as pd
 
 from tessera import registry
+from tessera.operators import backtest
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -57,3 +59,30 @@ def test_gaps_are_those_of_the_whole_series(spark):
 def test_pivot_has_a_column_for_each_region(spark):
     got = registry.queries()["a06_pivot_wide_whole"](spark, SF)
     assert set(got.columns) == {"date", *map(str, rows("region").r_regionkey)}
+
+
+def test_real_bars_stay_and_short_series_are_padded(spark):
+    li = rows("lineitem")
+    bars = {(e, str(m)) for e, m in zip(li.l_suppkey, li.l_shipdate.astype("datetime64[ns]").dt.to_period("M"), strict=True)}
+    out = registry.queries()["w46_padded_context_whole"](spark, SF).toPandas()
+    month = lambda x: {(r.entity, str(r.date)[:7]) for r in x.itertuples()}
+    assert month(out[~out.padded]) == bars and not month(out[out.padded]) & bars
+    day = lambda k: dt.date(2024, k, 1)
+    panel = spark.createDataFrame([(1, "g", day(k), 10.0 * k) for k in range(1, 7)] + [(2, "g", day(k), 80.0) for k in (5, 6)], "entity int, sector string, date date, price double")
+    proxy = spark.createDataFrame([("g", day(k), 2.0 * k) for k in range(1, 7)], "sector string, date date, price double")
+    pads = sorted((r.entity, r.date, r.price) for r in backtest.pad_context(panel, proxy, "entity", "sector", "date", "price", 4).where("padded").collect())
+    assert pads == [(2, day(3), 48.0), (2, day(4), 64.0)]
+
+
+def test_fill_takes_the_last_known_value_of_every_month(spark):
+    got = {(r.entity, r.date): r.m for r in registry.queries()["j13_exogenous_fill_whole"](spark, SF).collect()}
+    r = rows("lineitem")
+    r["date"] = r.l_shipdate.astype("datetime64[ns]").dt.to_period("M").dt.to_timestamp()
+    b = r.groupby(["l_suppkey", "date"])[["l_extendedprice", "l_quantity"]].sum().reset_index().sort_values(["l_suppkey", "date"])
+    b["price"] = b.l_extendedprice.astype(float) / b.l_quantity.astype(float) / 1.07
+    b["m"] = b.date.map(b.assign(r=b.price / b.groupby("l_suppkey").price.shift() - 1).groupby("date").r.mean())
+    b["m"] = b.groupby("l_suppkey").m.ffill()
+    assert len(got) == len(b)
+    for x in b.itertuples():
+        m = got[x.l_suppkey, x.date.date()]
+        assert m is None if x.m != x.m else abs(m - x.m) < 1e-5

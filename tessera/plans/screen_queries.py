@@ -116,7 +116,9 @@ def p22_failed_leg_histogram(spark, d):
 def p23_explore_segment(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment")).where(F.col("segment").isin("MACHINERY", "BUILDING"))
     x = latest(spark, d).join(c, "entity").withColumn("composite", F.round(screens.composite(screens.quality_part(), screens.value_score()), 6))
-    top = x.orderBy(F.desc("composite")).limit(2000)  # a top-50 report; ties at rank 50 stay within this margin
+    # A top-50 report: rows from the 50th value on, with all that tie with it.
+    low = x.orderBy(F.desc("composite")).limit(50).agg(F.min("composite").alias("_low"), F.bool_or(F.col("composite").isNull()).alias("_short"))
+    top = x.join(F.broadcast(low), F.col("_short") | (F.col("composite") >= F.col("_low")))
     return top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("composite"))).cast("long")).where("rank <= 50").select("entity", "segment", "composite", "rank")
 
 

@@ -86,3 +86,12 @@ def test_fill_takes_the_last_known_value_of_every_month(spark):
     for x in b.itertuples():
         m = got[x.l_suppkey, x.date.date()]
         assert m is None if x.m != x.m else abs(m - x.m) < 1e-5
+
+
+def test_more_ties_than_a_cap_stay_in_the_top(spark, tmp_path):
+    n = 2100
+    keys = list(range(n))
+    pd.DataFrame({"c_custkey": keys, "c_mktsegment": "BUILDING"}).to_parquet(tmp_path / "customer.parquet")
+    pd.DataFrame({"o_orderkey": keys, "o_custkey": keys, "o_totalprice": 1000.0, "o_orderstatus": "O", "o_orderdate": pd.Timestamp("1998-01-05")}).astype({"o_orderdate": "datetime64[us]"}).to_parquet(tmp_path / "orders.parquet")
+    got = registry.queries()["p23_explore_segment"](spark, str(tmp_path)).collect()
+    assert len(got) == n and {r["rank"] for r in got} == {1}

@@ -1,39 +1,51 @@
 """N-gram Jaccard join by PartEnum signatures (Arasu, Ganti and Kaushik, 2006), exact at a fixed threshold of 0.8.
 
 Sets are put into size bands; two sets with Jaccard 0.8 or more lie in one band or in neighbours and differ in at most
-(|r| + |s|) / 9 elements. For each band the feature domain is divided by hash into more partitions than that bound, so
-similar sets agree on whole partitions: for small bounds all subsets of n - k of the n partitions are enumerated as
-signatures, for larger ones single partitions are. Sets that share a signature are compared exactly.
+k = (|r| + |s|) / 9 elements. For each band the feature domain is divided by hash into more partitions than that bound,
+and subsets of partitions are enumerated as signatures. Up to k = 3 there is one level: all subsets of n - k of the n
+partitions. Above it there are two: k differences leave some group of n2 partitions with n2 - 1 at most, so the subsets of
+one partition in each group are enumerated; of all the method's parameters this choice gives the fewest signatures, whose
+shuffle is the largest of the join. Sets that share a signature are compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kernel import distinct_sorted, mix64, shingles, slices, words_of
-from tessera.llm.scratch import connected_components, cut, shuffle_parts
+from tessera.llm.scratch import connected_components, cut, discard, shuffle_parts
 
-#: A signature that more sets than this share gives no pairs; sets that lean on such signatures are compared in blocks.
+#: A signature that more sets than this share gives no pairs; sets that lean on such signatures are compared in groups.
 PAIRS_UP_TO = 24
-#: Sets on one side of a block comparison.
-BLOCK = 512
+#: Sets and bytes of text on one side of a block comparison, and sets that one group compares with its hubs.
+BLOCK, BLOCK_BYTES, FAN = 512, 2 << 20, 2000
+#: Sets of each dense group with which all its members are compared first.
+HUBS = 4
+#: Signatures and set ids that a task remembers, to send each common one and each repeated set once only; forgetting them costs time.
+REMEMBERED = 200_000
 #: Bits of the filter that tells which documents' sets are needed again; a full filter only costs time.
 FILTER_BITS = 1 << 26
 OWN, UPPER, PREFIX = 0, 1, 2
+DOC, SIGNATURE, COMMON = 0, 1, 2
 _SALT = np.uint64(0xA24BAED4963EE407)
+_MARK = np.int64(-(2**63))  # stands for a set in the row that tells that a signature is common
 
 
 def bands(largest: int) -> np.ndarray:
-    """Upper ends of the size bands, each 1.25 times as wide as where it starts, up to one band beyond ``largest``."""
+    """Upper ends of the size bands, each 25/16 times as wide as where it starts, up to one band beyond ``largest``.
+
+    A partner is at most 5/4 times as large, so only the upper half of a band needs the signatures of the next one too.
+    """
     out, low = [], 1
     while not out or out[-1] <= 2 * largest + 8:
-        out.append(max(low, low * 5 // 4))
+        out.append(max(low, low * 25 // 16))
         low = out[-1] + 1
     return np.array(out, np.int64)
 
@@ -106,69 +118,196 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         yield i, d, v, sizes, _set_ids(d, v, sizes)
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (set id, doc_id, size; under a random key, so that copies spread) and one for each signature of each set (set id, size, note)."""
+def _size_code(sizes: np.ndarray) -> np.ndarray:
+    """One byte for a size; codes of sizes within a factor of 5/4 differ by 4 at most."""
+    return np.minimum(np.log(np.maximum(sizes, 1)) / np.log(1.06), 255).astype(np.uint8)
+
+
+def _need_code(need: np.ndarray) -> np.ndarray:
+    """One byte for a need; exact up to 127, rounded down above, which keeps more pairs and never loses one."""
+    return np.where(need < 128, need, np.minimum(128 + (need - 128) // 16, 255)).astype(np.uint8)
+
+
+def _need(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    return np.where(code < 128, code, 128 + (code - 128) * 16)
+
+
+_PACKED = "bucket int, what int, ids binary, meta binary, keys binary"
+
+
+def _packed(bucket: int, what: int, ids: np.ndarray, meta: bytes, keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([what], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), meta, keys.tobytes()))], ["bucket", "what", "ids", "meta", "keys"])
+
+
+def _pack(owner: np.ndarray, sig: np.ndarray, note: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: the sets that have signatures there (id, codes of size and needs, counts by kind) and 6 bytes of each signature."""
+    bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    kind = note % 4
+    run = ((bucket * len(ids) + owner) << 2) | kind
+    order = np.argsort(run, kind="stable")
+    run, bucket, kind = run[order], bucket[order], kind[order]
+    new = np.concatenate([[True], run[1:] != run[:-1]])
+    at = np.flatnonzero(new)
+    rank = np.arange(len(run)) - at[np.cumsum(new) - 1]  # a count has one byte, so runs of more than 255 are split
+    if rank.max() >= 255:
+        again = np.lexsort((kind, rank // 255, run >> 2))
+        order, run, bucket, kind, rank = order[again], run[again], bucket[again], kind[again], rank[again]
+    new = np.concatenate([[True], (run[1:] >> 2 != run[:-1] >> 2) | (rank[1:] // 255 != rank[:-1] // 255)])
+    at = np.flatnonzero(new)
+    who = (run[at] >> 2) % len(ids)
+    needs = np.zeros((2, len(ids)), np.int64)
+    for k in (OWN, UPPER):
+        some = note % 4 == k
+        needs[k, owner[some]] = note[some] // 4
+    meta = np.stack([_size_code(sizes)[who], _need_code(needs[0])[who], _need_code(needs[1])[who], *(np.add.reduceat(kind == k, at, dtype=np.int64).astype(np.uint8) for k in (OWN, UPPER, PREFIX))], 1)
+    keys = np.ascontiguousarray(sig[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    runs = np.concatenate([np.searchsorted(at, first), [len(at)]])
+    ends = np.concatenate([first, [len(bucket)]])
+
+    def column(data: np.ndarray, bounds: np.ndarray, width: int) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), SIGNATURE, np.int32)), column(ids[who], runs, 8), column(meta, runs, 6), column(keys, ends, 6)], ["bucket", "what", "ids", "meta", "keys"])
+
+
+def _named(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """What stands for a signature after the shuffle: 48 of its bits behind its bucket's number."""
+    bucket = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return ((bucket & np.uint64(0x7FFF)) << np.uint64(48) | sig & np.uint64((1 << 48) - 1)).view(np.int64)
+
+
+def _emit(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows: the documents of each slice (dealt evenly) and the signatures of its sets, by bucket.
+
+    A signature that more than PAIRS_UP_TO sets of one slice share is common. From then on the task sends its sets
+    under that signature as settled, dealt evenly, and only a mark to the signature's bucket, so that no bucket gets a
+    row for each of very many sets.
+    """
+    done: set[int] = set()
+    common = np.zeros(0, np.uint64)
+    serial = 0
     for batch in batches:
-        done: set[int] = set()
         for i, d, v, sizes, ids in _sets(batch.column("text")):
+            serial += 1
             docs = batch.column("doc_id").slice(i, len(sizes))
-            key = mix64(ids.view(np.uint64) ^ mix64(docs.fill_null(-1).to_numpy().view(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), docs.cast(pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(np.ones(len(ids), bool))], _NAMES)
+            told = batch.column("told").slice(i, len(sizes)).to_numpy()
+            meta = docs.fill_null(0).to_numpy().tobytes() + sizes.astype("<u4").tobytes() + docs.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+            yield _packed(serial % buckets, DOC, ids, meta, told)
             _, once = np.unique(ids, return_index=True)
             fresh = np.zeros(len(ids), bool)
             fresh[once] = True
             fresh &= np.array([x not in done for x in ids.tolist()], bool) & (sizes > 0)
+            if len(done) > REMEMBERED:
+                done.clear()
             done.update(ids[fresh].tolist())
             mine = fresh[d]
             o, s, n = set_signatures(d[mine], v[mine], np.where(fresh, sizes, 0))
-            for k in range(0, len(o), 200_000):
-                part = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(s[part].view(np.int64)), pa.array(ids[o[part]]), pa.array(sizes[o[part]].astype(np.int64)), pa.array(n[part].astype(np.int32)), pa.array(np.zeros(len(o[part]), bool))], _NAMES)
+            if not len(o):
+                continue
+            names, place, count = np.unique(s, return_inverse=True, return_counts=True)
+            new = names[(count > PAIRS_UP_TO) & ~np.isin(names, common)]
+            if len(new):
+                common = np.union1d(common[: REMEMBERED // 2], new)
+                yield _pack(np.zeros(len(new), np.int64), new, np.full(len(new), 4 + PREFIX), np.array([_MARK]), np.ones(1, np.int64), buckets)
+            settled = np.isin(names, common)[place]
+            if settled.any():
+                yield _packed(serial % buckets, COMMON, ids[o[settled]], n[settled].astype("<u4").tobytes(), _named(s[settled], buckets))
+                o, s, n = o[~settled], s[~settled], n[~settled]
+            if len(o):
+                yield _pack(o, s, n, ids, sizes, buckets)
+
+
+_NAMES = ["key", "id", "doc", "n", "what"]
 
 
-_NAMES = ["key", "id", "doc", "n", "is_doc"]
-#: what 0: document b has set a of n shingles; 1: sets a and b share n signatures, their notes are x and y; 2: set b has the common signature a, its note is n.
-_FOUND = "what int, a long, b long, n int, x int, y int"
+def _bytes(column: pa.Array) -> np.ndarray:
+    off = np.frombuffer(column.buffers()[1], np.int32, count=len(column) + 1, offset=4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, doc, n, what): a document's hash, set, doc_id and size; a signature, its set, size code and note; a common signature, its set and note."""
+
+    def rows(key: np.ndarray, ident: np.ndarray, doc: pa.Array, n: np.ndarray, what: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), doc, pa.array(n.astype(np.int32)), pa.array(np.full(len(key), what, np.int32))], _NAMES)
+
+    for batch in batches:
+        what = batch.column("what").to_numpy()
+        for kind in (DOC, COMMON):
+            for ids, meta, keys in zip(*(batch.filter(pa.array(what == kind)).column(c).to_pylist() for c in ("ids", "meta", "keys")), strict=True):
+                ids, keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
+                if kind == DOC:
+                    m = len(ids)
+                    doc = pa.array(np.frombuffer(meta, np.int64, m), mask=np.frombuffer(meta, np.uint8, m, 12 * m).astype(bool))
+                    yield rows(keys, ids, doc, np.frombuffer(meta, "<u4", m, 8 * m), DOC)
+                else:
+                    yield rows(keys, ids, pa.nulls(len(ids), pa.int64()), np.frombuffer(meta, "<u4"), COMMON)
+        some = batch.filter(pa.array(what == SIGNATURE))
+        if not some.num_rows:
+            continue
+        ids, meta, keys = _bytes(some.column("ids")).view(np.int64), _bytes(some.column("meta")).reshape(-1, 6), _bytes(some.column("keys")).reshape(-1, 6)
+        per = np.diff(np.frombuffer(some.column("ids").buffers()[1], np.int32, count=some.num_rows + 1, offset=4 * some.column("ids").offset)) // 8
+        bucket = np.repeat(some.column("bucket").to_numpy().astype(np.int64), per)
+        counts = meta[:, 3:].astype(np.int64)
+        notes = np.stack([_need(meta[:, 1]) * 4 + OWN, _need(meta[:, 2]) * 4 + UPPER, np.full(len(meta), 4 + PREFIX)], 1)
+        code = (notes << 8 | meta[:, :1]).ravel()
+        ends = np.concatenate([[0], np.cumsum(counts.sum(1))])
+        step = max(1, len(ids) * 200_000 // max(1, int(ends[-1])))
+        for lo in range(0, len(ids), step):
+            hi = min(len(ids), lo + step)
+            c = counts[lo:hi]
+            wide = np.zeros((ends[hi] - ends[lo], 8), np.uint8)
+            wide[:, :6] = keys[ends[lo] : ends[hi]]
+            each = c.sum(1)
+            key = wide.view("<i8").ravel() | np.repeat((bucket[lo:hi] & 0x7FFF) << 48, each)
+            yield rows(key, np.repeat(ids[lo:hi], each), pa.nulls(len(key), pa.int64()), np.repeat(code[3 * lo : 3 * hi], c.ravel()), SIGNATURE)
+
+
+#: what 0: document b (t: hash of its text) has set a of n shingles; 1: sets a and b share n signatures, their notes are x and y; 2: set b has the common signature a, its note is n.
+_FOUND = "what int, a long, b long, n int, x int, y int, t long"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by key: passes documents on, turns signatures of few sets into pairs and names the members of common ones."""
+    """Reads rows sorted by key and set: passes documents on, turns signatures of few sets into pairs and names the members of common ones."""
 
-    def rows(what: int, a: np.ndarray, b: pa.Array, n: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
+    def rows(what: int, a: np.ndarray, b: pa.Array, n: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None, t: np.ndarray | None = None) -> pa.RecordBatch:
         more = [pa.nulls(len(a), pa.int32()) if c is None else pa.array(c.astype(np.int32)) for c in (x, y)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), what, np.int32)), pa.array(a), b, pa.array(n.astype(np.int32)), *more], ["what", "a", "b", "n", "x", "y"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), what, np.int32)), pa.array(a), b, pa.array(n.astype(np.int32)), *more, pa.nulls(len(a), pa.int64()) if t is None else pa.array(t)], ["what", "a", "b", "n", "x", "y", "t"])
 
     pairs: list[np.ndarray] = []
     held = 0
-    names = ("key", "id", "n", "doc")
-    carry = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64))
+    names = ("key", "id", "n")
+    carry = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
     common: int | None = None  # a key that is known to be common, though its last rows are still to come
 
-    def settle(key: np.ndarray, ident: np.ndarray, note: np.ndarray, size: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+    def settle(key: np.ndarray, ident: np.ndarray, n: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal pairs, held, carry, common
         if len(key):
             keep = np.ones(len(key), bool)
             keep[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-            key, ident, note, size = key[keep], ident[keep], note[keep], size[keep]
+            key, ident, n = key[keep], ident[keep], n[keep]
+            note, size = n >> 8, n & 255
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             counts = np.diff(np.concatenate([starts, [len(key)]]))
-            often = counts > PAIRS_UP_TO
+            often = (counts > PAIRS_UP_TO) | (ident[starts] == _MARK)
             if common is not None and key[0] == common:
                 often[0] = True
             stop = len(starts)
             if not last:
                 common = int(key[-1]) if often[-1] else None
                 stop -= common is None
-                carry = tuple(x[starts[-1] :] if common is None else x[:0] for x in (key, ident, note, size))
+                carry = tuple(x[starts[-1] :] if common is None else x[:0] for x in (key, ident, n))
             group = np.repeat(np.arange(len(starts)), counts)
-            named = often[group] & (group < stop)
+            named = often[group] & (group < stop) & (ident != _MARK)
             if named.any():
                 yield rows(2, key[named], pa.array(ident[named]), note[named])
             for m in np.unique(counts[:stop][~often[:stop] & (counts[:stop] > 1)]):
                 at = starts[:stop][~often[:stop] & (counts[:stop] == m)]
                 i, j = np.triu_indices(m, 1)  # ids ascend inside a key
                 i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                alike = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+                alike = np.abs(size[i] - size[j]) <= 4
                 i, j = i[alike], j[alike]
                 pairs.append(np.stack([ident[i], ident[j], note[i].astype(np.int64) << 32 | note[j]], 1))
                 held += len(i)
@@ -179,17 +318,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = p[order]
                 new = np.concatenate([[True], (p[1:] != p[:-1]).any(1)])
                 at = np.flatnonzero(new)
-                n = np.diff(np.concatenate([at, [len(p)]]))
+                shared = np.diff(np.concatenate([at, [len(p)]]))
                 p = p[at]
                 pairs, held = [], 0
-                yield rows(1, p[:, 0], pa.array(p[:, 1]), n, p[:, 2] >> 32, p[:, 2] & 0xFFFFFFFF)
+                yield rows(1, p[:, 0], pa.array(p[:, 1]), shared, p[:, 2] >> 32, p[:, 2] & 0xFFFFFFFF)
 
     for batch in batches:
-        is_doc = batch.column("is_doc").to_numpy(zero_copy_only=False)
-        if is_doc.any():
-            some = batch.filter(pa.array(is_doc))
-            yield rows(0, some.column("id").to_numpy(), some.column("doc"), some.column("n").to_numpy())
-        sigs = batch.filter(pa.array(~is_doc))
+        what = batch.column("what").to_numpy()
+        if (what == DOC).any():
+            some = batch.filter(pa.array(what == DOC))
+            yield rows(0, some.column("id").to_numpy(), some.column("doc"), some.column("n").to_numpy(), t=some.column("key").to_numpy())
+        if (what == COMMON).any():
+            some = batch.filter(pa.array(what == COMMON))
+            yield rows(2, some.column("key").to_numpy(), some.column("id"), some.column("n").to_numpy())
+        sigs = batch.filter(pa.array(what == SIGNATURE))
         yield from settle(*(np.concatenate([c, sigs.column(x).to_numpy()]) for c, x in zip(carry, names, strict=True)), False)
     final, carry = carry, tuple(x[:0] for x in carry)
     yield from settle(*final, True)
@@ -224,58 +366,54 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each pair of blocks as (a, b) rows that join the same sets as all links would."""
-
-    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(parts)
-        bi, bj, block = t["bi"][0].as_py(), t["bj"][0].as_py(), t["block"].to_numpy()
-        names = t["id"].to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
-        left = np.flatnonzero(block == bi)
-        right = left if bi == bj else np.flatnonzero(block == bj)
-        if not len(left) or not len(right):
-            return None
-        sizes = np.array([len(s) for s in sets])
-        both = _overlaps([sets[x] for x in left], [sets[x] for x in right])
-        i, j = np.nonzero(100 * both >= 80 * (sizes[left][:, None] + sizes[right][None, :] - both))
-        root = _roots(names, left[i], right[j])
-        some = root != names
-        return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(root[some])], ["a", "b"]) if some.any() else None
-
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("comp", "bi", "bj")], 1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for s, e in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            if s == e:
-                continue
-            if held and tuple(keys[s]) != now:
-                if (out := solve(held)) is not None:
-                    yield out
-                held = []
-            now = tuple(keys[s])
-            held.append(batch.slice(s, e - s))
-    if held and (out := solve(held)) is not None:
-        yield out
+_GROUP = ["level", "g", "left_block", "right_block"]
+
 
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the left and right sets of each group as (a, b) rows that join the same sets as all links would.
+
+    A group's left sets come first and are held; they are few (hubs) or bounded in number and bytes (a block). The right
+    ones stream. Where both blocks are one, the left sets are compared among themselves.
+    """
+    left: list[tuple[int, np.ndarray]] = []
+    now: tuple | None = None
+
+    def solve(right: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not left or not right:
+            return
+        both = _overlaps([x for _, x in left], [x for _, x in right])
+        one, two = (np.array([len(x) for _, x in side]) for side in (left, right))
+        i, j = np.nonzero(100 * both >= 80 * (one[:, None] + two[None, :] - both))
+        ids, place = np.unique([*(k for k, _ in left), *(k for k, _ in right)], return_inverse=True)
+        root = _roots(ids, place[i], place[len(left) + j])
+        some = root != ids
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(root[some])], ["a", "b"])
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        keep = np.zeros(len(a), bool)
-        for k, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = 100 * both >= 80 * (len(x) + len(y) - both)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        keys = np.stack([batch.column(c).to_numpy() for c in _GROUP], 1)
+        right, ids = batch.column("right").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
+        for i, _, v, sizes, _ in _sets(batch.column("text")):
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.arange(i, i + len(sizes))
+            cuts = np.flatnonzero((keys[at[1:]] != keys[at[:-1]]).any(1) | (right[at[1:]] != right[at[:-1]])) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                group = tuple(keys[i + s].tolist())
+                if group != now:
+                    if now is not None and now[0] == 2 and now[2] == now[3]:
+                        yield from solve(left)
+                    left, now = [], group
+                part = [(int(ids[i + k]), v[ends[k] : ends[k + 1]].copy()) for k in range(s, e)]
+                if right[i + s]:
+                    yield from solve(part)
+                else:
+                    left += part
+    if now is not None and now[0] == 2 and now[2] == now[3]:
+        yield from solve(left)
 
 
 def _wanted(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the sets in ids: their documents are read again, chosen by a bit filter of fixed size over doc_id."""
+    """(id, text) of one document of each set in ids: documents are read again, chosen by a bit filter of fixed size over doc_id."""
     spark = docs.sparkSession
     some = members.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc").alias("doc"))
     bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)) + 1
@@ -289,78 +427,160 @@ def _wanted(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             h = batch.column("h").to_numpy()
             rows = pa.array(np.flatnonzero((told.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1))
-            if not len(rows):
-                continue
-            for _, d, v, sizes, names in _sets(batch.column("text").take(rows)):
-                ends = np.concatenate([[0], np.cumsum(sizes)])
+            texts = batch.column("text").take(rows)
+            for i, _, _, sizes, names in _sets(texts):
                 _, once = np.unique(names, return_index=True)
                 once = once[sizes[once] > 0]
-                data = [v[ends[k] : ends[k + 1]].tobytes() for k in once]
-                yield pa.RecordBatch.from_arrays([pa.array(names[once]), pa.array(data, pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[once]), texts.take(pa.array(i + once))], ["id", "text"])
 
-    made = docs.select((bit - 1).alias("h"), "text").mapInArrow(run, "id long, shingles binary")
+    made = docs.select((bit - 1).alias("h"), "text").mapInArrow(run, "id long, text string")
     return cut(made.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
+def _parts(total: Column, most: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(total / F.lit(most))).cast("int")
 
-    A set holds the distinct five-word shingles of the whole text, or the whole word sequence where it is shorter; sets
-    link when 100 * intersection >= 80 * union. A text without words (null, empty) has an empty set, linked with
-    nothing. Equal sets are one, so copies cost one row each and are never paired. component_id is the smallest doc_id
-    that links reach; repeated rows get equal results; a null doc_id stands in no component's minimum but its own.
-    Shingles and sets are told apart by 64-bit hashes.
 
-    A signature that at most PAIRS_UP_TO sets share gives candidate pairs, counted before the shuffle; pairs that share
-    fewer signatures than similar sets must are dropped. One that more share gives none; a set for
-    which fewer than ``need`` signatures are left could lose a partner that way, so all such sets which common
-    signatures connect are compared in blocks by sparse products. Either way every link is found, with no row for each pair of a large group.
+def _rows(df: DataFrame, level: int, g: str, left_block: Column, right_block: Column, right: bool, ident: str) -> DataFrame:
+    return df.select(F.lit(level).alias("level"), F.col(g).alias("g"), left_block.cast("int").alias("left_block"), right_block.cast("int").alias("right_block"), F.lit(right).alias("right"), F.col(ident).alias("id"))
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Group rows that compare the b sets of pairs with their a sets; an a of very many b has several groups."""
+    fan = pairs.groupBy("a").agg(_parts(F.count(F.lit(1)), FAN).alias("c"))
+    left = fan.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    right = pairs.join(fan, "a").withColumn("s", F.pmod(F.xxhash64("b"), F.col("c")))
+    return _rows(left, 0, "a", F.col("s"), F.lit(0), False, "a").unionByName(_rows(right, 0, "a", F.col("s"), F.lit(0), True, "b"))
+
+
+def _hubs(placed: DataFrame) -> DataFrame:
+    """Group rows that compare all sets of a dense group with HUBS of them."""
+    hubs = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "id"), "id"))["id"] for k in range(HUBS)]))
+    groups = placed.groupBy("dense").agg(_parts(F.count(F.lit(1)), FAN).alias("c"), hubs.alias("hubs"))
+    left = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("hub", F.explode("hubs"))
+    right = placed.join(groups.drop("hubs"), "dense").withColumn("s", F.pmod(F.xxhash64("id"), F.col("c")))
+    return _rows(left, 1, "dense", F.col("s"), F.lit(0), False, "hub").unionByName(_rows(right, 1, "dense", F.col("s"), F.lit(0), True, "id"))
+
+
+def _blocks(placed: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Group rows that compare sets of a dense group which hubs haven't joined yet.
+
+    Sets of one component fill blocks of their own where it is large, others share blocks; two blocks of one component
+    aren't compared.
     """
+    known = placed.join(comps, "id", "left").select("id", "dense", F.coalesce("component", "id").alias("comp"))
+    apart = cut(known.groupBy("dense").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("dense"), "apart")
+    if apart.isEmpty():
+        return None
+    known = cut(known.join(apart, "dense", "left_semi").join(sets.select("id", F.octet_length("text").cast("long").alias("bytes")), "id"), "apart")
+    load = F.greatest(F.sum("bytes") / F.lit(BLOCK_BYTES), F.count(F.lit(1)) / F.lit(BLOCK))
+    large = known.groupBy("dense", "comp").agg(load.alias("load")).where("load >= 0.5").select("dense", "comp", F.lit(True).alias("_large"))
+    owned = cut(known.join(large, ["dense", "comp"], "left").select("id", "dense", "bytes", F.when(F.col("_large"), F.col("comp")).alias("own")), "owned")
+    counts = owned.groupBy("dense", "own").agg(F.greatest(F.lit(1), F.ceil(load)).cast("int").alias("c"))
+    base = cut(counts.withColumn("base", F.expr("coalesce(sum(c) OVER (PARTITION BY dense ORDER BY own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").cast("int")), "base")
+    member = owned.join(base, (owned["dense"] == base["dense"]) & owned["own"].eqNullSafe(base["own"])).select("id", owned["dense"], (F.col("base") + F.pmod(F.xxhash64("id"), F.col("c"))).cast("int").alias("block"))
+    block = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("dense", "own", (F.col("base") + F.col("k")).alias("block"))
+    one, two = block.select("dense", F.col("own").alias("x"), F.col("block").alias("i")), block.select("dense", F.col("own").alias("y"), F.col("block").alias("j"))
+    met = cut(one.join(two, "dense").where("i <= j AND coalesce(x <> y, true)").select("dense", "i", "j"), "met")
+    left = member.join(met, (member["dense"] == met["dense"]) & (F.col("block") == F.col("i"))).select(member["dense"], "i", "j", "id")
+    right = member.join(met, (member["dense"] == met["dense"]) & (F.col("block") == F.col("j"))).where("i < j").select(member["dense"], "i", "j", "id")
+    out = cut(_rows(left, 2, "dense", F.col("i"), F.col("j"), False, "id").unionByName(_rows(right, 2, "dense", F.col("i"), F.col("j"), True, "id")), "blocks")
+    discard(apart, known, owned, base, met)
+    return out
+
+
+def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the groups, each set's text shuffled once for each group that it is in."""
+    dealt = groups.join(sets, "id").select(*_GROUP, "right", "id", "text").repartition(shuffle_parts(groups.sparkSession), *_GROUP).sortWithinPartitions(*_GROUP, "right")
+    return cut(dealt.mapInArrow(_check, "a long, b long"), "links")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc, t, n, id, comp) for each row of docs (doc_id, text): the text's hash, its set's size and id, the set's component."""
     spark = docs.sparkSession
+    buckets = shuffle_parts(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    signed = plain.withColumnRenamed("doc", "doc_id").mapInArrow(_emit, "key long, id long, doc long, n int, is_doc boolean")
-    met = cut(signed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "id").mapInArrow(_meet, _FOUND), "met")
-    members = met.where("what = 0").select(F.col("a").alias("id"), F.col("b").alias("doc"), "n")
+    signed = plain.select(F.col("doc").alias("doc_id"), "text", F.xxhash64("text").alias("told")).mapInArrow(lambda b: _emit(b, buckets), _PACKED)
+    dealt = signed.repartitionById(buckets, "bucket").mapInArrow(_unpack, "key long, id long, doc long, n int, what int")
+    met = cut(dealt.sortWithinPartitions("key", "id").mapInArrow(_meet, _FOUND), "met")
+    members = met.where(F.col("what") == DOC).select(F.col("a").alias("id"), F.col("b").alias("doc"), "n", "t")
 
     kind, need = (lambda c: F.col(c) % 4), (lambda c: F.floor(F.col(c) / 4))
-    common = met.where("what = 2").select(F.col("a").alias("sig"), F.col("b").alias("id"), kind("n").alias("kind"), need("n").alias("need"))
+    common = met.where(F.col("what") == COMMON).select(F.col("a").alias("sig"), F.col("b").alias("id"), kind("n").alias("kind"), need("n").alias("need")).distinct()
     heat = cut(common.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("hot"), F.max("need").alias("need")), "heat")
     leaning = heat.where("hot >= need").select("id", "kind")
-    edges = common.join(leaning, ["id", "kind"], "left_semi").select("sig", "id")
+    edges = cut(common.join(leaning, ["id", "kind"], "left_semi").select("sig", "id"), "leaning")
     low = edges.groupBy("sig").agg(F.min("id").alias("low"))
     linked = connected_components(edges.join(low, "sig").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    sizes = linked.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("c"))
-    placed = cut(linked.join(sizes, "component").select("id", F.col("component").alias("comp"), "c", F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("block")), "placed")
+    placed = linked.withColumnRenamed("component", "dense")
 
     # A similar pair shares at least as many signatures as either set needs, less those of the set that are common.
-    met_pairs = met.where("what = 1").groupBy("a", "b", "x", "y").agg(F.sum("n").alias("n"))
+    met_pairs = met.where(F.col("what") == SIGNATURE).groupBy("a", "b", "x", "y").agg(F.sum("n").alias("n"))
     for side, note in (("a", "x"), ("b", "y")):
         hot = heat.select(F.col("id").alias(side), F.col("kind").alias("_kind"), F.col("hot").alias(f"hot_{side}"))
         met_pairs = met_pairs.withColumn("_kind", kind(note)).join(hot, [side, "_kind"], "left").drop("_kind")
     least = F.greatest(need("x") - F.coalesce("hot_a", F.lit(0)), need("y") - F.coalesce("hot_b", F.lit(0)))
     pairs = cut(met_pairs.where(F.col("n") >= least).select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(placed.select("id")).distinct()
-    sets = _wanted(plain, members, cut(ids, "ids"))
+    ids = cut(reduce(DataFrame.unionByName, [pairs.select(F.col("a").alias("id")), pairs.select(F.col("b").alias("id")), placed.select("id")]).distinct(), "ids")
+    sets = _wanted(plain, members, ids)
+    discard(heat, edges, ids)
+
+    # Only reachability is asked for: each set is compared with one partner or with hubs first, then only what these leave apart.
+    links = _linked(_stars(pairs.groupBy("b").agg(F.min("a").alias("a"))).unionByName(_hubs(placed)), sets)
+    comps = connected_components(links)
+    discard(links)
+    still = pairs
+    for side in ("a", "b"):
+        still = still.join(comps.select(F.col("id").alias(side), F.col("component").alias(f"comp_{side}")), side, "left")
+    rest = cut(still.where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b"), "pairs")
+    blocks = _blocks(placed, comps, sets)
+    if blocks is not None or not rest.isEmpty():
+        links = _linked(_stars(rest) if blocks is None else _stars(rest).unionByName(blocks), sets)
+        comps, first = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links)), comps
+        discard(links, first)
+    owned = cut(members.join(comps, "id", "left").select("doc", "t", "n", "id", F.coalesce("component", "id").alias("comp")), "owned")
+    discard(met, linked, pairs, rest, sets, comps, *([] if blocks is None else [blocks]))
+    return owned
 
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "left"), ("b", "right")))
-    direct = pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long")
-    spread = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("id", "comp", "block", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"))
-    dense = spread.join(sets, "id").repartition(shuffle_parts(spark), "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    inside = dense.select("comp", "bi", "bj", "block", "id", "shingles").mapInArrow(_blocks, "a long, b long")
-    comps = connected_components(direct.unionByName(inside))
 
-    owned = cut(members.join(comps, "id", "left").select("doc", "n", "id", F.coalesce("component", "id").alias("comp")), "owned")
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
+
+    A set holds the distinct five-word shingles of the whole text, or the whole word sequence where it is shorter; sets
+    link when 100 * intersection >= 80 * union. A text without words (null, empty) has an empty set, linked with
+    nothing. Equal sets are one, so copies cost one row each and are never paired. component_id is the smallest doc_id
+    that links reach; repeated rows get equal results; a null doc_id stands in no component's minimum but its own.
+    Shingles and sets are told apart by 64-bit hashes.
+
+    A signature that at most PAIRS_UP_TO sets share gives candidate pairs, counted before the shuffle; pairs that share
+    fewer signatures than similar sets must are dropped. One that more share gives none; a set for
+    which fewer than ``need`` signatures are left could lose a partner that way, so all such sets which common
+    signatures connect form a dense group: its members are compared with a few of them, then those that are still apart
+    in blocks by sparse products. Either way no link between components is lost, and there is no row for each pair of a
+    large group.
+    """
+    owned = _classes(docs)
     least = cut(owned.where("n > 0").groupBy("comp").agg(F.min("doc").alias("least")), "least")
-    out = owned.join(least, "comp", "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
-    return out
+    return owned.join(least, "comp", "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is not the smallest of its component; columns of docs.
+    """docs with one row of each component, that of the smallest doc_id; columns of docs.
 
-    Empty texts and null doc_ids stay. Of repeated rows with the component's id, all stay.
+    Null doc_ids come last; ties go to the smaller hash of the text, then of the row. So repeated rows leave one, and a
+    doc_id that stands on different texts is decided for each text. Texts without words all stay.
     """
     names = docs.columns
-    found = jaccard_components(docs)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    each = cut(_classes(docs).where("n > 0").groupBy("comp", "doc", "t").agg(F.count(F.lit(1)).alias("rows")), "each")
+    first = F.struct(F.col("doc").isNull().alias("last"), "doc", "t", "rows")
+    kept = cut(each.groupBy("comp").agg(F.min(first).alias("k")).select("k.doc", "k.t", "k.rows"), "kept")
+    here = [F.col("doc_id").cast("long").eqNullSafe(F.col("_one_doc")), F.xxhash64("text") == F.col("_one_text")]
+    gone = cut(each.select("doc", "t").subtract(kept.select("doc", "t")).select(F.col("doc").alias("_one_doc"), F.col("t").alias("_one_text")), "gone")
+    left = docs.join(gone, here, "left_anti")
+    many = kept.where("rows > 1").select(F.col("doc").alias("_one_doc"), F.col("t").alias("_one_text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    if many.isEmpty():
+        return left.select(row.alias("_row")).select("_row.*")
+    keyed = left.join(many, here, "left_semi").select(F.col("doc_id").alias("_one_doc"), F.xxhash64("text").alias("_one_text"), row.alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_h"))
+    one = keyed.groupBy("_one_doc", "_one_text").agg(F.min_by("_row", "_h").alias("_row"))
+    return left.join(many, here, "left_anti").select(row.alias("_row")).unionByName(one.select("_row")).select("_row.*")

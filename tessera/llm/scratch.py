@@ -34,13 +34,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clean() -> None:
     """Removes this process's scratch tables when it ends; a cluster's own retention covers a driver that is killed."""
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may have ended already
             return
 
@@ -49,7 +52,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as Parquet into the shared scratch folder and reads it back: later steps don't depend on how it was made."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once all that was made from them has been written; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path and _delete(df.sparkSession, path):
+            _written[:] = [(s, p) for s, p in _written if p != path]
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -73,13 +86,25 @@ def ordered_prefix(df: DataFrame, order: list[str], sums: list[str], name: str)
     return joined.select(*df.columns, (F.col("_rn") + F.col("_n0")).alias("pos"), *[(F.col(f"_b_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sums])
 
 
+#: Edges from which a vertex counts as a hub, where that is more than a thousandth of all; so there are at most 2,000 hubs.
+HUB_EDGES = 1000
+
+
+def _lowest(rows: DataFrame, low: DataFrame, least: int) -> DataFrame:
+    """rows (u, v) with m from low (u, m, d), u's row. Hubs, of which there are at most 2,000, are broadcast, so that their many rows stay where they lie."""
+    hubs = low.where(F.col("d") >= least).select("u", F.col("m").alias("_hub"))
+    marked = rows.join(F.broadcast(hubs), "u", "left")
+    others = marked.where("_hub IS NULL").drop("_hub").join(low.where(F.col("d") < least).drop("d"), "u")
+    return marked.where("_hub IS NOT NULL").select("u", "v", F.col("_hub").alias("m")).unionByName(others)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for each id that an edge names, the smallest id it can be reached from.
 
-    Alternates large-star and small-star rounds (Kiveris et al., 2014) until the edges stay the same. Each round groups
-    with map-side minima and joins back, so a vertex with very many edges is pre-aggregated and its join can be split.
+    Alternates large-star and small-star rounds (Kiveris et al., 2014) until the edges stay the same. Minima are
+    aggregated before the shuffle; a vertex of very many edges gets its minimum by broadcast, so its edges never meet in
+    one task. Each round's tables are deleted when the next ones are whole.
     """
-    spark = edges.sparkSession
     now = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = None
     while True:
@@ -87,11 +112,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
+        least = max(HUB_EDGES, mark[0] // 1000)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).select("u", F.least("u", "m").alias("m"), "d"), "low")
+        large = cut(_lowest(both, low, least).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        lower = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")), "low")
+        small = _lowest(large, lower, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = cut(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(now, low, large, lower)
+        now = after
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return cut(stars.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components")
+    out = cut(stars.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components")
+    discard(now)
+    return out

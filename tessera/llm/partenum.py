@@ -25,7 +25,7 @@ from tessera.llm.scratch import connected_components, cut, discard, shuffle_part
 #: A signature that more sets than this share gives no pairs; sets that lean on such signatures are compared in groups.
 PAIRS_UP_TO = 24
 #: Sets and bytes of text on one side of a block comparison, and sets that one group compares with its hubs.
-BLOCK, BLOCK_BYTES, FAN = 512, 2 << 20, 2000
+BLOCK, BLOCK_BYTES, FAN = 512, 2 << 20, 256
 #: Sets of each dense group with which all its members are compared first.
 HUBS = 4
 #: Signatures and set ids that a task remembers, to send each common one and each repeated set once only; forgetting them costs time.

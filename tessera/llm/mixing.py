@@ -40,40 +40,85 @@ def uniform(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+#: A row counts as large where its size times this is above its source's: so a source has fewer large rows than this.
+LARGE = 50
+#: Steps of the scale on which the limit of the other rows' draws is set.
+STEPS = 65536
+
+
+def _limits(rows: DataFrame) -> DataFrame:
+    """(source, extra, limit) from rows (source, size, u, part, source_size): which draws take the copy for the fraction ``part``.
+
+    Every draw u is uniform, so each row's chance is the source's fraction; what is set here lets the errors of a
+    source's draws cancel. Its large rows are decided from the largest down, each at u < part + owed / size, where owed
+    is what the draws before took less than their share; ``extra`` lists the draws that take. The other rows have one
+    limit, at that step of the scale where the words they take come nearest to their share and what is still owed.
+    """
+    large = F.col("size") * LARGE > F.col("source_size")
+    some = rows.where(large).groupBy("source", "part").agg(F.sort_array(F.collect_list(F.struct("size", "u")), asc=False).alias("all"))
+    none = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<double>").alias("extra"))
+
+    def decide(state: Column, row: Column) -> Column:
+        takes = row["u"] < F.col("part") + state["owed"] / row["size"]
+        owed = state["owed"] + F.col("part") * row["size"] - F.when(takes, row["size"].cast("double")).otherwise(F.lit(0.0))
+        return F.struct(owed.alias("owed"), F.when(takes, F.concat(state["extra"], F.array(row["u"]))).otherwise(state["extra"]).alias("extra"))
+
+    decided = some.select(F.col("source").alias("_large"), F.aggregate("all", none, decide).alias("d")).select("_large", "d.owed", "d.extra")
+    steps = rows.where(~large).groupBy("source", "part", F.floor(F.col("u") * STEPS).alias("step")).agg(F.sum("size").alias("words"))
+    walked = steps.select("*", F.expr("sum(words) OVER (PARTITION BY source ORDER BY step)").alias("upto"), F.expr("sum(words) OVER (PARTITION BY source)").alias("total"))  # at most STEPS rows of a source
+    met = walked.join(decided, F.col("source").eqNullSafe(F.col("_large")), "left").withColumn("goal", F.col("part") * F.col("total") + F.coalesce("owed", F.lit(0.0)))
+    best = met.groupBy("source").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("goal")).alias("off"), F.col("step"))).alias("b"), F.min(F.abs("goal")).alias("off0"))
+    limit = best.select(F.col("source").alias("_small"), F.when(F.col("off0") <= F.col("b.off"), F.lit(0.0)).otherwise((F.col("b.step") + 1) / F.lit(float(STEPS))).alias("limit"))
+    return decided.join(limit, F.col("_large").eqNullSafe(F.col("_small")), "full").select(F.when(F.col("limit").isNull(), F.col("_large")).otherwise(F.col("_small")).alias("source"), F.coalesce("extra", F.array().cast("array<double>")).alias("extra"), F.coalesce("limit", F.lit(0.0)).alias("limit"))
+
+
 def mix(rows: DataFrame, source: str, size: str, key: Column, seed: str = "mix", cap: float = 3.0) -> DataFrame:
     """rows with source_size, target, rate and ``copies``: floor(rate) plus one Bernoulli copy with the fraction's probability.
 
-    rate = target / source_size, 0 where the source has no words. A row's copies depend only on its key, the seed and
-    its source's rate. Reruns agree. An empty input gives an empty result.
+    rate = target / source_size, 0 where the source has no words. The Bernoulli copy is a draw from the seed and the
+    row's key against a limit of its source (see _limits). Rows of one key share a draw; reruns agree. An empty input
+    gives an empty result. Columns of rows may have any names; those named as the new ones are replaced.
+
+    Sources and their limits are aggregates, so rows stay where they lie; the table of sources is broadcast up to
+    BROADCAST_SOURCES rows.
     """
-    targets = cut(source_targets(rows, source, size, cap), "targets").withColumnRenamed("source", "_source")
+    names = rows.columns
+    drawn = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(source).alias("_src"), F.col(size).cast("long").alias("_size"), uniform(seed, key).alias("_u"))
+    targets = source_targets(drawn, "_src", "_size", cap).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0)))
+    targets = cut(targets.withColumnRenamed("source", "_source"), "targets")
     small = targets.count() <= BROADCAST_SOURCES
-    joined = rows.join(F.broadcast(targets) if small else targets, F.col(source).eqNullSafe(F.col("_source")), "inner")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = joined.withColumn("rate", F.least(rate, F.lit(cap)))
-    extra = F.when(uniform(seed, key) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.withColumn("copies", (F.floor("rate") + extra).cast("int")).drop("_source")
+
+    def told(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    per = drawn.select("_src", "_size", "_u").join(told(targets), F.col("_src").eqNullSafe(F.col("_source"))).where("_size > 0 AND rate > floor(rate)")
+    limits = _limits(per.select(F.col("_src").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u"), (F.col("rate") - F.floor("rate")).alias("part"), "source_size"))
+    limits = limits.withColumnRenamed("source", "_limited")
+    plan = cut(targets.join(limits, F.col("_source").eqNullSafe(F.col("_limited")), "left").drop("_limited"), "plan")
+    joined = drawn.join(told(plan), F.col("_src").eqNullSafe(F.col("_source")))
+    takes = F.when(F.col("_size") * LARGE > F.col("source_size"), F.array_contains("extra", F.col("_u"))).otherwise(F.col("_u") < F.col("limit"))
+    copies = (F.floor("rate") + F.when(takes, 1).otherwise(0)).cast("int").alias("copies")
+    new = ["source_size", "target", "rate", "copies"]
+    return joined.select(*[F.col("_row").getField(c).alias(c) for c in names if c not in new], "source_size", "target", "rate", copies)
 
 
 def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs. Null text has size 0; a source without words takes none."""
-    narrow = cut(docs.select("doc_id", F.col("source").alias("_src"), word_count(F.col("text")).alias("size")), "sizes")
-    out = mix(narrow, "_src", "size", _key())
+    """doc_id, size, source_size, target, taken for each row of docs. Null text has size 0; a source without words takes none.
+
+    Draws follow from doc_id and text, so rows that repeat both share one.
+    """
+    narrow = cut(docs.select("doc_id", F.col("source").alias("_src"), word_count(F.col("text")).alias("size"), _key().alias("_key")), "sizes")
+    out = mix(narrow, "_src", "size", F.col("_key"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; rows that it takes no time are gone."""
     names = docs.columns
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("source").alias("_src"), F.col("doc_id"), word_count(F.col("text")).alias("_size"))
-    sizes = plain.select("_src", "_size")
-    targets = cut(source_targets(sizes, "_src", "_size"), "targets").withColumnRenamed("source", "_source")
-    small = targets.count() <= BROADCAST_SOURCES
-    joined = plain.join(F.broadcast(targets) if small else targets, F.col("_src").eqNullSafe(F.col("_source")))
-    rate = F.least(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)), F.lit(3.0))
-    copies = F.floor(rate) + F.when(uniform("mix", _key()) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("_copies", copies.cast("int")).where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_docs_row"), F.col("source").alias("_docs_src"), word_count(F.col("text")).alias("_docs_size"), _key().alias("_docs_key"))
+    out = mix(rows, "_docs_src", "_docs_size", F.col("_docs_key"))
+    return out.where("copies > 0").select("_docs_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_docs_row.*")

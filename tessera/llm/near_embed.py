@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.scratch import connected_components, cut, shuffle_parts
+from tessera.llm.scratch import connected_components, cut, discard, shuffle_parts
 
 #: Rows of one side of a block of a bucket; a bucket of n rows is compared in about (n / BLOCK)**2 / 2 separate groups.
 BLOCK = 256
@@ -111,20 +112,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 2
     precision is at least the threshold. Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing. Candidates share a cell of ``bits`` quantised Gaussian projections in one of ``tables`` tables; with the
     default parameters a pair at cosine 0.98 is found with chance expected_recall() = 0.997, a closer pair with more.
-    Every candidate is checked exactly. Rows with equal label and components are one weighted vector, each linked with
-    the others. Repeated vec_ids are separate vectors; their component is the smallest id reached by any of them.
+    Every candidate is checked exactly. Rows with equal label and components are one weighted vector, told apart by 128
+    bits of hash, each linked with the others. Repeated vec_ids are separate vectors: each row gets the links of its own
+    vector, and its component is the smallest id reached by that vector. A vector with a null vec_id links with nothing.
+    Components keep the input's precision (float or double).
 
     A bucket is cut into blocks of BLOCK rows by hash and each pair of blocks is its own group, so no task holds a whole
     bucket; a pair is counted in the first table in which it meets. Links leave a group as counts and roots, not as pairs.
     """
     spark = vectors.sparkSession
-    number = F.coalesce(F.col("embedding"), F.array().cast("array<float>"))
-    usable = F.col("label").isNotNull() & (F.size(number) > 0) & ~F.exists(number, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(number, lambda v: v != 0)
-    rows = vectors.select("vec_id", "label", "embedding", F.coalesce(usable, F.lit(False)).alias("_usable"))
-    same = rows.where("_usable AND vec_id IS NOT NULL").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    kinds = "rep long, weight long, label string, dim int, embedding array<float>, sigs array<long>"
-    typed = same.select("rep", "weight", F.col("label").cast("string").alias("label"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<float>").alias("embedding"))
-    hashed = cut(typed.mapInArrow(lambda b: _signatures(b, tables, bits, width, seed), kinds), "vectors")
+    given = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "double"
+    number = F.coalesce(F.col("embedding").cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(number) > 0) & ~F.exists(number, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(number, lambda v: v != 0)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), number.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("_usable"))
+    rows = rows.select("*", F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit("second"), "label", "embedding").alias("h2"))
+    able = rows.where("_usable")
+    same = able.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    # A number for each distinct vector; it is written, so it stays the same in all that follows.
+    same = cut(same.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "least", "weight", "label", F.size("embedding").alias("dim"), "embedding"), "same")
+    kinds = f"rep long, weight long, label string, dim int, embedding array<{kind}>, sigs array<long>"
+    hashed = cut(same.select("rep", "weight", "label", "dim", "embedding").mapInArrow(lambda b: _signatures(b, tables, bits, width, seed), kinds), "vectors")
 
     bucketed = hashed.select("rep", "label", "dim", F.posexplode("sigs").alias("t", "_sig")).select("rep", "t", F.xxhash64("t", "label", "dim", "_sig").alias("key"))
     counts = cut(bucketed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -135,11 +143,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 2
     found = cut(wide.select("key", "bi", "bj", "block", "t", "dim", "rep", "weight", "embedding", "sigs").mapInArrow(lambda b: _compare(b, threshold), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("_links"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    reps = cut(hashed.select("rep", "weight").join(links, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left"), "reps")
+    reps = same.select("rep", "h1", "h2", "least", "weight").join(links, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    reps = cut(reps.select("h1", "h2", "least", (F.coalesce("_links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("comp")), "reps")
+    named = cut(reps.join(reps.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("h1", "h2", "n_links", "component_id"), "named")
+    discard(same, hashed, counts, found, comps, reps)
 
-    # Rows of equal vectors find their representative by label and components; each gets the weight of the others as links.
-    member = same.select("label", "embedding", "rep")
-    owned = rows.where("_usable AND vec_id IS NOT NULL").join(cut(member, "members"), ["label", "embedding"]).join(reps, "rep")
-    linked = owned.select("vec_id", (F.coalesce("_links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    alone = rows.where("NOT _usable OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = able.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT _usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -185,30 +185,47 @@ def held_out(doc_id: Column, parts: int = 3) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == 1, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_ROWS) -> RuleModel:
-    """Fits on at most ``sample`` labelled rows outside the held-out third, the first by hash of doc_id."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")).where(~held_out(F.col("_id")))
-    rows = stats.join(known, F.col("doc_id") == F.col("_id")).select(*STATS, "_y", F.xxhash64("_id").alias("_h"), "_id")
-    rows = rows.orderBy("_h", "_id", "_y", *STATS).limit(sample).toPandas()
-    return fit(rows[STATS].to_numpy(float), rows["_y"].to_numpy(float))
+def sample_labels(labels: DataFrame, label: str = "quality", sample: int = SAMPLE_ROWS) -> DataFrame:
+    """(_id, _y) of labelled ids outside the held-out third: all, or those below a hash cut that leaves about 1.1 times ``sample``.
+
+    The cut follows from a count, so what later reaches the driver is bounded, however many tasks or labels there are.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")).where(F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
+    n = known.count()
+    return known if n <= sample else known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < F.lit(int(1.1 * sample / n * (1 << 40))))
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample: int = SAMPLE_ROWS) -> RuleModel:
+    """Fits on at most ``sample`` labelled rows outside the held-out third, the first by hash of doc_id; equal rows count once.
+
+    Only the sampled rows' statistics are computed: their ids, bounded in number, are broadcast.
+    """
+    known = cut(sample_labels(labels, label, sample), "labels")
+    chosen = docs.select("doc_id", F.col(text).alias("_words")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    rows = with_statistics(chosen, "_words", ["_id", "_y"]).distinct().withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(1 << 40)))
+    rows = cut(rows, "sample")
+    n = rows.count()
+    if n > 2 * sample:  # some ids stand on very many different texts
+        rows = rows.where(F.pmod(F.xxhash64("_id", *STATS), F.lit(1 << 40)) < F.lit(int(1.1 * sample / n * (1 << 40))))
+    found = rows.orderBy("_h", "_id", "_y", *STATS).limit(sample).toPandas()
+    return fit(found[STATS].to_numpy(float), found["_y"].to_numpy(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; null and empty texts are scored by their zero statistics.
 
-    Statistics of every whole text are computed once and written (narrow rows); the model's rules are then Spark column
-    expressions over them. Without labelled rows the score is 0.5. Repeated rows get equal scores.
+    The model's rules are Spark column expressions over the statistics, which are computed for every whole text in one
+    pass without a shuffle. Without labelled rows the score is 0.5. Repeated rows get equal scores.
     """
-    stats = cut(with_statistics(docs, text, ["doc_id"]), "stats")
-    score = train(stats, labels).column()
+    score = train(docs, labels, text).column()
+    stats = with_statistics(docs, text, ["doc_id"])
     return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs whose text the classifier doesn't reject, with docs' columns."""
     names = docs.columns
-    stats = cut(with_statistics(docs, text, ["doc_id"]), "stats")
-    score = train(stats, labels).column()
+    score = train(docs, labels, text).column()
     at = names.index(text)
     schema = T.StructType([T.StructField("_row", docs.schema), *(T.StructField(s, T.DoubleType()) for s in STATS)])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +29,13 @@ class _Axis:
     def _read(self, spans: list[tuple[int, int]]) -> None:
         span = bucket = F.lit(None).cast("long")
         widths = [max(1, -(-(hi - lo) // FAN)) for lo, hi in spans]
+        asked = []
         for i, (lo, hi) in enumerate(spans):
             inside = (F.col("end") >= F.lit(lo)) & (F.col("end") < F.lit(hi))
+            asked.append(inside)
             span = F.when(inside, F.lit(i)).otherwise(span)
             bucket = F.when(inside, F.expr(f"(end - {lo}L) div {widths[i]}L")).otherwise(bucket)
-        got = self.ends.select("end", span.alias("i"), bucket.alias("k")).where("i IS NOT NULL").groupBy("i", "k").agg(F.min("end").alias("a"), F.max("end").alias("z")).collect()
+        got = self.ends.where(reduce(Column.__or__, asked)).select("end", span.alias("i"), bucket.alias("k")).groupBy("i", "k").agg(F.min("end").alias("a"), F.max("end").alias("z")).collect()
         rows = [(spans[r.i][0] + r.k * widths[r.i], min(spans[r.i][1], spans[r.i][0] + (r.k + 1) * widths[r.i]), r.a, r.z) for r in got]
         drop = set(spans)
         self.leaves = sorted([x for x in self.leaves if (x[0], x[1]) not in drop] + rows)
@@ -49,6 +52,21 @@ class _Axis:
             k -= 1
         return 0, 0, None
 
+    def above(self, x: int) -> tuple[int, tuple[int, int] | None]:
+        """A group end at or above x, the first that the summary tells, and the bucket to refine if an earlier one may exist."""
+        k = max(0, bisect.bisect_right(self.leaves, (x, float("inf"), 0, 0)) - 1)
+        for lo, hi, a, z in self.leaves[k:]:
+            if z >= x:
+                return (a, None) if a >= x else (z, (lo, hi))
+        return self.total, None
+
+    def nearest(self, x: float, lo: int, hi: int) -> tuple[int, tuple[int, int] | None]:
+        """The known group end in lo..hi that is nearest to x, and the bucket that x falls inside, if any."""
+        k = max(0, bisect.bisect_right(self.leaves, (x, float("inf"), 0, 0)) - 1)
+        inside = (self.leaves[k][0], self.leaves[k][1]) if self.leaves and self.leaves[k][2] < x < self.leaves[k][3] else None
+        known = [e for leaf in self.leaves for e in leaf[2:] if lo <= e <= hi]
+        return min(known, key=lambda e: (abs(e - x), e), default=lo), inside
+
     def refine(self, spans: set[tuple[int, int]]) -> None:
         self._read(sorted(spans))
 
@@ -81,11 +99,43 @@ def _solve(ends: DataFrame, total: int, largest: int, shards: int) -> list[int]:
             hi = mid
         else:
             lo = mid + 1
-    while True:
-        _, cuts, spans = _cuts(axis, hi, shards)
-        if not spans:
-            return cuts
+    return _balanced(axis, hi, shards)
+
+
+def _balanced(axis: _Axis, capacity: int, shards: int) -> list[int]:
+    """Ends of the shards that come as near to equal sizes as the capacity and whole groups allow.
+
+    Each cut aims at an equal share of what is left. It may lie no earlier than where the rest still fits into the
+    shards left at this capacity, and it leaves a group for each of them where there are so many.
+    """
+    total = axis.total
+    while True:  # floors[k]: the least end of shard k from which the later shards can take the rest
+        floors, spans = [total], set()
+        for _ in range(shards - 1):
+            at, span = axis.above(floors[-1] - capacity) if floors[-1] > capacity else (0, None)
+            floors.append(at)
+            spans |= {span} if span else set()
+        if floors[-1] <= capacity or not spans:
+            break
         axis.refine(spans)
+    floors = floors[::-1]
+    last = [0, *(r.end for r in axis.ends.where(F.col("end") < total).orderBy(F.col("end").desc()).limit(shards - 1).collect()[::-1])] if shards > 1 else []
+    cuts, at = [], 0
+    for k in range(shards - 1):
+        left = shards - k
+        aim = at + (total - at) / left
+        while True:
+            first, _ = axis.above(at + 1)
+            most = last[-(left - 1)] if len(last) > left - 1 else total
+            lo = max(floors[k], min(first, total))
+            hi = max(lo, min(at + capacity, most))
+            end, inside = axis.nearest(aim, lo, hi)
+            if not inside or inside[1] - inside[0] <= max(1, capacity // 1000):
+                break
+            axis.refine({inside})
+        at = max(at, end)
+        cuts.append(at)
+    return [*cuts, total]
 
 
 def minimax_shards(df: DataFrame, group: list[Column], size: Column, order: Column, shards: int, slot_key: list[Column]) -> DataFrame:
@@ -93,7 +143,9 @@ def minimax_shards(df: DataFrame, group: list[Column], size: Column, order: Colu
 
     Groups are ordered by their smallest ``order`` value (ties by the group key) and the sequence is cut into
     ``shards`` contiguous runs whose largest total size is the least possible: the capacity is found by binary search,
-    each candidate checked greedily. The greedy fill takes as much as fits, so the last shards may be smaller or empty.
+    each candidate checked greedily. Inside that capacity the cuts come near to equal sizes, and no shard is empty where
+    there are groups enough for the rest. Columns of df may have any names; those named ``shard`` or ``slot`` are
+    replaced.
     Slots are a seeded shuffle inside the shard (by hash of slot_key). An empty df gives an empty result; null
     order values come first; repeated rows are separate rows of one group.
 
@@ -102,7 +154,7 @@ def minimax_shards(df: DataFrame, group: list[Column], size: Column, order: Colu
     """
     spark = df.sparkSession
     keys = [f"_g{i}" for i in range(len(group))]
-    base = df.select("*", *[c.alias(k) for c, k in zip(group, keys, strict=True)], size.alias("_size"), order.alias("_order"), F.xxhash64(*slot_key).alias("_slot_key"))
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(k) for c, k in zip(group, keys, strict=True)], size.alias("_size"), order.alias("_order"), F.xxhash64(*slot_key).alias("_slot_key"))
     groups = base.groupBy(*keys).agg(F.sum("_size").alias("_w"), F.min("_order").alias("_first"))
     placed = cut(ordered_prefix(groups, ["_first", *keys], ["_w"], "groups").select(*keys, "_w", (F.col("_w_before") + F.col("_w")).cast("long").alias("end")), "placed")
     total, largest = placed.agg(F.max("end"), F.max("_w")).first()
@@ -118,7 +170,7 @@ def minimax_shards(df: DataFrame, group: list[Column], size: Column, order: Colu
     filled = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most shards x n rows
     offsets = filled.select("shard", "_bucket", F.expr("coalesce(sum(_n) OVER (PARTITION BY shard ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("_before"))
     numbered = rows.withColumn("_rn", F.expr("row_number() OVER (PARTITION BY shard, _bucket ORDER BY _slot_key, _order, _size) - 1"))
-    return numbered.join(F.broadcast(offsets), ["shard", "_bucket"]).select(*df.columns, "shard", (F.col("_before") + F.col("_rn")).cast("long").alias("slot"))
+    return numbered.join(F.broadcast(offsets), ["shard", "_bucket"]).select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot")], "shard", (F.col("_before") + F.col("_rn")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

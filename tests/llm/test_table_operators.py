@@ -64,6 +64,25 @@ def test_repeated_vector_ids_are_separate_rows(spark):
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
 
 
+def test_repeated_ids_on_different_vectors_labels_and_nulls(spark):
+    from tessera.llm.near_embed import near_duplicates
+
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.001, 0.0], 0), (3, [0.0, 1.0, 0.001], 0), (4, [0.0, 0.0, 1.0], 0)]
+    rows += [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 2), (6, [1.0, 0.01], 1), (None, [1.0, 0.0], 1), (7, [1.0, 0.0], None), (5, None, 1), (5, [1.0, 0.0], 1)]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, VEC)).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 2, 5, True), (5, 2, 5, True), (5, 0, 5, True), (6, 2, 5, False), (None, 0, None, True), (7, 0, 7, True), (5, 0, 5, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_double_precision_decides_at_the_threshold(spark):
+    from tessera.llm.near_embed import near_duplicates
+
+    near = lambda c: [(1, [1.0, 0.0], "a"), (2, [c, (1 - c * c) ** 0.5], "a")]
+    schema = "vec_id long, embedding array<double>, label string"
+    assert {r.n_links for r in near_duplicates(spark.createDataFrame(near(0.98 + 1e-9), schema), tables=60).collect()} == {1}
+    assert {r.n_links for r in near_duplicates(spark.createDataFrame(near(0.98 - 1e-9), schema), tables=60).collect()} == {0}
+
+
 PAGE = "page_id long, url string, html string"
 
 

@@ -1,11 +1,16 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-log P(word | context) = log P(class | context) + log P(word | class). Classes come from the ends of words. The class
-softmax has hashed indicator features of the context: the word before (in buckets), its class, the class one further
-back (a skip feature) and the pair of classes. It is fitted to the class events of every training token: those are
-counted per context by a shuffle, and each gradient step runs over the counted events on the executors, which gives the
-gradient over all tokens. The word softmax inside a class has one feature per word, whose maximum-entropy solution is
-the smoothed share of its count; counts are gathered over all training texts by a shuffle on the word's hash.
+log P(word | context) = log P(class | context) + log P(word | class, word before). Classes come from the ends of words.
+
+The class softmax has hashed indicator features of the context: the word before (in buckets), its class, the class one
+further back (a skip feature) and the pair of classes. It is fitted to the class events of every training token: those
+are counted per context by a shuffle, and each gradient step runs over the counted events on the executors, which gives
+the gradient over all tokens.
+
+The word softmax inside a class has one hashed feature for each pair of a word and the real word before it, and one for
+"none of these"; after the latter the word is drawn by its smoothed share of the class. So it is normalised inside the
+class, and its features grow with the corpus. Pairs are counted by a shuffle on the hash of (word before, class), so
+all features of one normaliser lie in one bucket, where gradient steps move them by observed minus expected counts.
 """
 
 from __future__ import annotations
@@ -30,18 +35,62 @@ HASHED, STEPS = 8192, 16
 FEATURES = 5  # of each context
 #: Gradients are summed in so many ranges of feature numbers.
 RANGES = 16
-#: Texts are dealt with in units of about this many bytes; a unit's words are distinct in its table.
+#: Texts are dealt with in units of about this many bytes; a unit's words and pairs are distinct in its tables.
 UNIT_BYTES = 4 << 20
-_END_HASH = np.uint64(0xE1D0C0FFEE123457)
-_UNIT = "kind string, unit long, bucket int, n int, a binary, b binary, c binary, d binary"
+#: Bytes of text for each bucket of words and pairs at most, so that a bucket doesn't grow with the corpus.
+BUCKET_BYTES = 16 << 20
+#: Gradient steps for pairs, and what each seen pair gives of its count to unseen ones.
+PAIR_STEPS, DISCOUNT = 16, 0.75
+_END_HASH, _START_HASH = np.uint64(0xE1D0C0FFEE123457), np.uint64(0x5EED0FA11BEEF123)
+_MASK40 = np.uint64((1 << 40) - 1)
+_UNIT = "kind int, unit long, bucket int, n int, a binary, b binary, c binary, d binary"
 _NAMES = ["kind", "unit", "bucket", "n", "a", "b", "c", "d"]
-_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+TEXT, WORD, PAIR, EVENT, TOTAL = range(5)
 
 
 def _row(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*values, *[None] * (len(_KINDS) - len(values))], _KINDS, strict=True)], _NAMES)
 
 
+def _rows(kind: int, unit: int, bucket: np.ndarray, bounds: np.ndarray, *columns: tuple[np.ndarray, int]) -> pa.RecordBatch:
+    """One row for each bucket; bounds say which elements of the columns, given with their bytes per element, are its own."""
+    m = len(bucket)
+    data = [pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((bounds * w).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]) for c, w in columns]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, unit, np.int64)), pa.array(bucket.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)), *data, *[pa.nulls(m, pa.binary())] * (4 - len(data))], _NAMES)
+
+
+def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each hash, ascending with it."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _bounds(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of an ascending array that have elements, and where each begins and the last ends."""
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[first], np.concatenate([first, [len(bucket)]])
+
+
+def _narrow(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def pair_keys(hash40: np.ndarray, place: np.ndarray, cls: np.ndarray, first: np.ndarray, buckets: int) -> np.ndarray:
+    """Feature number of each token with the word before it: bucket, 28 bits of (word before, class), 20 bits of the word."""
+    before = np.empty(len(place), np.uint64)
+    before[1:] = hash40[place[:-1]]
+    before[first] = _START_HASH & _MASK40
+    group = mix64(before * np.uint64(CLASSES) + cls[place].astype(np.uint64))
+    word = mix64(hash40[place] + np.uint64(1)) & np.uint64((1 << 20) - 1)
+    return _deal(group, buckets).astype(np.uint64) << np.uint64(48) | (group & np.uint64((1 << 28) - 1)) << np.uint64(20) | word
+
+
 def word_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Class 0 to 62 of each word: by its last byte if that is a sign, else by its last two bytes."""
     last = data[end - 1].astype(np.uint64)
@@ -63,7 +112,7 @@ def contexts(cls: np.ndarray, sub: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """kind 'text': one unit's texts as numbers of distinct words; 'word': its distinct words of one bucket; 'event': class events."""
+    """TEXT: one unit's texts as numbers of distinct words; WORD, PAIR: its distinct words and pairs by bucket; EVENT: class events."""
     events = np.zeros(CONTEXTS * CLASSES, np.int64)
     part, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -90,57 +139,114 @@ def _units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             unit, serial = (part << 32) + serial, serial + 1
             planes = np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             known = ids.slice(i, j - i)
-            yield _row("text", unit, -1, len(n), known.fill_null(0).to_numpy().tobytes(), np.stack([held[i:j], known.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8).tobytes() + n.astype("<u4").tobytes(), planes, (words & np.uint64(SUB - 1)).astype(np.uint8).tobytes() + c[once].tobytes())
-            cnt = np.bincount(place[train], minlength=len(words))
-            cuts = np.searchsorted(words, (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64)) if buckets > 1 else []
-            for b, (s, e) in enumerate(zip([0, *cuts], [*cuts, len(words)], strict=True)):
-                if e > s:
-                    yield _row("word", unit, b, int(e - s), words[s:e].tobytes(), cnt[s:e].astype("<u4").tobytes(), c[once[s:e]].tobytes())
+            told = np.stack([held[i:j], known.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8).tobytes() + n.astype("<u4").tobytes()
+            hash40 = words & _MASK40
+            yield _row(TEXT, unit, unit % buckets, len(n), known.fill_null(0).to_numpy().tobytes(), told, planes, _narrow(hash40, 5).tobytes() + c[once].tobytes())
+            some, bounds = _bounds(_deal(words, buckets))
+            yield _rows(WORD, unit, some, bounds, (words, 8), (np.bincount(place[train], minlength=len(words)).astype("<u4"), 4), (c[once], 1))
+            pairs, where = np.unique(pair_keys(hash40, place, c[once], first, buckets), return_inverse=True)
+            some, bounds = _bounds((pairs >> np.uint64(48)).astype(np.int64))
+            yield _rows(PAIR, unit, some, bounds, (_narrow(pairs, 6), 6), (np.bincount(where[train], minlength=len(pairs)).astype("<u4"), 4))
     width = CONTEXTS // SLICES * CLASSES
     for k in range(SLICES):
         some = np.flatnonzero(events[k * width : (k + 1) * width])
         if len(some):
-            yield _row("event", part, k, len(some), some.astype("<u4").tobytes(), events[k * width + some].astype("<i8").tobytes())
+            yield _row(EVENT, k, k % buckets, len(some), some.astype("<u4").tobytes(), events[k * width + some].astype("<i8").tobytes())
+
 
+def fit_pairs(group: np.ndarray, count: np.ndarray, steps: int = PAIR_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each pair and of "none of these" in its group (ascending numbers), by gradient steps on their weights.
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of each bucket over all units, given back to each unit, and the class totals of the bucket."""
+    A group is a softmax over its seen pairs and one more item. Of each pair's count DISCOUNT goes to that item, which
+    so has an observed count too. A step moves each weight by observed minus expected, less a little of itself, over
+    the larger of both. Pairs without a count have probability 0; a group without any gives the item 1.
+    """
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    where = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)]))
+    seen = count > 0
+    kept = np.where(seen, count - DISCOUNT, 0.0)
+    none = np.add.reduceat(np.where(seen, DISCOUNT, 0.0), first)
+    total = np.add.reduceat(kept, first) + none
+    weight, base = np.zeros(len(group)), np.zeros(len(first))
+    for step in range(steps + 1):
+        share = np.where(seen, np.exp(weight), 0.0)
+        floor = np.exp(base)
+        norm = np.add.reduceat(share, first) + floor
+        share, floor = share / norm[where], floor / norm
+        if step < steps:
+            expected, idle = total[where] * share, total * floor
+            weight += (kept - expected - 0.01 * weight) / np.maximum(np.maximum(kept, expected), 0.25)
+            base += (none - idle - 0.01 * base) / np.maximum(np.maximum(none, idle), 0.25)
+            top = np.maximum(np.maximum.reduceat(np.where(seen, weight, -np.inf), first), base)
+            weight, base = weight - top[where], base - top
+    return share, floor[where]
+
+
+def _code(p: np.ndarray) -> np.ndarray:
+    """Two bytes for a probability: 0, or its logarithm in steps of 1/2048 of a bit."""
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, np.minimum(1 + np.rint(-2048 * np.log2(np.minimum(p, 1))), 65535), 0).astype("<u2")
+
+
+def _decode(data: bytes) -> np.ndarray:
+    code = np.frombuffer(data, "<u2").astype(np.float64)
+    return np.where(code > 0, np.exp2((1 - code) / 2048), 0.0)
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over all units: counts of each bucket's words and class totals, fitted pairs, sums of events; texts pass through.
+
+    Rows come sorted by bucket and kind. What is told of a unit's words or pairs has the order in which they came.
+    """
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
-        n = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows]).astype(np.int64)
-        words, once, place = np.unique(h, return_index=True, return_inverse=True)
-        total = np.zeros(len(words), np.int64)
+    def words(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
+        n = np.concatenate([np.frombuffer(r[5], "<u4") for r in rows]).astype(np.int64)
+        names, once, place = np.unique(h, return_index=True, return_inverse=True)
+        total = np.zeros(len(names), np.int64)
         np.add.at(total, place, n)
-        cls = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows])[once]
+        cls = np.concatenate([np.frombuffer(r[6], np.uint8) for r in rows])[once]
         tokens, distinct = np.zeros(CLASSES, np.int64), np.bincount(cls[total > 0], minlength=CLASSES)
         np.add.at(tokens, cls, total)
-        yield _row("total", 0, rows[0][1], 0, tokens.astype("<i8").tobytes(), distinct.astype("<i8").tobytes())
-        logs = np.log10(total + 0.5)[place]
-        at = 0
+        yield _row(TOTAL, 0, rows[0][2], 0, tokens.astype("<i8").tobytes(), distinct.astype("<i8").tobytes())
+        told, at = total[place].astype("<u8"), 0
+        for r in rows:
+            yield _row(WORD, r[1], r[2], r[3], _narrow(told[at : at + r[3]], 5).tobytes())
+            at += r[3]
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, place = np.unique(np.concatenate([_wide(r[4], 6) for r in rows]), return_inverse=True)
+        count = np.zeros(len(key))
+        np.add.at(count, place, np.concatenate([np.frombuffer(r[5], "<u4") for r in rows]))
+        one, none = (_code(p) for p in fit_pairs(key >> np.uint64(20), count))
+        one, none, at = one[place], none[place], 0
         for r in rows:
-            yield _row("log", r[0], r[1], r[2], logs[at : at + r[2]].tobytes())
-            at += r[2]
+            yield _row(PAIR, r[1], r[2], r[3], one[at : at + r[3]].tobytes(), none[at : at + r[3]].tobytes())
+            at += r[3]
 
+    def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield from (words if rows[0][0] == WORD else pairs)(rows)
+
+    sums: dict[int, np.ndarray] = {}
     held: list[tuple] = []
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("unit", "bucket", "n", "a", "b", "c")), strict=True):
-            if held and held[0][1] != r[1]:
-                yield from solve(held)
+        kinds = batch.column("kind").to_numpy()
+        if (kinds == TEXT).any():
+            yield batch.filter(pa.array(kinds == TEXT))
+        rest = batch.filter(pa.array(kinds != TEXT))
+        for r in zip(*(rest.column(c).to_pylist() for c in ("kind", "unit", "bucket", "n", "a", "b", "c")), strict=True):
+            if r[0] == EVENT:
+                dense = sums.setdefault(r[1], np.zeros(CONTEXTS // SLICES * CLASSES, np.int64))
+                dense[np.frombuffer(r[4], "<u4")] += np.frombuffer(r[5], "<i8")
+                continue
+            if held and (held[0][0], held[0][2]) != (r[0], r[2]):
+                yield from close(held)
                 held = []
             held.append(r)
-    if held:
-        yield from solve(held)
-
-
-def _sum_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, a, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "a", "b")), strict=True):
-            dense = sums.setdefault(k, np.zeros(CONTEXTS // SLICES * CLASSES, np.int64))
-            dense[np.frombuffer(a, "<u4")] += np.frombuffer(b, "<i8")
+    yield from close(held)
     for k, dense in sums.items():
-        yield _row("events", 0, k, 0, dense.astype("<i8").tobytes())
+        yield _row(EVENT, 0, k, 0, dense.astype("<i8").tobytes())
 
 
 def features(ctx: np.ndarray) -> np.ndarray:
@@ -216,41 +322,46 @@ class Model:
     word_base: np.ndarray  # log10 of each class's denominator
     tokens: int
     distinct: int
+    buckets: int
 
 
 def _score(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
-    """Joins each unit's texts with the logs of its words' counts; a unit's rows come together, buckets in order, texts first."""
-
-    def solve(text: tuple, logs: list[bytes], m: Model) -> pa.RecordBatch:
-        docs = text[2]
-        flags = np.frombuffer(text[4], np.uint8, 2 * docs).reshape(2, docs)
-        n = np.frombuffer(text[4], "<u4", offset=2 * docs).astype(np.int64)
-        place = np.ascontiguousarray(np.frombuffer(text[5], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        sub, cls = np.frombuffer(text[6], np.uint8).reshape(2, -1)
-        log = np.concatenate([np.frombuffer(x, np.float64) for x in logs])
-        if len(log) != len(cls):
-            raise ValueError("a unit lacks some of its words' counts")
+    """Joins each unit's texts with what is told of its words and pairs; a unit's rows come together, texts first, then by bucket."""
+
+    def solve(text: tuple, found: dict[int, list[tuple]], m: Model) -> pa.RecordBatch:
+        docs = text[3]
+        flags = np.frombuffer(text[5], np.uint8, 2 * docs).reshape(2, docs)
+        n = np.frombuffer(text[5], "<u4", offset=2 * docs).astype(np.int64)
+        place = np.ascontiguousarray(np.frombuffer(text[6], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        size = len(text[7]) // 6
+        hash40, cls = _wide(text[7][: 5 * size], 5), np.frombuffer(text[7], np.uint8, size, 5 * size)
+        count = np.concatenate([_wide(r[4], 5) for r in found[WORD]]).astype(np.float64)
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        keys, where = np.unique(pair_keys(hash40, place, cls, first, m.buckets), return_inverse=True)
+        one, none = (np.concatenate([_decode(r[k]) for r in found[PAIR]]) for k in (4, 5))
+        if len(count) != size or len(one) != len(keys):
+            raise ValueError("a unit lacks some of its words' or pairs' counts")
+        log = np.log10(count + 0.5)
         c = cls[place]
-        ctx = contexts(c, sub[place].astype(np.int64), first)
-        sums = np.add.reduceat(log[place], first)
-        model = sums + np.add.reduceat(m.class_log10[ctx, c].astype(np.float64) - m.word_base[c], first)
-        known = np.add.reduceat((log > 0)[place].astype(np.int64), first)
-        base = sums - n * np.log10(m.tokens + 0.5 * (m.distinct + 1))
-        ids = pa.array(np.frombuffer(text[3], np.int64), mask=flags[1].astype(bool))
+        ctx = contexts(c, (hash40[place] & np.uint64(SUB - 1)).astype(np.int64), first)
+        inside = one[where] + none[where] * 10 ** (log - m.word_base[cls])[place]
+        model = np.add.reduceat(m.class_log10[ctx, c].astype(np.float64) + np.log10(np.minimum(inside, 1)), first)
+        known = np.add.reduceat((count > 0)[place].astype(np.int64), first)
+        base = np.add.reduceat(log[place], first) - n * np.log10(m.tokens + 0.5 * (m.distinct + 1))
+        ids = pa.array(np.frombuffer(text[4], np.int64), mask=flags[1].astype(bool))
         return pa.RecordBatch.from_arrays([ids, pa.array(flags[0].astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(docs, m.tokens)), pa.array(base), pa.array(model)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    text, logs = None, []
+    text, found = None, {WORD: [], PAIR: []}
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("unit", "bucket", "n", "a", "b", "c", "d")), strict=True):
-            if r[1] < 0:
+        for r in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "bucket", "n", "a", "b", "c", "d")), strict=True):
+            if r[0] == TEXT:
                 if text is not None:
-                    yield solve(text, logs, told.value)
-                text, logs = r, []
+                    yield solve(text, found, told.value)
+                text, found = r, {WORD: [], PAIR: []}
             else:
-                logs.append(r[3])
+                found[r[0]].append(r)
     if text is not None:
-        yield solve(text, logs, told.value)
+        yield solve(text, found, told.value)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -262,24 +373,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     Tokens: the text's words with A-Z lower-cased, then one end. A null text has the end only; a null doc_id is not
     held out. Scores are base-10 logs. A word that training lacks takes its class's share of unseen words. Without any
-    training text, counts are zero and the class model is uniform. Texts are read once: units of them are written as
-    numbers of their distinct words, only distinct words per unit are shuffled, and a very frequent word costs one entry per unit.
+    training text, counts are zero and the class model is uniform. Texts are read once: units of them are told as
+    numbers of their distinct words; only a unit's distinct words and pairs are shuffled for counts, so a very frequent
+    one costs an entry per unit. Buckets follow the bytes of the texts.
     """
     spark = docs.sparkSession
     n = shuffle_parts(spark)
-    buckets = max(32, n)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(32767, max(32, n, -(-size // BUCKET_BYTES)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held"))
-    units = cut(rows.mapInArrow(lambda b: _units(b, buckets), _UNIT), "units")
-    counted = cut(units.where("kind = 'word'").select("unit", "bucket", "n", "a", "b", "c").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_words, _UNIT), "counts")
-    events = cut(units.where("kind = 'event'").select("bucket", "a", "b").repartition(SLICES, "bucket").mapInArrow(_sum_events, _UNIT), "events")
+    units = rows.mapInArrow(lambda b: _units(b, buckets), _UNIT)
+    solved = cut(units.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_solve, _UNIT), "solved")
 
-    weights = train(events)
+    weights = train(cut(solved.where(F.col("kind") == EVENT).select("bucket", "a").repartition(SLICES), "events"))
     tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in counted.where("kind = 'total'").select("a", "b").toLocalIterator():  # 1 kB for each bucket
+    for r in solved.where(F.col("kind") == TOTAL).select("a", "b").toLocalIterator():  # 1 kB for each bucket
         tokens += np.frombuffer(r.a, "<i8")
         distinct += np.frombuffer(r.b, "<i8")
     logs = np.concatenate([_log_softmax(weights, features(np.arange(k, min(k + 2048, CONTEXTS)))) for k in range(0, CONTEXTS, 2048)])
-    told = spark.sparkContext.broadcast(Model((logs / np.log(10)).astype(np.float32), np.log10(tokens + 0.5 * (distinct + 1)), int(tokens.sum()), int(distinct.sum())))
+    told = spark.sparkContext.broadcast(Model((logs / np.log(10)).astype(np.float32), np.log10(tokens + 0.5 * (distinct + 1)), int(tokens.sum()), int(distinct.sum()), buckets))
 
-    both = units.where("kind = 'text'").unionByName(counted.where("kind = 'log'")).drop("kind").repartition(n, "unit").sortWithinPartitions("unit", "bucket")
+    both = solved.where(F.col("kind").isin(TEXT, WORD, PAIR)).repartition(n, "unit").sortWithinPartitions("unit", "kind", "bucket")
     return both.mapInArrow(lambda b: _score(b, told), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -449,6 +449,87 @@ def test_class_model_learns_and_is_normalised(spark):
     assert np.allclose(p.sum(1), 1)
 
 
+def test_scores_equal_brute_force(spark):
+    """Every token's probability from plain dictionaries: its class by the trained weights, its word by counted pairs inside the class."""
+    from tessera.llm import maxent
+
+    rng = random.Random(6)
+    vocab = ["alpha", "beta", "gamma,", "delta", "ab", "cb", "xa!", "über", "12", "z"]
+    rows = [(k, " ".join(vocab[min(9, int(rng.expovariate(0.4)))] if rng.random() < 0.7 else vocab[k % 10] for _ in range(rng.randint(0, 40))), "s") for k in range(80)] + [(900, None, "s"), (None, "alpha zzz", "s")]
+    got = {r.doc_id: r.score for r in maxent.score_texts(frame(spark, rows)).collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    end, start = object(), object()
+
+    def cls(w):
+        if w is end:
+            return maxent.END
+        b = np.frombuffer(w, np.uint8)
+        return int(maxent.word_classes(b, np.array([0]), np.array([len(b)]))[0])
+
+    def sub(w):
+        from tessera.llm.kernel import words_of
+
+        return int((maxent._END_HASH if w is end else words_of(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash[0]) & np.uint64(3))
+
+    events = np.zeros((maxent.CONTEXTS, maxent.CLASSES))
+    unigram, pairs, told = collections.Counter(), collections.Counter(), {}
+    for i, t, _ in rows:
+        tokens = [*words(t), end]
+        steps = []
+        for k, w in enumerate(tokens):
+            a = (maxent.END, 0) if k == 0 else (cls(tokens[k - 1]), sub(tokens[k - 1]))
+            b = maxent.END if k < 2 else cls(tokens[k - 2])
+            ctx = (a[0] * maxent.SUB + a[1]) * maxent.CLASSES + b
+            steps.append((ctx, w, tokens[k - 1] if k else start))
+            if not held(i):
+                events[ctx, cls(w)] += 1
+                unigram[w] += 1
+                pairs[steps[-1][2], w] += 1
+        told[i] = steps
+    width = maxent.CONTEXTS // maxent.SLICES
+    table = spark.createDataFrame([(k, bytearray(events[k * width : (k + 1) * width].astype("<i8").tobytes())) for k in range(maxent.SLICES)], "bucket int, a binary")
+    weights = maxent.train(table)
+    of_class = collections.defaultdict(list)
+    for w, n in unigram.items():
+        of_class[cls(w)].append(n)
+    follow = collections.defaultdict(dict)
+    for (before, w), n in pairs.items():
+        follow[before, cls(w)][w] = n
+    fitted = {}
+    for g, seen in follow.items():
+        share, none = maxent.fit_pairs(np.zeros(len(seen), np.int64), np.array(list(seen.values()), float))
+        total = sum(seen.values())
+        assert abs(share.sum() + none[0] - 1) < 1e-12 and np.allclose(share, [(n - 0.75) / total for n in seen.values()], atol=0.02)
+        fitted[g] = dict(zip(seen, share, strict=True)), none[0]
+    for i, steps in told.items():
+        score = 0.0
+        for ctx, w, before in steps:
+            c = cls(w)
+            logs = maxent._log_softmax(weights, maxent.features(np.array([ctx])))[0]
+            share, none = fitted.get((before, c), ({}, 1.0))
+            q = (unigram[w] + 0.5) / (sum(of_class[c]) + 0.5 * (len(of_class[c]) + 1))
+            score += logs[c] / math.log(10) + math.log10(share.get(w, 0.0) + none * q)
+        assert abs(score - got[i]) < 1e-3 * len(steps), (i, score, got[i])
+
+
+def test_pairs_of_a_class_are_normalised_and_follow_their_counts():
+    from tessera.llm import maxent
+
+    rng = np.random.default_rng(2)
+    group = np.sort(rng.integers(0, 400, 5000))
+    count = np.where(rng.random(5000) < 0.2, 0, rng.geometric(0.1, 5000)).astype(float)
+    count[:50] *= 10_000
+    share, none = maxent.fit_pairs(group, count)
+    for g in np.unique(group):
+        at = group == g
+        assert abs(share[at].sum() + none[at][0] - 1) < 1e-9 and (share[at][count[at] == 0] == 0).all()
+        if count[at].sum():
+            want = np.where(count[at] > 0, count[at] - 0.75, 0) / count[at].sum()
+            assert np.abs(share[at] - want).max() < 0.05
+    p = np.array([0.0, 1.0, 0.5, 1e-6, 0.123456])
+    assert np.allclose(maxent._decode(maxent._code(p).tobytes()), p, rtol=2e-4)
+
+
 def test_class_weights_equal_plain_gradient_steps(spark):
     from tessera.llm import maxent
 

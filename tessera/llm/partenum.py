@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kernel import distinct_sorted, mix64, shingles, slices, words_of
-from tessera.llm.scratch import connected_components, cut, discard, shuffle_parts
+from tessera.llm.scratch import bit_filter, connected_components, cut, discard, may_hold, shuffle_parts
 
 #: A signature that more sets than this share gives no pairs; sets that lean on such signatures are compared in groups.
 PAIRS_UP_TO = 24
@@ -30,8 +30,6 @@ BLOCK, BLOCK_BYTES, FAN = 512, 2 << 20, 256
 HUBS = 4
 #: Signatures and set ids that a task remembers, to send each common one and each repeated set once only; forgetting them costs time.
 REMEMBERED = 200_000
-#: Bits of the filter that tells which documents' sets are needed again; a full filter only costs time.
-FILTER_BITS = 1 << 26
 OWN, UPPER, PREFIX = 0, 1, 2
 DOC, SIGNATURE, COMMON = 0, 1, 2
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -414,26 +412,19 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _wanted(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of one document of each set in ids: documents are read again, chosen by a bit filter of fixed size over doc_id."""
-    spark = docs.sparkSession
     some = members.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc").alias("doc"))
-    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)) + 1
-    maps = some.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
-    held = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for r in maps:
-        held[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    told = spark.sparkContext.broadcast(held)
+    told = bit_filter(some.select(F.xxhash64("doc").alias("h")), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            rows = pa.array(np.flatnonzero((told.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1))
+            rows = pa.array(np.flatnonzero(may_hold(told, batch.column("h").to_numpy())))
             texts = batch.column("text").take(rows)
             for i, _, _, sizes, names in _sets(texts):
                 _, once = np.unique(names, return_index=True)
                 once = once[sizes[once] > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(names[once]), texts.take(pa.array(i + once))], ["id", "text"])
 
-    made = docs.select((bit - 1).alias("h"), "text").mapInArrow(run, "id long, text string")
+    made = docs.select(F.xxhash64("doc").alias("h"), "text").mapInArrow(run, "id long, text string")
     return cut(made.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
 

@@ -2,13 +2,15 @@
 
 Where no piece of a model crosses from a letter to a whitespace marker or holds a line feed, the segmentation of a text
 is that of its chunks: a run of markers and what follows up to the next marker or line feed. Each distinct chunk is
-segmented once by the library and its ids are joined back by position. Other models encode whole texts.
+segmented and decoded once by the library, and its ids and text are joined back by position. Other models go through
+the library text by text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Chunks that a table holds before it starts anew (one text's own chunks come on top); about 150 bytes each.
-TABLE_ROWS = 120_000
+#: Chunks that each half of a table holds (one text's own chunks come on top); about 200 bytes each. When the young half
+#: is full it becomes the old one, and chunks that are met again move to the new young half.
+TABLE_ROWS = 150_000
 #: Texts longer than this go in a batch of their own.
 BATCH_BYTES = 1 << 20
 
@@ -38,42 +41,48 @@ class ChunkTable:
         self.by_chunk = plain and not crosses
         self.ends = (np.array([self.lib.bos_id()], "<u4").tobytes(), np.array([self.lib.eos_id()], "<u4").tobytes())
         self.line = self.lib.encode("\n")  # marker and line feed: what comes before a chunk without marker
-        self.table: dict[str, bytes] = {}
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
         self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
 
     def _learn(self, new: list[str]) -> None:
+        """Ids and text of each chunk; the texts are what the library decodes behind line feeds, where no space is taken off."""
         marked = [c for c in new if c[0] == MARK]
         bare = [c for c in new if c[0] != MARK]
-        for c, ids in zip(marked, self.lib.encode([c[1:] for c in marked], num_threads=1) if marked else [], strict=True):
-            self.table[c] = np.array(ids if len(c) > 1 else self._lone(), "<u4").tobytes()
-        for c, ids in zip(bare, self.lib.encode(["\n" + c for c in bare], num_threads=1) if bare else [], strict=True):
-            self.table[c] = np.array(ids[len(self.line) :], "<u4").tobytes()
-
-    def _lone(self) -> list[int]:
-        """Ids of one marker alone, which the library gives for no text of its own."""
-        return self.line[: len(self.line) - 1]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids = dict(zip(marked, self.lib.encode([c[1:] for c in marked], num_threads=1), strict=True)) if marked else {}
+        if MARK in ids:
+            ids[MARK] = self.line[: len(self.line) - 1]  # one marker alone, which the library gives for no text of its own
+        if bare:
+            ids |= {c: x[len(self.line) :] for c, x in zip(bare, self.lib.encode(["\n" + c for c in bare], num_threads=1), strict=True)}
+        feed = self.line[-1:]
+        texts = self.lib.decode(list(chain.from_iterable(feed + x for x in ids.values()))).split("\n")[1:]
+        data, at = np.fromiter(chain.from_iterable(ids.values()), "<u4").tobytes(), 0
+        for (c, x), t in zip(ids.items(), texts, strict=True):
+            self.young[c] = data[at : (at := at + 4 * len(x))], t
+
+    def _know(self, chunks: set[str]) -> None:
+        """Brings the chunks into the young half: from the old one, else from the library, all in one call."""
+        self.young["\n"] = np.array(self.line[-1:], "<u4").tobytes(), "\n"
+        new = chunks - self.young.keys()
+        if len(self.young) + len(new) > TABLE_ROWS:
+            self.young, self.old, new = {"\n": self.young["\n"]}, self.young, chunks - {"\n"}
+        self.young.update((c, self.old[c]) for c in new & self.old.keys())
+        if learn := new - self.young.keys():
+            self._learn(list(learn))
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, and the text that they decode to."""
         if not self.by_chunk:
-            return [self.ends[0] + np.array(x, "<u4").tobytes() + self.ends[1] for x in self.lib.encode(texts, num_threads=1)]
+            ids = self.lib.encode(texts, num_threads=1)
+            return [self.ends[0] + np.array(x, "<u4").tobytes() + self.ends[1] for x in ids], self.lib.decode(ids, num_threads=1) if ids else []
         split = [self.chunks(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        out = []
+        self._know(set().union(*split))
+        ids, decoded, at = [], [], self.young.__getitem__
         for chunks in split:
-            try:
-                body = b"".join([self.table[c] for c in chunks])
-            except KeyError:
-                new = [c for c in dict.fromkeys(chunks) if c not in self.table]
-                if len(self.table) + len(new) > TABLE_ROWS:
-                    self.table.clear()
-                    new = list(dict.fromkeys(chunks))
-                self._learn(new)
-                body = b"".join([self.table[c] for c in chunks])
-            out.append(self.ends[0] + body + self.ends[1])
-        return out
-
-    def decode(self, ids: list[bytes]) -> list[str]:
-        return self.lib.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1) if ids else []
+            one, two = zip(*map(at, chunks), strict=True) if chunks else ((), ())
+            ids.append(self.ends[0] + b"".join(one) + self.ends[1])
+            decoded.append("".join(two)[1:])  # without the marker in front of a text
+        return ids, decoded
 
 
 _tables: dict[str, ChunkTable] = {}
@@ -88,8 +97,8 @@ def _table(model_file: str) -> ChunkTable:
 def encoded(df: DataFrame, text: str, model_file: str, keep: list[str]) -> DataFrame:
     """keep, ids (binary: little-endian unsigned 32-bit integers, begin and end ids included) and the text decoded from them.
 
-    A null text is encoded as an empty one. No shuffle: a task's table of distinct chunks serves all of its texts and
-    is begun anew when it holds TABLE_ROWS chunks. The model file must be readable on the executors.
+    A null text is encoded as an empty one. No shuffle: a worker's table of distinct chunks serves all of its texts and
+    keeps TABLE_ROWS chunks in each of two halves. The model file must be readable on the executors.
     """
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
@@ -102,8 +111,8 @@ def encoded(df: DataFrame, text: str, model_file: str, keep: list[str]) -> DataF
             i = 0
             while i < len(texts):
                 j = max(i + 1, int(np.searchsorted(ends, ends[i] + BATCH_BYTES, "right")) - 1)
-                ids = table.encode(texts.slice(i, j - i).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name).slice(i, j - i) for f in fields), pa.array(ids, pa.binary()), pa.array(table.decode(ids), pa.string())], [*(f.name for f in fields), "ids", "decoded"])
+                ids, decoded = table.encode(texts.slice(i, j - i).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name).slice(i, j - i) for f in fields), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*(f.name for f in fields), "ids", "decoded"])
                 i = j
 
     return df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,26 @@ def ordered_prefix(df: DataFrame, order: list[str], sums: list[str], name: str)
     return joined.select(*df.columns, (F.col("_rn") + F.col("_n0")).alias("pos"), *[(F.col(f"_b_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sums])
 
 
+#: Bits of a filter over hashes; a full filter only costs time.
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(hashes: DataFrame, column: str) -> Broadcast:
+    """A bit for each of FILTER_BITS values of the hashes, merged in Spark and broadcast: 8 MB, however many hashes there are."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    maps = hashes.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
+    held = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in maps:
+        held[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(held)
+
+
+def may_hold(told: Broadcast, hashes: np.ndarray) -> np.ndarray:
+    """True for every hash that the filter was made of, and for few others while it is sparse."""
+    h = hashes.astype(np.int64) % FILTER_BITS
+    return (told.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+
+
 #: Edges from which a vertex counts as a hub, where that is more than a thousandth of all; so there are at most 2,000 hubs.
 HUB_EDGES = 1000
 

@@ -86,9 +86,13 @@ def test_double_precision_decides_at_the_threshold(spark):
 PAGE = "page_id long, url string, html string"
 
 
-def test_archives_read_back_as_written(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 1])
+def test_archives_read_back_as_written(spark, broadcast, monkeypatch):
+    from tessera.llm import warc
     from tessera.llm.warc import archive_pages
 
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", broadcast)  # beyond it the bit filter
+
     rng = random.Random(2)
     big = ["é" * rng.randint(500, 900) + str(k) for k in range(5)]
     rows = [(k, f"http://x/{k}", rng.choice(big)) for k in range(40)]
@@ -115,15 +119,25 @@ def test_archive_members_are_standard_gzip_records():
 
     from tessera.llm.warc import parse, record
 
-    data = record(1, "http://a", b"x" * 10, "d", None, False) + record(2, "http://b", b"x" * 10, "d", 1, True)
+    data = record(1, "http://a", b"x" * 10, "d", None, False) + record(1, "http://b", b"x" * 10, "d", "http://a", True) + record(None, None, b"", "d", None, False)
     text = gzip.decompress(data)
-    assert text.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and text.count(b"WARC-Record-ID") == 2
-    kinds = [(h["WARC-Type"], len(b)) for h, b in parse(data)]
-    assert kinds == [("response", 10), ("revisit", 0)]
+    assert text.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and text.count(b"WARC-Refers-To-Target-URI: http://a\r\n") == 1
+    heads = list(parse(data))
+    assert len({h["WARC-Record-ID"] for h, _ in heads}) == 3
+    assert [(h["WARC-Type"], b.partition(b"\r\n\r\n")[2]) for h, b in heads] == [("response", b"x" * 10), ("revisit", b""), ("response", b"")]
     with pytest.raises(ValueError, match="not a WARC record"):
         list(parse(gzip.compress(b"junk\r\n")))
 
 
+def test_a_revisit_without_its_original_is_an_error(spark, tmp_path):
+    from tessera.llm.warc import read_archives, record
+
+    (tmp_path / "a.warc.gz").write_bytes(record(1, "u", b"x", "0" * 40, "v", True))
+    archives = spark.createDataFrame([("a.warc.gz",)], "archive string")
+    with pytest.raises(Exception, match="no original has the payload"):
+        read_archives(f"file://{tmp_path}", archives).collect()
+
+
 def test_components_of_long_paths_and_stars(spark):
     from tessera.llm.scratch import connected_components
 

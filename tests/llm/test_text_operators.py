@@ -580,8 +580,9 @@ def test_a_small_table_is_begun_anew(monkeypatch):
     texts = [t for _, t, _ in corpus(7) if t]
     want = table.encode(texts)
     monkeypatch.setattr(pieces, "TABLE_ROWS", 50)
-    table.table.clear()
-    assert table.encode(texts) == want
+    table.young, table.old = {}, {}
+    assert [table.encode([t]) for t in texts] == [([i], [d]) for i, d in zip(*want, strict=True)]
+    assert want[1] == table.lib.decode(table.lib.encode(texts))
 
 
 # --- op3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DAYS_PER_YEAR = 252
@@ -86,6 +86,19 @@ def zscore(x: Column, part: WindowSpec) -> Column:
     return F.when((sd > 0) & x.isNotNull(), (x - F.avg(x).over(part)) / sd).otherwise(F.lit(0.0))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which have none: decides between rows that tie."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
+def normal_tail(x: Column) -> Column:
+    """P(Z > x) of the standard normal, to 8e-8 (Abramowitz and Stegun, 26.2.17; fixed coefficients)."""
+    t = 1 / (1 + 0.2316419 * F.abs(x))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = 0.3989422804014327 * F.exp(-x * x / 2) * poly
+    return F.when(x >= 0, upper).otherwise(1 - upper)
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Correlation as an aggregate over rows where both are given; null where either is constant."""
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)

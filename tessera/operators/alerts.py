@@ -1,63 +1,70 @@
-"""Alert rules as a table, evaluated for all entities in one job; one function per rule type, found by name."""
+"""Alert rules as a table, evaluated for all entities in one job; rule types are found by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Rule = Callable[[DataFrame, DataFrame], DataFrame]
 _OUT = ["rule_id", "entity", "value", "threshold"]
 
 
-def _tail(panel: DataFrame) -> DataFrame:
-    """The panel (entity, date, price, qty) with each row's place from the end, 1 for the newest."""
-    return panel.withColumn("_rn", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date"))))
-
-
-def _for(rules: DataFrame, panel: DataFrame) -> DataFrame:
-    """Rules joined to the entities they name; '*' names all. The rule table is small."""
-    return panel.join(F.broadcast(rules), (F.col("target") == "*") | (F.col("target") == F.col("entity").cast("string")))
-
-
-def price_level(rules: DataFrame, panel: DataFrame) -> DataFrame:
-    """Newest price above or below a level."""
-    x = _for(rules, _tail(panel).where("_rn = 1")).withColumns({"value": F.col("price"), "threshold": F.col("p1")})
-    return x.where(F.when(F.col("rule_type") == "price_above", F.col("price") > F.col("p1")).otherwise(F.col("price") < F.col("p1"))).select(*_OUT)
-
-
-def _ends(rules: DataFrame, panel: DataFrame, length: str) -> DataFrame:
-    """Rule x entity rows of the last ``length`` rows; entities with fewer are left out."""
-    x = _for(rules, _tail(panel)).where(F.col("_rn") <= F.col(length))
-    return x.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("rule_id", "entity"))).where(F.col("_n") == F.col(length))
-
-
-def pct_change(rules: DataFrame, panel: DataFrame) -> DataFrame:
-    """Percent change over p2 rows at or beyond p1."""
-    x = _ends(rules.withColumn("_len", F.col("p2") + 1), panel, "_len").groupBy("rule_id", "rule_type", "entity", "p1").agg(F.max_by("price", "date").alias("z"), F.min_by("price", "date").alias("a"))
-    x = x.withColumn("value", F.try_divide(F.col("z") - F.col("a"), F.col("a")) * 100).withColumn("threshold", F.col("p1"))
-    return x.where(F.when(F.col("rule_type") == "pct_above", F.col("value") >= F.col("p1")).otherwise(F.col("value") <= F.col("p1"))).select(*_OUT)
-
-
-def moving_average(rules: DataFrame, panel: DataFrame) -> DataFrame:
-    """Newest price above or below the mean of the last p1 rows."""
-    x = _ends(rules, panel, "p1").groupBy("rule_id", "rule_type", "entity").agg(F.max_by("price", "date").alias("value"), F.avg("price").alias("threshold"))
-    return x.where(F.when(F.col("rule_type") == "sma_above", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))).select(*_OUT)
-
+@dataclass(frozen=True)
+class Rule:
+    """How a rule type is decided from an entity's last ``length`` rows: its value, its threshold and whether it hits.
+
+    The columns it may use: z, a (newest and oldest price), mean, hi, lo (of the prices before the newest), q (newest
+    quantity), q_mean (of the quantities before) and the rule's p1 and p2.
+    """
+
+    length: Column
+    value: Column
+    threshold: Column
+    hit: Column
+
+
+_v, _t, _p1 = F.col("value"), F.col("threshold"), F.col("p1")
+_CHANGE = 100 * F.try_divide(F.col("z") - F.col("a"), F.col("a"))
+#: Rule types and how they are evaluated: W29 levels, W30 changes over p2 rows, W31 means of p1 rows, W32 highs and lows of p1 rows, W33 quantities against p1 times the mean of the p2 rows before.
+DISPATCH: dict[str, Rule] = {
+    "price_above": Rule(F.lit(1), F.col("z"), _p1, _v > _t),
+    "price_below": Rule(F.lit(1), F.col("z"), _p1, _v < _t),
+    "pct_above": Rule(F.col("p2") + 1, _CHANGE, _p1, _v >= _t),
+    "pct_below": Rule(F.col("p2") + 1, _CHANGE, _p1, _v <= _t),
+    "sma_above": Rule(_p1, F.col("z"), F.col("mean"), _v > _t),
+    "sma_below": Rule(_p1, F.col("z"), F.col("mean"), _v < _t),
+    "new_high": Rule(_p1, F.col("z"), F.col("hi"), _v >= _t),
+    "new_low": Rule(_p1, F.col("z"), F.col("lo"), _v <= _t),
+    "volume_spike": Rule(F.col("p2") + 1, F.col("q"), _p1 * F.col("q_mean"), (_v > 0) & (F.col("q_mean") > 0) & (_v >= _t)),
+}
+
+
+def _by_type(what: Callable[[Rule], Column]) -> Column:
+    out = F.lit(None)
+    for name, rule in DISPATCH.items():
+        out = F.when(F.col("rule_type") == name, what(rule)).otherwise(out)
+    return out
 
-def extreme(rules: DataFrame, panel: DataFrame) -> DataFrame:
-    """Newest price at or beyond the highest or lowest of the p1 - 1 rows before."""
-    before = F.when(F.col("_rn") > 1, F.col("price"))
-    x = _ends(rules, panel, "p1").groupBy("rule_id", "rule_type", "entity").agg(F.max_by("price", "date").alias("value"), F.max(before).alias("hi"), F.min(before).alias("lo"))
-    high = F.col("rule_type") == "new_high"
-    return x.withColumn("threshold", F.when(high, F.col("hi")).otherwise(F.col("lo"))).where(F.when(high, F.col("value") >= F.col("hi")).otherwise(F.col("value") <= F.col("lo"))).select(*_OUT)
 
+def evaluate(rules: DataFrame, panel: DataFrame) -> DataFrame:
+    """Rules (rule_id, rule_type, target, p1, p2) met by the newest rows of panel (entity, date, price, qty); target '*' names all entities.
 
-def volume_spike(rules: DataFrame, panel: DataFrame) -> DataFrame:
-    """Newest quantity at least p1 times the mean of the p2 rows before."""
-    x = _ends(rules.withColumn("_len", F.col("p2") + 1), panel, "_len").groupBy("rule_id", "entity", "p1").agg(F.max_by("qty", "date").alias("value"), F.avg(F.when(F.col("_rn") > 1, F.col("qty"))).alias("mean"))
-    return x.where((F.col("value") > 0) & (F.col("mean") > 0) & (F.col("value") >= F.col("p1") * F.col("mean"))).withColumn("threshold", F.col("p1") * F.col("mean")).select(*_OUT)
+    One window numbers each entity's newest rows, as many as the longest rule needs. A rule becomes one row for each row
+    number it reads and meets the panel by equal numbers, and by equal names where it has a target. An entity with fewer
+    rows than a rule needs has no result for it.
+    """
+    sized = rules.where(F.col("rule_type").isin(*DISPATCH)).select("rule_id", "rule_type", F.col("target").alias("_target"), "p1", "p2", _by_type(lambda r: r.length.cast("int")).alias("_len"))
+    most = sized.agg(F.max("_len")).first()[0] or 0  # one number
+    tail = panel.select("entity", "date", "price", "qty", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date"))).alias("_rn")).where(F.col("_rn") <= most)
+    read = sized.withColumn("_rn", F.explode(F.sequence(F.lit(1), F.col("_len"))))
+    named = tail.withColumn("_target", F.col("entity").cast("string")).join(read.where("_target <> '*'"), ["_target", "_rn"])
+    both = named.unionByName(tail.join(read.where("_target = '*'"), "_rn"))
+    early = lambda c: F.when(F.col("_rn") > 1, F.col(c))
+    g = both.groupBy("rule_id", "rule_type", "entity", "p1", "p2", "_len").agg(F.count(F.lit(1)).alias("_n"), F.max_by("price", "date").alias("z"), F.min_by("price", "date").alias("a"), F.avg("price").alias("mean"), F.max(early("price")).alias("hi"), F.min(early("price")).alias("lo"), F.max_by("qty", "date").alias("q"), F.avg(early("qty")).alias("q_mean"))
+    g = g.where("_n = _len").withColumn("value", _by_type(lambda r: r.value)).withColumn("threshold", _by_type(lambda r: r.threshold))
+    return g.where(_by_type(lambda r: r.hit)).select(*_OUT)
 
 
 def conditions(rules: DataFrame, metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -71,19 +78,17 @@ def conditions(rules: DataFrame, metrics: DataFrame, names: list[str]) -> DataFr
     return g.where(F.when(F.col("match") == "all", F.col("every")).otherwise(F.col("some"))).withColumn("threshold", F.lit(1.0)).select(*_OUT)
 
 
-#: Rule types and the functions that evaluate them.
-DISPATCH: dict[str, Rule] = {"price_above": price_level, "price_below": price_level, "pct_above": pct_change, "pct_below": pct_change, "sma_above": moving_average, "sma_below": moving_average, "new_high": extreme, "new_low": extreme, "volume_spike": volume_spike}
-
-
-def run(rules: DataFrame, panel: DataFrame, priority: str | None = None, target: str | None = None) -> DataFrame:
-    """All rules of the table, filtered by priority and target, as one union; append the result to a log with its run's time."""
+def run(rules: DataFrame, panel: DataFrame, priority: str | None = None, target: str | None = None, at: str | None = None) -> DataFrame:
+    """The enabled rules of the table, filtered by priority and target, in one evaluation; with ``at``, a column run_at of that time for the log."""
     rules = rules.where("enabled")
     if priority:
         rules = rules.where(F.col("priority") == priority)
     if target:
         rules = rules.where(F.col("target").isin(target, "*"))
-    out = None
-    for f in dict.fromkeys(DISPATCH.values()):
-        hits = f(rules.where(F.col("rule_type").isin(*[k for k, v in DISPATCH.items() if v is f])), panel)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    out = evaluate(rules, panel)
+    return out.withColumn("run_at", F.lit(at).cast("timestamp")) if at else out
+
+
+def append_log(hits: DataFrame, path: str) -> None:
+    """W35, the log: hits with their run_at behind those of earlier runs."""
+    hits.write.mode("append").parquet(path)

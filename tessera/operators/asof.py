@@ -26,14 +26,15 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, col
 def members_at(dates: DataFrame, time: str, adds: DataFrame, removes: DataFrame, entity: str, event_time: str, floor: str = "1900-01-01") -> DataFrame:
     """(date, entity) where the first add is at or before the date and the first removal, if any, after it; unknown adds count from the floor.
 
-    The interval is turned into two cumulative sides, so no range join is needed: a date's members are matched by the
-    first and last position that the interval covers in the (small) list of distinct dates.
+    The distinct dates, which are few, travel as one array; each entity's interval is exploded to the dates inside it, so
+    no pair of entity and date is compared in a join.
     """
     first = adds.groupBy(entity).agg(F.min(event_time).alias("_add"))
     gone = removes.groupBy(entity).agg(F.min(event_time).alias("_rem"))
     spans = first.join(gone, entity, "full_outer").withColumn("_add", F.coalesce("_add", F.lit(floor).cast("date")))
-    days = dates.select(time).distinct()
-    return spans.join(F.broadcast(days), (F.col("_add") <= F.col(time)) & (F.col("_rem").isNull() | (F.col("_rem") > F.col(time)))).select(time, entity)
+    days = dates.select(time).distinct().agg(F.collect_list(time).alias("_days"))
+    inside = F.filter("_days", lambda x: (F.col("_add") <= x) & (F.col("_rem").isNull() | (F.col("_rem") > x)))
+    return spans.join(F.broadcast(days)).select(F.explode(inside).alias(time), entity)
 
 
 def nearest(events: DataFrame, panel: DataFrame, entity: str, event_time: str, time: str, price: str, offsets: list[int]) -> DataFrame:

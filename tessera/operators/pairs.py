@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import div, safe_corr
+from tessera.functions.columns import div, normal_tail, safe_corr
+from tessera.scratch import ordered_prefix
 
 
 def paired(panel: DataFrame, entity: str, time: str, x: str, by: list[str]) -> DataFrame:
@@ -32,25 +33,39 @@ def rolling_corr(pairs: DataFrame, by: list[str], time: str, rows: int) -> DataF
     return pairs.withColumn("corr", F.when((F.count(F.lit(1)).over(w) >= rows) & (vx > 0) & (vy > 0), div(F.covar_samp("x", "y").over(w), F.sqrt(vx * vy))))
 
 
-def shrinkage(panel: DataFrame, entity: str, time: str, x: str) -> DataFrame:
-    """Covariance of each ordered pair a <= b by population sums over common dates, shrunk to a scaled identity.
+def shrinkage(panel: DataFrame, entity: str, time: str, x: str, clip_sd: float = 2.5) -> DataFrame:
+    """Covariance estimates of each ordered pair a <= b over common dates: s by population sums, that shrunk to a scaled identity by two intensities, and the sample covariance of winsorised series.
 
     intensity = clip((sum of pi off the diagonal) / d2 / T), with pi = mean(x_i^2 x_j^2) - S_ij^2 and d2 the squared distance
-    to the target. All of it is pairwise sums, so the matrix is never formed; the scalars are one aggregated row.
+    to the target; intensity_oas = clip(((1 - 2/N) d2 + trace^2) / ((T + 1 - 2/N) d2)). Winsorised: each series held within
+    clip_sd sample deviations of its mean. All of it is pairwise sums, so the matrix is never formed; the scalars are one
+    aggregated row.
     """
-    mean = panel.groupBy(entity).agg(F.avg(x).alias("_m"))
-    z = panel.join(mean, entity).select(entity, time, (F.col(x) - F.col("_m")).alias("z"))
-    a, b = z.select(time, F.col(entity).alias("a"), F.col("z").alias("x")), z.select(time, F.col(entity).alias("b"), F.col("z").alias("y"))
+    mean = panel.groupBy(entity).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_d"))
+    held = F.when(F.col("_d") > 0, F.greatest(F.least(F.col(x), F.col("_m") + clip_sd * F.col("_d")), F.col("_m") - clip_sd * F.col("_d"))).otherwise(F.col(x))
+    z = panel.join(mean, entity).select(entity, time, (F.col(x) - F.col("_m")).alias("z"), (held - F.col("_m")).alias("h"))
+    a, b = (z.select(time, F.col(entity).alias(k), F.col("z").alias(v), F.col("h").alias(f"h{v}")) for k, v in (("a", "x"), ("b", "y")))
     p = a.join(b, time).where("a <= b")
-    s = p.groupBy("a", "b").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.col("x") ** 2 * F.col("y") ** 2).alias("q"), F.count(F.lit(1)).alias("n"))
+    s = p.groupBy("a", "b").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.col("x") ** 2 * F.col("y") ** 2).alias("q"), F.count(F.lit(1)).alias("n"), F.covar_samp("hx", "hy").alias("winsorised"), F.covar_samp("x", "y").alias("sample"))
     twice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)
     pi = F.col("q") - F.col("s") ** 2
     t = s.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))).alias("trace"), F.count_if(F.col("a") == F.col("b")).alias("names"), F.sum(twice * F.col("s") ** 2).alias("fro"), F.sum(F.when(F.col("a") != F.col("b"), 2 * pi)).alias("off"), F.max("n").alias("t"))
     mu = F.col("trace") / F.col("names")
     t = t.withColumn("mu", mu).withColumn("d2", F.col("fro") - F.col("names") * mu * mu)
-    t = t.withColumn("intensity", F.least(F.greatest(F.coalesce(div(F.col("off"), F.col("d2")), F.lit(0.0)) / F.col("t"), F.lit(0.0)), F.lit(1.0))).select("mu", "intensity")
+    unit = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    oas = div((1 - 2 / F.col("names")) * F.col("d2") + F.col("trace") ** 2, (F.col("t") + 1 - 2 / F.col("names")) * F.col("d2"))
+    t = t.select("mu", unit(F.coalesce(div(F.col("off"), F.col("d2")), F.lit(0.0)) / F.col("t")).alias("intensity"), unit(F.coalesce(oas, F.lit(1.0))).alias("intensity_oas"))
     target = F.when(F.col("a") == F.col("b"), F.col("mu")).otherwise(0.0)
-    return s.join(F.broadcast(t)).select("a", "b", "s", "intensity", (F.col("intensity") * target + (1 - F.col("intensity")) * F.col("s")).alias("shrunk"))
+    mixed = {f"shrunk{k}": F.col(f"intensity{k}") * target + (1 - F.col(f"intensity{k}")) * F.col("s") for k in ("", "_oas")}
+    return s.join(F.broadcast(t)).withColumns(mixed).select("a", "b", "s", "sample", "intensity", "shrunk", "intensity_oas", "shrunk_oas", "winsorised")
+
+
+def frobenius(matrix: DataFrame, base: str, others: list[str]) -> DataFrame:
+    """Distance of each estimate from ``base`` over the whole symmetric matrix, given by its pairs a <= b, and relative to base's norm."""
+    twice = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0)
+    g = matrix.agg(F.sqrt(F.sum(twice * F.col(base) ** 2)).alias("_norm"), *[F.sqrt(F.sum(twice * (F.col(c) - F.col(base)) ** 2)).alias(c) for c in others])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("estimate"), F.col(c).alias("gap"), div(F.col(c), F.col("_norm")).alias("relative")) for c in others]))
+    return g.select(rows.alias("x")).select("x.*")
 
 
 def ewma_cov(pairs: DataFrame, by: list[str], time: str, lam: float = 0.94) -> DataFrame:
@@ -70,14 +85,29 @@ def tail_dependence(pairs: DataFrame, by: list[str], q: float = 0.05, least: int
 
 
 def half_life(spread: DataFrame, keys: list[str], time: str, s: str) -> DataFrame:
-    """A68, second pass: half-life -ln 2 / ln(slope) of the spread's first-order regression; null where the slope isn't inside (0, 1)."""
+    """A68, second pass: half-life -ln 2 / ln(slope) of the spread's first-order regression, null where the slope isn't inside (0, 1), and t, the unit-root statistic (1 - slope) / its standard error, large where the spread reverts."""
     lagged = spread.withColumn("_l", F.lag(s).over(Window.partitionBy(*keys).orderBy(time))).where("_l IS NOT NULL")
-    g = lagged.groupBy(*keys).agg(F.when(F.var_samp("_l") > 0, div(F.covar_samp("_l", s), F.var_samp("_l"))).alias("rho"))
+    g = lagged.groupBy(*keys).agg(F.when(F.var_samp("_l") > 0, div(F.covar_samp("_l", s), F.var_samp("_l"))).alias("rho"), F.var_samp("_l").alias("_vl"), F.var_samp(s).alias("_vs"), F.count(F.lit(1)).alias("n"))
+    error = F.sqrt(div(F.col("_vs") - F.col("rho") ** 2 * F.col("_vl"), F.col("_vl") * (F.col("n") - 2)))
+    g = g.withColumn("t", F.when((F.col("n") > 2) & (error > 0), (1 - F.col("rho")) / error)).drop("_vl", "_vs", "n")
     return g.withColumn("half_life", F.when((F.col("rho") > 0) & (F.col("rho") < 1), -F.log(F.lit(2.0)) / F.log("rho")))
 
 
-def step_up(df: DataFrame, p: str, alpha: float = 0.1) -> DataFrame:
-    """Benjamini-Hochberg. One row per test: ranks come from a window over the tests, which are few beside the panel."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.orderBy(p))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    best = ranked.where(F.col(p) <= alpha * F.col("_rank") / F.col("_n")).agg(F.coalesce(F.max("_rank"), F.lit(0)).alias("_best"))
-    return ranked.join(F.broadcast(best)).withColumn("survives", F.col("_rank") <= F.col("_best")).drop("_rank", "_n", "_best")
+def corr_p_value(corr: Column, n: Column) -> Column:
+    """A69's input: two-sided p-value of a correlation over n dates by its t statistic and the normal tail; 0 where it is 1 in size."""
+    t = F.abs(corr) * F.sqrt(div(n - 2, 1 - corr * corr))
+    return F.when(F.abs(corr) >= 1, F.lit(0.0)).otherwise(2 * normal_tail(t))
+
+
+def step_up(df: DataFrame, p: str, alpha: float = 0.1, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Benjamini-Hochberg step-up over all rows, or over those of each ``by`` group; ``ties`` order equal p-values.
+
+    Ranks come from range partitions and their prefix sums, so pairs, which are many, never meet in one task.
+    """
+    by, ties = by or [], ties or []
+    placed = ordered_prefix(df, [*by, p, *ties], [], "tests")
+    ends = placed.groupBy(*by).agg(F.min("pos").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    ranked = (placed.join(ends, by) if by else placed.join(F.broadcast(ends))).withColumn("_rank", F.col("pos") - F.col("_lo") + 1)
+    best = ranked.where(F.col(p) <= alpha * F.col("_rank") / F.col("_n")).groupBy(*by).agg(F.max("_rank").alias("_best"))
+    told = ranked.join(best, by, "left") if by else ranked.join(F.broadcast(best), how="left")
+    return told.withColumn("survives", F.coalesce(F.col("_rank") <= F.col("_best"), F.lit(False))).drop("pos", "_rank", "_n", "_lo", "_best")

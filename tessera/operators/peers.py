@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div, pct_rank, safe_corr
+from tessera.scratch import ordered_prefix
 
 
 def group_summary(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:
@@ -42,6 +43,29 @@ def quintile(df: DataFrame, part: str, x: str, n: int = 5) -> DataFrame:
     return df.join(edges, part).withColumn("bucket", F.when(F.col(x).isNotNull(), F.greatest(place, F.lit(1)))).drop("_e")
 
 
+def even_buckets(df: DataFrame, order: list[str], n: int = 5, name: str = "bucket") -> DataFrame:
+    """df with buckets 1..n of equal number along a total order, from range partitions and their counts."""
+    placed = ordered_prefix(df, order, [], "buckets")
+    total = placed.agg(F.count(F.lit(1)).alias("_n"))
+    return placed.join(F.broadcast(total)).withColumn(name, (1 + F.floor(F.col("pos") * n / F.col("_n"))).cast("int")).drop("pos", "_n")
+
+
+def residual_momentum(rets: DataFrame, entity: str, time: str, r: str, market: str, rows: int, least: int) -> DataFrame:
+    """Mean of the last ``rows`` returns less beta times the market's, times rows; beta over all dates, null with ``least`` or fewer."""
+    x = rets.where(F.col(r).isNotNull() & F.col(market).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(time))))
+    near = lambda c: F.when(F.col("_rn") <= rows, F.col(c))
+    g = x.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"), div(F.covar_samp(r, market), F.var_samp(market)).alias("beta"), F.avg(near(r)).alias("_r"), F.avg(near(market)).alias("_m"))
+    return g.where(F.col("_n") > least).select(entity, "beta", ((F.col("_r") - F.col("beta") * F.col("_m")) * rows).alias("resid"))
+
+
+def exposure_deviation(ranked: DataFrame, by: str, group: str, chosen: Column) -> DataFrame:
+    """Per date the mean over the chosen rows' groups of how far a group's share of them lies from its share of all."""
+    n = ranked.groupBy(by, group).agg(F.count(F.lit(1)).alias("_a"), F.count_if(chosen).alias("_c"))
+    part = Window.partitionBy(by)
+    n = n.withColumn("_off", F.abs(div(F.col("_c"), F.sum("_c").over(part)) - F.col("_a") / F.sum("_a").over(part)))
+    return n.where("_c > 0").groupBy(by).agg(F.avg("_off").alias("exposure_dev"))
+
+
 def rank_ic(df: DataFrame, by: list[str], signal: str, target: str) -> DataFrame:
     """Spearman (average ranks) and Pearson correlation of signal and target per group; null where either is constant."""
     both = df.where(F.col(signal).isNotNull() & F.col(target).isNotNull())

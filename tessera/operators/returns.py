@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import div, over, so_far
+from tessera.functions.columns import div, over, row_hash, so_far
 
 
-def resample(ticks: DataFrame, unit: str, entity: str = "entity", time: str = "t") -> DataFrame:
-    """Bars per entity and period: value-weighted price, summed quantity and the range of unit prices."""
+def resample(ticks: DataFrame, unit: str, entity: str, time: str, value: str, qty: str) -> DataFrame:
+    """Bars (entity, date, price, qty, high, low) per period of ticks with a value and a quantity: value-weighted price, summed quantity and the range of unit prices."""
+    each = F.col(value) / F.col(qty)
     g = ticks.groupBy(entity, F.date_trunc(unit, time).cast("date").alias("date"))
-    return g.agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"), F.sum("l_quantity").alias("qty"), F.max("unit").alias("high"), F.min("unit").alias("low"))
+    return g.agg((F.sum(value) / F.sum(qty)).alias("price"), F.sum(qty).alias("qty"), F.max(each).alias("high"), F.min(each).alias("low"))
 
 
 def last_in_period(panel: DataFrame, unit: str, entity: str, time: str, price: str, qty: str) -> DataFrame:
@@ -28,14 +29,14 @@ def with_returns(panel: DataFrame, entity: str, time: str, price: str) -> DataFr
 
 
 def latest(panel: DataFrame, entity: str, time: str) -> DataFrame:
-    """The last row of each entity; of rows at one time any."""
-    w = Window.partitionBy(entity).orderBy(F.col(time).desc())
+    """The last row of each entity; of rows at one time that of the largest hash, so reruns agree."""
+    w = Window.partitionBy(entity).orderBy(F.col(time).desc(), row_hash(panel).desc())
     return panel.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def last_rows(panel: DataFrame, entity: str, time: str, n: int) -> DataFrame:
-    """The last n rows of each entity."""
-    w = Window.partitionBy(entity).orderBy(F.col(time).desc())
+    """The last n rows of each entity; rows at one time in order of their hashes."""
+    w = Window.partitionBy(entity).orderBy(F.col(time).desc(), row_hash(panel).desc())
     return panel.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 

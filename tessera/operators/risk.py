@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div, over, so_far
+from tessera.operators.ranks import with_pct_ranks
 
 
 def ann_stats(rets: DataFrame, by: list[str], r: str, rf: float = 0.04, periods: int = 252) -> DataFrame:
@@ -27,9 +28,10 @@ def full_metrics(rets: DataFrame, by: list[str], time: str, r: str, periods: int
 
 
 def level_stats(levels: DataFrame, by: list[str], time: str, level: str, periods: int = 12) -> DataFrame:
-    """Total return, compound growth and drawdown of a level series."""
-    dd = levels.withColumn("_dd", F.col(level) / F.max(level).over(so_far(by, time)) - 1)
-    g = dd.groupBy(*by).agg(div(F.max_by(level, time), F.min_by(level, time)).alias("_x"), F.count(F.lit(1)).alias("n"), F.min("_dd").alias("max_dd"))
+    """Total return, compound growth, volatility, Sharpe ratio and drawdown of a level series."""
+    dd = levels.withColumns({"_dd": F.col(level) / F.max(level).over(so_far(by, time)) - 1, "_r": div(F.col(level), F.lag(level).over(over(by, time))) - 1})
+    g = dd.groupBy(*by).agg(div(F.max_by(level, time), F.min_by(level, time)).alias("_x"), F.count(F.lit(1)).alias("n"), F.min("_dd").alias("max_dd"), (F.stddev_samp("_r") * periods**0.5).alias("vol"), (F.avg("_r") * periods).alias("_ret"))
+    g = g.withColumn("sharpe", div(F.col("_ret"), F.col("vol"))).drop("_ret")
     g = g.withColumns({"total": F.col("_x") - 1, "cagr": F.when(F.col("n") > 1, F.pow("_x", F.lit(float(periods)) / (F.col("n") - 1)) - 1)}).drop("_x")
     return g.withColumn("calmar", F.when(F.col("max_dd") < 0, F.col("cagr") / F.abs("max_dd")))
 
@@ -75,6 +77,20 @@ def tail_table(rets: DataFrame, by: list[str], r: str) -> DataFrame:
     return g.select(*by, *[f"p{k}" for k in NORMAL_TAIL], *[(F.col(f"p{k}") / v).alias(f"x{k}") for k, v in NORMAL_TAIL.items()], kurt.alias("kurtosis"))
 
 
+def sample_kurtosis(x: str) -> Column:
+    """Excess kurtosis with the sample correction, as an aggregate; null for fewer than four values."""
+    n = F.count(x).cast("double")
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
+
+
+def weighted_ranks(df: DataFrame, weights: dict[str, float], name: str) -> DataFrame:
+    """Sum of the weighted percentile ranks of the columns that df has, weights renormalised to those; a missing value ranks 0.5."""
+    used = {c: w for c, w in weights.items() if c in df.columns}
+    ranked = with_pct_ranks(df, {f"_p_{c}": c for c in used})
+    total = sum((w * F.coalesce(F.col(f"_p_{c}"), F.lit(0.5)) for c, w in used.items()), F.lit(0.0)) / sum(used.values())
+    return ranked.withColumn(name, total).drop(*[f"_p_{c}" for c in used])
+
+
 def gaps(panel: DataFrame, entity: str, time: str, opened: str, close: str) -> DataFrame:
     """Deviation of overnight gaps and of returns, the gaps' variance share and how often they exceed 2 and 5 %."""
     w = over(entity, time)

@@ -59,20 +59,34 @@ def features(panel: DataFrame, entity: str, time: str, price: str, qty: str, hig
     })
 
 
-def anomaly_score(rets: DataFrame, entity: str, time: str, r: str, qty: str, rows: int = 20) -> DataFrame:
-    """The larger of the absolute z-scores of return and quantity against the rows before; null until the frame is full."""
-    w = over(entity, time).rowsBetween(-rows, -1)
-    z = lambda c: full(F.when(F.stddev_samp(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w)), F.count(c).over(w), rows)
-    return rets.withColumns({"ret_z": z(r), "qty_z": z(qty)}).withColumn("score", F.greatest(F.abs("ret_z"), F.abs("qty_z")))
+def anomalies(panel: DataFrame, entity: str, time: str, price: str, qty: str, rows: int = 20, limit: float = 3.0) -> DataFrame:
+    """ret_z (log return), resid_z (price less its rolling median, over the residual's deviation), vol_z (quantity), each in the frame that ends at the row; score: the largest in size; is_anomaly: score at or over the limit.
+
+    Frames count from half their rows on (5 at least); a constant frame gives null. market_shock: the date's cross-section
+    deviation of returns over its trailing mean of so many dates, one row per date.
+    """
+    w, least = trailing(entity, time, rows), max(5, rows // 2)
+    z = lambda c, mid, n: full(F.when(F.stddev_samp(c).over(w) > 0, (F.col(c) - mid) / F.stddev_samp(c).over(w)), F.count(c).over(w), n)
+    out = panel.withColumn("ret", F.log(div(F.col(price), F.lag(price).over(over(entity, time)))))
+    seen = F.array_sort(F.collect_list(price).over(w))  # at most ``rows`` values
+    n = F.size("_seen")
+    middle = (F.get("_seen", F.floor((n - 1) / 2).cast("int")) + F.get("_seen", F.floor(n / 2).cast("int"))) / 2
+    out = out.withColumn("_seen", seen).withColumn("_resid", full(F.col(price) - middle, n, least)).drop("_seen")
+    out = out.withColumns({"ret_z": z("ret", F.avg("ret").over(w), least), "resid_z": z("_resid", F.lit(0.0), least), "vol_z": z(qty, F.avg(qty).over(w), 5)}).drop("_resid")
+    days = out.where("ret IS NOT NULL").groupBy(time).agg(F.stddev_samp("ret").alias("_disp"))
+    days = days.select(time, div(F.col("_disp"), F.avg("_disp").over(Window.orderBy(time).rowsBetween(-(rows - 1), 0))).alias("market_shock"))
+    out = out.withColumn("score", F.greatest(F.abs("ret_z"), F.abs("resid_z"), F.abs("vol_z"))).withColumn("is_anomaly", F.coalesce(F.col("score") >= limit, F.lit(False)))
+    return out.join(days, time, "left")
 
 
 def term_structure(rets: DataFrame, entity: str | list[str], time: str, r: str, rows: list[int]) -> DataFrame:
-    """Volatilities of several horizons, the slope from the first to the last and a contango flag."""
+    """Volatilities of several horizons, the slope of each to the next (slope_<rows>), from the first to the last, and a contango flag."""
     out = rets
     for k in rows:
         out = rolling_vol(out, entity, time, r, k, f"vol_{k}")
+    steps = {f"slope_{b}": div(F.col(f"vol_{b}"), F.col(f"vol_{a}")) - 1 for a, b in zip(rows, rows[1:], strict=False)}
     slope = div(F.col(f"vol_{rows[-1]}"), F.col(f"vol_{rows[0]}")) - 1
-    return out.withColumns({"slope": slope, "contango": slope > 0})
+    return out.withColumns(steps | {"slope": slope, "contango": slope > 0})
 
 
 def skip_return(panel: DataFrame, entity: str, time: str, price: str, far: int, near: int) -> DataFrame:

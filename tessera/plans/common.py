@@ -45,7 +45,8 @@ def _closure(names: list[str]) -> list[str]:
 def sql(body: str, *names: str) -> str:
     """body behind the named tables of CTE; a body that begins with a comma adds tables of its own."""
     parts = ", ".join(f"{n} AS ({CTE[n]})" for n in _closure(list(names)))
-    return f"WITH {parts} {body}" if parts else body
+    again = "RECURSIVE " if " rec AS (" in body else ""
+    return f"WITH {again}{parts} {body}" if parts else body
 
 
 def query(body: str | None = None, *names: str) -> Callable:
@@ -53,8 +54,8 @@ def query(body: str | None = None, *names: str) -> Callable:
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
-    li = registry.table(spark, d, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
-    b = returns.resample(li.select(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").alias("t"), "l_extendedprice", "l_quantity", "unit"), "month")
+    li = registry.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").alias("t"), "l_extendedprice", "l_quantity")
+    b = returns.resample(li, "month", "entity", "t", "l_extendedprice", "l_quantity")
     return b.withColumns({c: F.col(c) / TAX for c in ("price", "high", "low")})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import normal_tail
 from tessera.operators import alerts, backtest, fundamentals, grouped, pairs, windows
 from tessera.plans.common import bars, fund, latest, query, r6, rets, sect
 from tessera.registry import table
@@ -19,27 +20,27 @@ def _rules(spark, rows):
 
 @query(_B + " SELECT 'up' AS rule_id, entity, round(price, 6) AS value, 1450.0::DOUBLE AS threshold FROM b WHERE rn = 1 AND price > 1450 UNION ALL SELECT 'down', entity, round(price, 6), 1300.0 FROM b WHERE rn = 1 AND price < 1300", "bars")
 def w29_price_alerts(spark, d):
-    return alerts.price_level(_rules(spark, [("up", "price_above", 1450.0, None), ("down", "price_below", 1300.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value"), "threshold")
+    return alerts.evaluate(_rules(spark, [("up", "price_above", 1450.0, None), ("down", "price_below", 1300.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value"), "threshold")
 
 
 @query(_B + ", g AS (SELECT entity, (max(price) FILTER (rn = 1) / max(price) FILTER (rn = 4) - 1) * 100 AS v FROM b GROUP BY 1) SELECT 'p' AS rule_id, entity, round(v, 6) AS value, 5.0::DOUBLE AS threshold FROM g WHERE v >= 5", "bars")
 def w30_change_alerts(spark, d):
-    return alerts.pct_change(_rules(spark, [("p", "pct_above", 5.0, 3.0)]), bars(spark, d)).select("rule_id", "entity", *r6("value"), "threshold")
+    return alerts.evaluate(_rules(spark, [("p", "pct_above", 5.0, 3.0)]), bars(spark, d)).select("rule_id", "entity", *r6("value"), "threshold")
 
 
 @query(_B + ", g AS (SELECT entity, max(price) FILTER (rn = 1) AS v, avg(price) AS t FROM b WHERE rn <= 12 GROUP BY 1 HAVING count(*) = 12) SELECT 's' AS rule_id, entity, round(v, 6) AS value, round(t, 6) AS threshold FROM g WHERE v > t", "bars")
 def w31_average_alerts(spark, d):
-    return alerts.moving_average(_rules(spark, [("s", "sma_above", 12.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value", "threshold"))
+    return alerts.evaluate(_rules(spark, [("s", "sma_above", 12.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value", "threshold"))
 
 
 @query(_B + ", g AS (SELECT entity, max(price) FILTER (rn = 1) AS v, max(price) FILTER (rn > 1) AS hi, min(price) FILTER (rn > 1) AS lo FROM b WHERE rn <= 12 GROUP BY 1 HAVING count(*) = 12) SELECT 'h' AS rule_id, entity, round(v, 6) AS value, round(hi, 6) AS threshold FROM g WHERE v >= hi UNION ALL SELECT 'l', entity, round(v, 6), round(lo, 6) FROM g WHERE v <= lo", "bars")
 def w32_extreme_alerts(spark, d):
-    return alerts.extreme(_rules(spark, [("h", "new_high", 12.0, None), ("l", "new_low", 12.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value", "threshold"))
+    return alerts.evaluate(_rules(spark, [("h", "new_high", 12.0, None), ("l", "new_low", 12.0, None)]), bars(spark, d)).select("rule_id", "entity", *r6("value", "threshold"))
 
 
 @query(_B + ", g AS (SELECT entity, max(qty) FILTER (rn = 1) AS v, avg(qty) FILTER (rn > 1) AS t FROM b WHERE rn <= 7 GROUP BY 1 HAVING count(*) = 7) SELECT 'v' AS rule_id, entity, v AS value, round(0.3 * t, 6) AS threshold FROM g WHERE v >= 0.3 * t AND v > 0 AND t > 0", "bars")
 def w33_volume_alerts(spark, d):
-    return alerts.volume_spike(_rules(spark, [("v", "volume_spike", 0.3, 6.0)]), bars(spark, d)).select("rule_id", "entity", "value", *r6("threshold"))
+    return alerts.evaluate(_rules(spark, [("v", "volume_spike", 0.3, 6.0)]), bars(spark, d)).select("rule_id", "entity", "value", *r6("threshold"))
 
 
 @query(" SELECT 'c1' AS rule_id, entity, 1.0::DOUBLE AS value FROM latest WHERE ev <= 9 AND pb <= 1.5 AND coalesce(roic >= 0.1, false) UNION ALL SELECT 'c2', entity, round((CAST(roe > 0.2 AS INTEGER) + CAST(de < 0.5 AS INTEGER)) / 2.0::DOUBLE, 6) FROM latest WHERE roe > 0.2 OR de < 0.5", "latest")
@@ -48,10 +49,10 @@ def w34_condition_alerts(spark, d):
     return alerts.conditions(rules, latest(spark, d), ["ev", "pb", "roic", "roe", "de"]).select("rule_id", "entity", *r6("value"))
 
 
-@query(_B + ", g AS (SELECT entity, max(price) FILTER (rn = 1) AS v, avg(price) AS t, max(price) FILTER (rn > 1) AS hi FROM b WHERE rn <= 6 GROUP BY 1 HAVING count(*) = 6) SELECT 'a' AS rule_id, entity, round(v, 6) AS value FROM g WHERE v < t UNION ALL SELECT 'b', entity, round(v, 6) FROM g WHERE v >= hi", "bars")
+@query(_B + ", g AS (SELECT entity, max(price) FILTER (rn = 1) AS v, avg(price) AS t, max(price) FILTER (rn > 1) AS hi FROM b WHERE rn <= 6 GROUP BY 1 HAVING count(*) = 6) SELECT 'a' AS rule_id, entity, round(v, 6) AS value, round(t, 6) AS threshold, TIMESTAMP '2000-01-01 00:00:00' AS run_at FROM g WHERE v < t UNION ALL SELECT 'b', entity, round(v, 6), round(hi, 6), TIMESTAMP '2000-01-01 00:00:00' FROM g WHERE v >= hi", "bars")
 def w35_alert_run(spark, d):
     rules = _rules(spark, [("a", "sma_below", 6.0, None), ("b", "new_high", 6.0, None)]).unionByName(_rules(spark, [("off", "price_above", 0.0, None)]).withColumn("enabled", F.lit(False)))
-    return alerts.run(rules, bars(spark, d), priority="high").select("rule_id", "entity", *r6("value"))
+    return alerts.run(rules, bars(spark, d), priority="high", at="2000-01-01 00:00:00").select("rule_id", "entity", *r6("value", "threshold"), "run_at")
 
 
 @query(""", x AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM bars), g AS (SELECT entity, max(n) AS n, min_by(price, date) AS a, max_by(price, date) AS z, list(price ORDER BY rn) FILTER (rn > n - 10) AS t FROM x GROUP BY 1), h AS (SELECT *, unnest([1, 2, 3]) AS h FROM g)
@@ -81,45 +82,23 @@ def w44_purged_folds(spark, d):
     return backtest.purged_folds(bars(spark, d), "entity", "date", 4, 2).select("entity", "date", "fold", "part")
 
 
-@query(""", s AS (SELECT b.entity, sector, date, price FROM bars b JOIN sect USING (entity) WHERE date >= DATE '1998-01-01' OR b.entity % 2 = 0), px AS (SELECT sector, date, avg(price) AS p FROM bars JOIN sect USING (entity) GROUP BY 1, 2), f AS (SELECT entity, sector, min(date) AS fd, min_by(price, date) AS v, count(*) AS n FROM s GROUP BY 1, 2),
- e AS (SELECT f.entity, f.sector, px.date, px.p * v / p0.p AS price, row_number() OVER (PARTITION BY f.entity ORDER BY px.date DESC) AS k, n FROM f JOIN px p0 ON p0.sector = f.sector AND p0.date = fd JOIN px ON px.sector = f.sector AND px.date < fd WHERE n < 60)
- SELECT entity, date, round(price, 6) AS price, false AS padded FROM s UNION ALL SELECT entity, date, round(price, 6), true FROM e WHERE k <= 60 - n""", "bars", "sect")
-def w46_padded_context(spark, d):
-    b = bars(spark, d).join(sect(spark, d).select("entity", "sector"), "entity")
-    proxy = b.groupBy("sector", "date").agg(F.avg("price").alias("price"))
-    some = b.where((F.col("date") >= "1998-01-01") | (F.col("entity") % 2 == 0)).select("entity", "sector", "date", "price")
-    return backtest.pad_context(some, proxy, "entity", "sector", "date", "price", 60).select("entity", "date", *r6("price"), "padded")
-
-
 @query(""", s AS (SELECT b.entity, sector, date, price FROM bars b JOIN sect USING (entity)), px AS (SELECT sector, date, avg(price) AS p FROM s GROUP BY 1, 2), f AS (SELECT entity, sector, min(date) AS fd, min_by(price, date) AS v, count(*) AS n FROM s GROUP BY 1, 2),
  e AS (SELECT f.entity, f.sector, px.date, px.p * v / p0.p AS price, row_number() OVER (PARTITION BY f.entity ORDER BY px.date DESC) AS k, n FROM f JOIN px p0 ON p0.sector = f.sector AND p0.date = fd JOIN px ON px.sector = f.sector AND px.date < fd WHERE n < 84)
  SELECT entity, date, round(price, 6) AS price, false AS padded FROM s UNION ALL SELECT entity, date, round(price, 6), true FROM e WHERE k <= 84 - n""", "bars", "sect")
-def w46_padded_context_whole(spark, d):
-    """All bars, and only series that are short in the table are padded; w46_padded_context and its SQL drop the early bars of odd entities."""
+def w46_padded_context(spark, d):
+    """All bars; series that are short in the table are padded."""
     b = bars(spark, d).join(sect(spark, d).select("entity", "sector"), "entity")
     proxy = b.groupBy("sector", "date").agg(F.avg("price").alias("price"))
     return backtest.pad_context(b.select("entity", "sector", "date", "price"), proxy, "entity", "sector", "date", "price", 84).select("entity", "date", *r6("price"), "padded")
 
 
-_TRADES = "t AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS dt, CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_suppkey || '-' || l_extendedprice AS seq, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice / l_quantity / 1.07::DOUBLE AS p FROM lineitem WHERE l_suppkey < 3)"
-
-
-@query(f"""WITH {_TRADES}, c AS (SELECT *, sum(abs(q)) OVER (PARTITION BY entity, q > 0 ORDER BY dt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t), b AS (SELECT *, e - q AS s FROM c WHERE q > 0), k AS (SELECT *, e + q AS s FROM c WHERE q < 0)
- SELECT b.entity, b.seq AS buy, k.seq AS sell, least(b.e, k.e) - greatest(b.s, k.s) AS qty, round((least(b.e, k.e) - greatest(b.s, k.s)) * (k.p - b.p), 4) AS pl FROM b JOIN k ON b.entity = k.entity AND b.s < k.e AND k.s < b.e""")
-def a85_lot_matching(spark, d):
-    li = table(spark, d, "lineitem").where("l_suppkey < 3")
-    seq = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    t = li.select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").cast("date").alias("dt"), seq.alias("seq"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), (F.col("l_extendedprice") / F.col("l_quantity") / 1.07).alias("p"))
-    return backtest.match_lots(t, "entity", "dt", "seq", "q", "p").withColumn("pl", F.round("pl", 4))
-
-
 _LEDGER = "t AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS dt, concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS seq, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q, l_extendedprice / l_quantity / 1.07::DOUBLE AS p FROM lineitem)"
 
 
 @query(f"""WITH {_LEDGER}, c AS (SELECT *, sum(abs(q)) OVER (PARTITION BY entity, q > 0 ORDER BY dt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t), b AS (SELECT *, e - q AS s FROM c WHERE q > 0), k AS (SELECT *, e + q AS s FROM c WHERE q < 0)
  SELECT b.entity, b.seq AS buy, k.seq AS sell, least(b.e, k.e) - greatest(b.s, k.s) AS qty, round((least(b.e, k.e) - greatest(b.s, k.s)) * (k.p - b.p), 4) AS pl FROM b JOIN k ON b.entity = k.entity AND b.s < k.e AND k.s < b.e""")
-def a85_lot_matching_whole(spark, d):
-    """The whole ledger; a85_lot_matching and its SQL take the trades of three suppliers only."""
+def a85_lot_matching(spark, d):
+    """The whole ledger."""
     seq = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").cast("date").alias("dt"), seq.alias("seq"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), (F.col("l_extendedprice") / F.col("l_quantity") / 1.07).alias("p"))
     return backtest.match_lots(t, "entity", "dt", "seq", "q", "p").withColumn("pl", F.round("pl", 4))
@@ -134,20 +113,21 @@ def a86_equity_flags(spark, d):
 _POS, _NEG = ["the", "and", "in", "to"], ["of", "is", "at"]
 
 
-@query("""WITH x AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g')) AS t FROM documents), y AS (SELECT doc_id, len(regexp_extract_all(t, '[a-z]+')) AS w, len(regexp_extract_all(t, '\\b(?:the|and|in|to)\\b')) AS p, len(regexp_extract_all(t, '\\b(?:of|is|at)\\b')) AS n FROM x)
- SELECT doc_id, CAST(w AS INTEGER) AS words, CASE WHEN n > p THEN 'negative' ELSE 'other' END AS tone FROM y""")
+@query("""WITH x AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g')) AS t FROM documents), y AS (SELECT doc_id, len(regexp_extract_all(t, '[a-z]+')) AS w, len(list_filter(regexp_extract_all(t, '[a-z]+'), lambda k : k IN ('the', 'and', 'in', 'to'))) AS p, len(list_filter(regexp_extract_all(t, '[a-z]+'), lambda k : k IN ('of', 'is', 'at'))) AS n FROM x)
+ SELECT doc_id, CAST(w AS INTEGER) AS words, CAST(p AS INTEGER) AS positive, CAST(n AS INTEGER) AS negative, round(coalesce(1000.0::DOUBLE * (p - n) / nullif(w, 0), 0), 6) AS score FROM y""")
 def a84_lexicon_score(spark, d):
     s = backtest.lexicon_score(F.col("text"), _POS, _NEG)
     x = table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in s.items()])
-    return x.select("doc_id", "words", F.when(F.col("negative") > F.col("positive"), "negative").otherwise("other").alias("tone"))
+    return x.select("doc_id", "words", "positive", "negative", *r6("score"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS entity, CASE WHEN l_returnflag = 'A' THEN 'put' ELSE 'call' END AS side, l_extendedprice / l_quantity / 15 AS strike, l_discount + l_tax AS iv, l_quantity AS volume, 100.0::DOUBLE AS spot FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
- SELECT entity, round(median(iv) FILTER (abs(strike / spot - 1) <= 0.05), 6) AS atm, round(sum(volume) FILTER (side = 'put') / nullif(sum(volume) FILTER (side = 'call'), 0), 6) AS put_call FROM c GROUP BY 1""")
+ SELECT entity, round(median(iv) FILTER (abs(strike / spot - 1) <= 0.05), 6) AS atm, round(sum(volume) FILTER (side = 'put') / nullif(sum(volume) FILTER (side = 'call'), 0), 6) AS put_call,
+ round(arg_min(iv, (abs(strike - 0.9::DOUBLE * spot), strike, iv)) FILTER (side = 'put') - arg_min(iv, (abs(strike - 1.1::DOUBLE * spot), strike, iv)) FILTER (side = 'call'), 6) + 0.0 AS skew FROM c GROUP BY 1""")
 def a83_option_measures(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity")), "l_orderkey")
     c = li.select("entity", F.when(F.col("l_returnflag") == "A", "put").otherwise("call").alias("side"), (F.col("l_extendedprice") / F.col("l_quantity") / 15).alias("strike"), (F.col("l_discount") + F.col("l_tax")).alias("iv"), F.col("l_quantity").alias("volume"), F.lit(100.0).alias("spot"))
-    return backtest.option_measures(c, ["entity"], "side", "strike", "iv", "volume", "spot").select("entity", *r6("atm", "put_call"))
+    return backtest.option_measures(c, ["entity"], "side", "strike", "iv", "volume", "spot").select("entity", *r6("atm", "put_call"), (F.round("skew", 6) + 0.0).alias("skew"))
 
 
 @query("""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS name, 'order' AS kind FROM orders UNION SELECT DISTINCT CAST(ts AS DATE), event_type, 'event' FROM events), t AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
@@ -159,12 +139,13 @@ def a82_event_calendar(spark, d):
     return backtest.event_calendar([("order", o), ("event", e)], days, "2000-01-01").select("date", "name", "kind", "trading", "days_until")
 
 
-@query("""SELECT o_custkey AS entity, o_orderkey, round(income / equity, 6) AS roe, round(debt / equity, 6) AS debt_to_equity, round((shares * price + debt) / ebitda, 6) AS ev_ebitda, round(shares * price / equity, 6) AS pb FROM
+@query("""SELECT o_custkey AS entity, o_orderkey, round(income / equity, 6) AS roe, round(debt / equity, 6) AS debt_to_equity, round((shares * price + debt) / ebitda, 6) AS ev_ebitda, round(shares * price / equity, 6) AS pb,
+ round(o_totalprice * 0.15 * (1 - 0.2) / (equity + debt), 6) AS roic, round(o_totalprice * 0.15 / (o_totalprice * 0.01), 6) AS coverage, round(shares * price, 4) AS market_cap, round(shares * price / o_totalprice, 6) AS cap_to_assets FROM
  (SELECT *, o_totalprice * 0.1 AS income, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice * 0.8 END AS equity, o_totalprice * 0.3 AS debt, o_totalprice * 0.2 AS ebitda, 10.0 AS shares, o_totalprice / 20 AS price FROM orders)""")
 def p32_statement_ratios(spark, d):
     p = F.col("o_totalprice")
     x = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", (p * 0.1).alias("income"), F.when(F.col("o_orderstatus") == "P", F.lit(0.0)).otherwise(p * 0.8).alias("equity"), (p * 0.3).alias("debt"), F.lit(0.0).alias("cash"), (p * 0.15).alias("ebit"), (p * 0.01).alias("interest"), (p * 0.02).alias("tax"), (p * 0.1).alias("pretax"), (p * 0.2).alias("ebitda"), p.alias("assets"), F.lit(10.0).alias("shares"), (p / 20).alias("price"))
-    return fundamentals.ratios(x).select("entity", "o_orderkey", *r6("roe", "debt_to_equity", "ev_ebitda", "pb"))
+    return fundamentals.ratios(x).select("entity", "o_orderkey", *r6("roe", "debt_to_equity", "ev_ebitda", "pb"), F.when(F.col("roe").isNotNull(), F.round("roic", 6)).alias("roic"), *r6("coverage"), F.round("market_cap", 4).alias("market_cap"), *r6("cap_to_assets"))
 
 
 @query(" SELECT entity, as_of, CASE WHEN count(*) OVER f = 4 THEN round(sum(amount) OVER f, 2) END AS ttm, CASE WHEN count(*) OVER e = 8 THEN round(abs(avg(amount) OVER e) / stddev_pop(amount) OVER e, 6) END AS stability FROM fund WINDOW f AS (PARTITION BY entity ORDER BY as_of ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), e AS (PARTITION BY entity ORDER BY as_of ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)", "fund")
@@ -187,22 +168,46 @@ def w25_revisions(spark, d):
     return fundamentals.revisions(fund(spark, d), ["entity"], "as_of", "amount").select("entity", "as_of", *r6("revision"))
 
 
-@query()
+#: Exponential averages as recursions over each entity's numbered rows.
+_EMA = """, n AS (SELECT entity, date, price, row_number() OVER w AS k, price - lag(price) OVER w AS step FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+ rec AS (SELECT entity, date, k, price AS f, price AS s, 0.0::DOUBLE AS g, CAST(NULL AS DOUBLE) AS up, CAST(NULL AS DOUBLE) AS down FROM n WHERE k = 1
+  UNION ALL SELECT n.entity, n.date, n.k, f + (n.price - f) * 2 / 13, s + (n.price - s) * 2 / 27, g + (f + (n.price - f) * 2 / 13 - s - (n.price - s) * 2 / 27 - g) / 5, coalesce(up + (greatest(n.step, 0) - up) / 14, greatest(n.step, 0)), coalesce(down + (greatest(-n.step, 0) - down) / 14, greatest(-n.step, 0)) FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1),
+ mv AS (SELECT entity, date, price, CASE WHEN k >= 20 THEN avg(price) OVER s END AS near, CASE WHEN k >= 20 THEN stddev_samp(price) OVER s END AS sd, CASE WHEN k >= 50 THEN avg(price) OVER l END AS far FROM n
+  WINDOW s AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), l AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+ cr AS (SELECT *, near - far AS gap, lag(near - far) OVER (PARTITION BY entity ORDER BY date) AS was FROM mv)"""
+
+
+@query(_EMA + """ SELECT entity, date, CASE WHEN k > 14 THEN round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 5) END AS rsi, round(f - s, 5) AS macd, round(g, 5) AS macd_signal, round(f - s - g, 5) AS macd_hist, round(near + 2 * sd, 5) AS bb_upper, round(near - 2 * sd, 5) AS bb_lower,
+ CASE WHEN sd > 0 THEN round((price - near) / (2 * sd), 5) END AS bollinger, round(near, 5) AS sma_short, round(far, 5) AS sma_long, CASE WHEN gap > 0 AND was <= 0 THEN 1 WHEN gap < 0 AND was >= 0 THEN -1 ELSE 0 END AS sma_cross, date = max(date) OVER (PARTITION BY entity) AS newest FROM rec JOIN cr USING (entity, date)""", "bars")
 def w15_indicators(spark, d):
-    """Recursive averages: tested against a plain loop per entity."""
-    return grouped.indicators(bars(spark, d), "entity", "date", "price").select("entity", "date", *r6("rsi", "macd", "macd_signal", "bollinger"))
+    """All rows; ``newest`` marks each entity's last one, the report of the current state."""
+    out = grouped.indicators(bars(spark, d), "entity", "date", "price")
+    names = ("rsi", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_lower", "bollinger", "sma_short", "sma_long")
+    return out.select("entity", "date", *[F.round(c, 5).alias(c) for c in names], "sma_cross", (F.col("date") == F.max("date").over(Window.partitionBy("entity"))).alias("newest"))
 
 
-@query()
+@query(""", n AS (SELECT entity, date, row_number() OVER w AS k, greatest(high - low, abs(high - lag(price) OVER w), abs(low - lag(price) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+ rec AS (SELECT entity, date, k, tr AS atr FROM n WHERE k = 1 UNION ALL SELECT n.entity, n.date, n.k, atr + (n.tr - atr) / 14 FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1) SELECT entity, date, round(atr, 5) AS atr FROM rec""", "bars")
 def w16_average_true_range(spark, d):
-    return grouped.average_true_range(windows.true_range(bars(spark, d), "entity", "date", "high", "low", "price"), "entity", "date", "tr").select("entity", "date", *r6("atr"))
+    return grouped.average_true_range(windows.true_range(bars(spark, d), "entity", "date", "high", "low", "price"), "entity", "date", "tr").select("entity", "date", F.round("atr", 5).alias("atr"))
 
 
-@query()
+#: A filter step: the variance p widens by q; a value moves the level m by the gain and lowers p.
+_STEP = "SELECT n.entity, n.date, n.k, CASE WHEN {seen} THEN m + (p + 1e-5) / (p + 1e-5 + 1e-3) * (n.r - m) ELSE m END AS m, CASE WHEN {seen} THEN (p + 1e-5) * (1 - (p + 1e-5) / (p + 1e-5 + 1e-3)) ELSE p + 1e-5 END AS p, CASE WHEN {seen} THEN (p + 1e-5) / (p + 1e-5 + 1e-3) END AS gain, CASE WHEN {seen} THEN n.r - m END AS innovation"
+
+
+@query(", n AS (SELECT entity, date, r, row_number() OVER (PARTITION BY entity ORDER BY date) AS k FROM rets), rec AS (" + _STEP.format(seen="n.r IS NOT NULL") + " FROM n JOIN (SELECT 0.0::DOUBLE AS m, 1.0::DOUBLE AS p) ON n.k = 1 UNION ALL " + _STEP.format(seen="n.r IS NOT NULL") + " FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1) SELECT entity, date, round(m, 6) AS level, round(gain, 6) AS gain, round(innovation, 6) AS innovation FROM rec", "rets")
 def w36_local_level_filter(spark, d):
     return grouped.kalman(rets(spark, d), ["entity"], "date", "r").select("entity", "date", *r6("level", "gain", "innovation"))
 
 
+@query(", n AS (SELECT entity, date, CASE WHEN qty > 200 THEN r END AS r, row_number() OVER (PARTITION BY entity ORDER BY date) AS k FROM rets), rec AS (" + _STEP.format(seen="n.r IS NOT NULL") + " FROM n JOIN (SELECT 0.0::DOUBLE AS m, 1.0::DOUBLE AS p) ON n.k = 1 UNION ALL " + _STEP.format(seen="n.r IS NOT NULL") + " FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1) SELECT entity, date, round(m, 6) AS level_x, round(gain, 6) AS gain, round(innovation, 6) AS innovation_x FROM rec", "rets")
+def w36_two_level_filter(spark, d):
+    """The two-dimensional form: a row where either value is missing moves neither level."""
+    x = rets(spark, d).withColumn("y", F.when(F.col("qty") > 200, F.col("price")))
+    return grouped.kalman_two(x, ["entity"], "date", "r", "y").select("entity", "date", *r6("level_x", "gain", "innovation_x"))
+
+
 def _pairs(spark, d):
     return pairs.paired(rets(spark, d).join(sect(spark, d), "entity"), "entity", "date", "r", ["sector"])
 
@@ -218,35 +223,45 @@ def a81_lead_lag(spark, d):
 
 
 def _spread(spark, d):
+    """Spreads of all pairs in walk-forward folds: fitted and standardised on each fold's training dates, with both kinds of rows."""
     b = bars(spark, d).join(sect(spark, d), "entity").withColumn("lp", F.log("price"))
-    p = pairs.paired(b, "entity", "date", "lp", ["sector"]).withColumn("fold", F.when(F.col("date") < "1999-01-01", 0).otherwise(1))
-    fit = pairs.pair_stats(p.where("fold = 0"), ["sector"], 20).select("a", "b", "beta")
-    s = p.join(fit, ["a", "b"]).withColumn("s", F.col("y") - F.col("beta") * F.col("x"))
-    base = s.where("fold = 0").groupBy("a", "b").agg(F.avg("s").alias("mu"), F.stddev_samp("s").alias("sd")).where("sd > 0")
-    return s.join(base, ["a", "b"]).withColumn("z", (F.col("s") - F.col("mu")) / F.col("sd"))
+    folds = backtest.fold_dates(b, "date", folds=2, lookback=36, test=18)
+    p = pairs.paired(b, "entity", "date", "lp", ["sector"]).join(F.broadcast(folds), "date")
+    fit = pairs.pair_stats(p.where("train"), ["fold"], 20).select("fold", "a", "b", "beta")
+    s = p.join(fit, ["fold", "a", "b"]).withColumn("s", F.col("y") - F.col("beta") * F.col("x"))
+    base = s.where("train").groupBy("fold", "a", "b").agg(F.avg("s").alias("mu"), F.stddev_samp("s").alias("sd")).where("sd > 0")
+    s = s.join(base, ["fold", "a", "b"]).withColumn("z", (F.col("s") - F.col("mu")) / F.col("sd"))
+    return s.withColumns({"px": F.exp("x"), "py": F.exp("y")})
+
+
+_KEYS = ["fold", "a", "b"]
+
+
+def _trades(spread):
+    return grouped.pair_trades(spread.where("NOT train"), _KEYS, "date", "z", entry=1.5, hold=12, prices=("px", "py", "beta"))
 
 
 @query()
 def w47_pair_trades(spark, d):
-    t = grouped.pair_trades(_spread(spark, d).where("fold = 1"), ["a", "b"], "date", "z", entry=1.5, hold=12)
-    return t.select("a", "b", "entry_date", "exit_date", *r6("entry_z", "exit_z"), "bars_held", "reason", *r6("pnl"))
+    t = _trades(_spread(spark, d))
+    return t.select(*_KEYS, "entry_date", "exit_date", *r6("entry_z", "exit_z"), "bars_held", "reason", *r6("pnl", "hedged_pnl"))
 
 
 @query()
 def w48_walk_forward_pairs(spark, d):
-    """Pairs chosen on the first fold by mean reversion, traded on the second, net of costs."""
+    """In each fold, pairs whose spread reverts on the training dates (step-up filter over p-values of the unit-root statistic, half-life from 0.5 to 24 rows) are traded on the test dates, net of costs."""
     s = _spread(spark, d)
-    good = pairs.half_life(s.where("fold = 0"), ["a", "b"], "date", "s").where("half_life IS NOT NULL").select("a", "b", "rho")
-    chosen = pairs.step_up(good.withColumn("p", F.col("rho")), "p", 0.9).where("survives").select("a", "b")
-    t = grouped.pair_trades(s.where("fold = 1").join(chosen, ["a", "b"], "left_semi"), ["a", "b"], "date", "z", entry=1.5, hold=12)
-    net = F.col("pnl") - 10.0 / 10000 - 25.0 / 10000 * F.col("bars_held") / 252
-    return t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trades"), F.round(F.sum(net), 6).alias("net"))
+    fit = pairs.half_life(s.where("train"), _KEYS, "date", "s").withColumn("p", normal_tail(F.col("t"))).where("p IS NOT NULL")
+    chosen = pairs.step_up(fit, "p", 0.2, ["fold"], _KEYS).where("survives AND half_life BETWEEN 0.5 AND 24").select(*_KEYS)
+    t = _trades(s.join(chosen, _KEYS, "left_semi"))
+    net = F.col("hedged_pnl") - 10.0 / 10000 - 25.0 / 10000 * F.col("bars_held") / 252
+    return t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trades"), F.count_distinct("fold").alias("folds"), F.round(F.avg((net > 0).cast("double")), 6).alias("win_rate"), F.round(F.sum(net), 6).alias("net"))
 
 
 @query()
 def a70_pair_summary(spark, d):
-    t = grouped.pair_trades(_spread(spark, d), ["a", "b"], "date", "z", entry=1.5, hold=12)
-    return t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trades"), F.round(F.avg((F.col("pnl") > 0).cast("double")), 6).alias("win_rate"), F.round(F.avg("pnl"), 6).alias("mean"), F.round(F.sum("pnl"), 6).alias("total"), F.round(F.try_divide(F.avg("pnl"), F.stddev_pop("pnl")) * F.sqrt(252 / F.avg("bars_held")), 6).alias("sharpe"))
+    t = _trades(_spread(spark, d))
+    return t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trades"), F.round(F.avg((F.col("hedged_pnl") > 0).cast("double")), 6).alias("win_rate"), F.round(F.avg("hedged_pnl"), 6).alias("mean"), F.round(F.sum("hedged_pnl"), 6).alias("total"), F.round(F.try_divide(F.avg("hedged_pnl"), F.stddev_pop("hedged_pnl")) * F.sqrt(252 / F.avg("bars_held")), 6).alias("sharpe"))
 
 
 @query("SELECT user_id, date_trunc('day', ts) AS start, max_by(value, ts) AS price, round(sum(value), 4) AS qty, count(*) AS n FROM events GROUP BY 1, 2")

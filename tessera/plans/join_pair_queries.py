@@ -93,36 +93,21 @@ def j11_all_pair_statistics(spark, d):
     return pairs.pair_stats(_pairs(spark, d), ["sector"], 20).select("sector", "a", "b", "n", *r6("corr"), F.round("cov", 8).alias("cov"), *r6("beta", "alpha"))
 
 
-@query(""", ev AS (SELECT o_orderkey, o_custkey % 100 AS entity, CAST(o_orderdate AS DATE) AS t FROM orders WHERE o_totalprice > 495000), n AS (SELECT *, lead(price, 1) OVER w / price - 1 AS r1, lead(price, 3) OVER w / price - 1 AS r3 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
- j AS (SELECT ev.*, n.date, n.r1, n.r3, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(n.date - t), n.date) AS rn FROM ev JOIN n ON ev.entity = n.entity)
- SELECT ev.o_orderkey, j.date AS observed, round(r1, 6) AS ret_1, round(r3, 6) AS ret_3 FROM ev LEFT JOIN j ON ev.o_orderkey = j.o_orderkey AND rn = 1""", "bars")
-def j12_nearest_event(spark, d):
-    ev = table(spark, d, "orders").where("o_totalprice > 495000").select("o_orderkey", (F.col("o_custkey") % 100).alias("entity"), F.col("o_orderdate").cast("date").alias("t"))
-    return asof.nearest(ev, bars(spark, d), "entity", "t", "date", "price", [1, 3]).select("o_orderkey", "observed", *r6("ret_1", "ret_3"))
-
-
-@query(""", ev AS (SELECT DISTINCT o_orderkey, l_suppkey AS entity, CAST(o_orderdate AS DATE) AS t FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT *, lead(price, 1) OVER w / price - 1 AS r1, lead(price, 3) OVER w / price - 1 AS r3 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
- x AS (SELECT ev.*, n.date AS d1, n.r1, n.r3 FROM ev ASOF LEFT JOIN n ON ev.entity = n.entity AND ev.t >= n.date), y AS (SELECT x.*, n.date AS d2, n.r1 AS s1, n.r3 AS s3 FROM x ASOF LEFT JOIN n ON x.entity = n.entity AND x.t <= n.date),
+@query(""", ev AS (SELECT DISTINCT o_orderkey, l_suppkey AS entity, CAST(o_orderdate AS DATE) AS t FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT *, lead(price, 5) OVER w / price - 1 AS r1, lead(price, 20) OVER w / price - 1 AS r2, lead(price, 63) OVER w / price - 1 AS r3 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+ x AS (SELECT ev.*, n.date AS d1, n.r1, n.r2, n.r3 FROM ev ASOF LEFT JOIN n ON ev.entity = n.entity AND ev.t >= n.date), y AS (SELECT x.*, n.date AS d2, n.r1 AS s1, n.r2 AS s2, n.r3 AS s3 FROM x ASOF LEFT JOIN n ON x.entity = n.entity AND x.t <= n.date),
  z AS (SELECT *, d1 IS NOT NULL AND (d2 IS NULL OR t - d1 <= d2 - t) AS back FROM y)
- SELECT o_orderkey, entity, CASE WHEN back THEN d1 ELSE d2 END AS observed, round(CASE WHEN back THEN r1 ELSE s1 END, 6) AS ret_1, round(CASE WHEN back THEN r3 ELSE s3 END, 6) AS ret_3 FROM z""", "bars")
-def j12_nearest_event_whole(spark, d):
-    """Every order, once for each of its suppliers; j12_nearest_event and its SQL take the dearest orders and 100 entities only."""
+ SELECT o_orderkey, entity, CASE WHEN back THEN d1 ELSE d2 END AS observed, round(CASE WHEN back THEN r1 ELSE s1 END, 6) AS ret_5, round(CASE WHEN back THEN r2 ELSE s2 END, 6) AS ret_20, round(CASE WHEN back THEN r3 ELSE s3 END, 6) AS ret_63 FROM z""", "bars")
+def j12_nearest_event(spark, d):
+    """Every order, once for each of its suppliers, with the returns 5, 20 and 63 rows later."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("entity")).distinct()
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("t")).distinct()
-    near = asof.nearest(o.join(li, "o_orderkey"), bars(spark, d), "entity", "t", "date", "price", [1, 3]).select("o_orderkey", "entity", "observed", *r6("ret_1", "ret_3"))
+    near = asof.nearest(o.join(li, "o_orderkey"), bars(spark, d), "entity", "t", "date", "price", [5, 20, 63]).select("o_orderkey", "entity", "observed", *r6("ret_5", "ret_20", "ret_63"))
     # Orders without lines have no supplier; they go round the windows, where they would share one key.
     return near.unionByName(o.join(li, "o_orderkey", "left_anti").select("o_orderkey"), allowMissingColumns=True)
 
 
-@query(""", e AS (SELECT date, m FROM market WHERE month(date) % 2 = 0) SELECT entity, date, round(last_value(m IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS m FROM bars LEFT JOIN e USING (date)""", "market")
-def j13_exogenous_fill(spark, d):
-    e = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("m")).where(F.month("date") % 2 == 0)
-    return returns.forward_fill(bars(spark, d).join(e, "date", "left"), "entity", "date", "m").select("entity", "date", *r6("m"))
-
-
 @query(""" SELECT entity, date, round(last_value(m IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS m FROM bars LEFT JOIN market USING (date)""", "market")
-def j13_exogenous_fill_whole(spark, d):
-    """All market values; j13_exogenous_fill and its SQL take those of every second month only."""
+def j13_exogenous_fill(spark, d):
     e = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("m"))
     return returns.forward_fill(bars(spark, d).join(e, "date", "left"), "entity", "date", "m").select("entity", "date", *r6("m"))
 
@@ -145,11 +130,29 @@ def j15_forecast_score(spark, d):
     return j.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("fc") - F.col("price"))), 6).alias("mae"), F.round(F.avg(hit.cast("double")), 6).alias("hit"))
 
 
-@query(_PAIRS + ", c AS (SELECT g.regime, a, b, corr(x, y) AS c FROM p JOIN regime g USING (date) GROUP BY 1, 2, 3 HAVING count(*) >= 5) SELECT regime, round(avg(c), 6) AS mean_corr, round(median(c), 6) AS median_corr, count(*) AS n FROM c GROUP BY 1", "regime", "sect")
-def a37_regime_correlation(spark, d):
+_REG = _PAIRS + ", c AS (SELECT g.regime, sector, a, b, corr(x, y) AS c FROM p JOIN regime g USING (date) GROUP BY ALL HAVING count(*) >= 5)"
+
+
+def _by_regime(spark, d):
     p = _pairs(spark, d).join(F.broadcast(regime(spark, d).select("date", "regime")), "date")
-    c = p.groupBy("regime", "a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("c"), F.count(F.lit(1)).alias("k")).where("k >= 5")
-    return c.groupBy("regime").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.round(F.median("c"), 6).alias("median_corr"), F.count(F.lit(1)).alias("n"))
+    return p.groupBy("regime", "sector", "a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("c"), F.count(F.lit(1)).alias("k")).where("k >= 5")
+
+
+@query(_REG + " SELECT regime, round(avg(c), 6) AS mean_corr, round(median(c), 6) AS median_corr, count(*) AS n FROM c GROUP BY 1", "regime", "sect")
+def a37_regime_correlation(spark, d):
+    return _by_regime(spark, d).groupBy("regime").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.round(F.median("c"), 6).alias("median_corr"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_REG + " SELECT regime, sector, round(avg(c), 6) AS mean_corr, count(*) AS n FROM c GROUP BY 1, 2", "regime", "sect")
+def a37_regime_correlation_by_sector(spark, d):
+    return _by_regime(spark, d).groupBy("regime", "sector").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_REG + " SELECT x.a, x.b, x.regime AS one, y.regime AS two, round(y.c - x.c, 6) AS delta FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.regime < y.regime WHERE x.c IS NOT NULL AND y.c IS NOT NULL", "regime", "sect")
+def a37_pair_deltas(spark, d):
+    """How each pair's correlation differs between two regimes."""
+    c = _by_regime(spark, d).where("c IS NOT NULL").groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("regime", "c"))).alias("r"))  # one entry for each regime
+    return c.select("a", "b", F.explode("r").alias("x"), "r").select("a", "b", "x", F.explode("r").alias("y")).where("x.regime < y.regime").select("a", "b", F.col("x.regime").alias("one"), F.col("y.regime").alias("two"), F.round(F.col("y.c") - F.col("x.c"), 6).alias("delta"))
 
 
 @query(_PAIRS + """, e AS (SELECT date AS end_date, row_number() OVER (ORDER BY date) AS k FROM market), w AS (SELECT end_date, k FROM e WHERE k % 6 = 0 AND k >= 12), q AS (SELECT end_date, a, b, corr(x, y) AS c FROM p JOIN e ON p.date = e.end_date JOIN (SELECT end_date AS we, k AS wk FROM w) ON e.k <= wk AND e.k > wk - 12 GROUP BY ALL HAVING false)
@@ -170,11 +173,12 @@ def a41_average_rolling_correlation(spark, d):
     return pairs.rolling_corr(_pairs(spark, d), ["sector"], "date", 12).groupBy("date").agg(F.round(F.avg("corr"), 6).alias("mean_corr"), F.count("corr").alias("n"))
 
 
-@query(", s AS (SELECT sector, date, avg(r) AS g FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL GROUP BY 1, 2) SELECT rets.entity, s.sector, round(corr(r, g), 6) AS corr, s.sector = sect.sector AS home, count(*) AS n FROM rets JOIN s USING (date) JOIN sect ON sect.entity = rets.entity WHERE r IS NOT NULL GROUP BY 1, 2, 4 HAVING count(*) >= 20", "rets", "sect")
+@query(", s AS (SELECT sector, date, avg(r) AS g FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT -1, date, avg(r) FROM rets WHERE r IS NOT NULL GROUP BY 2) SELECT rets.entity, s.sector, round(corr(r, g), 6) AS corr, s.sector = sect.sector AS home, count(*) AS n FROM rets JOIN s USING (date) JOIN sect ON sect.entity = rets.entity WHERE r IS NOT NULL GROUP BY 1, 2, 4 HAVING count(*) >= 20", "rets", "sect")
 def a42_asset_group_correlation(spark, d):
     r, s = rets(spark, d).where("r IS NOT NULL"), sect(spark, d)
     g = returns.group_returns(r, s, "entity", "sector", "date", "r").select("sector", "date", F.col("r").alias("g"))
-    c = r.join(g, "date").groupBy("entity", "sector").agg(safe_corr(F.col("r"), F.col("g")).alias("corr"), F.count(F.lit(1)).alias("n")).where("n >= 20")
+    whole = r.groupBy("date").agg(F.avg("r").alias("g")).select(F.lit(-1).cast(g.schema["sector"].dataType).alias("sector"), "date", "g")  # the market, as group -1
+    c = r.join(g.unionByName(whole), "date").groupBy("entity", "sector").agg(safe_corr(F.col("r"), F.col("g")).alias("corr"), F.count(F.lit(1)).alias("n")).where("n >= 20")
     own = s.select("entity", F.col("sector").alias("own"))
     return c.join(own, "entity").select("entity", "sector", *r6("corr"), (F.col("sector") == F.col("own")).alias("home"), "n")
 
@@ -206,10 +210,23 @@ _SHRINK = """, g AS (SELECT region AS e, date, avg(r) AS x FROM rets JOIN sect U
  i AS (SELECT mu, least(greatest(off / (fro - k * mu * mu) / t, 0), 1) AS intensity FROM t)"""
 
 
-@query(_SHRINK + " SELECT a, b, round(s, 8) AS s, round(intensity, 6) AS intensity, round(intensity * CASE WHEN a = b THEN mu ELSE 0 END + (1 - intensity) * s, 8) AS shrunk FROM s, i", "rets", "sect")
+_ESTIMATES = _SHRINK + """, io AS (SELECT least(greatest(((1 - 2.0::DOUBLE / k) * (fro - k * mu * mu) + (k * mu) * (k * mu)) / ((t + 1 - 2.0::DOUBLE / k) * (fro - k * mu * mu)), 0), 1) AS intensity_oas FROM t),
+ h AS (SELECT e, date, least(greatest(x, avg(x) OVER w - 2.5::DOUBLE * stddev_samp(x) OVER w), avg(x) OVER w + 2.5::DOUBLE * stddev_samp(x) OVER w) AS h FROM g WINDOW w AS (PARTITION BY e)), wn AS (SELECT a.e AS a, b.e AS b, covar_samp(a.h, b.h) AS winsorised FROM h a JOIN h b ON a.date = b.date AND a.e <= b.e GROUP BY 1, 2),
+ est AS (SELECT a, b, s, intensity, intensity * CASE WHEN a = b THEN mu ELSE 0 END + (1 - intensity) * s AS shrunk, intensity_oas, intensity_oas * CASE WHEN a = b THEN mu ELSE 0 END + (1 - intensity_oas) * s AS shrunk_oas, winsorised FROM s JOIN wn USING (a, b), i, io)"""
+
+
+@query(_ESTIMATES + " SELECT a, b, round(s, 8) AS s, round(intensity, 6) AS intensity, round(shrunk, 8) AS shrunk, round(intensity_oas, 6) AS intensity_oas, round(shrunk_oas, 8) AS shrunk_oas, round(winsorised, 8) AS winsorised FROM est", "rets", "sect")
 def a46_shrunk_covariance(spark, d):
     g = returns.group_returns(rets(spark, d), sect(spark, d), "entity", "region", "date", "r")
-    return pairs.shrinkage(g, "region", "date", "r").select("a", "b", F.round("s", 8).alias("s"), *r6("intensity"), F.round("shrunk", 8).alias("shrunk"))
+    e8 = [F.round(c, 8).alias(c) for c in ("s", "shrunk", "shrunk_oas", "winsorised")]
+    return pairs.shrinkage(g, "region", "date", "r").select("a", "b", *e8, *r6("intensity", "intensity_oas"))
+
+
+@query(_ESTIMATES + ", u AS (SELECT a, b, s, estimate, v FROM est UNPIVOT (v FOR estimate IN (shrunk, shrunk_oas, winsorised))) SELECT estimate, round(sqrt(sum(CASE WHEN a = b THEN 1 ELSE 2 END * (v - s) * (v - s))), 7) AS gap, round(sqrt(sum(CASE WHEN a = b THEN 1 ELSE 2 END * (v - s) * (v - s)) / sum(CASE WHEN a = b THEN 1 ELSE 2 END * s * s)), 6) AS relative FROM u GROUP BY 1", "rets", "sect")
+def a46_estimate_gaps(spark, d):
+    g = returns.group_returns(rets(spark, d), sect(spark, d), "entity", "region", "date", "r")
+    out = pairs.frobenius(pairs.shrinkage(g, "region", "date", "r"), "s", ["shrunk", "shrunk_oas", "winsorised"])
+    return out.select("estimate", F.round("gap", 7).alias("gap"), *r6("relative"))
 
 
 @query(_PAIRS + """, o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) - 1 AS k, count(*) OVER (PARTITION BY a, b) AS n FROM p) SELECT a, b, round(sum(CASE WHEN k = n - 1 THEN pow(0.94, k) ELSE 0.06 * pow(0.94, k) END * x * y), 8) AS ewma FROM o GROUP BY 1, 2""", "rets", "sect")
@@ -258,11 +275,15 @@ def a68_pair_regression(spark, d):
     return k.join(pairs.half_life(s, ["a", "b"], "date", "s"), ["a", "b"]).select("a", "b", *r6("beta", "rho", "half_life"))
 
 
-@query(_PAIRS + """, t AS (SELECT a, b, 1 - abs(round(corr(x, y), 6)) AS p FROM p GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS k, count(*) OVER () AS n FROM t), m AS (SELECT coalesce(max(k), 0) AS best FROM o WHERE p <= 0.9 * k / n)
- SELECT a, b, round(p, 6) AS p, k <= best AS survives FROM o, m""", "rets", "sect")
+_TAIL = "CASE WHEN c IS NOT NULL THEN 2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE)))) END"
+
+
+@query(_PAIRS + f""", t AS (SELECT a, b, n, c, abs(c) * sqrt((n - 2) / (1 - c * c)) AS z FROM (SELECT a, b, count(*) AS n, corr(x, y) AS c FROM p GROUP BY 1, 2 HAVING count(*) >= 20)), v AS (SELECT a, b, round({_TAIL}, 9) AS p FROM (SELECT *, 1 / (1 + 0.2316419::DOUBLE * z) AS k FROM t) WHERE c IS NOT NULL),
+ o AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS k, count(*) OVER () AS n FROM v), m AS (SELECT coalesce(max(k), 0) AS best FROM o WHERE p <= 0.1::DOUBLE * k / n) SELECT a, b, round(p, 6) AS p, k <= best AS survives FROM o, m""", "rets", "sect")
 def a69_step_up_filter(spark, d):
-    t = pairs.pair_stats(_pairs(spark, d), ["sector"]).select("a", "b", (1 - F.abs(F.round("corr", 6))).alias("p"))
-    return pairs.step_up(t, "p", 0.9).select("a", "b", *r6("p"), "survives")
+    """p-values of the pairs' correlations, held against each other at a false discovery rate of 10 %."""
+    t = pairs.pair_stats(_pairs(spark, d), ["sector"], 20).where("corr IS NOT NULL").select("a", "b", F.round(pairs.corr_p_value(F.col("corr"), F.col("n")), 9).alias("p"))
+    return pairs.step_up(t, "p", 0.1, ties=["a", "b"]).select("a", "b", *r6("p"), "survives")
 
 
 @query(_PAIRS + ", c AS (SELECT a, b, abs(corr(x, y)) AS c FROM p GROUP BY 1, 2 HAVING count(*) >= 30), s AS (SELECT a AS target, b AS peer, c FROM c UNION ALL SELECT b, a, c FROM c) SELECT target, peer, round(c, 6) AS c FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY c DESC, peer) <= 2 OR row_number() OVER (PARTITION BY target ORDER BY c, peer) <= 2", "rets", "sect")

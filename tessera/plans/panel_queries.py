@@ -6,41 +6,38 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div
-from tessera.operators import index, returns, windows
+from tessera.operators import grouped, index, returns, windows
 from tessera.plans.common import bars, query, r6, rets, sect
 from tessera.registry import table
 
-_FISHER = """, pq AS (SELECT b.entity, date, price, qty, region FROM bars b JOIN sect USING (entity) WHERE price > 0),
- dp AS (SELECT date, lag(date) OVER (ORDER BY date) AS d0 FROM (SELECT DISTINCT date FROM pq)),
- sums AS (SELECT a.region, a.date, dp.d0, sum(a.price * b.qty) AS p1q0, sum(b.price * b.qty) AS p0q0, sum(a.price * a.qty) AS p1q1, sum(b.price * a.qty) AS p0q1, count(*) AS n_items
-  FROM pq a JOIN dp ON a.date = dp.date JOIN pq b ON b.date = dp.d0 AND b.entity = a.entity AND b.region = a.region WHERE a.qty > 0 AND b.qty > 0 GROUP BY 1, 2, 3),
- lk AS (SELECT region, date, d0, n_items, p1q0 / p0q0 AS lp, p1q1 / p0q1 AS pp, p0q1 / p0q0 AS lq, p1q1 / p1q0 AS pqq FROM sums),
- seed AS (SELECT region, min(d0) AS date, CAST(NULL AS BIGINT) AS n_items, 1.0::DOUBLE AS lp, 1.0::DOUBLE AS pp, 1.0::DOUBLE AS fp, 1.0::DOUBLE AS lq, 1.0::DOUBLE AS pqq, 1.0::DOUBLE AS fq FROM lk GROUP BY 1
-  UNION ALL SELECT region, date, n_items, lp, pp, sqrt(lp * pp), lq, pqq, sqrt(lq * pqq) FROM lk),
- chain AS (SELECT region, date, n_items, 100 * exp(sum(ln(lp)) OVER w) AS laspeyres_p, 100 * exp(sum(ln(pp)) OVER w) AS paasche_p, 100 * exp(sum(ln(fp)) OVER w) AS fisher_p,
-  100 * exp(sum(ln(lq)) OVER w) AS laspeyres_q, 100 * exp(sum(ln(pqq)) OVER w) AS paasche_q, 100 * exp(sum(ln(fq)) OVER w) AS fisher_q FROM seed
-  WINDOW w AS (PARTITION BY region ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+#: Levels as products of the ratios between neighbouring dates of the panel, numbered; the first date has 100.
+_LEVEL = """, traded AS (SELECT region, entity, date, dense_rank() OVER (ORDER BY date) AS k, price, qty FROM bars JOIN sect USING (entity) WHERE price > 0),
+ step AS (SELECT t.region, t.date, t.k, count(*) AS n_items, sum(t.price * y.qty) / sum(y.price * y.qty) AS lp, sum(t.price * t.qty) / sum(y.price * t.qty) AS pp, sum(t.qty * y.price) / sum(y.qty * y.price) AS lq, sum(t.qty * t.price) / sum(y.qty * t.price) AS pq
+  FROM traded t JOIN traded y ON (y.entity, y.region, y.k) = (t.entity, t.region, t.k - 1) WHERE t.qty > 0 AND y.qty > 0 GROUP BY ALL),
+ grown AS (SELECT region, date, n_items, product(lp) OVER w AS lp, product(pp) OVER w AS pp, product(lq) OVER w AS lq, product(pq) OVER w AS pq FROM step WINDOW w AS (PARTITION BY region ORDER BY k)
+  UNION ALL SELECT DISTINCT f.region, traded.date, CAST(NULL AS BIGINT), 1, 1, 1, 1 FROM (SELECT region, min(k) - 1 AS k FROM step GROUP BY 1) f JOIN traded USING (k)),
+ level AS (SELECT region, date, n_items, 100 * lp AS laspeyres_p, 100 * pp AS paasche_p, 100 * sqrt(lp * pp) AS fisher_p, 100 * lq AS laspeyres_q, 100 * pq AS paasche_q, 100 * sqrt(lq * pq) AS fisher_q FROM grown)"""
 
 
 def _chain(spark, d):
     return index.fisher_chain(bars(spark, d).join(sect(spark, d).select("entity", "region"), "entity"), "entity", "date", "price", "qty", ["region"])
 
 
-@query(_FISHER + " SELECT region, date, n_items, " + ", ".join(f"round({k}, 6) AS {k}" for k in index.KINDS) + " FROM chain", "bars", "sect")
+@query(_LEVEL + " SELECT region, date, n_items, " + ", ".join(f"round({k}, 6) AS {k}" for k in index.KINDS) + " FROM level", "bars", "sect")
 def w03_fisher_chain(spark, d):
     return _chain(spark, d).select("region", "date", "n_items", *r6(*index.KINDS))
 
 
-@query(_FISHER + """ SELECT region, date, round(fisher_p / lag(fisher_p) OVER w - 1, 6) AS rate_p, round(fisher_q / lag(fisher_q) OVER w - 1, 6) AS rate_q,
- round(fisher_p * fisher_q / lag(fisher_p * fisher_q) OVER w - 1, 6) AS rate_n, CASE WHEN lag(fisher_p) OVER w IS NOT NULL THEN 0.0::DOUBLE END AS gap, round(fisher_p / 100, 6) AS cum_p, round(fisher_q / 100, 6) AS cum_q
- FROM chain WINDOW w AS (PARTITION BY region ORDER BY date)""", "bars", "sect")
+@query(_LEVEL + """, x AS (SELECT region, date, fisher_p AS p, fisher_q AS q, fisher_p * fisher_q AS n, lag(fisher_p) OVER w AS p0, lag(fisher_q) OVER w AS q0, lag(fisher_p, 21) OVER w AS p21, lag(fisher_q, 21) OVER w AS q21 FROM level WINDOW w AS (PARTITION BY region ORDER BY date))
+ SELECT region, date, round(p / p0 - 1, 6) AS rate_p, round(q / q0 - 1, 6) AS rate_q, round(n / (p0 * q0) - 1, 6) AS rate_n, abs(round(n / (p0 * q0) - (p / p0) * (q / q0), 6)) AS gap, round(p / 100, 6) AS cum_p, round(q / 100, 6) AS cum_q,
+ round(100 * (pow(p / p21, 12 / 21.0) - 1), 5) AS ann_p, round(100 * (pow(q / q21, 12 / 21.0) - 1), 5) AS ann_q, round(100 * (pow(n / (p21 * q21), 12 / 21.0) - 1), 5) AS ann_n FROM x""", "bars", "sect")
 def w23_rate_decomposition(spark, d):
-    out = index.rates(_chain(spark, d), ["region"], "date")
-    return out.select("region", "date", *r6("rate_p", "rate_q", "rate_n"), F.abs(F.round("gap", 6)).alias("gap"), *r6("cum_p", "cum_q"))
+    out = index.rates(_chain(spark, d), ["region"], "date", 21, 12)
+    return out.select("region", "date", *r6("rate_p", "rate_q", "rate_n"), F.abs(F.round("gap", 6)).alias("gap"), *r6("cum_p", "cum_q"), *[F.round(c, 5).alias(c) for c in ("ann_p", "ann_q", "ann_n")])
 
 
-@query(_FISHER + """, ref AS (SELECT region, coalesce(max_by(fisher_p, date) FILTER (date <= DATE '1997-06-15'), min_by(fisher_p, date) FILTER (date > DATE '1997-06-15')) AS v FROM chain GROUP BY 1)
- SELECT region, date, round(100 * fisher_p / v, 6) AS rebased FROM chain JOIN ref USING (region)""", "bars", "sect")
+@query(_LEVEL + """, ref AS (SELECT region, coalesce(max_by(fisher_p, date) FILTER (date <= DATE '1997-06-15'), min_by(fisher_p, date) FILTER (date > DATE '1997-06-15')) AS v FROM level GROUP BY 1)
+ SELECT region, date, round(100 * fisher_p / v, 6) AS rebased FROM level JOIN ref USING (region)""", "bars", "sect")
 def w24_rebase(spark, d):
     return returns.rebase(_chain(spark, d).select("region", "date", "fisher_p"), "region", "date", "fisher_p", "1997-06-15").select("region", "date", *r6("rebased"))
 
@@ -114,12 +111,22 @@ def w14_volatility_ratio(spark, d):
     return windows.vol_ratio(rets(spark, d), "entity", "date", "r", 6, 12).select("entity", "date", *r6("vol_ratio"))
 
 
-@query("""SELECT entity, date, round(ln(price / lag(price) OVER w), 6) AS lr1, round(ln(price / lag(price, 5) OVER w), 6) AS lr_s, CASE WHEN count(*) OVER s >= 5 AND count(*) OVER l >= 20 THEN round(avg(price) OVER s / avg(price) OVER l - 1, 6) END AS ma_ratio,
- round((high - low) / price, 6) AS range, CASE WHEN count(*) OVER l >= 20 THEN round((qty - avg(qty) OVER l) / stddev_samp(qty) OVER l, 6) END AS qty_z, round((high + low + price) / 3, 6) AS typical FROM bars
- WINDOW w AS (PARTITION BY entity ORDER BY date), s AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), l AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", "bars")
+#: Wilder's average as a recursion over each entity's rows, from its second row on.
+_RSI = """, n AS (SELECT entity, date, price, row_number() OVER (PARTITION BY entity ORDER BY date) AS k, price - lag(price) OVER (PARTITION BY entity ORDER BY date) AS step FROM bars),
+ rec AS (SELECT entity, date, k, greatest(step, 0) AS up, greatest(-step, 0) AS down FROM n WHERE k = 2 UNION ALL SELECT n.entity, n.date, n.k, up + (greatest(n.step, 0) - up) / 14, down + (greatest(-n.step, 0) - down) / 14 FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1),
+ rsi AS (SELECT entity, date, CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi FROM rec WHERE k > 14)"""
+
+
+@query(_RSI + """, f AS (SELECT *, ln(price / lag(price) OVER w) AS lr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+ g AS (SELECT entity, date, round(lr, 6) AS lr1, round(ln(price / lag(price, 5) OVER w), 6) AS lr_s, CASE WHEN count(*) OVER s >= 5 THEN round(avg(price) OVER s, 6) END AS ma_s, CASE WHEN count(*) OVER l >= 20 THEN round(avg(price) OVER l, 6) END AS ma_l,
+ CASE WHEN count(*) OVER s >= 5 AND count(*) OVER l >= 20 THEN round(avg(price) OVER s / avg(price) OVER l - 1, 6) END AS ma_ratio, CASE WHEN count(lr) OVER l >= 20 THEN round(stddev_samp(lr) OVER l, 6) END AS vol,
+ round((high - low) / price, 6) AS range, CASE WHEN count(*) OVER l >= 20 THEN round((qty - avg(qty) OVER l) / stddev_samp(qty) OVER l, 6) END AS qty_z, round((high + low + price) / 3, 6) AS typical FROM f
+ WINDOW w AS (PARTITION BY entity ORDER BY date), s AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), l AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+ SELECT g.*, round(rsi, 5) AS rsi FROM g LEFT JOIN rsi USING (entity, date)""", "bars")
 def w17_feature_panel(spark, d):
-    out = windows.features(bars(spark, d), "entity", "date", "price", "qty", "high", "low")
-    return out.select("entity", "date", *r6("lr1", "lr_s", "ma_ratio", "range", "qty_z", "typical"))
+    b = bars(spark, d)
+    out = windows.features(b, "entity", "date", "price", "qty", "high", "low").join(grouped.indicators(b, "entity", "date", "price").select("entity", "date", "rsi"), ["entity", "date"])
+    return out.select("entity", "date", *r6("lr1", "lr_s", "ma_s", "ma_l", "ma_ratio", "vol", "range", "qty_z", "typical"), F.round("rsi", 5).alias("rsi"))
 
 
 @query(""", daily AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS price, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2),
@@ -146,25 +153,35 @@ def w20_scale_and_inverse(spark, d):
     return z.withColumn("back", F.col("z") * F.col("sd") + F.col("mu")).select("entity", "date", *r6("z", "unit", "back"))
 
 
-@query(""", m AS (SELECT date, avg(r) AS m, stddev_samp(r) AS dispersion FROM rets WHERE r IS NOT NULL GROUP BY 1)
- SELECT date, round(m, 6) AS m, round(dispersion, 6) AS dispersion, CASE WHEN count(*) OVER w >= 6 THEN round(stddev_samp(m) OVER w, 6) END AS vol FROM m WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""", "rets")
+@query(""", m AS (SELECT date, avg(r) AS m, stddev_samp(r) AS dispersion, """ + ", ".join(f"avg(r) FILTER (region = {k}) AS group_{k}" for k in range(5)) + """ FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL GROUP BY 1)
+ SELECT date, """ + ", ".join(f"round(group_{k}, 6) AS group_{k}" for k in range(5)) + """, round(m, 6) AS m, round(dispersion, 6) AS dispersion, CASE WHEN count(*) OVER w >= 6 THEN round(stddev_samp(m) OVER w, 6) END AS vol FROM m WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""", "rets", "sect")
 def w21_exogenous_channels(spark, d):
-    m = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("dispersion"))
+    regions = sorted(r.r_regionkey for r in table(spark, d, "region").select("r_regionkey").distinct().collect())
+    x = rets(spark, d).where("r IS NOT NULL").join(sect(spark, d), "entity")
+    groups = [f"group_{k}" for k in regions]
+    m = x.groupBy("date").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("dispersion"), *[F.avg(F.when(F.col("region") == k, F.col("r"))).alias(f"group_{k}") for k in regions])
     w = Window.orderBy("date").rowsBetween(-5, 0)  # one row per date
-    return m.withColumn("vol", F.when(F.count("m").over(w) >= 6, F.stddev_samp("m").over(w))).select("date", *r6("m", "dispersion", "vol"))
+    return m.withColumn("vol", F.when(F.count("m").over(w) >= 6, F.stddev_samp("m").over(w))).select("date", *r6("m", "dispersion", "vol", *groups))
 
 
-@query("""SELECT entity, date, CASE WHEN count(r) OVER w >= 20 AND count(qty) OVER w >= 20 THEN round(greatest(abs((r - avg(r) OVER w) / stddev_samp(r) OVER w), abs((qty - avg(qty) OVER w) / stddev_samp(qty) OVER w)), 6)
- WHEN count(qty) OVER w >= 20 THEN round(abs((qty - avg(qty) OVER w) / stddev_samp(qty) OVER w), 6) END AS score FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""", "rets")
+@query(""", a AS (SELECT entity, date, lr, qty, CASE WHEN count(*) OVER w >= 10 THEN price - median(price) OVER w END AS res FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ z AS (SELECT entity, date, CASE WHEN count(lr) OVER w >= 10 AND stddev_samp(lr) OVER w > 0 THEN (lr - avg(lr) OVER w) / stddev_samp(lr) OVER w END AS ret_z, CASE WHEN count(res) OVER w >= 10 AND stddev_samp(res) OVER w > 0 THEN res / stddev_samp(res) OVER w END AS resid_z,
+  CASE WHEN count(*) OVER w >= 5 AND stddev_samp(qty) OVER w > 0 THEN (qty - avg(qty) OVER w) / stddev_samp(qty) OVER w END AS vol_z FROM a WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ disp AS (SELECT date, stddev_samp(lr) AS d FROM rets WHERE lr IS NOT NULL GROUP BY 1), shock AS (SELECT date, d / avg(d) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS shock FROM disp),
+ s AS (SELECT *, greatest(abs(ret_z), abs(resid_z), abs(vol_z)) AS score FROM z)
+ SELECT entity, date, round(ret_z, 5) AS ret_z, round(resid_z, 5) AS resid_z, round(vol_z, 5) AS vol_z, round(score, 5) AS score, coalesce(score >= 3, false) AS is_anomaly, round(shock, 6) AS market_shock FROM s LEFT JOIN shock USING (date)""", "rets")
 def w22_anomaly_score(spark, d):
-    return windows.anomaly_score(rets(spark, d), "entity", "date", "r", "qty").select("entity", "date", *r6("score"))
+    out = windows.anomalies(bars(spark, d), "entity", "date", "price", "qty")
+    return out.select("entity", "date", *[F.round(c, 5).alias(c) for c in ("ret_z", "resid_z", "vol_z", "score")], "is_anomaly", *r6("market_shock"))
 
 
-@query("""SELECT date, CASE WHEN count(*) OVER l >= 12 THEN round(stddev_samp(m) OVER l / stddev_samp(m) OVER s - 1, 6) END AS slope, CASE WHEN count(*) OVER l >= 12 THEN stddev_samp(m) OVER l > stddev_samp(m) OVER s END AS contango FROM market
- WINDOW s AS (ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), l AS (ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""", "market")
+@query(", v AS (SELECT date, " + ", ".join(f"CASE WHEN count(*) OVER w{k} >= {k} THEN stddev_samp(m) OVER w{k} * sqrt(252) END AS vol_{k}" for k in (3, 6, 9, 12, 18)) + " FROM market WINDOW " + ", ".join(f"w{k} AS (ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (3, 6, 9, 12, 18)) + """)
+ SELECT date, round(vol_3, 6) AS vol_3, round(vol_6, 6) AS vol_6, round(vol_9, 6) AS vol_9, round(vol_12, 6) AS vol_12, round(vol_18, 6) AS vol_18, round(vol_6 / vol_3 - 1, 6) AS slope_6, round(vol_9 / vol_6 - 1, 6) AS slope_9, round(vol_12 / vol_9 - 1, 6) AS slope_12, round(vol_18 / vol_12 - 1, 6) AS slope_18,
+ round(vol_18 / vol_3 - 1, 6) AS slope, vol_18 > vol_3 AS contango FROM v""", "market")
 def w28_term_structure(spark, d):
     m = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("m")).withColumn("universe", F.lit("all"))
-    return windows.term_structure(m, "universe", "date", "m", [3, 6, 12]).select("date", *r6("slope"), "contango")
+    rows = [3, 6, 9, 12, 18]
+    return windows.term_structure(m, "universe", "date", "m", rows).select("date", *r6(*[f"vol_{k}" for k in rows], *[f"slope_{k}" for k in rows[1:]], "slope"), "contango")
 
 
 @query("SELECT entity, as_of, round(roe, 6) AS roe, round(amount, 2) AS amount FROM latest", "latest")
@@ -189,15 +206,9 @@ def a05_basket_levels(spark, d):
     return returns.levels(returns.group_returns(rets(spark, d), sect(spark, d), "entity", "sector", "date", "r", 4), "sector", "date", "r").select("sector", "date", *r6("level"))
 
 
-@query("""SELECT date, round(max(CASE WHEN region = 0 THEN p END), 6) AS "0", round(max(CASE WHEN region = 1 THEN p END), 6) AS "1", round(max(CASE WHEN region = 2 THEN p END), 6) AS "2" FROM (SELECT date, region, avg(price) AS p FROM bars JOIN sect USING (entity) GROUP BY 1, 2) GROUP BY 1""", "bars", "sect")
-def a06_pivot_wide(spark, d):
-    p = bars(spark, d).join(sect(spark, d), "entity").groupBy("date", "region").agg(F.avg("price").alias("p"))
-    return p.groupBy("date").pivot("region", [0, 1, 2]).agg(F.round(F.first("p"), 6))
-
-
 @query("SELECT date, " + ", ".join(f'round(max(CASE WHEN region = {k} THEN p END), 6) AS "{k}"' for k in range(5)) + " FROM (SELECT date, region, avg(price) AS p FROM bars JOIN sect USING (entity) GROUP BY 1, 2) GROUP BY 1", "bars", "sect")
-def a06_pivot_wide_whole(spark, d):
-    """A column for each region of the table; a06_pivot_wide and its SQL have the first three of five."""
+def a06_pivot_wide(spark, d):
+    """A column for each region of the table."""
     keys = sorted(r.r_regionkey for r in table(spark, d, "region").select("r_regionkey").distinct().collect())
     p = bars(spark, d).join(sect(spark, d), "entity").groupBy("date", "region").agg(F.avg("price").alias("p"))
     return p.groupBy("date").pivot("region", keys).agg(F.round(F.first("p"), 6))
@@ -228,9 +239,7 @@ def t02_last_rows_per_entity(spark, d):
     return returns.last_rows(bars(spark, d), "entity", "date", 3).select("entity", "date", *r6("price"))
 
 
-@query("SELECT entity, region, last_price, qty FROM (SELECT entity, CAST(year(date) AS BIGINT) AS region, round(max_by(price, date), 6) AS last_price, sum(qty) AS qty FROM bars GROUP BY 1, 2)", "bars")
+@query("SELECT entity, year, last_price, qty FROM (SELECT entity, CAST(year(date) AS BIGINT) AS year, round(max_by(price, date), 6) AS last_price, sum(qty) AS qty FROM bars GROUP BY 1, 2)", "bars")
 def a07_last_price_by_year(spark, d):
     out = returns.last_in_period(bars(spark, d), "year", "entity", "date", "price", "qty")
-    return out.select("entity", F.year("period").cast("long").alias("region"), F.round("price", 6).alias("last_price"), "qty")
-
-
+    return out.select("entity", F.year("period").cast("long").alias("year"), F.round("price", 6).alias("last_price"), "qty")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import bins, div, pct_rank, zscore
-from tessera.operators import peers, regimes, returns, risk, windows
+from tessera.functions.columns import bins, div, pct_rank, safe_corr, zscore
+from tessera.operators import pairs, peers, regimes, returns, risk, windows
 from tessera.plans.common import bars, fund, latest, market, query, r6, regime, rets, sect
+from tessera.operators.ranks import with_pct_ranks, with_rank, with_zscores
 from tessera.registry import table
+from tessera.scratch import cut
 
 
 def _members(spark, d):
@@ -42,18 +44,20 @@ def a10_annualised(spark, d):
     return risk.ann_stats(rets(spark, d), ["entity"], "r").select("entity", *r6("ann_ret", "ann_vol", "sharpe"))
 
 
-@query(_BASKET + """, q AS (SELECT basket, 100 * max_by(l, date) / (100 * min_by(l, date)) AS x, count(*) AS n, min(dd) AS max_dd FROM dd GROUP BY 1) SELECT basket, round(x - 1, 6) AS total, round(pow(x, 12.0 / (n - 1)) - 1, 6) AS cagr, round(max_dd, 6) AS max_dd, rank() OVER (ORDER BY round(x, 9) DESC) AS rank FROM q""", "rets", "sect")
+@query(_BASKET + """, k AS (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY date) AS k FROM dd), q AS (SELECT basket, max_by(l, date) / min_by(l, date) AS x, count(*) AS n, min(dd) AS max_dd, stddev_samp(b) FILTER (k > 1) * sqrt(12) AS vol, avg(b) FILTER (k > 1) * 12 AS ret FROM k GROUP BY 1)
+ SELECT basket, round(x - 1, 6) AS total, round(pow(x, 12.0 / (n - 1)) - 1, 6) AS cagr, round(vol, 6) AS vol, round(ret / vol, 6) AS sharpe, round(max_dd, 6) AS max_dd, rank() OVER (ORDER BY round(x, 9) DESC) AS rank FROM q""", "rets", "sect")
 def a11_level_performance(spark, d):
     ew = returns.group_returns(rets(spark, d), _members(spark, d), "entity", "basket", "date", "r")
     p = risk.level_stats(returns.levels(ew, "basket", "date", "r"), ["basket"], "date", "level")
-    return p.withColumn("rank", F.rank().over(Window.orderBy(F.desc(F.round(F.col("total") + 1, 9)))).cast("long")).select("basket", *r6("total", "cagr", "max_dd"), "rank")  # one row per basket
+    return p.withColumn("rank", F.rank().over(Window.orderBy(F.desc(F.round(F.col("total") + 1, 9)))).cast("long")).select("basket", *r6("total", "cagr", "vol", "sharpe", "max_dd"), "rank")  # one row per basket
 
 
-@query(_BASKET + """, s AS (SELECT basket, avg(b) * 12 AS ret, stddev_samp(b) * sqrt(12) AS vol FROM ew GROUP BY 1), mk AS (SELECT avg(m) * 12 AS bench FROM market) SELECT basket, round(ret, 6) AS ret, round(vol, 6) AS vol, round(ret - bench, 6) AS excess, rank() OVER (ORDER BY round(ret / vol, 9) DESC) AS rank FROM s, mk""", "market", "sect")
+@query(_BASKET + """, s AS (SELECT basket, avg(b) * 12 AS ret, stddev_samp(b) * sqrt(12) AS vol, min(dd) AS max_dd FROM dd GROUP BY 1), mk AS (SELECT avg(m) * 12 AS bench FROM market) SELECT basket, round(ret, 6) AS ret, round(vol, 6) AS vol, round(ret - bench, 6) AS excess, round(max_dd, 6) AS max_dd, round(ret / abs(max_dd), 5) AS calmar, rank() OVER (ORDER BY round(ret / vol, 9) DESC) AS rank FROM s, mk""", "market", "sect")
 def a12_index_backtest(spark, d):
     ew = returns.group_returns(rets(spark, d), _members(spark, d), "entity", "basket", "date", "r")
-    s = risk.ann_stats(ew, ["basket"], "r", 0.0, 12).join(F.broadcast(market(spark, d).agg((F.avg("m") * 12).alias("bench"))))
-    return s.select("basket", F.round("ann_ret", 6).alias("ret"), F.round("ann_vol", 6).alias("vol"), F.round(F.col("ann_ret") - F.col("bench"), 6).alias("excess"), F.rank().over(Window.orderBy(F.desc(F.round("sharpe", 9)))).cast("long").alias("rank"))
+    dd = windows.drawdown(returns.levels(ew, "basket", "date", "r"), "basket", "date", "level").groupBy("basket").agg(F.min("dd").alias("max_dd"))
+    s = risk.ann_stats(ew, ["basket"], "r", 0.0, 12).join(dd, "basket").join(F.broadcast(market(spark, d).agg((F.avg("m") * 12).alias("bench"))))
+    return s.select("basket", F.round("ann_ret", 6).alias("ret"), F.round("ann_vol", 6).alias("vol"), F.round(F.col("ann_ret") - F.col("bench"), 6).alias("excess"), *r6("max_dd"), F.round(div(F.col("ann_ret"), F.abs("max_dd")), 5).alias("calmar"), F.rank().over(Window.orderBy(F.desc(F.round("sharpe", 9)))).cast("long").alias("rank"))
 
 
 @query(""", c AS (SELECT entity, date, r, exp(sum(r) OVER (PARTITION BY entity ORDER BY date)) AS cum FROM rets WHERE r IS NOT NULL), x AS (SELECT *, cum / max(cum) OVER (PARTITION BY entity ORDER BY date) - 1 AS dd FROM c)
@@ -108,8 +112,9 @@ def a18_baseline_comparison(spark, d):
  SELECT entity, round(dv, 2) AS dv, round(shares, 4) AS shares, round((rank() OVER (ORDER BY dv) + (count(*) OVER (PARTITION BY dv) - 1) / 2.0) / count(*) OVER (), 6) AS pctile, dv <= (SELECT quantile_cont(dv, 0.2) FROM g) AS illiquid FROM g""", "bars")
 def a19_liquidity(spark, d):
     g = returns.last_rows(bars(spark, d).where("qty > 0"), "entity", "date", 21).groupBy("entity").agg(F.avg(F.col("price") * F.col("qty")).alias("dv"), F.avg("qty").alias("shares"))
+    g = cut(g, "liquidity")
     q = g.agg(F.percentile("dv", F.lit(0.2)).alias("q"))
-    out = g.withColumn("pctile", pct_rank(F.col("dv"), Window.partitionBy()))  # one row per entity
+    out = with_pct_ranks(g, {"pctile": "dv"})
     return out.join(F.broadcast(q)).select("entity", F.round("dv", 2).alias("dv"), F.round("shares", 4).alias("shares"), *r6("pctile"), (F.col("dv") <= F.col("q")).alias("illiquid"))
 
 
@@ -130,21 +135,33 @@ def a21_entity_risk(spark, d):
     return g.join(dd, "entity").select("entity", *r6("vol", "beta", "max_dd"))
 
 
-_MOM = """, b AS (SELECT entity, date, price, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM bars), g AS (SELECT entity, max(price) FILTER (rn = 1) / max(price) FILTER (rn = 4) - 1 AS m3, max(price) FILTER (rn = 1) / max(price) FILTER (rn = 13) - 1 AS m12, max(price) FILTER (rn = 2) / max(price) FILTER (rn = 13) - 1 AS m12_1 FROM b GROUP BY 1),
- z AS (SELECT *, (m3 - avg(m3) OVER ()) / stddev_samp(m3) OVER () AS z3, (m12_1 - avg(m12_1) OVER ()) / stddev_samp(m12_1) OVER () AS z12 FROM g), s AS (SELECT *, 0.4 * z3 + 0.6 * z12 AS score FROM z)"""
+_MOM = """, b AS (SELECT entity, date, price, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM bars), px AS (SELECT entity, max(price) FILTER (rn = 1) AS z, max(price) FILTER (rn = 2) AS p1, max(price) FILTER (rn = 4) AS p3, max(price) FILTER (rn = 7) AS p6, max(price) FILTER (rn = 13) AS p12 FROM b GROUP BY 1),
+ k AS (SELECT entity, date, r, m, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM rets JOIN market USING (date) WHERE r IS NOT NULL), be AS (SELECT entity, covar_samp(r, m) / var_samp(m) AS beta FROM k GROUP BY 1 HAVING count(*) > 12), re AS (SELECT entity, avg(r - beta * m) FILTER (rn <= 3) * 3 AS resid3 FROM k JOIN be USING (entity) GROUP BY 1),
+ g AS (SELECT entity, z / p1 - 1 AS m1, z / p3 - 1 AS m3, z / p6 - 1 AS m6, z / p12 - 1 AS m12, p1 / p12 - 1 AS m12_1, resid3 FROM px LEFT JOIN re USING (entity)),
+ s AS (SELECT *, round((""" + " + ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 0)" for c in ("m1", "m3", "m6", "m12_1", "resid3")) + """) / 5, 6) AS score FROM g),
+ q AS (SELECT *, CAST(1 + floor((row_number() OVER (ORDER BY score, entity) - 1) * 5 / count(*) OVER ()) AS INTEGER) AS bucket FROM s)"""
 
 
 def _momentum(spark, d):
+    """Returns over 1, 3, 6 and 12 rows, 12 less the newest, residual of the market over 3, their mean z-score and its fifths of equal number."""
     b = bars(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date"))))
-    at = lambda n: F.max(F.when(F.col("rn") == n, F.col("price")))
-    g = b.where("rn <= 13").groupBy("entity").agg((div(at(1), at(4)) - 1).alias("m3"), (div(at(1), at(13)) - 1).alias("m12"), (div(at(2), at(13)) - 1).alias("m12_1"))
-    one = Window.partitionBy()  # one row per entity
-    return g.withColumn("score", 0.4 * zscore(F.col("m3"), one) + 0.6 * zscore(F.col("m12_1"), one)).withColumn("all", F.lit(1))
+    at = lambda n: F.max(F.when(F.col("rn") == n + 1, F.col("price")))
+    g = b.where("rn <= 13").groupBy("entity").agg(*[(div(at(0), at(k)) - 1).alias(f"m{k}") for k in (1, 3, 6, 12)], (div(at(1), at(12)) - 1).alias("m12_1"))
+    resid = peers.residual_momentum(rets(spark, d).join(market(spark, d), "date"), "entity", "date", "r", "m", 3, 12).withColumnRenamed("resid", "resid3")
+    parts = ["m1", "m3", "m6", "m12_1", "resid3"]
+    x = with_zscores(cut(g.join(resid, "entity", "left"), "momentum"), {f"z_{c}": c for c in parts})
+    x = cut(x.withColumn("score", F.round(sum((F.col(f"z_{c}") for c in parts), F.lit(0.0)) / len(parts), 6)).drop(*[f"z_{c}" for c in parts]), "scores")
+    return peers.even_buckets(x, ["score", "entity"], 5)
 
 
-@query(_MOM + ", e AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS q FROM s) SELECT entity, round(m3, 6) AS m3, round(m12, 6) AS m12, round(m12_1, 6) AS m12_1, round(score, 6) AS score, CAST(1 + len(list_filter(q, lambda x : x < score)) AS INTEGER) AS bucket FROM s, e", "bars")
+@query(_MOM + " SELECT entity, round(m1, 6) AS m1, round(m3, 6) AS m3, round(m6, 6) AS m6, round(m12, 6) AS m12, round(m12_1, 6) AS m12_1, round(resid3, 6) AS resid3, score, bucket FROM q", "market")
 def a22_momentum(spark, d):
-    return peers.quintile(_momentum(spark, d), "all", "score").select("entity", *r6("m3", "m12", "m12_1", "score"), "bucket")
+    return _momentum(spark, d).select("entity", *r6("m1", "m3", "m6", "m12", "m12_1", "resid3"), "score", "bucket")
+
+
+@query(_MOM + " SELECT bucket, count(*) AS n, round(avg(score), 5) AS score, round(avg(m1), 5) AS m1, round(avg(m12_1), 5) AS m12_1 FROM q GROUP BY 1", "market")
+def a22_momentum_buckets(spark, d):
+    return _momentum(spark, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 5).alias(c) for c in ("score", "m1", "m12_1")])
 
 
 _QB = "(SELECT as_of, quantile_cont(roe, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM fund GROUP BY 1)"
@@ -196,13 +213,27 @@ def w11_cross_section_z(spark, d):
     return fund(spark, d).select("entity", "as_of", F.round(zscore(F.col("roe"), Window.partitionBy("as_of")), 6).alias("z"))
 
 
-@query(""", s AS (SELECT rets.entity, date, sector, r AS sig, lead(price, 1) OVER (PARTITION BY rets.entity ORDER BY date) / price - 1 AS fwd FROM rets JOIN sect USING (entity)), n AS (SELECT *, (rank() OVER (PARTITION BY date, sector ORDER BY sig) + (count(*) OVER (PARTITION BY date, sector, sig) - 1) / 2.0) / count(*) OVER (PARTITION BY date, sector) AS p FROM s WHERE sig IS NOT NULL),
- ls AS (SELECT date, avg(fwd) FILTER (p > 0.8) - avg(fwd) FILTER (p <= 0.2) AS gross FROM n GROUP BY 1) SELECT date, round(gross, 6) AS gross, round(gross - 2 * 10.0 / 10000, 6) AS net FROM ls""", "rets", "sect")
-def a25_long_short_backtest(spark, d):
+_LS = """, s AS (SELECT rets.entity, date, sector, r AS sig, lead(price, 1) OVER (PARTITION BY rets.entity ORDER BY date) / price - 1 AS fwd FROM rets JOIN sect USING (entity)), n AS (SELECT *, (rank() OVER (PARTITION BY date, sector ORDER BY sig) + (count(*) OVER (PARTITION BY date, sector, sig) - 1) / 2.0) / count(*) OVER (PARTITION BY date, sector) AS p FROM s WHERE sig IS NOT NULL),
+ ls AS (SELECT date, avg(fwd) FILTER (p > 0.8) AS up, avg(fwd) FILTER (p <= 0.2) AS down FROM n GROUP BY 1), gs AS (SELECT date, sector, count(*) AS a, count(*) FILTER (p > 0.8) AS c FROM n GROUP BY 1, 2),
+ ex AS (SELECT date, avg(off) AS exposure_dev FROM (SELECT date, c, abs(c / nullif(sum(c) OVER (PARTITION BY date), 0) - a / sum(a) OVER (PARTITION BY date)) AS off FROM gs) WHERE c > 0 GROUP BY 1)"""
+
+
+def _sector_ranks(spark, d):
     s = returns.forward(rets(spark, d).join(sect(spark, d), "entity"), "entity", "date", "price", 1).where("r IS NOT NULL")
-    n = s.withColumn("p", pct_rank(F.col("r"), Window.partitionBy("date", "sector")))
-    g = n.groupBy("date").agg((F.avg(F.when(F.col("p") > 0.8, F.col("fwd"))) - F.avg(F.when(F.col("p") <= 0.2, F.col("fwd")))).alias("gross"))
-    return g.select("date", *r6("gross"), F.round(F.col("gross") - 2 * 10.0 / 10000, 6).alias("net"))
+    return s.withColumn("p", pct_rank(F.col("r"), Window.partitionBy("date", "sector")))
+
+
+@query(_LS + " SELECT ls.date, round(up, 6) AS long, round(-down, 6) AS short, round(up - down, 6) AS gross, round(up - down - 2 * 10.0 / 10000, 6) AS net, round(exposure_dev, 6) AS exposure_dev FROM ls LEFT JOIN ex ON ls.date = ex.date", "rets", "sect")
+def a25_long_short_backtest(spark, d):
+    n = _sector_ranks(spark, d)
+    g = n.groupBy("date").agg(F.avg(F.when(F.col("p") > 0.8, F.col("fwd"))).alias("long"), F.avg(F.when(F.col("p") <= 0.2, F.col("fwd"))).alias("down"))
+    g = g.join(peers.exposure_deviation(n, "date", "sector", F.col("p") > 0.8), "date", "left").withColumn("gross", F.col("long") - F.col("down"))
+    return g.select("date", *r6("long"), F.round(-F.col("down"), 6).alias("short"), *r6("gross"), F.round(F.col("gross") - 2 * 10.0 / 10000, 6).alias("net"), *r6("exposure_dev"))
+
+
+@query(_LS + " SELECT CAST(ceil(round(p * 5, 9)) AS INTEGER) AS bucket, count(*) AS n, round(avg(fwd), 6) AS fwd FROM n GROUP BY 1", "rets", "sect")
+def a25_bucket_returns(spark, d):
+    return _sector_ranks(spark, d).groupBy(F.ceil(F.round(F.col("p") * 5, 9)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fwd"), 6).alias("fwd"))
 
 
 @query(", l AS (SELECT c_mktsegment AS segment, roe, pb FROM latest JOIN customer ON c_custkey = entity), u AS (SELECT segment, metric, v FROM l UNPIVOT (v FOR metric IN (roe, pb))) SELECT segment, metric, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.75), 6) AS p75 FROM u GROUP BY 1, 2", "latest")
@@ -272,25 +303,41 @@ def a32_event_drift(spark, d):
 def a33_event_catalyst(spark, d):
     x = _events(spark, d)
     e = x.groupBy("bucket").agg(F.avg("d1").alias("exp"))
-    j = returns.latest(x, "entity", "as_of").join(F.broadcast(e), "bucket")
-    one = Window.partitionBy()  # one row per entity
-    return j.select("entity", F.round(0.6 * pct_rank(F.col("exp"), one) + 0.4 * pct_rank(F.col("surprise"), one), 6).alias("score"))
+    j = with_pct_ranks(cut(returns.latest(x, "entity", "as_of").join(F.broadcast(e), "bucket").select("entity", "exp", "surprise"), "latest"), {"pe": "exp", "ps": "surprise"})
+    return j.select("entity", F.round(0.6 * F.col("pe") + 0.4 * F.col("ps"), 6).alias("score"))
 
 
 @query(""", k AS (SELECT entity, CASE WHEN roic IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY roic NULLS LAST) + (count(*) OVER (PARTITION BY roic) - 1) / 2.0) / count(roic) OVER () END AS a, (rank() OVER (ORDER BY pb) + (count(*) OVER (PARTITION BY pb) - 1) / 2.0) / count(*) OVER () AS b FROM latest)
  SELECT entity, round(0.7 * a + 0.3 * b, 6) AS score, rank() OVER (ORDER BY round(0.7 * a + 0.3 * b, 6) DESC) AS rank FROM k""", "latest")
 def a36_ranked_composite(spark, d):
-    one = Window.partitionBy()  # one row per entity
-    x = latest(spark, d).withColumns({"a": F.coalesce(pct_rank(F.col("roic"), one), F.lit(0.5)), "b": pct_rank(F.col("pb"), one)}).withColumn("score", F.round(0.7 * F.col("a") + 0.3 * F.col("b"), 6))
-    return x.select("entity", "score", F.rank().over(Window.orderBy(F.desc("score"))).cast("long").alias("rank"))
+    x = with_pct_ranks(cut(latest(spark, d).select("entity", "roic", "pb"), "latest"), {"a": "roic", "b": "pb"})
+    x = cut(x.select("entity", F.round(0.7 * F.coalesce("a", F.lit(0.5)) + 0.3 * F.col("b"), 6).alias("score")), "scores")
+    return with_rank(x, "score").select("entity", "score", "rank")
+
+
+_MASKS = """, v AS (SELECT *, CASE WHEN count(*) OVER w >= 6 THEN stddev_samp(m) OVER w END AS vol, exp(sum(ln(1 + m)) OVER (ORDER BY date)) AS l FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), x AS (SELECT *, l / max(l) OVER (ORDER BY date) - 1 AS dd FROM v), q AS (SELECT quantile_cont(vol, 0.8) AS qv, quantile_cont(m, 0.05) AS qr, quantile_cont(dd, 0.1) AS qd FROM x), mask AS (SELECT date, m, vol, dd, coalesce(vol >= qv, false) AS high_vol, m <= qr AS worst, dd <= qd AS deep FROM x, q)"""
 
 
-@query(""", v AS (SELECT *, CASE WHEN count(*) OVER w >= 6 THEN stddev_samp(m) OVER w END AS vol, exp(sum(ln(1 + m)) OVER (ORDER BY date)) AS l FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), x AS (SELECT *, l / max(l) OVER (ORDER BY date) - 1 AS dd FROM v), q AS (SELECT quantile_cont(vol, 0.8) AS qv, quantile_cont(m, 0.05) AS qr, quantile_cont(dd, 0.1) AS qd FROM x)
- SELECT date, round(vol, 6) AS vol, round(dd, 6) AS dd, coalesce(vol >= qv, false) AS high_vol, m <= qr AS worst, dd <= qd AS deep FROM x, q""", "market")
+@query(_MASKS + " SELECT date, round(vol, 6) AS vol, round(dd, 6) AS dd, high_vol, worst, deep FROM mask", "market")
 def a39_crisis_masks(spark, d):
     return regimes.crisis_masks(market(spark, d), "date", "m").select("date", *r6("vol", "dd"), "high_vol", "worst", "deep")
 
 
+@query(_MASKS + """, k AS (SELECT date, 'all' AS mask FROM mask UNION ALL SELECT date, 'calm' FROM mask WHERE NOT high_vol AND NOT worst AND NOT deep UNION ALL SELECT date, 'high_vol' FROM mask WHERE high_vol UNION ALL SELECT date, 'worst' FROM mask WHERE worst UNION ALL SELECT date, 'deep' FROM mask WHERE deep),
+ z AS (SELECT sector, entity, date, r FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL), c AS (SELECT mask, a.entity AS a, b.entity AS b, corr(a.r, b.r) AS c FROM z a JOIN z b ON a.sector = b.sector AND a.date = b.date AND a.entity < b.entity JOIN k ON k.date = a.date GROUP BY 1, 2, 3 HAVING count(*) >= 4)
+ SELECT mask, (SELECT count(*) FROM k k2 WHERE k2.mask = c.mask) AS days, count(c) AS pairs, round(avg(c), 6) AS mean_corr, round(median(c), 6) AS median_corr FROM c GROUP BY 1""", "market", "sect")
+def a39_crisis_correlation(spark, d):
+    """Average and median correlation of the pairs inside sectors on the dates of each mask."""
+    m = cut(regimes.crisis_masks(market(spark, d), "date", "m"), "masks")
+    calm = ~F.col("high_vol") & ~F.col("worst") & ~F.col("deep")
+    names = F.array_compact(F.array(F.lit("all"), F.when(calm, "calm"), *[F.when(F.col(c), c) for c in ("high_vol", "worst", "deep")]))
+    k = m.select("date", F.explode(names).alias("mask"))
+    p = pairs.paired(rets(spark, d).join(sect(spark, d), "entity"), "entity", "date", "r", ["sector"]).join(F.broadcast(k), "date")
+    c = p.groupBy("mask", "a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    days = k.groupBy("mask").agg(F.count(F.lit(1)).alias("days"))
+    return c.groupBy("mask").agg(F.count("c").alias("pairs"), F.round(F.avg("c"), 6).alias("mean_corr"), F.round(F.median("c"), 6).alias("median_corr")).join(days, "mask").select("mask", "days", "pairs", "mean_corr", "median_corr")
+
+
 @query(", v AS (SELECT sector, entity, stddev_samp(r) * sqrt(252) AS vol FROM rets JOIN sect USING (entity) GROUP BY 1, 2), w AS (SELECT *, 1 / vol / sum(1 / vol) OVER (PARTITION BY sector) AS iv, least(greatest(0.15 / vol, 0.02), 0.25) AS raw FROM v) SELECT sector, entity, round(iv, 6) AS inv_vol, round(raw / sum(raw) OVER (PARTITION BY sector), 6) AS target FROM w", "rets", "sect")
 def a49_inverse_volatility(spark, d):
     v = rets(spark, d).join(sect(spark, d), "entity").groupBy("sector", "entity").agg((F.stddev_samp("r") * 252**0.5).alias("vol"))
@@ -332,10 +379,10 @@ def a54_kelly(spark, d):
     return g.select("entity", F.round(risk.kelly(F.col("mu"), F.col("sd"), F.lit(0.001)), 5).alias("continuous"), F.round(risk.binary_kelly(F.col("p"), F.col("b")), 6).alias("binary"))
 
 
-@query(""", x AS (SELECT entity, ((high + low) / 2) / lag(price) OVER w - 1 AS g, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)) SELECT entity, round(stddev_samp(g), 6) AS gap_std, round(stddev_samp(r), 6) AS ret_std, round(var_samp(g) / var_samp(r), 6) AS variance_share, round(avg(CASE WHEN abs(g) > 0.02 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0 END), 6) AS over_2, round(min(g), 6) AS worst FROM x GROUP BY 1""", "bars")
+@query(""", x AS (SELECT entity, ((high + low) / 2) / lag(price) OVER w - 1 AS g, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)) SELECT entity, round(stddev_samp(g), 6) AS gap_std, round(stddev_samp(r), 6) AS ret_std, round(var_samp(g) / var_samp(r), 6) AS variance_share, round(avg(CASE WHEN abs(g) > 0.02 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0 END), 6) AS over_2, round(avg(CASE WHEN abs(g) > 0.05 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0 END), 6) AS over_5, round(min(g), 6) AS worst FROM x GROUP BY 1""", "bars")
 def a55_gap_profile(spark, d):
     b = bars(spark, d).withColumn("opened", (F.col("high") + F.col("low")) / 2)
-    return risk.gaps(b, "entity", "date", "opened", "price").select("entity", *r6("gap_std", "ret_std", "variance_share", "over_2", "worst"))
+    return risk.gaps(b, "entity", "date", "opened", "price").select("entity", *r6("gap_std", "ret_std", "variance_share", "over_2", "over_5", "worst"))
 
 
 @query(""", x AS (SELECT entity, abs(r) AS x, row_number() OVER (PARTITION BY entity ORDER BY abs(r) DESC) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM rets WHERE abs(r) > 0), t AS (SELECT *, least(greatest(5, floor(0.1 * n)), n - 1) AS k FROM x) SELECT entity, CAST(max(k) AS BIGINT) AS k, round(max(k) / (sum(ln(x)) - max(k) * ln(min(x))), 6) AS alpha FROM t WHERE rn <= k GROUP BY 1""", "rets")
@@ -343,9 +390,9 @@ def a56_hill_index(spark, d):
     return risk.hill(rets(spark, d), ["entity"], "r").select("entity", F.col("k").cast("long").alias("k"), *r6("alpha"))
 
 
-@query(", s AS (SELECT entity, avg(r) AS m, stddev_pop(r) AS s FROM rets GROUP BY 1) SELECT entity, round(avg(CASE WHEN abs((r - m) / s) > 3 THEN 1.0 ELSE 0 END), 6) AS p3, round(avg(CASE WHEN abs((r - m) / s) > 3 THEN 1.0 ELSE 0 END) / 0.0026997960632601866, 4) AS x3, round(kurtosis(r), 6) AS kurtosis FROM rets JOIN s USING (entity) WHERE r IS NOT NULL GROUP BY 1", "rets")
+@query(", s AS (SELECT entity, avg(r) AS m, stddev_pop(r) AS s FROM rets GROUP BY 1) SELECT entity, " + ", ".join(f"round(avg(CASE WHEN abs((r - m) / s) > {k} THEN 1.0 ELSE 0 END), 6) AS p{k}, round(avg(CASE WHEN abs((r - m) / s) > {k} THEN 1.0 ELSE 0 END) / {v!r}, 3) AS x{k}" for k, v in risk.NORMAL_TAIL.items()) + ", round(kurtosis(r), 6) AS kurtosis FROM rets JOIN s USING (entity) WHERE r IS NOT NULL GROUP BY 1", "rets")
 def a57_tail_table(spark, d):
-    return risk.tail_table(rets(spark, d).where("r IS NOT NULL"), ["entity"], "r").select("entity", *r6("p3"), F.round("x3", 4).alias("x3"), *r6("kurtosis"))
+    return risk.tail_table(rets(spark, d).where("r IS NOT NULL"), ["entity"], "r").select("entity", *r6("p3", "p4", "p5"), *[F.round(f"x{k}", 3).alias(f"x{k}") for k in (3, 4, 5)], *r6("kurtosis"))
 
 
 @query(", s AS (SELECT entity, avg(r) AS m, stddev_pop(r) AS s FROM rets GROUP BY 1), u AS (SELECT date, avg((r - m) / s) AS u FROM rets JOIN s USING (entity) WHERE r IS NOT NULL GROUP BY 1) SELECT count(*) AS n, round(stddev_pop(u), 6) AS sd, round(avg(CASE WHEN abs(u - (SELECT avg(u) FROM u)) > 3 * (SELECT stddev_pop(u) FROM u) THEN 1.0 ELSE 0 END), 6) AS p3, round(kurtosis(u), 6) AS kurtosis FROM u", "rets")
@@ -378,15 +425,26 @@ def a62_volatility_beta(spark, d):
     return x.join(F.broadcast(q)).select("entity", F.round("b", 5).alias("vol_beta"), F.when(F.col("b") <= F.col("a"), "safe").when(F.col("b") <= F.col("z"), "middle").otherwise("convex").alias("bucket"))
 
 
-_PR = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER ()"
+_PR = lambda c: f"CASE WHEN {c} IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count({c}) OVER () END"
+#: Weights of the parts of the fragility score.
+FRAGILITY = {"leverage": 0.18, "asset_coverage": 0.12, "interest_coverage": 0.12, "iv_skew": 0.12, "illiquidity": 0.12, "gap_share": 0.14, "tail_fatness": 0.14, "kurtosis": 0.06}
 
 
-@query(f", g AS (SELECT entity, stddev_samp(r) AS vol, -min(r) AS worst, kurtosis_pop(r) AS k FROM rets GROUP BY 1), p AS (SELECT entity, 0.4 * {_PR('vol')} + 0.4 * {_PR('worst')} + 0.2 * {_PR('k')} AS s FROM g) SELECT entity, round(s, 6) AS fragility, {_PR('round(s, 9)')} >= 0.9 AS flagged FROM p", "rets")
+@query(f""", g AS (SELECT entity, max_by(price * qty, date) AS last, kurtosis(r) AS kurtosis, -avg(price * qty) AS illiquidity, count(r) AS n FROM rets GROUP BY 1), o AS (SELECT entity, ((high + low) / 2) / lag(price) OVER w - 1 AS gap, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+ gs AS (SELECT entity, var_samp(gap) / var_samp(r) AS gap_share FROM o GROUP BY 1), x AS (SELECT entity, abs(r) AS x, row_number() OVER (PARTITION BY entity ORDER BY abs(r) DESC) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM rets WHERE abs(r) > 0), t AS (SELECT *, least(greatest(5, floor(0.1 * n)), n - 1) AS k FROM x),
+ h AS (SELECT entity, -max(k) / (sum(ln(x)) - max(k) * ln(min(x))) AS tail_fatness FROM t WHERE rn <= k GROUP BY 1),
+ j AS (SELECT g.entity, de AS leverage, mca AS asset_coverage, 1 / nullif(ic, 0) AS interest_coverage, stab AS iv_skew, illiquidity, gap_share, tail_fatness, kurtosis FROM g LEFT JOIN latest USING (entity) LEFT JOIN gs USING (entity) LEFT JOIN h USING (entity)),
+ p AS (SELECT entity, ({" + ".join(f"{w} * {_PR(c)}" for c, w in FRAGILITY.items())}) / {sum(FRAGILITY.values())} AS s FROM j) SELECT entity, round(s, 6) AS fragility, {_PR('round(s, 6)')} >= 0.9 AS flagged FROM p""", "rets", "latest")
 def a63_fragility(spark, d):
-    g = rets(spark, d).groupBy("entity").agg(F.stddev_samp("r").alias("vol"), (-F.min("r")).alias("worst"), F.kurtosis("r").alias("k"))
-    one = Window.partitionBy()  # one row per entity
-    g = g.withColumn("s", 0.4 * pct_rank(F.col("vol"), one) + 0.4 * pct_rank(F.col("worst"), one) + 0.2 * pct_rank(F.col("k"), one)).withColumn("s9", F.round("s", 9))
-    return g.select("entity", F.round("s", 6).alias("fragility"), (pct_rank(F.col("s9"), one) >= 0.9).alias("flagged"))
+    """Parts without a table of their own stand in: leverage, coverage and skew are those of the customer with the supplier's number; a missing part is neutral."""
+    b = bars(spark, d)
+    g = rets(spark, d).groupBy("entity").agg(risk.sample_kurtosis("r").alias("kurtosis"), (-F.avg(F.col("price") * F.col("qty"))).alias("illiquidity"))
+    own = latest(spark, d).select("entity", F.col("de").alias("leverage"), F.col("mca").alias("asset_coverage"), div(F.lit(1.0), F.col("ic")).alias("interest_coverage"), F.col("stab").alias("iv_skew"))
+    gap = risk.gaps(b.withColumn("opened", (F.col("high") + F.col("low")) / 2), "entity", "date", "opened", "price").select("entity", F.col("variance_share").alias("gap_share"))
+    tail = risk.hill(rets(spark, d), ["entity"], "r").select("entity", (-F.col("alpha")).alias("tail_fatness"))
+    x = cut(g.join(own, "entity", "left").join(gap, "entity", "left").join(tail, "entity", "left"), "fragility")
+    x = risk.weighted_ranks(x, FRAGILITY, "s").select("entity", F.round("s", 6).alias("fragility"))
+    return with_pct_ranks(cut(x, "fragility"), {"p": "fragility"}).select("entity", "fragility", (F.col("p") >= 0.9).alias("flagged"))
 
 
 _FC = ", f AS (SELECT entity, date, price, lag(price) OVER w AS f1, lag(price, 3) OVER w AS f3 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)), h AS (SELECT entity, date, 1 AS horizon, f1 AS fc, price FROM f UNION ALL SELECT entity, date, 3, f3, price FROM f)"
@@ -415,8 +473,6 @@ def a71_trading_costs(spark, d):
 
 @query(_BASKET + ", c AS (SELECT x.basket, avg(corr) AS mean_corr FROM (SELECT x.basket, y.basket AS other, corr(x.b, y.b) AS corr FROM ew x JOIN ew y ON x.date = y.date AND x.basket <> y.basket GROUP BY 1, 2) x GROUP BY 1) SELECT basket, round(avg(b) * 12, 6) AS ret, round(stddev_samp(b) * sqrt(12), 6) AS vol, round(min(mean_corr), 6) AS mean_corr FROM ew JOIN c USING (basket) GROUP BY 1", "rets", "sect")
 def a75_sleeve_performance(spark, d):
-    from tessera.operators import pairs
-
     ew = returns.group_returns(rets(spark, d), _members(spark, d), "entity", "basket", "date", "r")
     c = pairs.pair_stats(pairs.paired(ew, "basket", "date", "r", []), []).select("a", "b", "corr")
     both = c.select(F.col("a").alias("basket"), "corr").unionByName(c.select(F.col("b").alias("basket"), "corr")).groupBy("basket").agg(F.avg("corr").alias("mean_corr"))

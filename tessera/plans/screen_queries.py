@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import pct_rank
-from tessera.operators import screens
-from tessera.plans.common import fund, latest, query, r6
+from tessera.operators import risk, screens
+from tessera.plans.common import fund, latest, query, r6, rets
 from tessera.registry import table
 
 _INV = lambda c, t: f"(CASE WHEN {c} IS NULL THEN 0.0 WHEN {c} <= {t} THEN 1.0 ELSE least(greatest(1 - ({c} - {t}) / ({t} * 1.5), 0), 1) END)"
@@ -122,26 +122,61 @@ def p23_explore_segment(spark, d):
     return top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("composite"))).cast("long")).where("rank <= 50").select("entity", "segment", "composite", "rank")
 
 
-_SCEN = [("base", 0.15, 0.15, 1.0, 9.0, 1.5, 0.5), ("loose_value", 0.15, 0.15, 1.0, 12.0, 2.5, 1.0), ("tight_quality", 0.2, 0.2, 0.5, 9.0, 1.5, 0.5), ("no_pb", 0.15, 0.15, 1.0, 9.0, None, 0.5)]
-_SCEN_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else "NULL" if x is None else f"{x}::DOUBLE" for x in r) + ")" for r in _SCEN) + ") t(scenario, t_roe, t_roic, t_de, t_ev, t_pb, t_mca)"
+#: The one-at-a-time grid of thresholds, and named scenarios.
+_GRID = {"roe": [0.10, 0.12, 0.15, 0.18, 0.20], "roic": [0.10, 0.12, 0.15, 0.18], "de": [0.5, 1.0, 1.5, 2.0], "ev": [7.0, 9.0, 12.0, 15.0], "pb": [1.0, 1.5, 2.0, 3.0], "mca": [0.3, 0.5, 0.8, 1.2]}
+_NAMED = {"tight": [0.18, 0.18, 0.5, 7.0, 1.0, 0.3], "base": [0.15, 0.15, 1.0, 9.0, 1.5, 0.5], "relaxed_quality": [0.12, 0.12, 1.0, 9.0, 1.5, 0.5], "relaxed_value": [0.15, 0.15, 1.0, 12.0, 2.0, 0.8], "relaxed_both": [0.12, 0.12, 1.5, 12.0, 2.0, 0.8], "buffett_fair": [0.15, 0.15, 1.0, 15.0, 3.0, 1.5]}
+_BASE = screens.THRESHOLDS["normal"]
+_SCEN = [("one_at_a_time", k, str(v), *(_BASE | {k: v}).values()) for k, values in _GRID.items() for v in values] + [("scenario", k, "", *v) for k, v in _NAMED.items()] + [("drop", k, "", *(_BASE | {k: None}).values()) for k in _BASE]
+_SCEN_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else "NULL" if x is None else f"{x}::DOUBLE" for x in r) + ")" for r in _SCEN) + ") t(mode, param, value, t_roe, t_roic, t_de, t_ev, t_pb, t_mca)"
+_HOLDS = " AND ".join(f"(t_{k} IS NULL OR coalesce({c} {op} t_{k}, false))" for k, (c, op) in screens.LEGS.items())
+#: Risk of baskets given as rows of mem (basket, entity): their equal-weight series and the members' own.
+_MEM_RISK = """, m AS (SELECT basket, entity, date, r FROM rets JOIN mem USING (entity) WHERE r IS NOT NULL), ew AS (SELECT basket, date, avg(r) AS b FROM m GROUP BY 1, 2), pa AS (SELECT *, exp(sum(ln(1 + b)) OVER (PARTITION BY basket ORDER BY date)) AS l FROM ew),
+ dd AS (SELECT *, l / max(l) OVER (PARTITION BY basket ORDER BY date) - 1 AS dd FROM pa), e AS (SELECT basket, entity, stddev_samp(r) AS v, covar_samp(r, b) / var_samp(b) AS beta FROM m JOIN ew USING (basket, date) GROUP BY 1, 2),
+ risk AS (SELECT basket, vol, max_dd, member_vol, beta FROM (SELECT basket, stddev_samp(b) * sqrt(252) AS vol, min(dd) AS max_dd FROM dd GROUP BY 1) JOIN (SELECT basket, avg(v) * sqrt(252) AS member_vol, avg(beta) AS beta FROM e GROUP BY 1) USING (basket))"""
 
 
-@query(f""", p AS (SELECT scenario, entity, (roe >= t_roe) AND coalesce(roic >= t_roic, false) AND de <= t_de AND ev <= t_ev AND (t_pb IS NULL OR pb <= t_pb) AND mca <= t_mca AS ok FROM fund, {_SCEN_SQL}),
- g AS (SELECT scenario, count(*) FILTER (ok) AS n FROM p GROUP BY 1) SELECT scenario, n, n - (SELECT n FROM g WHERE scenario = 'base') AS delta FROM g""", "fund")
-def p24_stress_grid(spark, d):
-    scen = spark.createDataFrame(_SCEN, "scenario string, " + ", ".join(f"t_{k} double" for k in screens.LEGS))
-    g = screens.stressed(fund(spark, d), scen).groupBy("scenario").agg(F.count_if("all_pass").alias("n"))
-    base = g.where("scenario = 'base'").select(F.col("n").alias("base"))
-    return g.join(F.broadcast(base)).select("scenario", "n", (F.col("n") - F.col("base")).alias("delta"))
+def _basket_risk(spark, d, members):
+    """Risk of baskets (basket, entity) of customers, whose prices are those of the suppliers with their numbers."""
+    return risk.basket_risk(rets(spark, d), members, "entity", "basket", "date", "r").drop("n")
 
 
-@query(f""", s AS (SELECT *, {_FLAGS} FROM fund), t AS (SELECT *, {_NFAIL} AS nf FROM s) SELECT leg, count(*) FILTER (NOT ok) AS fails, count(*) FILTER (nf - CAST(NOT ok AS INTEGER) = 0) AS shadow, count(*) FILTER (NOT ok AND nf = 1) AS only_this
- FROM (SELECT nf, p_roe AS roe, p_roic AS roic, p_de AS de, p_ev AS ev, p_pb AS pb, p_mca AS mca FROM t) UNPIVOT (ok FOR leg IN (roe, roic, de, ev, pb, mca)) GROUP BY 1""", "fund")
+@query(f""", sc AS (SELECT *, mode || ':' || param || ':' || value AS basket FROM {_SCEN_SQL}), p AS (SELECT basket, mode, param, value, entity, {_HOLDS} AS ok FROM latest, sc), mem AS (SELECT basket, entity FROM p WHERE ok){_MEM_RISK},
+ b AS (SELECT entity FROM p WHERE ok AND basket = 'scenario:base:'), g AS (SELECT basket, mode, param, value, count(*) FILTER (ok) AS n, count(*) FILTER (ok AND entity NOT IN (SELECT entity FROM b)) AS n_new FROM p GROUP BY 1, 2, 3, 4)
+ SELECT mode, param, value, n, n - (SELECT count(*) FROM b) AS delta, n_new, round(vol, 6) AS vol, round(max_dd, 6) AS max_dd, round(member_vol, 6) AS member_vol, round(beta, 6) AS beta FROM g LEFT JOIN risk USING (basket)""", "latest", "rets")
+def p24_stress_grid(spark, d):
+    """Thresholds changed one at a time, in named scenarios and with a leg dropped: passes, change and new names against the base, risk of the basket."""
+    scen = spark.createDataFrame(_SCEN, "mode string, param string, value string, " + ", ".join(f"t_{k} double" for k in screens.LEGS)).withColumn("basket", F.concat_ws(":", "mode", "param", "value"))
+    p = screens.stressed(latest(spark, d), scen).select("basket", "mode", "param", "value", "entity", "all_pass")
+    base = p.where("all_pass AND basket = 'scenario:base:'").select("entity", F.lit(True).alias("in_base"))
+    g = p.join(base, "entity", "left").groupBy("basket", "mode", "param", "value").agg(F.count_if("all_pass").alias("n"), F.count_if(F.col("all_pass") & F.col("in_base").isNull()).alias("n_new"))
+    n0 = base.agg(F.count(F.lit(1)).alias("n0"))
+    out = g.join(F.broadcast(n0)).join(_basket_risk(spark, d, p.where("all_pass").select("basket", "entity")), "basket", "left")
+    return out.select("mode", "param", "value", "n", (F.col("n") - F.col("n0")).alias("delta"), "n_new", *r6("vol", "max_dd", "member_vol", "beta"))
+
+
+@query(f""", s AS (SELECT *, {_FLAGS} FROM latest), t AS (SELECT *, {_NFAIL} AS nf FROM s), u AS (SELECT entity, nf, leg, ok FROM (SELECT entity, nf, p_roe AS roe, p_roic AS roic, p_de AS de, p_ev AS ev, p_pb AS pb, p_mca AS mca FROM t) UNPIVOT (ok FOR leg IN (roe, roic, de, ev, pb, mca))),
+ mem AS (SELECT leg AS basket, entity FROM u WHERE nf - CAST(NOT ok AS INTEGER) = 0 UNION ALL SELECT 'base', entity FROM t WHERE nf = 0){_MEM_RISK},
+ g AS (SELECT leg, count(*) FILTER (NOT ok) AS fails, count(*) FILTER (ok) AS passes, count(*) FILTER (nf - CAST(NOT ok AS INTEGER) = 0) AS shadow, count(*) FILTER (NOT ok AND nf = 1) AS only_this FROM u GROUP BY 1)
+ SELECT g.*, round(x.vol, 6) AS vol, round(x.max_dd, 6) AS max_dd, round(x.vol - (SELECT vol FROM risk WHERE basket = 'base'), 6) AS vol_delta FROM g LEFT JOIN risk x ON x.basket = leg""", "latest", "rets")
 def p25_binding_legs(spark, d):
-    x = screens.with_legs(fund(spark, d)).select("n_failed", *[F.col(f"pass_{k}").alias(k) for k in screens.LEGS])
-    u = x.unpivot("n_failed", list(screens.LEGS), "leg", "ok")
-    miss = (~F.col("ok")).cast("int")
-    return u.groupBy("leg").agg(F.count_if(~F.col("ok")).alias("fails"), F.count_if(F.col("n_failed") - miss == 0).alias("shadow"), F.count_if(~F.col("ok") & (F.col("n_failed") == 1)).alias("only_this"))
+    """Per leg: fails, passes, names that pass without the leg (and those that only it keeps out), risk of that shadow basket against the base."""
+    x = screens.with_legs(latest(spark, d)).select("entity", "n_failed", *[F.col(f"pass_{k}").alias(k) for k in screens.LEGS])
+    u = x.unpivot(["entity", "n_failed"], list(screens.LEGS), "leg", "ok")
+    shadow = F.col("n_failed") - (~F.col("ok")).cast("int") == 0
+    g = u.groupBy("leg").agg(F.count_if(~F.col("ok")).alias("fails"), F.count_if("ok").alias("passes"), F.count_if(shadow).alias("shadow"), F.count_if(~F.col("ok") & (F.col("n_failed") == 1)).alias("only_this"))
+    members = u.where(shadow).select(F.col("leg").alias("basket"), "entity").unionByName(x.where("n_failed = 0").select(F.lit("base").alias("basket"), "entity"))
+    r = _basket_risk(spark, d, members).select(F.col("basket").alias("leg"), "vol", "max_dd")
+    base = r.where("leg = 'base'").agg(F.max("vol").alias("base_vol"))
+    return g.join(r, "leg", "left").join(F.broadcast(base)).select("leg", "fails", "passes", "shadow", "only_this", *r6("vol", "max_dd"), F.round(F.col("vol") - F.col("base_vol"), 6).alias("vol_delta"))
+
+
+@query(f""", s AS (SELECT *, {_FLAGS} FROM latest), t AS (SELECT *, {_NFAIL} AS n_failed, {_FAILED} AS failed_legs FROM s)
+ SELECT entity, n_failed, CASE WHEN n_failed = 1 THEN failed_legs END AS failed_leg, round(roe - 0.15, 6) AS roe_gap, round(roic - 0.15, 6) AS roic_gap, round(1.0 - de, 6) AS de_gap, round(9.0 - ev, 6) AS ev_gap, round(1.5 - pb, 6) AS pb_gap, round(0.5 - mca, 6) AS mca_gap FROM t WHERE n_failed > 0""", "latest")
+def p25_near_misses(spark, d):
+    """Names outside the base set: how far each leg lies from its threshold, and the leg where it is the only one."""
+    g = screens.gaps()
+    x = screens.with_legs(latest(spark, d)).withColumns(g).where("n_failed > 0")
+    return x.select("entity", "n_failed", F.when(F.col("n_failed") == 1, F.col("failed_legs")).alias("failed_leg"), *r6(*g))
 
 
 @query(f""", s AS (SELECT *, {_FLAGS} FROM latest) SELECT entity, CASE WHEN b AND t THEN 'dual' WHEN b THEN 'quality_only' WHEN t THEN 'value_only' ELSE 'neither' END AS gap FROM (SELECT entity, p_roe AND p_roic AND p_de AS b, p_ev AND p_pb AND p_mca AS t FROM s)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import clean
+from tessera.functions.columns import clean, row_hash
 
 #: Row count up to which an entity list is sent to all executors instead of being joined by shuffle.
 FEW_ENTITIES = 10_000
@@ -50,9 +52,9 @@ def csv_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_last_wins(base: DataFrame, new: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Both tables, one row per key: that of the highest sequence number."""
-    w = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
-    return base.unionByName(new).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Both tables, one row per key: that of the highest sequence number, of equal ones the new table's, then that of the largest hash."""
+    w = Window.partitionBy(*keys).orderBy(F.col(seq).desc(), F.col("_new").desc(), row_hash(base).desc())
+    return base.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
 def resolve_conflicts(df: DataFrame, keys: list[str], numbers: list[str], label: str) -> DataFrame:
@@ -92,19 +94,28 @@ def records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def recent(df: DataFrame, time: str, days: int) -> DataFrame:
-    """Rows of the last so many days up to the newest date."""
+def recent(df: DataFrame, time: str, days: int, rows: int | None = None) -> DataFrame:
+    """Rows of the last so many days up to the newest date; with ``rows``, the newest so many of them (the export's own cap)."""
     last = df.agg(F.max(time).alias("_last"))
-    return df.join(F.broadcast(last), F.col(time) >= F.date_sub("_last", days)).drop("_last")
+    out = df.join(F.broadcast(last), F.col(time) >= F.date_sub("_last", days)).drop("_last")
+    return out if rows is None else out.orderBy(F.col(time).desc(), *[F.col(f"`{c}`") for c in df.columns]).limit(rows)
 
 
-def contract(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> list[tuple[str, bool, str]]:
-    """(table, ok, missing columns) for each table of the contract; reads schemas only."""
+def contract(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
+    """For each table of the contract its missing columns, its rows, the rows with a null in a required column, and ok: nothing is missing, rows are there and all are complete."""
     out = []
     for name, columns in required.items():
-        lack = [c for c in columns if name not in tables or c not in tables[name].columns]
-        out.append((name, not lack, ",".join(lack)))
-    return out
+        df = tables.get(name)
+        if df is None:
+            raise ValueError(f"the contract names a table that isn't given: {name}")
+        lack = [c for c in columns if c not in df.columns]
+        gap = F.lit(False)
+        for c in columns:
+            if c not in lack:
+                gap = gap | F.col(c).isNull()
+        counted = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(gap).alias("incomplete"))
+        out.append(counted.select(F.lit(name).alias("name"), F.lit(",".join(lack)).alias("missing"), "rows", "incomplete", (F.lit(not lack) & (F.col("rows") > 0) & (F.col("incomplete") == 0)).alias("ok")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def single_quarters(facts: DataFrame) -> DataFrame:
@@ -114,7 +125,7 @@ def single_quarters(facts: DataFrame) -> DataFrame:
     """
     rows = facts.select("entity", F.explode("facts").alias("tag", "units")).select("entity", "tag", F.explode("units").alias("unit", "entries")).select("entity", "tag", "unit", F.explode("entries").alias("e")).select("entity", "tag", "unit", "e.*")
     quarter = rows.where(F.col("frame").rlike(r"^CY[0-9]{4}Q[1-4]I?$"))
-    w = Window.partitionBy("entity", "tag", "unit", "end").orderBy(F.col("filed").desc())
+    w = Window.partitionBy("entity", "tag", "unit", "end").orderBy(F.col("filed").desc(), F.col("val").desc())
     return quarter.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

@@ -11,22 +11,44 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import append_last_wins, exists
 
 
+#: Rules for all entities that each arriving row is held against at most.
+FEW_RULES = 200
+
+
 def append_stream(stream: DataFrame, path: str, keys: list[str], time: str, seq: str = "seq", delay: str = "10 minutes"):
-    """Arriving rows into a table, last write wins: repeats of a row are dropped inside the watermark, then each batch is merged into a new version of the table."""
+    """Arriving rows into a table partitioned by day, last write wins: repeats of a row are dropped inside the watermark, then each batch is merged into the days it touches.
+
+    keys hold the time, so rows of one key share a day. A batch's merged days are written beside the table first and then
+    put in their place, so a batch that is run again gives the same table; its cost follows the days, not the table.
+    """
     spark = stream.sparkSession
     once = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([*keys, seq])
 
     def merge(batch: DataFrame, number: int) -> None:
-        past = [n for n in range(number - 1, -2, -1) if n >= 0 and exists(spark, f"{path}/v{n}")][:1]
-        merged = append_last_wins(spark.read.parquet(f"{path}/v{past[0]}"), batch, keys, seq) if past else append_last_wins(batch, batch.limit(0), keys, seq)
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")  # a batch that is run again writes the same version
+        table, beside = f"{path}/table", f"{path}/batch"
+        new = batch.withColumn("day", F.to_date(time))
+        old = spark.read.parquet(table) if exists(spark, table) else new.limit(0)
+        touched = new.select("day").distinct()
+        append_last_wins(old.join(touched, "day", "left_semi").select(*new.columns), new, keys, seq).write.mode("overwrite").parquet(beside)
+        spark.read.parquet(beside).write.partitionBy("day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(table)
 
     return once.writeStream.foreachBatch(merge)
 
 
 def level_alerts(stream: DataFrame, rules: DataFrame) -> DataFrame:
-    """R02, stateless: arriving rows (entity, ts, price) that cross a rule's level; rules (rule_id, target, side, level) are a small static table."""
-    hit = stream.join(F.broadcast(rules), (F.col("target") == "*") | (F.col("target") == F.col("entity").cast("string")))
+    """R02, stateless: arriving rows (entity, ts, price) that cross a rule's level; rules (rule_id, target, side, level) are a static table.
+
+    Rules with a target meet their entity's rows by an equal key; those for all ('*') travel as one array of at most
+    FEW_RULES, and more of them are an error.
+    """
+    every = rules.where("target = '*'").select("rule_id", "side", "level").limit(FEW_RULES + 1).collect()
+    if len(every) > FEW_RULES:
+        raise ValueError(f"more than {FEW_RULES} rules for all entities")
+    named = stream.withColumn("target", F.col("entity").cast("string")).join(rules.where("target <> '*'"), "target").drop("target")
+    hit = named
+    if every:
+        each = F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.side).alias("side"), F.lit(r.level).alias("level")) for r in every]))
+        hit = stream.withColumn("_r", each).select(*stream.columns, "_r.*").unionByName(named)
     return hit.where(F.when(F.col("side") == "above", F.col("price") > F.col("level")).otherwise(F.col("price") < F.col("level"))).select("rule_id", "entity", "ts", "price", "level")
 
 

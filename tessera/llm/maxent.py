@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kernel import mix64, slices, words_of
-from tessera.llm.scratch import cut, shuffle_parts
+from tessera.scratch import cut, shuffle_parts
 
 CLASSES, SUB = 64, 4
 END = CLASSES - 1  # class of the end token; the start of a text counts as one

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.scratch import connected_components, cut, discard, shuffle_parts
+from tessera.llm.scratch import connected_components
+from tessera.scratch import cut, discard, shuffle_parts
 
 #: Rows of one side of a block of a bucket; a bucket of n rows is compared in about (n / BLOCK)**2 / 2 separate groups.
 BLOCK = 256

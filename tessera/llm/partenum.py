@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kernel import distinct_sorted, mix64, shingles, slices, words_of
-from tessera.llm.scratch import bit_filter, connected_components, cut, discard, may_hold, shuffle_parts
+from tessera.llm.scratch import bit_filter, connected_components, may_hold
+from tessera.scratch import cut, discard, shuffle_parts
 
 #: A signature that more sets than this share gives no pairs; sets that lean on such signatures are compared in groups.
 PAIRS_UP_TO = 24

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.scratch import cut, discard, ordered_prefix
+from tessera.scratch import cut, discard, ordered_prefix
 
 #: Draws after which a format counts as full.
 ATTEMPTS = 64

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import cut, ordered_prefix, shuffle_parts
+from tessera.scratch import cut, ordered_prefix, shuffle_parts
 
 #: Buckets into which each refinement of the prefix-sum axis is divided; what the driver holds is a multiple of this.
 FAN = 2048

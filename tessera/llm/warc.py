@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.scratch import bit_filter, cut, may_hold, new_folder
+from tessera.llm.scratch import bit_filter, may_hold
+from tessera.scratch import cut, new_folder
 
 #: A new archive is begun after so many bytes of payload, so that a reader's task holds one bounded file.
 ARCHIVE_BYTES = 32 << 20

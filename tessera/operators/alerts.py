@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,39 +12,35 @@ _OUT = ["rule_id", "entity", "value", "threshold"]
 
 @dataclass(frozen=True)
 class Rule:
-    """How a rule type is decided from an entity's last ``length`` rows: its value, its threshold and whether it hits.
+    """How a rule type is decided from an entity's last ``length`` rows: its value, its threshold and whether it hits, as SQL.
 
-    The columns it may use: z, a (newest and oldest price), mean, hi, lo (of the prices before the newest), q (newest
-    quantity), q_mean (of the quantities before) and the rule's p1 and p2.
+    They may use: z, a (newest and oldest price), mean, hi, lo (of the prices before the newest), q (newest quantity),
+    q_mean (of the quantities before) and the rule's p1 and p2.
     """
 
-    length: Column
-    value: Column
-    threshold: Column
-    hit: Column
+    length: str
+    value: str
+    threshold: str
+    hit: str
 
 
-_v, _t, _p1 = F.col("value"), F.col("threshold"), F.col("p1")
-_CHANGE = 100 * F.try_divide(F.col("z") - F.col("a"), F.col("a"))
+_CHANGE = "100 * try_divide(z - a, a)"
 #: Rule types and how they are evaluated: W29 levels, W30 changes over p2 rows, W31 means of p1 rows, W32 highs and lows of p1 rows, W33 quantities against p1 times the mean of the p2 rows before.
 DISPATCH: dict[str, Rule] = {
-    "price_above": Rule(F.lit(1), F.col("z"), _p1, _v > _t),
-    "price_below": Rule(F.lit(1), F.col("z"), _p1, _v < _t),
-    "pct_above": Rule(F.col("p2") + 1, _CHANGE, _p1, _v >= _t),
-    "pct_below": Rule(F.col("p2") + 1, _CHANGE, _p1, _v <= _t),
-    "sma_above": Rule(_p1, F.col("z"), F.col("mean"), _v > _t),
-    "sma_below": Rule(_p1, F.col("z"), F.col("mean"), _v < _t),
-    "new_high": Rule(_p1, F.col("z"), F.col("hi"), _v >= _t),
-    "new_low": Rule(_p1, F.col("z"), F.col("lo"), _v <= _t),
-    "volume_spike": Rule(F.col("p2") + 1, F.col("q"), _p1 * F.col("q_mean"), (_v > 0) & (F.col("q_mean") > 0) & (_v >= _t)),
+    "price_above": Rule("1", "z", "p1", "value > threshold"),
+    "price_below": Rule("1", "z", "p1", "value < threshold"),
+    "pct_above": Rule("p2 + 1", _CHANGE, "p1", "value >= threshold"),
+    "pct_below": Rule("p2 + 1", _CHANGE, "p1", "value <= threshold"),
+    "sma_above": Rule("p1", "z", "mean", "value > threshold"),
+    "sma_below": Rule("p1", "z", "mean", "value < threshold"),
+    "new_high": Rule("p1", "z", "hi", "value >= threshold"),
+    "new_low": Rule("p1", "z", "lo", "value <= threshold"),
+    "volume_spike": Rule("p2 + 1", "q", "p1 * q_mean", "value > 0 AND q_mean > 0 AND value >= threshold"),
 }
 
 
-def _by_type(what: Callable[[Rule], Column]) -> Column:
-    out = F.lit(None)
-    for name, rule in DISPATCH.items():
-        out = F.when(F.col("rule_type") == name, what(rule)).otherwise(out)
-    return out
+def _by_type(part: str) -> Column:
+    return F.expr("CASE rule_type " + " ".join(f"WHEN '{name}' THEN {getattr(rule, part)}" for name, rule in DISPATCH.items()) + " END")
 
 
 def evaluate(rules: DataFrame, panel: DataFrame) -> DataFrame:
@@ -55,7 +50,7 @@ def evaluate(rules: DataFrame, panel: DataFrame) -> DataFrame:
     number it reads and meets the panel by equal numbers, and by equal names where it has a target. An entity with fewer
     rows than a rule needs has no result for it.
     """
-    sized = rules.where(F.col("rule_type").isin(*DISPATCH)).select("rule_id", "rule_type", F.col("target").alias("_target"), "p1", "p2", _by_type(lambda r: r.length.cast("int")).alias("_len"))
+    sized = rules.where(F.col("rule_type").isin(*DISPATCH)).select("rule_id", "rule_type", F.col("target").alias("_target"), "p1", "p2", _by_type("length").cast("int").alias("_len"))
     most = sized.agg(F.max("_len")).first()[0] or 0  # one number
     tail = panel.select("entity", "date", "price", "qty", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date"))).alias("_rn")).where(F.col("_rn") <= most)
     read = sized.withColumn("_rn", F.explode(F.sequence(F.lit(1), F.col("_len"))))
@@ -63,8 +58,8 @@ def evaluate(rules: DataFrame, panel: DataFrame) -> DataFrame:
     both = named.unionByName(tail.join(read.where("_target = '*'"), "_rn"))
     early = lambda c: F.when(F.col("_rn") > 1, F.col(c))
     g = both.groupBy("rule_id", "rule_type", "entity", "p1", "p2", "_len").agg(F.count(F.lit(1)).alias("_n"), F.max_by("price", "date").alias("z"), F.min_by("price", "date").alias("a"), F.avg("price").alias("mean"), F.max(early("price")).alias("hi"), F.min(early("price")).alias("lo"), F.max_by("qty", "date").alias("q"), F.avg(early("qty")).alias("q_mean"))
-    g = g.where("_n = _len").withColumn("value", _by_type(lambda r: r.value)).withColumn("threshold", _by_type(lambda r: r.threshold))
-    return g.where(_by_type(lambda r: r.hit)).select(*_OUT)
+    g = g.where("_n = _len").withColumn("value", _by_type("value")).withColumn("threshold", _by_type("threshold"))
+    return g.where(_by_type("hit")).select(*_OUT)
 
 
 def conditions(rules: DataFrame, metrics: DataFrame, names: list[str]) -> DataFrame:

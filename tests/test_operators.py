@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import alerts, asof, backtest, clean, fundamentals, grouped, index, peers, regimes, returns, risk, screens, windows
+from tessera.operators import alerts, asof, backtest, clean, fundamentals, grouped, index, pairs, peers, ranks, regimes, returns, risk, screens, windows
 from tessera.sources import tables as src
 from tessera.streaming import panels
 
@@ -80,6 +80,44 @@ def test_percentile_rank_matches_pandas(spark):
     assert all((got[i] is None and math.isnan(w)) or got[i] == pytest.approx(w) for i, w in enumerate(want))
 
 
+def test_ranks_of_whole_tables_match_pandas(spark):
+    rng = np.random.default_rng(9)
+    x = pd.Series(rng.integers(0, 40, 300).astype(float)).where(rng.random(300) > 0.1)
+    df = spark.createDataFrame([(i, None if v != v else float(v)) for i, v in enumerate(x)], "i int, v double")
+    got = ranks.with_rank(ranks.with_zscores(ranks.with_pct_ranks(df, {"p": "v"}), {"z": "v"}), "v").orderBy("i").toPandas()
+    assert np.allclose(got.p, x.rank(pct=True), equal_nan=True) and np.allclose(got.z, ((x - x.mean()) / x.std()).fillna(0))
+    assert (got["rank"] == x.rank(ascending=False, method="min", na_option="bottom")).all()
+    b = peers.even_buckets(df.where("v IS NOT NULL"), ["v", "i"]).groupBy("bucket").count().orderBy("bucket").toPandas()
+    assert b.bucket.tolist() == [1, 2, 3, 4, 5] and b["count"].max() - b["count"].min() <= 1
+
+
+def test_step_up_filter_equals_the_textbook_rule(spark):
+    rng = np.random.default_rng(10)
+    p = np.concatenate([rng.random(80), rng.random(20) * 0.01]).round(4)
+    df = spark.createDataFrame([(k % 2, k, float(v)) for k, v in enumerate(p)], "g int, k int, p double")
+
+    def keep(v, alpha):
+        s = np.sort(v)
+        ok = np.flatnonzero(s <= alpha * np.arange(1, len(s) + 1) / len(s))
+        return v <= s[ok[-1]] if len(ok) else np.zeros(len(v), bool)
+
+    got = pairs.step_up(df, "p", 0.2, ties=["k"]).orderBy("k").toPandas()
+    assert got.survives.tolist() == keep(p, 0.2).tolist()
+    by = pairs.step_up(df, "p", 0.2, ["g"], ["k"]).orderBy("k").toPandas()
+    for g in (0, 1):
+        assert by[by.g == g].survives.tolist() == keep(p[np.arange(100) % 2 == g], 0.2).tolist()
+    x = df.select(C.normal_tail(F.lit(1.959963984540054)), C.normal_tail(F.lit(-1.0)), pairs.corr_p_value(F.lit(0.5), F.lit(30))).first()
+    assert x[0] == pytest.approx(0.025, abs=1e-7) and x[1] == pytest.approx(0.8413447, abs=1e-7) and x[2] == pytest.approx(2 * 0.5 * math.erfc(0.5 * math.sqrt(28 / 0.75) / math.sqrt(2)), abs=2e-7)
+
+
+def test_tied_rows_give_one_answer(spark):
+    rows = [("a", D[0], 1.0), ("a", D[0], 2.0), ("a", D[0], 3.0)]
+    pick = lambda x: returns.latest(spark.createDataFrame(x, "k string, t date, v double"), "k", "t").first().v
+    assert pick(rows) == pick(rows[::-1])
+    new = spark.createDataFrame([("a", 1, 9.0)], "k string, seq int, v double")
+    assert src.append_last_wins(spark.createDataFrame([("a", 1, 5.0)], "k string, seq int, v double"), new, ["k"]).first().v == 9.0
+
+
 def test_quintiles_match_pandas_qcut(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=200), 1)
@@ -146,15 +184,37 @@ def test_indicators_and_filters_equal_loops(spark):
         macd.append(fast - slow)
     assert np.allclose(out.macd, macd)
     assert out.rsi.iloc[:14].isna().all() and out.rsi.iloc[14:].between(0, 100).all()
-    level, gain, inno = grouped.local_level(np.array([1.0, np.nan, 3.0]), 0.1, 1.0)
-    assert gain[0] == pytest.approx(1.1 / 2.1) and np.isnan(gain[1]) and level[1] == level[0] and inno[2] == pytest.approx(3 - level[1])
+    x = spark.createDataFrame([("a", D[0], 1.0, 5.0), ("a", D[1], None, 6.0), ("a", D[2], 3.0, 7.0), ("b", D[0], 4.0, None)], "k string, date date, x double, y double")
+    a, b = (sorted(f.collect(), key=lambda r: (r.k, r.date)) for f in (grouped.kalman(x, ["k"], "date", "x", 0.1, 1.0), grouped.kalman_two(x, ["k"], "date", "x", "y", 0.1, 1.0)))
+    assert a[0].gain == pytest.approx(1.1 / 2.1) and a[1].gain is None and a[1].level == a[0].level and a[2].innovation == pytest.approx(3 - a[1].level) and a[3].gain == a[0].gain
+    assert b[1].level_y == b[0].level_y and b[1].innovation_y is None and b[3].gain is None and b[3].level_x == 0.0  # both values or neither
+
+
+def test_series_of_any_length_equal_loops_over_block_ends(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(e, D[k], float(v)) for e in range(40) for k, v in enumerate(100 + np.cumsum(rng.normal(size=int(rng.integers(1, 70)))))]
+    df = spark.createDataFrame(rows, "entity int, date date, price double")
+    want = {}
+    for e in range(40):
+        p = [v for k, _, v in rows if k == e]
+        atr = p[0]
+        for k, v in enumerate(p):
+            atr = v if k == 0 else atr + (v - atr) / 14
+            want[e, D[k]] = atr
+    for block in (7, 100_000):
+        monkeypatch.setattr(grouped, "BLOCK_ROWS", block)
+        got = {(r.entity, r.date): r.atr for r in grouped.average_true_range(df, "entity", "date", "price").collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    last = grouped.indicators(df, "entity", "date", "price").where("entity = 0").orderBy("date").toPandas()
+    s = pd.Series([v for k, _, v in rows if k == 0])
+    assert np.allclose(last.sma_short, s.rolling(20).mean(), equal_nan=True) and np.allclose(last.bb_upper, s.rolling(20).mean() + 2 * s.rolling(20).std(), equal_nan=True)
 
 
 def test_pair_trades_profit_from_reversion(spark):
     z = [0.0, 2.5, 1.0, 0.2, 0.0, -2.2, -5.0, 0.0]
     df = spark.createDataFrame([("a|b", D[k], v) for k, v in enumerate(z)], "pair string, date date, z double")
     out = grouped.pair_trades(df, ["pair"], "date", "z").orderBy("entry_date").toPandas()
-    assert out.reason.tolist() == ["revert", "stop"] and out.pnl.tolist() == [pytest.approx(2.3), pytest.approx(-2.8)]
+    assert out.reason.tolist() == ["revert", "stop"] and out.bars_held.tolist() == [2, 1] and out.pnl.tolist() == [pytest.approx(2.3), pytest.approx(-2.8)]
     flip = grouped.pair_trades(df, ["pair"], "date", "z", mean_reverting=False).orderBy("entry_date").toPandas()
     assert flip.pnl.tolist() == [pytest.approx(-2.3), pytest.approx(2.8)]
 
@@ -238,10 +298,15 @@ def test_append_stream_keeps_the_last_write(spark):
     spark.createDataFrame([(2, t0, 9.0, 3)], schema).write.mode("append").parquet(f"{at}/in")
     q = panels.append_stream(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/out", ["entity", "ts"], "ts").trigger(availableNow=True).option("checkpointLocation", f"{at}/cp").start()
     q.awaitTermination()
+    assert sorted((r.entity, r.price) for r in spark.read.parquet(f"{at}/out/table").collect()) == [(1, 6.0), (2, 9.0)]
     import os
 
-    last = max(int(x[1:]) for x in os.listdir(f"{at}/out"))
-    assert sorted((r.entity, r.price) for r in spark.read.parquet(f"{at}/out/v{last}").collect()) == [(1, 6.0), (2, 9.0)]
+    before = {x: os.path.getmtime(f"{at}/out/table/{x}") for x in os.listdir(f"{at}/out/table") if x.startswith("day=")}
+    spark.createDataFrame([(5, t0 + dt.timedelta(days=1), 2.0, 4)], schema).write.mode("append").parquet(f"{at}/in")
+    q = panels.append_stream(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/out", ["entity", "ts"], "ts").trigger(availableNow=True).option("checkpointLocation", f"{at}/cp").start()
+    q.awaitTermination()
+    assert len(before) == 1 and all(os.path.getmtime(f"{at}/out/table/{x}") == t for x, t in before.items())  # other days stay as they are
+    assert spark.read.parquet(f"{at}/out/table").count() == 3
 
 
 # --- alerts, ratios, empty tables
@@ -252,6 +317,10 @@ def test_alert_rules_need_enough_rows(spark):
     rules = spark.createDataFrame([("m", "sma_above", "*", 3.0, None, True, "high"), ("h", "new_high", "a", 4.0, None, True, "low"), ("v", "volume_spike", "*", 5.0, 2.0, True, "high")], "rule_id string, rule_type string, target string, p1 double, p2 double, enabled boolean, priority string")
     got = sorted((r.rule_id, r.entity) for r in alerts.run(rules, panel).collect())
     assert got == [("h", "a"), ("m", "a")]
+    at = tempfile.mkdtemp(prefix="spark-") + "/log"
+    for stamp in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
+        alerts.append_log(alerts.run(rules, panel, at=stamp), at)
+    assert sorted((r.rule_id, str(r.run_at)) for r in spark.read.parquet(at).collect()) == [("h", "2024-01-01 00:00:00"), ("h", "2024-01-02 00:00:00"), ("m", "2024-01-01 00:00:00"), ("m", "2024-01-02 00:00:00")]
     assert sorted(r.rule_id for r in alerts.run(rules, panel, priority="high", target="a").collect()) == ["m"]
 
 
@@ -270,5 +339,6 @@ def test_operators_take_empty_tables(spark):
     assert risk.hill(e, ["entity"], "r").count() == 0
     assert backtest.purged_folds(e, "entity", "date", 3, 1).count() == 0
     assert peers.quintile(e, "entity", "price").count() == 0
+    assert pairs.step_up(e, "price").count() == 0 and ranks.with_pct_ranks(e, {"p": "price"}).count() == 0
     assert grouped.indicators(e, "entity", "date", "price").count() == 0
     assert returns.densify(e, "entity", "date", "price", "qty").count() == 0

@@ -42,53 +42,60 @@ BUCKET_BYTES = 16 << 20
 #: Gradient steps for pairs, and what each seen pair gives of its count to unseen ones.
 PAIR_STEPS, DISCOUNT = 16, 0.75
 _END_HASH, _START_HASH = np.uint64(0xE1D0C0FFEE123457), np.uint64(0x5EED0FA11BEEF123)
-_MASK40 = np.uint64((1 << 40) - 1)
+#: Words are told apart by 56 bits of hash; a pair's feature by its bucket, 26 bits of (word before, class) and 16 bits of the word.
+_WORD, _BEFORE = np.uint64((1 << 56) - 1), np.uint64((1 << 40) - 1)
 _UNIT = "kind int, unit long, bucket int, n int, a binary, b binary, c binary, d binary"
 _NAMES = ["kind", "unit", "bucket", "n", "a", "b", "c", "d"]
 _KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
 TEXT, WORD, PAIR, EVENT, TOTAL = range(5)
 
 
-def _row(*values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*values, *[None] * (len(_KINDS) - len(values))], _KINDS, strict=True)], _NAMES)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*[(*r, *[None] * (len(_KINDS) - len(r))) for r in rows], strict=True), _KINDS, strict=True)], _NAMES)
 
 
-def _rows(kind: int, unit: int, bucket: np.ndarray, bounds: np.ndarray, *columns: tuple[np.ndarray, int]) -> pa.RecordBatch:
-    """One row for each bucket; bounds say which elements of the columns, given with their bytes per element, are its own."""
-    m = len(bucket)
-    data = [pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((bounds * w).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(c))]) for c, w in columns]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, unit, np.int64)), pa.array(bucket.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32)), *data, *[pa.nulls(m, pa.binary())] * (4 - len(data))], _NAMES)
+def _row(*values) -> pa.RecordBatch:
+    return _batch([values])
 
 
-def _deal(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each hash, ascending with it."""
-    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _deal(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Bucket of each hash of so many bits, ascending with it."""
+    return ((key >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _bounds(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of an ascending array that have elements, and where each begins and the last ends."""
+def _bounds(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets of an ascending array that have elements, with their places."""
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    return bucket[first], np.concatenate([first, [len(bucket)]])
+    for s, e in zip(first, [*first[1:], len(bucket)], strict=True):
+        yield int(bucket[s]), slice(s, e)
 
 
-def _narrow(x: np.ndarray, width: int) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+def _squeeze(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers by planes of equal bytes, compressed; of ascending ones the differences."""
+    x = x.astype("<u8")
+    if ascending:
+        x[1:] = x[1:] - x[:-1]
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b""
 
 
-def _wide(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+def _expand(data: bytes, n: int, ascending: bool = False) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : data[0]] = np.frombuffer(pa.decompress(data[1:], decompressed_size=n * data[0], codec="zstd", asbytes=True), np.uint8).reshape(data[0], n).T
+    x = out.view("<u8").ravel()
+    return np.cumsum(x, dtype=np.uint64) if ascending else x
 
 
-def pair_keys(hash40: np.ndarray, place: np.ndarray, cls: np.ndarray, first: np.ndarray, buckets: int) -> np.ndarray:
-    """Feature number of each token with the word before it: bucket, 28 bits of (word before, class), 20 bits of the word."""
+def pair_keys(words: np.ndarray, place: np.ndarray, cls: np.ndarray, first: np.ndarray, buckets: int) -> np.ndarray:
+    """Feature number of each token with the word before it: its bucket in the top 16 bits, then the group, then the word."""
     before = np.empty(len(place), np.uint64)
-    before[1:] = hash40[place[:-1]]
-    before[first] = _START_HASH & _MASK40
+    before[1:] = words[place[:-1]] & _BEFORE
+    before[first] = _START_HASH & _BEFORE
     group = mix64(before * np.uint64(CLASSES) + cls[place].astype(np.uint64))
-    word = mix64(hash40[place] + np.uint64(1)) & np.uint64((1 << 20) - 1)
-    return _deal(group, buckets).astype(np.uint64) << np.uint64(48) | (group & np.uint64((1 << 28) - 1)) << np.uint64(20) | word
+    word = mix64(words[place] + np.uint64(1)) & np.uint64((1 << 16) - 1)
+    return _deal(group, 64, buckets).astype(np.uint64) << np.uint64(48) | (group & np.uint64((1 << 26) - 1)) << np.uint64(16) | word
 
 
 def word_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -111,8 +118,8 @@ def contexts(cls: np.ndarray, sub: np.ndarray, first: np.ndarray) -> np.ndarray:
     return one * CLASSES + two
 
 
-def _units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """TEXT: one unit's texts as numbers of distinct words; WORD, PAIR: its distinct words and pairs by bucket; EVENT: class events."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """TEXT: one unit's texts as numbers of distinct words, and those words' hashes and classes; EVENT: class events."""
     events = np.zeros(CONTEXTS * CLASSES, np.int64)
     part, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -127,31 +134,67 @@ def _units(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 c = np.empty(len(h), np.uint8)
                 is_end = np.zeros(len(h), bool)
                 is_end[at] = True
-                h[is_end], c[is_end] = _END_HASH, END
-                h[~is_end], c[~is_end] = w.hash, word_classes(w.data, w.start, w.end)
+                h[is_end], c[is_end] = _END_HASH & _WORD, END
+                h[~is_end], c[~is_end] = w.hash & _WORD, word_classes(w.data, w.start, w.end)
                 hashes.append(h), classes.append(c), counts.append(w.count + 1)
             h, c, n = np.concatenate(hashes), np.concatenate(classes), np.concatenate(counts)
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
             words, once, place = np.unique(h, return_index=True, return_inverse=True)
             train = np.repeat(~held[i:j], n)
-            ctx = contexts(c, (h & np.uint64(SUB - 1)).astype(np.int64), first)
+            ctx = contexts(c, (h & np.uint64(SUB - 1)).astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
             np.add.at(events, ctx[train] * CLASSES + c[train], 1)
             unit, serial = (part << 32) + serial, serial + 1
-            planes = np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             known = ids.slice(i, j - i)
-            told = np.stack([held[i:j], known.is_null().to_numpy(zero_copy_only=False)]).astype(np.uint8).tobytes() + n.astype("<u4").tobytes()
-            hash40 = words & _MASK40
-            yield _row(TEXT, unit, unit % buckets, len(n), known.fill_null(0).to_numpy().tobytes(), told, planes, _narrow(hash40, 5).tobytes() + c[once].tobytes())
-            some, bounds = _bounds(_deal(words, buckets))
-            yield _rows(WORD, unit, some, bounds, (words, 8), (np.bincount(place[train], minlength=len(words)).astype("<u4"), 4), (c[once], 1))
-            pairs, where = np.unique(pair_keys(hash40, place, c[once], first, buckets), return_inverse=True)
-            some, bounds = _bounds((pairs >> np.uint64(48)).astype(np.int64))
-            yield _rows(PAIR, unit, some, bounds, (_narrow(pairs, 6), 6), (np.bincount(where[train], minlength=len(pairs)).astype("<u4"), 4))
+            flags = held[i:j].astype(np.uint64) | known.is_null().to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(1) | n.astype(np.uint64) << np.uint64(2)
+            # Frequent words get small numbers, so that the planes of texts compress.
+            rank = np.argsort(-np.bincount(place), kind="stable")
+            number = np.empty(len(rank), np.int64)
+            number[rank] = np.arange(len(rank))
+            yield _row(TEXT, unit, len(words), len(n), known.fill_null(0).to_numpy().tobytes(), _squeeze(flags), _squeeze(number[place]), _squeeze(words[rank] | c[once[rank]].astype(np.uint64) << np.uint64(56)))
     width = CONTEXTS // SLICES * CLASSES
     for k in range(SLICES):
         some = np.flatnonzero(events[k * width : (k + 1) * width])
         if len(some):
-            yield _row(EVENT, k, k % buckets, len(some), some.astype("<u4").tobytes(), events[k * width + some].astype("<i8").tobytes())
+            yield _row(EVENT, k, k, len(some), _squeeze(some, True), _squeeze(events[k * width + some]))
+
+
+@dataclass
+class _Texts:
+    """A unit's texts: doc_ids, held out, null ids, tokens, first token; words in order of hash, their classes and the tokens' words."""
+
+    ids: np.ndarray
+    held: np.ndarray
+    null: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+    cls: np.ndarray
+    place: np.ndarray
+
+    @staticmethod
+    def read(distinct: int, docs: int, a: bytes, b: bytes, c: bytes, d: bytes) -> _Texts:
+        flags = _expand(b, docs)
+        n = (flags >> np.uint64(2)).astype(np.int64)
+        told = _expand(d, distinct)
+        order = np.argsort(told & _WORD)
+        number = np.empty(distinct, np.int64)
+        number[order] = np.arange(distinct)
+        place = number[_expand(c, int(n.sum())).astype(np.int64)]
+        return _Texts(np.frombuffer(a, np.int64), (flags & np.uint64(1)).astype(bool), (flags & np.uint64(2)).astype(bool), n, np.concatenate([[0], np.cumsum(n)[:-1]]), told[order] & _WORD, (told[order] >> np.uint64(56)).astype(np.uint8), place)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """WORD, PAIR: each unit's distinct words and pairs, in order of hash, by bucket, with their counts in training texts."""
+    for batch in batches:
+        for unit, *r in zip(*(batch.column(c).to_pylist() for c in ("unit", "bucket", "n", "a", "b", "c", "d")), strict=True):
+            t = _Texts.read(*r)
+            train = np.repeat(~t.held, t.n)
+            count = np.bincount(t.place[train], minlength=len(t.words))
+            rows = [(WORD, unit, k, at.stop - at.start, _squeeze(t.words[at], True), _squeeze(count[at]), _squeeze(t.cls[at])) for k, at in _bounds(_deal(t.words, 56, buckets))]
+            pairs, where = np.unique(pair_keys(t.words, t.place, t.cls, t.first, buckets), return_inverse=True)
+            count = np.bincount(where[train], minlength=len(pairs))
+            low = pairs & np.uint64((1 << 48) - 1)
+            rows += [(PAIR, unit, k, at.stop - at.start, _squeeze(low[at], True), _squeeze(count[at])) for k, at in _bounds((pairs >> np.uint64(48)).astype(np.int64))]
+            yield _batch(rows)
 
 
 def fit_pairs(group: np.ndarray, count: np.ndarray, steps: int = PAIR_STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -183,70 +226,68 @@ def fit_pairs(group: np.ndarray, count: np.ndarray, steps: int = PAIR_STEPS) ->
 
 
 def _code(p: np.ndarray) -> np.ndarray:
-    """Two bytes for a probability: 0, or its logarithm in steps of 1/2048 of a bit."""
+    """A probability in steps of 1/2048 of a bit of its logarithm, up to 65,535; 0 for none."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.minimum(1 + np.rint(-2048 * np.log2(np.minimum(p, 1))), 65535), 0).astype("<u2")
+        return np.where(p > 0, np.minimum(1 + np.rint(-2048 * np.log2(np.minimum(p, 1))), 65535), 0).astype(np.uint64)
 
 
-def _decode(data: bytes) -> np.ndarray:
-    code = np.frombuffer(data, "<u2").astype(np.float64)
-    return np.where(code > 0, np.exp2((1 - code) / 2048), 0.0)
+def _decode(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, np.exp2((1 - code.astype(np.float64)) / 2048), 0.0)
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over all units: counts of each bucket's words and class totals, fitted pairs, sums of events; texts pass through.
+    """Over all units: counts of each bucket's words and class totals, and fitted pairs.
 
     Rows come sorted by bucket and kind. What is told of a unit's words or pairs has the order in which they came.
     """
 
-    def words(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows])
-        n = np.concatenate([np.frombuffer(r[5], "<u4") for r in rows]).astype(np.int64)
-        names, once, place = np.unique(h, return_index=True, return_inverse=True)
+    def joined(rows: list[tuple], k: int, ascending: bool = False) -> np.ndarray:
+        return np.concatenate([_expand(r[k], r[3], ascending) for r in rows])
+
+    def words(rows: list[tuple]) -> list[tuple]:
+        names, once, place = np.unique(joined(rows, 4, True), return_index=True, return_inverse=True)
         total = np.zeros(len(names), np.int64)
-        np.add.at(total, place, n)
-        cls = np.concatenate([np.frombuffer(r[6], np.uint8) for r in rows])[once]
+        np.add.at(total, place, joined(rows, 5).astype(np.int64))
+        cls = joined(rows, 6)[once].astype(np.int64)
         tokens, distinct = np.zeros(CLASSES, np.int64), np.bincount(cls[total > 0], minlength=CLASSES)
         np.add.at(tokens, cls, total)
-        yield _row(TOTAL, 0, rows[0][2], 0, tokens.astype("<i8").tobytes(), distinct.astype("<i8").tobytes())
-        told, at = total[place].astype("<u8"), 0
+        out, told, at = [(TOTAL, 0, rows[0][2], 0, tokens.astype("<i8").tobytes(), distinct.astype("<i8").tobytes())], total[place], 0
         for r in rows:
-            yield _row(WORD, r[1], r[2], r[3], _narrow(told[at : at + r[3]], 5).tobytes())
+            out.append((WORD, r[1], r[2], r[3], _squeeze(told[at : at + r[3]])))
             at += r[3]
+        return out
 
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, place = np.unique(np.concatenate([_wide(r[4], 6) for r in rows]), return_inverse=True)
+    def pairs(rows: list[tuple]) -> list[tuple]:
+        key, place = np.unique(joined(rows, 4, True), return_inverse=True)
         count = np.zeros(len(key))
-        np.add.at(count, place, np.concatenate([np.frombuffer(r[5], "<u4") for r in rows]))
-        one, none = (_code(p) for p in fit_pairs(key >> np.uint64(20), count))
-        one, none, at = one[place], none[place], 0
+        np.add.at(count, place, joined(rows, 5).astype(float))
+        one, none = (_code(p)[place] for p in fit_pairs(key >> np.uint64(16), count))
+        out, at = [], 0
         for r in rows:
-            yield _row(PAIR, r[1], r[2], r[3], one[at : at + r[3]].tobytes(), none[at : at + r[3]].tobytes())
+            out.append((PAIR, r[1], r[2], r[3], _squeeze(one[at : at + r[3]]), _squeeze(none[at : at + r[3]])))
             at += r[3]
+        return out
 
-    def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if rows:
-            yield from (words if rows[0][0] == WORD else pairs)(rows)
-
-    sums: dict[int, np.ndarray] = {}
     held: list[tuple] = []
     for batch in batches:
-        kinds = batch.column("kind").to_numpy()
-        if (kinds == TEXT).any():
-            yield batch.filter(pa.array(kinds == TEXT))
-        rest = batch.filter(pa.array(kinds != TEXT))
-        for r in zip(*(rest.column(c).to_pylist() for c in ("kind", "unit", "bucket", "n", "a", "b", "c")), strict=True):
-            if r[0] == EVENT:
-                dense = sums.setdefault(r[1], np.zeros(CONTEXTS // SLICES * CLASSES, np.int64))
-                dense[np.frombuffer(r[4], "<u4")] += np.frombuffer(r[5], "<i8")
-                continue
+        for r in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "bucket", "n", "a", "b", "c")), strict=True):
             if held and (held[0][0], held[0][2]) != (r[0], r[2]):
-                yield from close(held)
+                yield _batch((words if held[0][0] == WORD else pairs)(held))
                 held = []
             held.append(r)
-    yield from close(held)
+    if held:
+        yield _batch((words if held[0][0] == WORD else pairs)(held))
+
+
+def _sum_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dense sums of the events of each slice of contexts."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, n, a, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "a", "b")), strict=True):
+            dense = sums.setdefault(k, np.zeros(CONTEXTS // SLICES * CLASSES, np.int64))
+            dense[_expand(a, n, True).astype(np.int64)] += _expand(b, n).astype(np.int64)
     for k, dense in sums.items():
-        yield _row(EVENT, 0, k, 0, dense.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([dense.astype("<i8").tobytes()], pa.binary())], ["bucket", "a"])
 
 
 def features(ctx: np.ndarray) -> np.ndarray:
@@ -329,27 +370,20 @@ def _score(batches: Iterator[pa.RecordBatch], told) -> Iterator[pa.RecordBatch]:
     """Joins each unit's texts with what is told of its words and pairs; a unit's rows come together, texts first, then by bucket."""
 
     def solve(text: tuple, found: dict[int, list[tuple]], m: Model) -> pa.RecordBatch:
-        docs = text[3]
-        flags = np.frombuffer(text[5], np.uint8, 2 * docs).reshape(2, docs)
-        n = np.frombuffer(text[5], "<u4", offset=2 * docs).astype(np.int64)
-        place = np.ascontiguousarray(np.frombuffer(text[6], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        size = len(text[7]) // 6
-        hash40, cls = _wide(text[7][: 5 * size], 5), np.frombuffer(text[7], np.uint8, size, 5 * size)
-        count = np.concatenate([_wide(r[4], 5) for r in found[WORD]]).astype(np.float64)
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        keys, where = np.unique(pair_keys(hash40, place, cls, first, m.buckets), return_inverse=True)
-        one, none = (np.concatenate([_decode(r[k]) for r in found[PAIR]]) for k in (4, 5))
-        if len(count) != size or len(one) != len(keys):
+        t = _Texts.read(*text[2:])
+        count = np.concatenate([_expand(r[4], r[3]) for r in found[WORD]]).astype(np.float64)
+        keys, where = np.unique(pair_keys(t.words, t.place, t.cls, t.first, m.buckets), return_inverse=True)
+        one, none = (np.concatenate([_decode(_expand(r[k], r[3])) for r in found[PAIR]]) for k in (4, 5))
+        if len(count) != len(t.words) or len(one) != len(keys):
             raise ValueError("a unit lacks some of its words' or pairs' counts")
         log = np.log10(count + 0.5)
-        c = cls[place]
-        ctx = contexts(c, (hash40[place] & np.uint64(SUB - 1)).astype(np.int64), first)
-        inside = one[where] + none[where] * 10 ** (log - m.word_base[cls])[place]
-        model = np.add.reduceat(m.class_log10[ctx, c].astype(np.float64) + np.log10(np.minimum(inside, 1)), first)
-        known = np.add.reduceat((count > 0)[place].astype(np.int64), first)
-        base = np.add.reduceat(log[place], first) - n * np.log10(m.tokens + 0.5 * (m.distinct + 1))
-        ids = pa.array(np.frombuffer(text[4], np.int64), mask=flags[1].astype(bool))
-        return pa.RecordBatch.from_arrays([ids, pa.array(flags[0].astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(docs, m.tokens)), pa.array(base), pa.array(model)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        c = t.cls[t.place]
+        ctx = contexts(c, (t.words[t.place] & np.uint64(SUB - 1)).astype(np.int64), t.first)
+        inside = one[where] + none[where] * 10 ** (log - m.word_base[t.cls])[t.place]
+        model = np.add.reduceat(m.class_log10[ctx, c].astype(np.float64) + np.log10(np.minimum(inside, 1)), t.first)
+        known = np.add.reduceat((count > 0)[t.place].astype(np.int64), t.first)
+        base = np.add.reduceat(log[t.place], t.first) - t.n * np.log10(m.tokens + 0.5 * (m.distinct + 1))
+        return pa.RecordBatch.from_arrays([pa.array(t.ids, mask=t.null), pa.array(t.held), pa.array(t.n), pa.array(known), pa.array(np.full(len(t.n), m.tokens)), pa.array(base), pa.array(model)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     text, found = None, {WORD: [], PAIR: []}
     for batch in batches:
@@ -373,7 +407,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     Tokens: the text's words with A-Z lower-cased, then one end. A null text has the end only; a null doc_id is not
     held out. Scores are base-10 logs. A word that training lacks takes its class's share of unseen words. Without any
-    training text, counts are zero and the class model is uniform. Texts are read once: units of them are told as
+    training text, counts are zero and the class model is uniform. Texts are read once: units of them are written as
     numbers of their distinct words; only a unit's distinct words and pairs are shuffled for counts, so a very frequent
     one costs an entry per unit. Buckets follow the bytes of the texts.
     """
@@ -382,10 +416,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(32767, max(32, n, -(-size // BUCKET_BYTES)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held"))
-    units = rows.mapInArrow(lambda b: _units(b, buckets), _UNIT)
-    solved = cut(units.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_solve, _UNIT), "solved")
-
-    weights = train(cut(solved.where(F.col("kind") == EVENT).select("bucket", "a").repartition(SLICES), "events"))
+    units = cut(rows.mapInArrow(_units, _UNIT), "units")
+    texts = units.where(F.col("kind") == TEXT)
+    asked = texts.mapInArrow(lambda b: _ask(b, buckets), _UNIT)
+    solved = cut(asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_solve, _UNIT), "solved")
+    weights = train(cut(units.where(F.col("kind") == EVENT).select("bucket", "n", "a", "b").repartition(SLICES, "bucket").mapInArrow(_sum_events, "bucket int, a binary"), "events"))
     tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in solved.where(F.col("kind") == TOTAL).select("a", "b").toLocalIterator():  # 1 kB for each bucket
         tokens += np.frombuffer(r.a, "<i8")
@@ -393,5 +428,5 @@ def score_texts(docs: DataFrame) -> DataFrame:
     logs = np.concatenate([_log_softmax(weights, features(np.arange(k, min(k + 2048, CONTEXTS)))) for k in range(0, CONTEXTS, 2048)])
     told = spark.sparkContext.broadcast(Model((logs / np.log(10)).astype(np.float32), np.log10(tokens + 0.5 * (distinct + 1)), int(tokens.sum()), int(distinct.sum()), buckets))
 
-    both = solved.where(F.col("kind").isin(TEXT, WORD, PAIR)).repartition(n, "unit").sortWithinPartitions("unit", "kind", "bucket")
+    both = texts.unionByName(solved.where(F.col("kind") != TOTAL)).repartition(n, "unit").sortWithinPartitions("unit", "kind", "bucket")
     return both.mapInArrow(lambda b: _score(b, told), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -43,7 +43,7 @@ def uniform(seed: str, key: Column) -> Column:
 #: A row counts as large where its size times this is above its source's: so a source has fewer large rows than this.
 LARGE = 50
 #: Steps of the scale on which the limit of the other rows' draws is set.
-STEPS = 65536
+STEPS = 4096
 
 
 def _limits(rows: DataFrame) -> DataFrame:

@@ -107,12 +107,12 @@ WITH RECURSIVE sized AS (
 ), owed AS (
   SELECT source, arg_max(owed, k) AS owed FROM decided GROUP BY source
 ), steps AS (
-  SELECT source, part, CAST(floor(u * 65536) AS BIGINT) AS step, sum(size) AS words FROM drawn WHERE NOT large AND size > 0 AND part > 0 GROUP BY ALL
+  SELECT source, part, CAST(floor(u * 4096) AS BIGINT) AS step, sum(size) AS words FROM drawn WHERE NOT large AND size > 0 AND part > 0 GROUP BY ALL
 ), walked AS (
   SELECT steps.source, step, sum(words) OVER (PARTITION BY steps.source ORDER BY step) AS upto, part * sum(words) OVER (PARTITION BY steps.source) + coalesce(owed, 0) AS goal
   FROM steps LEFT JOIN owed ON steps.source IS NOT DISTINCT FROM owed.source
 ), limits AS (
-  SELECT source, CASE WHEN min(abs(goal)) <= min(abs(upto - goal)) THEN 0 ELSE (arg_min(step, (abs(upto - goal), step)) + 1) / 65536.0::DOUBLE END AS lim FROM walked GROUP BY source
+  SELECT source, CASE WHEN min(abs(goal)) <= min(abs(upto - goal)) THEN 0 ELSE (arg_min(step, (abs(upto - goal), step)) + 1) / 4096.0::DOUBLE END AS lim FROM walked GROUP BY source
 )
 SELECT doc_id, size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN large THEN CASE WHEN EXISTS (SELECT 1 FROM decided d WHERE d.takes AND d.source IS NOT DISTINCT FROM drawn.source AND d.u = drawn.u) THEN 1 ELSE 0 END WHEN u < coalesce(lim, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -527,7 +527,10 @@ def test_pairs_of_a_class_are_normalised_and_follow_their_counts():
             want = np.where(count[at] > 0, count[at] - 0.75, 0) / count[at].sum()
             assert np.abs(share[at] - want).max() < 0.05
     p = np.array([0.0, 1.0, 0.5, 1e-6, 0.123456])
-    assert np.allclose(maxent._decode(maxent._code(p).tobytes()), p, rtol=2e-4)
+    assert np.allclose(maxent._decode(maxent._code(p)), p, rtol=2e-4)
+    x = np.sort(rng.integers(0, 2**56, 1000).astype(np.uint64))
+    for v, up in ((x, True), (x, False), (x[:0], True), (x[:1] * 0, False)):
+        assert np.array_equal(maxent._expand(maxent._squeeze(v, up), len(v), up), v)
 
 
 def test_class_weights_equal_plain_gradient_steps(spark):

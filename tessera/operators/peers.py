@@ -15,9 +15,9 @@ def group_summary(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     return u.groupBy(group, "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"), F.percentile("v", F.lit(0.25)).alias("p25"), F.percentile("v", F.lit(0.75)).alias("p75"))
 
 
-def leave_one_out_rank(df: DataFrame, group: str, x: str, name: str, low_is_good: bool = False) -> DataFrame:
+def leave_one_out_rank(df: DataFrame, group: str | list[str], x: str, name: str, low_is_good: bool = False) -> DataFrame:
     """Share of the other members with a strictly lower value (higher, if low is good); null with no other member."""
-    part = Window.partitionBy(group)
+    part = Window.partitionBy(*([group] if isinstance(group, str) else group))
     order = F.desc(x) if low_is_good else F.asc(x)
     return df.where(F.col(x).isNotNull()).withColumn(name, div(F.rank().over(part.orderBy(order)) - 1.0, F.count(x).over(part) - 1))
 

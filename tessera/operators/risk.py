@@ -100,12 +100,12 @@ def gaps(panel: DataFrame, entity: str, time: str, opened: str, close: str) -> D
     return g.groupBy(entity).agg(F.stddev_samp("_gap").alias("gap_std"), F.stddev_samp("_ret").alias("ret_std"), share.alias("variance_share"), F.avg((F.abs("_gap") > 0.02).cast("double")).alias("over_2"), F.avg((F.abs("_gap") > 0.05).cast("double")).alias("over_5"), F.min("_gap").alias("worst"))
 
 
-def concentration(weights: DataFrame, by: list[str], w: str, entity: str) -> DataFrame:
-    """Herfindahl index, effective number, largest and three largest weights of each portfolio."""
+def concentration(weights: DataFrame, by: list[str], w: str, entity: str, means: list[str] | None = None) -> DataFrame:
+    """Herfindahl index, effective number, largest and three largest weights of each portfolio, and the weighted sums of ``means`` (liquidity, beta)."""
     part = Window.partitionBy(*by)
     x = weights.withColumn("_w", div(F.col(w), F.sum(w).over(part)))
     x = x.withColumn("_rn", F.row_number().over(part.orderBy(F.desc("_w"), entity)))
-    g = x.groupBy(*by).agg(F.sum(F.col("_w") ** 2).alias("hhi"), F.max("_w").alias("top1"), F.sum(F.when(F.col("_rn") <= 3, F.col("_w"))).alias("top3"))
+    g = x.groupBy(*by).agg(F.sum(F.col("_w") ** 2).alias("hhi"), F.max("_w").alias("top1"), F.sum(F.when(F.col("_rn") <= 3, F.col("_w"))).alias("top3"), *[F.sum(F.col("_w") * F.col(c)).alias(c) for c in means or []])
     return g.withColumn("effective", div(F.lit(1.0), F.col("hhi")))
 
 

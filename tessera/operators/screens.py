@@ -123,6 +123,20 @@ def gap_class() -> Column:
     return F.when(b & t, "dual").when(b, "quality_only").when(t, "value_only").otherwise("neither")
 
 
+#: Relaxed borders of the candidate screen.
+NEAR = {"roe": 0.12, "roic": 0.10, "de": 1.2, "ev": 12.0, "pb": 2.5}
+
+
+def near_dual() -> Column:
+    """Passes the relaxed borders, or both sides."""
+    near, both = F.lit(True), F.lit(True)
+    for k, v in NEAR.items():
+        near = near & leg(k, v)
+    for k in LEGS:
+        both = both & leg(k)
+    return near | both
+
+
 def dupont(df: DataFrame) -> DataFrame:
     """Equity multiplier, the return without leverage, the boost and its share."""
     em = 1 + F.col("de")

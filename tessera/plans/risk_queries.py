@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import bins, div, pct_rank, safe_corr, zscore
-from tessera.operators import pairs, peers, regimes, returns, risk, windows
+from tessera.operators import asof, pairs, peers, regimes, returns, risk, screens, windows
 from tessera.plans.common import bars, fund, latest, market, query, r6, regime, rets, sect
 from tessera.operators.ranks import with_pct_ranks, with_rank, with_zscores
 from tessera.registry import table
@@ -87,19 +87,45 @@ def _sleeves(spark, d):
     return g.withColumn("v", F.stddev_samp("mkt").over(Window.orderBy("date").rowsBetween(-6, -1)))  # one row per date
 
 
-@query(_G + """, s AS (SELECT date, v, 'cash' AS strategy, 0.7 * core AS r FROM gv UNION ALL SELECT date, v, 'tilt', 0.5 * core + 0.5 * safe FROM gv UNION ALL SELECT date, v, 'put', core + 0.5 * greatest(-0.02 - core, 0) - 0.001 FROM gv), q AS (SELECT quantile_cont(v, 0.8) AS q FROM gv)
- SELECT strategy, round(avg(r) * 12, 6) AS ret, round(stddev_samp(r) * sqrt(12), 6) AS vol, round(avg(r) FILTER (v >= q) * 12, 6) AS crisis_ret FROM s, q GROUP BY 1""", "rets", "sect")
+#: Strategies as combinations of the two sleeves; the last follows the regime of each date.
+_OVERLAYS = {"base": "core", "cash": "0.7 * core", "tilt": "0.5 * core + 0.5 * safe", "put": "core + 0.5 * greatest(-0.02 - core, 0) - 0.001", "combo": "0.5 * core + 0.4 * safe + 0.1 * greatest(-0.02 - core, 0)", "regime": "CASE regime WHEN 'high' THEN 0.5 * core + 0.4 * safe + 0.1 * greatest(-0.02 - core, 0) WHEN 'low' THEN core ELSE 0.85 * core + 0.15 * (0.5 * core + 0.5 * safe) END"}
+
+
+@query(_G + ", x AS (SELECT * FROM gv JOIN regime USING (date)), s AS (" + " UNION ALL ".join(f"SELECT date, v, '{k}' AS strategy, {e} AS r FROM x" for k, e in _OVERLAYS.items()) + """), q AS (SELECT quantile_cont(v, 0.8) AS q FROM gv), l AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY date)) AS l FROM s), k AS (SELECT *, l / max(l) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM l), p AS (SELECT strategy, quantile_cont(r, 0.05) AS p FROM s GROUP BY 1)
+ SELECT strategy, round(avg(r) * 12, 6) AS ret, round(stddev_samp(r) * sqrt(12), 6) AS vol, round(min(dd), 6) AS max_dd, round(avg(r) FILTER (r <= p), 6) AS shortfall, round(avg(r) FILTER (v >= q) * 12, 6) AS crisis_ret, round(stddev_samp(r) FILTER (v >= q) * sqrt(12), 6) AS crisis_vol FROM k JOIN p USING (strategy), q GROUP BY 1""", "regime", "sect")
 def a16_overlay_strategies(spark, d):
     g = _sleeves(spark, d)
     q = g.agg(F.percentile("v", F.lit(0.8)).alias("q"))
-    s = g.join(F.broadcast(q)).selectExpr("v", "q", "stack(3, 'cash', 0.7 * core, 'tilt', 0.5 * core + 0.5 * safe, 'put', core + 0.5 * greatest(-0.02D - core, 0) - 0.001) AS (strategy, r)")
-    return s.groupBy("strategy").agg(F.round(F.avg("r") * 12, 6).alias("ret"), F.round(F.stddev_samp("r") * 12**0.5, 6).alias("vol"), F.round(F.avg(F.when(F.col("v") >= F.col("q"), F.col("r"))) * 12, 6).alias("crisis_ret"))
+    x = g.join(regime(spark, d).select("date", "regime"), "date").join(F.broadcast(q))
+    s = x.select("date", "v", "q", F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.expr(e.replace("-0.02", "-0.02D").replace("0.001", "0.001D")).cast("double").alias("r")) for k, e in _OVERLAYS.items()])).alias("x")).select("date", "v", "q", "x.*")
+    dd = windows.drawdown(returns.levels(s, "strategy", "date", "r"), "strategy", "date", "level").groupBy("strategy").agg(F.min("dd").alias("max_dd"))
+    tail = risk.tail_loss(s, ["strategy"], "r").select("strategy", F.col("es").alias("shortfall"))
+    crisis = F.when(F.col("v") >= F.col("q"), F.col("r"))
+    out = s.groupBy("strategy").agg((F.avg("r") * 12).alias("ret"), (F.stddev_samp("r") * 12**0.5).alias("vol"), (F.avg(crisis) * 12).alias("crisis_ret"), (F.stddev_samp(crisis) * 12**0.5).alias("crisis_vol"))
+    return out.join(dd, "strategy").join(tail, "strategy").select("strategy", *r6("ret", "vol", "max_dd", "shortfall", "crisis_ret", "crisis_vol"))
+
+
+_ROTATE = _G + """, lagged AS (SELECT date, core, safe, mkt, v, lag(regime) OVER (ORDER BY date) AS state FROM gv JOIN regime USING (date)), ro AS (SELECT date, v, state, CASE WHEN state = 'high' OR v > 0.15 THEN 'safe' WHEN state = 'low' THEN 'core' ELSE 'both' END AS sleeve, core, safe FROM lagged WHERE v IS NOT NULL AND state IS NOT NULL)"""
 
 
-@query(_G + " SELECT date, CASE WHEN v > 0.01 THEN 'safe' ELSE 'core' END AS sleeve, round(CASE WHEN v > 0.01 THEN safe ELSE core END, 6) AS r FROM gv WHERE v IS NOT NULL", "rets", "sect")
+def _rotation(spark, d):
+    """The sleeve of each month by the volatility of the months before it and the last month's regime."""
+    x = _sleeves(spark, d).join(regime(spark, d).select("date", "regime"), "date")
+    x = x.withColumn("state", F.lag("regime").over(Window.orderBy("date"))).where("v IS NOT NULL AND state IS NOT NULL")  # one row per date
+    return x.withColumn("sleeve", F.when((F.col("state") == "high") | (F.col("v") > 0.15), "safe").when(F.col("state") == "low", "core").otherwise("both"))
+
+
+@query(_ROTATE + " SELECT date, state, sleeve, round(CASE sleeve WHEN 'safe' THEN safe WHEN 'core' THEN core ELSE (core + safe) / 2 END, 6) AS r, round(core, 6) AS core, round(safe, 6) AS safe FROM ro", "regime", "sect")
 def a17_sleeve_rotation(spark, d):
-    hot = F.col("v") > 0.01
-    return _sleeves(spark, d).where("v IS NOT NULL").select("date", F.when(hot, "safe").otherwise("core").alias("sleeve"), F.round(F.when(hot, F.col("safe")).otherwise(F.col("core")), 6).alias("r"))
+    r = F.when(F.col("sleeve") == "safe", F.col("safe")).when(F.col("sleeve") == "core", F.col("core")).otherwise((F.col("core") + F.col("safe")) / 2)
+    return _rotation(spark, d).select("date", "state", "sleeve", F.round(r, 6).alias("r"), *r6("core", "safe"))
+
+
+@query(_ROTATE + " SELECT sleeve, count(*) AS months, round(avg(core) * 12, 6) AS core, round(avg(safe) * 12, 6) AS safe, round(stddev_samp(core) * sqrt(12), 6) AS core_vol, round(stddev_samp(safe) * sqrt(12), 6) AS safe_vol FROM ro GROUP BY 1", "regime", "sect")
+def a17_sleeve_statistics(spark, d):
+    """Both sleeves in the months in which each choice was made."""
+    g = _rotation(spark, d).groupBy("sleeve")
+    return g.agg(F.count(F.lit(1)).alias("months"), *[F.round(F.avg(c) * 12, 6).alias(c) for c in ("core", "safe")], *[F.round(F.stddev_samp(c) * 12**0.5, 6).alias(f"{c}_vol") for c in ("core", "safe")])
 
 
 @query(_G + " SELECT round(avg(core) * 12, 6) AS ret, round((avg(core) - avg(mkt)) * 12, 6) AS excess, round(avg(core - mkt) / stddev_samp(core - mkt) * sqrt(12), 6) AS info_ratio, round(avg(CASE WHEN core > mkt THEN 1.0 ELSE 0 END), 6) AS win_rate, round(avg(CASE WHEN sign(core) = sign(mkt) THEN 1.0 ELSE 0 END), 6) AS agree FROM g", "rets", "sect")
@@ -118,11 +144,13 @@ def a19_liquidity(spark, d):
     return out.join(F.broadcast(q)).select("entity", F.round("dv", 2).alias("dv"), F.round("shares", 4).alias("shares"), *r6("pctile"), (F.col("dv") <= F.col("q")).alias("illiquid"))
 
 
-@query(""", w AS (SELECT sector, entity, sum(price * qty) AS v FROM bars JOIN sect USING (entity) GROUP BY 1, 2), x AS (SELECT sector, entity, v / sum(v) OVER (PARTITION BY sector) AS w FROM w), y AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY w DESC, entity) AS rn FROM x)
- SELECT sector, round(sum(w * w), 6) AS hhi, round(max(w), 6) AS top1, round(sum(w) FILTER (rn <= 3), 6) AS top3, round(1 / sum(w * w), 6) AS effective FROM y GROUP BY 1""", "bars", "sect")
+@query(""", w AS (SELECT sector, entity, sum(price * qty) AS v, avg(price * qty) AS adv FROM bars JOIN sect USING (entity) GROUP BY 1, 2), be AS (SELECT entity, covar_samp(r, m) / var_samp(m) AS beta FROM rets JOIN market USING (date) WHERE r IS NOT NULL GROUP BY 1), x AS (SELECT sector, entity, adv, beta, v / sum(v) OVER (PARTITION BY sector) AS w FROM w LEFT JOIN be USING (entity)), y AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY w DESC, entity) AS rn FROM x)
+ SELECT sector, round(sum(w * w), 6) AS hhi, round(max(w), 6) AS top1, round(sum(w) FILTER (rn <= 3), 6) AS top3, round(1 / sum(w * w), 6) AS effective, round(sum(w * adv), 2) AS liquidity, round(sum(w * beta), 6) AS beta FROM y GROUP BY 1""", "market", "sect")
 def a20_concentration(spark, d):
-    w = bars(spark, d).join(sect(spark, d), "entity").groupBy("sector", "entity").agg(F.sum(F.col("price") * F.col("qty")).alias("v"))
-    return risk.concentration(w, ["sector"], "v", "entity").select("sector", *r6("hhi", "top1", "top3", "effective"))
+    w = bars(spark, d).join(sect(spark, d), "entity").groupBy("sector", "entity").agg(F.sum(F.col("price") * F.col("qty")).alias("v"), F.avg(F.col("price") * F.col("qty")).alias("adv"))
+    beta = rets(spark, d).where("r IS NOT NULL").join(market(spark, d), "date").groupBy("entity").agg(div(F.covar_samp("r", "m"), F.var_samp("m")).alias("beta"))
+    out = risk.concentration(w.join(beta, "entity", "left"), ["sector"], "v", "entity", ["adv", "beta"])
+    return out.select("sector", *r6("hhi", "top1", "top3", "effective"), F.round("adv", 2).alias("liquidity"), *r6("beta"))
 
 
 @query(""", x AS (SELECT entity, date, r, m, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM rets JOIN market USING (date) WHERE r IS NOT NULL), dd AS (SELECT entity, min(price / pk - 1) AS max_dd FROM (SELECT *, max(price) OVER (PARTITION BY entity ORDER BY date) AS pk FROM bars) GROUP BY 1)
@@ -193,9 +221,12 @@ def a34_family_weights(spark, d):
     return f.withColumn("weight", div(F.col("up"), F.sum("up").over(Window.partitionBy()))).select("family", *r6("ic", "weight"))  # three rows
 
 
-@query(_RANKED + " SELECT regime, round(avg(spearman), 6) AS ic, count(*) AS n FROM ic JOIN regime USING (date) GROUP BY 1", "regime")
+@query(_RANKED + ", g AS (SELECT regime, avg(spearman) AS ic, count(*) AS n FROM ic JOIN regime USING (date) GROUP BY 1), now AS (SELECT max_by(regime, date) AS regime FROM regime) SELECT g.regime, round(ic, 6) AS ic, n, g.regime = now.regime AS active, round(greatest(ic, 0) / nullif(sum(greatest(ic, 0)) OVER (), 0), 6) AS weight FROM g, now", "regime")
 def a35_ic_by_regime(spark, d):
-    return _ic(spark, d).join(regime(spark, d), "date").groupBy("regime").agg(F.round(F.avg("spearman"), 6).alias("ic"), F.count(F.lit(1)).alias("n"))
+    g = _ic(spark, d).join(regime(spark, d), "date").groupBy("regime").agg(F.avg("spearman").alias("ic"), F.count(F.lit(1)).alias("n"))
+    now = regime(spark, d).agg(F.max_by("regime", "date").alias("_now"))
+    up = F.greatest("ic", F.lit(0.0))
+    return g.join(F.broadcast(now)).select("regime", *r6("ic"), "n", (F.col("regime") == F.col("_now")).alias("active"), F.round(div(up, F.sum(up).over(Window.partitionBy())), 6).alias("weight"))  # one row per regime
 
 
 _ZF = lambda c: f"CASE WHEN {c} IS NULL OR NOT coalesce(stddev_samp({c}) OVER p > 0, false) THEN 0 ELSE ({c} - avg({c}) OVER p) / stddev_samp({c}) OVER p END"
@@ -242,11 +273,19 @@ def a26_group_summary(spark, d):
     return peers.group_summary(latest(spark, d).join(c, "entity"), "segment", ["roe", "pb"]).select("segment", "metric", "n", *r6("mean", "median", "std", "p25", "p75"))
 
 
-@query(", v AS (SELECT sector, entity, avg(r) AS m, stddev_samp(r) AS s FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL GROUP BY 1, 2) SELECT sector, entity, round((rank() OVER (PARTITION BY sector ORDER BY m) - 1) / nullif(count(*) OVER (PARTITION BY sector) - 1, 0), 6) AS ret_rank, round((rank() OVER (PARTITION BY sector ORDER BY s DESC) - 1) / nullif(count(*) OVER (PARTITION BY sector) - 1, 0), 6) AS vol_rank FROM v", "rets", "sect")
+_PEER = lambda c, o: f"round((rank() OVER (PARTITION BY rows, sector ORDER BY {c}{o}) - 1) / nullif(count(*) OVER (PARTITION BY rows, sector) - 1, 0), 6)"
+
+
+@query(f""", k AS (SELECT sector, entity, r, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL), v AS (SELECT rows, sector, entity, avg(r) AS m, stddev_samp(r) AS s FROM k JOIN (VALUES (12), (36), (84)) t(rows) ON rn <= rows GROUP BY 1, 2, 3 HAVING stddev_samp(r) > 0)
+ SELECT rows, sector, entity, {_PEER("m", "")} AS ret_rank, {_PEER("s", " DESC")} AS vol_rank, {_PEER("round(m / s, 12)", "")} AS ratio_rank FROM v""", "rets", "sect")
 def a27_peer_ranks(spark, d):
-    v = rets(spark, d).where("r IS NOT NULL").join(sect(spark, d), "entity").groupBy("sector", "entity").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    out = peers.leave_one_out_rank(peers.leave_one_out_rank(v, "sector", "m", "ret_rank"), "sector", "s", "vol_rank", low_is_good=True)
-    return out.select("sector", "entity", *r6("ret_rank", "vol_rank"))
+    """Ranks among a sector's other members over the last 12, 36 and 84 rows."""
+    k = rets(spark, d).where("r IS NOT NULL").join(sect(spark, d), "entity").withColumn("rn", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date")))).where("rn <= 84")
+    spans = F.filter(F.array(*[F.lit(n) for n in (12, 36, 84)]), lambda n: F.col("rn") <= n)
+    v = k.withColumn("rows", F.explode(spans)).groupBy("rows", "sector", "entity").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s")).where("s > 0").withColumn("ms", F.round(F.col("m") / F.col("s"), 12))
+    for x, name, low in (("m", "ret_rank", False), ("s", "vol_rank", True), ("ms", "ratio_rank", False)):
+        v = peers.leave_one_out_rank(v, ["rows", "sector"], x, name, low)
+    return v.select("rows", "sector", "entity", *r6("ret_rank", "vol_rank", "ratio_rank"))
 
 
 @query(""", x AS (SELECT rets.entity, sector, date, r, avg(r) OVER (PARTITION BY sector, date) AS g FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL), b AS (SELECT *, CASE WHEN count(*) OVER w >= 12 THEN covar_samp(r, g) OVER w / var_samp(g) OVER w END AS beta FROM x WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
@@ -277,9 +316,11 @@ def a30_trend_flags(spark, d):
     return _trends(spark, d).select("entity", "metric", "recovering", "deteriorating", "strong")
 
 
-@query(_TREND + " SELECT entity, CAST(sum(CAST(recovering AS INTEGER)) AS BIGINT) AS recovering, CAST(sum(CAST(deteriorating AS INTEGER)) AS BIGINT) AS deteriorating, bool_or(strong) AS any_strong, CASE WHEN sum(CAST(recovering AS INTEGER)) > sum(CAST(deteriorating AS INTEGER)) THEN 'up' WHEN sum(CAST(recovering AS INTEGER)) < sum(CAST(deteriorating AS INTEGER)) THEN 'down' ELSE 'flat' END AS label FROM fl GROUP BY 1", "fund")
+@query(_TREND + """ SELECT entity, CAST(sum(CAST(recovering AS INTEGER)) AS BIGINT) AS recovering, CAST(sum(CAST(deteriorating AS INTEGER)) AS BIGINT) AS deteriorating, bool_or(strong) AS any_strong, round(avg(CAST(strong AS DOUBLE)), 6) AS mean_strong, max_by(metric, coalesce((l - f) / nullif(abs(f), 0), -1e9::DOUBLE) + CASE metric WHEN 'roe' THEN 1e-12::DOUBLE ELSE 0 END) AS best,
+ CASE WHEN sum(CAST(recovering AS INTEGER)) > sum(CAST(deteriorating AS INTEGER)) THEN 'up' WHEN sum(CAST(recovering AS INTEGER)) < sum(CAST(deteriorating AS INTEGER)) THEN 'down' ELSE 'flat' END AS label FROM fl GROUP BY 1""", "fund")
 def a31_signal_assembly(spark, d):
-    g = _trends(spark, d).groupBy("entity").agg(F.count_if("recovering").alias("recovering"), F.count_if("deteriorating").alias("deteriorating"), F.bool_or("strong").alias("any_strong"))
+    score = F.coalesce("relative", F.lit(-1e9)) + F.when(F.col("metric") == "roe", 1e-12).otherwise(0.0)  # ties go to the first metric
+    g = _trends(spark, d).groupBy("entity").agg(F.count_if("recovering").alias("recovering"), F.count_if("deteriorating").alias("deteriorating"), F.bool_or("strong").alias("any_strong"), F.round(F.avg(F.col("strong").cast("double")), 6).alias("mean_strong"), F.max_by("metric", score).alias("best"))
     return g.withColumn("label", F.when(F.col("recovering") > F.col("deteriorating"), "up").when(F.col("recovering") < F.col("deteriorating"), "down").otherwise("flat"))
 
 
@@ -355,13 +396,17 @@ def a50_turnover_cap(spark, d):
     return v.withColumn("capped", F.col("k") / F.sum("k").over(p)).select("sector", "entity", *r6("now", "capped"))
 
 
-@query(""", v AS (SELECT entity, date, CASE WHEN count(r) OVER w >= 12 THEN stddev_samp(r) OVER w * sqrt(252) END AS vol FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), g AS (SELECT entity, max_by(vol, date) AS now, median(vol) AS med, quantile_cont(vol, 0.75) AS p75 FROM v WHERE vol IS NOT NULL GROUP BY 1)
- SELECT entity, round(now, 6) AS now, round(med, 6) AS med, round(p75, 6) AS p75, round(least(greatest(0.3 / p75, 0.01), 0.12), 6) AS weight, 0.3 / p75 > 0.12 AS capped FROM g""", "rets")
+@query(""", v AS (SELECT entity, date, CASE WHEN count(r) OVER w >= 12 THEN stddev_samp(r) OVER w * sqrt(252) END AS vol FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), g AS (SELECT entity, max_by(vol, date) AS now, median(vol) AS med, quantile_cont(vol, 0.75) AS p75 FROM v WHERE vol IS NOT NULL GROUP BY 1), h AS (SELECT entity, max_by(price, date) AS price, max_by(qty, date) AS held, sum(max_by(price * qty, date)) OVER () AS total FROM bars GROUP BY 1)
+ SELECT entity, round(least(greatest(0.3 / p75, 0.01), 0.12) * total / price - held, 4) AS share_delta, round(least(greatest(0.3 / p75, 0.01), 0.12) * total - held * price, 2) AS value_delta, round(now, 6) AS now, round(med, 6) AS med, round(p75, 6) AS p75, round(least(greatest(0.3 / p75, 0.01), 0.12), 6) AS weight, 0.3 / p75 > 0.12 AS capped FROM g JOIN h USING (entity)""", "rets")
 def a52_volatility_sizing(spark, d):
     v = windows.rolling_vol(rets(spark, d), "entity", "date", "r", 12).where("vol IS NOT NULL")
     g = v.groupBy("entity").agg(F.max_by("vol", "date").alias("now"), F.median("vol").alias("med"), F.percentile("vol", F.lit(0.75)).alias("p75"))
     raw = div(F.lit(0.3), F.col("p75"))
-    return g.select("entity", *r6("now", "med", "p75"), F.round(F.least(F.greatest(raw, F.lit(0.01)), F.lit(0.12)), 6).alias("weight"), (raw > 0.12).alias("capped"))
+    h = bars(spark, d).groupBy("entity").agg(F.max_by("price", "date").alias("price"), F.max_by("qty", "date").alias("held"))
+    total = h.agg(F.sum(F.col("price") * F.col("held")).alias("total"))
+    g = g.join(h, "entity").join(F.broadcast(total)).withColumn("goal", F.least(F.greatest(raw, F.lit(0.01)), F.lit(0.12)) * F.col("total"))
+    deltas = [F.round(F.col("goal") / F.col("price") - F.col("held"), 4).alias("share_delta"), F.round(F.col("goal") - F.col("held") * F.col("price"), 2).alias("value_delta")]
+    return g.select("entity", *deltas, *r6("now", "med", "p75"), F.round(F.least(F.greatest(raw, F.lit(0.01)), F.lit(0.12)), 6).alias("weight"), (raw > 0.12).alias("capped"))
 
 
 @query(", v AS (SELECT sector, entity, stddev_samp(r) AS vol, max_by(price * qty, date) AS mv FROM rets JOIN sect USING (entity) GROUP BY 1, 2) SELECT sector, entity, round(mv / sum(mv) OVER p, 6) AS current, round(1 / vol / sum(1 / vol) OVER p, 6) AS inv_vol, round(mv / sum(mv) OVER p - 1 / vol / sum(1 / vol) OVER p, 6) AS delta FROM v WINDOW p AS (PARTITION BY sector)", "rets", "sect")
@@ -447,16 +492,18 @@ def a63_fragility(spark, d):
     return with_pct_ranks(cut(x, "fragility"), {"p": "fragility"}).select("entity", "fragility", (F.col("p") >= 0.9).alias("flagged"))
 
 
-_FC = ", f AS (SELECT entity, date, price, lag(price) OVER w AS f1, lag(price, 3) OVER w AS f3 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)), h AS (SELECT entity, date, 1 AS horizon, f1 AS fc, price FROM f UNION ALL SELECT entity, date, 3, f3, price FROM f)"
+_FC = ", f AS (SELECT entity, date, price, lag(price) OVER w AS f1, lag(price, 3) OVER w AS f3, lag(price, 4) OVER w AS f4 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)), h AS (SELECT entity, date, 1 AS horizon, f1 AS fc, price, f4 AS before FROM f UNION ALL SELECT entity, date, 3, f3, price, f4 FROM f)"
 
 
-@query(_FC + ", e AS (SELECT entity, horizon, count(*) AS n, avg(abs(fc - price)) AS mae, sqrt(avg((fc - price) * (fc - price))) AS rmse, avg(abs(fc - price) / price) AS mape FROM h WHERE fc IS NOT NULL GROUP BY 1, 2) SELECT entity, horizon, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, CASE WHEN mape <= 0.08 THEN 'high' WHEN mape <= 0.12 THEN 'medium' ELSE 'low' END AS tier FROM e", "bars")
+@query(_FC + ", e AS (SELECT entity, horizon, count(*) AS n, avg(CASE WHEN sign(price - before) = sign(fc - before) THEN 1.0::DOUBLE ELSE 0 END) FILTER (before IS NOT NULL) AS direction, avg(abs(fc - price)) AS mae, sqrt(avg((fc - price) * (fc - price))) AS rmse, avg(abs(fc - price) / price) AS mape FROM h WHERE fc IS NOT NULL GROUP BY 1, 2) SELECT entity, horizon, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, CASE WHEN mape <= 0.08 THEN 'high' WHEN mape <= 0.12 THEN 'medium' ELSE 'low' END AS tier, round(direction, 6) AS direction, rank() OVER (PARTITION BY entity ORDER BY round(mape, 9)) AS setup FROM e", "bars")
 def a67_forecast_errors(spark, d):
     w = Window.partitionBy("entity").orderBy("date")
-    b = bars(spark, d).select("entity", "price", F.lag("price").over(w).alias("f1"), F.lag("price", 3).over(w).alias("f3")).selectExpr("entity", "price", "stack(2, 1, f1, 3, f3) AS (horizon, fc)").where("fc IS NOT NULL")
+    b = bars(spark, d).select("entity", "price", F.lag("price").over(w).alias("f1"), F.lag("price", 3).over(w).alias("f3"), F.lag("price", 4).over(w).alias("before")).selectExpr("entity", "price", "before", "stack(2, 1, f1, 3, f3) AS (horizon, fc)").where("fc IS NOT NULL")
+    hit = F.when(F.col("before").isNotNull(), (F.signum(F.col("price") - F.col("before")) == F.signum(F.col("fc") - F.col("before"))).cast("double"))
     err = F.col("fc") - F.col("price")
-    g = b.groupBy("entity", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err) / F.col("price")).alias("mape"))
-    return g.select("entity", "horizon", "n", *r6("mae", "rmse", "mape"), bins(F.col("mape"), [0.08, 0.12], ["high", "medium", "low"]).alias("tier"))
+    g = b.groupBy("entity", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err) / F.col("price")).alias("mape"), F.avg(hit).alias("direction"))
+    setup = F.rank().over(Window.partitionBy("entity").orderBy(F.round("mape", 9))).cast("long").alias("setup")
+    return g.select("entity", "horizon", "n", *r6("mae", "rmse", "mape", "direction"), bins(F.col("mape"), [0.08, 0.12], ["high", "medium", "low"]).alias("tier"), setup)
 
 
 @query(_FC + ", b AS (SELECT horizon, avg(abs(fc - price)) AS mae FROM h WHERE fc IS NOT NULL GROUP BY 1) SELECT horizon, round(mae, 6) AS mae FROM b", "bars")
@@ -479,6 +526,24 @@ def a75_sleeve_performance(spark, d):
     return risk.ann_stats(ew, ["basket"], "r", 0.0, 12).join(both, "basket").select("basket", F.round("ann_ret", 6).alias("ret"), F.round("ann_vol", 6).alias("vol"), *r6("mean_corr"))
 
 
+@query(_BASKET + " SELECT basket, entity, count(*) AS n, round(avg(r) * 12, 6) AS ret, round(stddev_samp(r) * sqrt(12), 6) AS vol, round(exp(sum(ln(1 + r))) - 1, 5) AS total FROM m GROUP BY 1, 2", "rets", "sect")
+def a75_member_returns(spark, d):
+    m = rets(spark, d).where("r IS NOT NULL").join(_members(spark, d), "entity")
+    return m.groupBy("basket", "entity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r") * 12, 6).alias("ret"), F.round(F.stddev_samp("r") * 12**0.5, 6).alias("vol"), F.round(F.exp(F.sum(F.log1p("r"))) - 1, 5).alias("total"))
+
+
+_LEG_RATES = ", ".join(f"round(avg(CASE WHEN coalesce({c} {op} {screens.THRESHOLDS['normal'][k]}, false) THEN 0.0::DOUBLE ELSE 1 END), 6) AS {k}_fails" for k, (c, op) in screens.LEGS.items())
+
+
+@query(f", t AS (SELECT f.*, g.regime FROM fund f ASOF JOIN regime g ON f.as_of >= g.date) SELECT regime, count(*) AS n, {_LEG_RATES} FROM t GROUP BY 1", "regime", "fund")
+def a76_leg_fail_rates(spark, d):
+    """How often each leg fails at the filings of each regime's dates."""
+    f = fund(spark, d)
+    days = asof.asof(f.select("as_of").distinct(), regime(spark, d), "as_of", "date", ["regime"], []).where("regime IS NOT NULL")
+    x = screens.with_legs(f.join(F.broadcast(days), "as_of"))
+    return x.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg((~F.col(f"pass_{k}")).cast("double")), 6).alias(f"{k}_fails") for k in screens.LEGS])
+
+
 @query(_BASKET + " SELECT basket, regime, count(*) AS n, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS vol FROM ew JOIN regime USING (date) GROUP BY 1, 2", "regime", "sect")
 def a76_basket_by_regime(spark, d):
     ew = returns.group_returns(rets(spark, d), _members(spark, d), "entity", "basket", "date", "r").drop("n")
@@ -495,13 +560,21 @@ def a78_transition_shares(spark, d):
     return regimes.transitions(regime(spark, d), "date", "regime").select("from", "to", "n", *r6("share"))
 
 
+@query(" SELECT regime, count(*) AS n, round(avg(m) * 12, 6) AS ret, round(stddev_samp(m) * sqrt(12), 6) AS vol, round(min(m), 6) AS worst, max(date) AS newest, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM regime GROUP BY 1", "regime")
+def a78_state_summary(spark, d):
+    g = regime(spark, d).groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("m") * 12, 6).alias("ret"), F.round(F.stddev_samp("m") * 12**0.5, 6).alias("vol"), F.round(F.min("m"), 6).alias("worst"), F.max("date").alias("newest"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # one row per state
+
+
 @query()
 def a79_mixture_states(spark, d):
     """Gaussian mixture of MLlib over market features; SQL can't fit it, so its test checks labels, order and posteriors."""
     m = market(spark, d)
     w = Window.orderBy("date").rowsBetween(-5, 0)  # one row per date
-    x = m.withColumn("vol", F.stddev_samp("m").over(w)).where("vol IS NOT NULL")
-    return regimes.mixture_labels(x, ["m", "vol"], "vol", 2).select("date", "state", F.round(F.array_max("posterior"), 4).alias("p_max"))
+    p = pairs.rolling_corr(pairs.paired(returns.group_returns(rets(spark, d), _members(spark, d), "entity", "basket", "date", "r"), "basket", "date", "r", []), [], "date", 12)
+    corr = p.groupBy("date").agg(F.avg("corr").alias("corr"))
+    x = m.withColumn("vol", F.stddev_samp("m").over(w)).join(corr, "date").where("vol IS NOT NULL AND corr IS NOT NULL")
+    return regimes.mixture_labels(x, ["m", "vol", "corr"], "vol", 2).select("date", "state", F.round(F.array_max("posterior"), 4).alias("p_max"))
 
 
 _POST = ", p AS (SELECT entity, as_of, stab AS p1, (1 - stab) * 0.7 AS p2, (1 - stab) * 0.3 AS p3 FROM fund), e AS (SELECT *, -(CASE WHEN p1 > 0 THEN p1 * ln(p1) ELSE 0 END + CASE WHEN p2 > 0 THEN p2 * ln(p2) ELSE 0 END + CASE WHEN p3 > 0 THEN p3 * ln(p3) ELSE 0 END) AS h FROM p)"
@@ -517,6 +590,32 @@ def a80_posterior_entropy(spark, d):
     return _posteriors(spark, d).select("entity", "as_of", F.round("h", 6).alias("entropy"), regimes.soft_label(F.col("p"), F.lit("known")).alias("label"))
 
 
+@query(_POST + " SELECT CAST(least(floor(h / 0.2), 5) AS INTEGER) AS bin, count(*) AS n, round(avg(greatest(p1, p2, p3)), 6) AS top, count(*) FILTER (greatest(p1, p2, p3) < 0.7 OR h > 0.8) AS uncertain FROM e GROUP BY 1", "fund")
+def a80_entropy_bins(spark, d):
+    """Rows, mean largest posterior and uncertain rows by bins of 0.2."""
+    top = F.array_max("p")
+    x = _posteriors(spark, d).withColumn("bin", F.least(F.floor(F.col("h") / 0.2), F.lit(5)).cast("int"))
+    return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(top), 6).alias("top"), F.count_if((top < 0.7) | (F.col("h") > 0.8)).alias("uncertain"))
+
+
+@query(_POST + " SELECT entity, as_of, round(h, 6) AS entropy, round(greatest(p1, p2, p3), 6) AS top FROM e WHERE greatest(p1, p2, p3) < 0.7 OR h > 0.8", "fund")
+def a80_uncertain_days(spark, d):
+    x = _posteriors(spark, d).withColumn("top", F.array_max("p")).where("top < 0.7 OR h > 0.8")
+    return x.select("entity", "as_of", F.round("h", 6).alias("entropy"), F.round("top", 6).alias("top"))
+
+
+_LEADS = ", ".join(f"round(corr(h, v{k}), 6) AS lead_{k}" for k in range(11))
+
+
+@query(_POST + ", t AS (SELECT as_of, avg(h) AS h, avg(amount) AS v FROM e JOIN fund USING (entity, as_of) GROUP BY 1), l AS (SELECT h, " + ", ".join(f"lead(v, {k}) OVER (ORDER BY as_of) AS v{k}" for k in range(11)) + f" FROM t) SELECT {_LEADS} FROM l", "fund")
+def w27_entropy_leads(spark, d):
+    """Correlation of the mean entropy with the mean amount so many dates later; one row per date."""
+    t = _posteriors(spark, d).join(fund(spark, d).select("entity", "as_of", "amount"), ["entity", "as_of"]).groupBy("as_of").agg(F.avg("h").alias("h"), F.avg("amount").alias("v"))
+    w = Window.orderBy("as_of")
+    l = t.select("h", *[F.lead("v", k).over(w).alias(f"v{k}") for k in range(11)])
+    return l.agg(*[F.round(safe_corr(F.col("h"), F.col(f"v{k}")), 6).alias(f"lead_{k}") for k in range(11)])
+
+
 @query(_POST + """, f AS (SELECT entity, as_of, h, h > 0.8 AS u, h - lag(h) OVER w AS dh, avg(h) OVER (PARTITION BY entity ORDER BY as_of ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h5 FROM e WINDOW w AS (PARTITION BY entity ORDER BY as_of)) SELECT entity, as_of, round(dh, 6) AS dh, round(h5, 6) AS h5 FROM f""", "fund")
 def w27_entropy_dynamics(spark, d):
     w = Window.partitionBy("entity").orderBy("as_of")

@@ -99,10 +99,15 @@ def p20_decision_table(spark, d):
 
 
 @query(f""", s AS (SELECT *, {_FLAGS} FROM latest), t AS (SELECT *, {_NFAIL} AS n_failed, {_FAILED} AS failed_legs FROM s)
- SELECT entity, n_failed, failed_legs, CASE WHEN stab < 0.2 THEN 'EXCLUDE' WHEN n_failed = 0 THEN 'INCLUDE' WHEN n_failed <= 2 THEN 'NEAR_MISS' ELSE 'NO' END AS candidacy FROM t""", "latest")
+ SELECT entity, n_failed, failed_legs, CASE WHEN stab < 0.2 THEN 'EXCLUDE' WHEN n_failed = 0 THEN 'INCLUDE' WHEN n_failed <= 2 THEN 'NEAR_MISS' ELSE 'NO' END AS candidacy, c_custkey IS NOT NULL AS monitored,
+ CASE WHEN stab < 0.2 THEN 'reject' WHEN n_failed = 0 THEN CASE WHEN c_custkey IS NOT NULL THEN 'keep' ELSE 'add' END WHEN n_failed <= 2 THEN 'watch' WHEN c_custkey IS NOT NULL THEN 'review' ELSE 'ignore' END AS decision FROM t LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = entity""", "latest")
 def p21_inclusion(spark, d):
-    x = screens.with_legs(latest(spark, d))
-    return x.select("entity", "n_failed", "failed_legs", F.when(F.col("stab") < 0.2, "EXCLUDE").when(F.col("n_failed") == 0, "INCLUDE").when(F.col("n_failed") <= 2, "NEAR_MISS").otherwise("NO").alias("candidacy"))
+    own = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("entity"), F.lit(True).alias("own"))
+    x = screens.with_legs(latest(spark, d)).join(own, "entity", "left")
+    low, own = F.col("stab") < 0.2, F.col("own").isNotNull()
+    candidacy = F.when(low, "EXCLUDE").when(F.col("n_failed") == 0, "INCLUDE").when(F.col("n_failed") <= 2, "NEAR_MISS").otherwise("NO")
+    decision = F.when(low, "reject").when(F.col("n_failed") == 0, F.when(own, "keep").otherwise("add")).when(F.col("n_failed") <= 2, "watch").when(own, "review").otherwise("ignore")
+    return x.select("entity", "n_failed", "failed_legs", candidacy.alias("candidacy"), own.alias("monitored"), decision.alias("decision"))
 
 
 @query(f", s AS (SELECT *, {_FLAGS} FROM latest), t AS (SELECT unnest(string_split({_FAILED}, ',')) AS leg FROM s) SELECT leg, count(*) AS n FROM t WHERE leg <> '' GROUP BY 1", "latest")
@@ -179,11 +184,11 @@ def p25_near_misses(spark, d):
     return x.select("entity", "n_failed", F.when(F.col("n_failed") == 1, F.col("failed_legs")).alias("failed_leg"), *r6(*g))
 
 
-@query(f""", s AS (SELECT *, {_FLAGS} FROM latest) SELECT entity, CASE WHEN b AND t THEN 'dual' WHEN b THEN 'quality_only' WHEN t THEN 'value_only' ELSE 'neither' END AS gap FROM (SELECT entity, p_roe AND p_roic AND p_de AS b, p_ev AND p_pb AND p_mca AS t FROM s)
+@query(f""", s AS (SELECT *, {_FLAGS} FROM latest) SELECT entity, CASE WHEN b AND t THEN 'dual' WHEN b THEN 'quality_only' WHEN t THEN 'value_only' ELSE 'neither' END AS gap, near OR (b AND t) AS near_dual FROM (SELECT entity, p_roe AND p_roic AND p_de AS b, p_ev AND p_pb AND p_mca AS t, coalesce(roe >= 0.12, false) AND coalesce(roic >= 0.10, false) AND coalesce(de <= 1.2, false) AND coalesce(ev <= 12, false) AND coalesce(pb <= 2.5, false) AS near FROM s)
  WHERE entity NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)""", "latest")
 def p26_gap_class(spark, d):
     monitored = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("entity"))
-    return latest(spark, d).join(monitored, "entity", "left_anti").select("entity", screens.gap_class().alias("gap"))
+    return latest(spark, d).join(monitored, "entity", "left_anti").select("entity", screens.gap_class().alias("gap"), screens.near_dual().alias("near_dual"))
 
 
 @query("""SELECT entity, round(1 + de, 6) AS multiplier, round(roe / (1 + de), 6) AS operating, round(roe - roe / (1 + de), 6) AS boost, round((roe - roe / (1 + de)) / roe, 6) AS boost_share,

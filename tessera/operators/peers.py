@@ -74,6 +74,13 @@ def rank_ic(df: DataFrame, by: list[str], signal: str, target: str) -> DataFrame
     return ranked.groupBy(*by).agg(safe_corr(F.col("_s"), F.col("_t")).alias("spearman"), safe_corr(F.col(signal), F.col(target)).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
+def family_weights(df: DataFrame, family: str, time: str, signal: str, target: str, settle: int | None = None) -> DataFrame:
+    """Mean rank correlation of each family's signal with the target over dates, and its share of those above 0; with ``settle``, times the root of n / (n + settle), the history factor."""
+    ic = rank_ic(df, [family, time], signal, target).groupBy(family).agg(F.avg("spearman").alias("ic"), F.count("spearman").alias("n"))
+    up = F.greatest("ic", F.lit(0.0)) * (F.sqrt(F.col("n") / (F.col("n") + settle)) if settle else F.lit(1.0))
+    return ic.withColumn("weight", div(up, F.sum(up).over(Window.partitionBy())))  # one row per family
+
+
 def average_rolling_beta(rolled: DataFrame, entity: str, group: str, beta: str, time: str, rows: int) -> DataFrame:
     """Mean of the last rolling betas of each entity with the group's median and the quartile flags."""
     w = Window.partitionBy(entity).orderBy(F.desc(time))

@@ -60,6 +60,9 @@ def value_score() -> Column:
     return 0.4 * inverse(F.col("ev"), t["ev"]) + 0.3 * inverse(F.col("pb"), t["pb"]) + 0.3 * inverse(F.col("mca"), t["mca"])
 
 
+#: The weights and limits of the scores below, of composite() and of the decision labels.
+
+
 def quality_part() -> Column:
     """The quality part of P15: weights .35, .35, .15, .15; a null ratio gives nothing."""
     z = lambda c: F.coalesce(c, F.lit(0.0))
@@ -124,7 +127,7 @@ def gap_class() -> Column:
 
 
 #: Relaxed borders of the candidate screen.
-NEAR = {"roe": 0.12, "roic": 0.10, "de": 1.2, "ev": 12.0, "pb": 2.5}
+NEAR = {"roe": 0.12, "roic": 0.10, "de": 1.2, "ev": 10.0, "pb": 2.0, "mca": 0.9}
 
 
 def near_dual() -> Column:

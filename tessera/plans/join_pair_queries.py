@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import safe_corr
-from tessera.operators import asof, pairs, returns
+from tessera.operators import asof, pairs, returns, windows
 from tessera.plans.common import bars, fund, latest, query, r6, regime, rets, sect
 from tessera.registry import table
 
@@ -26,10 +26,10 @@ def j07_regime_tags(spark, d):
     return q.join(days, "t").select("o_orderkey", "regime")
 
 
-@query(""", q AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) + 14 AS t FROM orders) SELECT q.t, g.regime, CASE g.regime WHEN 'high' THEN 'defensive' WHEN 'low' THEN 'full' ELSE 'neutral' END AS band FROM q ASOF LEFT JOIN regime g ON q.t >= g.date""", "regime")
+@query(""", q AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) + 14 AS t FROM orders) SELECT q.t, g.regime, CASE g.regime WHEN 'high' THEN 'defensive' WHEN 'low' THEN 'full' ELSE 'neutral' END AS band, CASE g.regime WHEN 'high' THEN 'reduce' WHEN 'low' THEN 'rebalance' ELSE 'hold' END AS action FROM q ASOF LEFT JOIN regime g ON q.t >= g.date""", "regime")
 def j08_calendar_state(spark, d):
     q = table(spark, d, "orders").select(F.date_add(F.date_trunc("month", "o_orderdate").cast("date"), 14).alias("t")).distinct()
-    return asof.asof(q, regime(spark, d), "t", "date", ["regime"], []).withColumn("band", F.expr("CASE regime WHEN 'high' THEN 'defensive' WHEN 'low' THEN 'full' WHEN 'normal' THEN 'neutral' ELSE 'neutral' END"))
+    return asof.asof(q, regime(spark, d), "t", "date", ["regime"], []).withColumn("band", F.expr("CASE regime WHEN 'high' THEN 'defensive' WHEN 'low' THEN 'full' ELSE 'neutral' END")).withColumn("action", F.expr("CASE regime WHEN 'high' THEN 'reduce' WHEN 'low' THEN 'rebalance' ELSE 'hold' END"))
 
 
 _MEMB = """, days AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS date FROM orders), a AS (SELECT o_custkey AS entity, min(CAST(o_orderdate AS DATE)) AS ad FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
@@ -165,6 +165,14 @@ def a40_rolling_pair_history(spark, d):
     return c.groupBy("window_end").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.round(F.percentile("c", F.lit(0.25)), 6).alias("p25"), F.round(F.percentile("c", F.lit(0.75)), 6).alias("p75"))
 
 
+@query(_PAIRS + ", e AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM market) SELECT sector, a, b, count(*) AS n, round(corr(x, y), 6) AS corr FROM p JOIN e USING (date) WHERE k <= 12 GROUP BY 1, 2, 3 HAVING count(*) >= 8", "market", "sect")
+def a40_latest_matrix(spark, d):
+    """Correlations of all pairs over the last 12 dates."""
+    days = rets(spark, d).where("r IS NOT NULL").select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date")))).where("k <= 12").select("date")  # one row per date
+    c = _pairs(spark, d).join(F.broadcast(days), "date").groupBy("sector", "a", "b").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("x"), F.col("y")).alias("corr")).where("n >= 8")
+    return c.select("sector", "a", "b", "n", *r6("corr"))
+
+
 _ROLL = _PAIRS + """, rc AS (SELECT sector, a, b, date, CASE WHEN count(*) OVER w >= 12 THEN covar_samp(x, y) OVER w / sqrt(var_samp(x) OVER w * var_samp(y) OVER w) END AS c FROM p WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
 
 
@@ -173,6 +181,29 @@ def a41_average_rolling_correlation(spark, d):
     return pairs.rolling_corr(_pairs(spark, d), ["sector"], "date", 12).groupBy("date").agg(F.round(F.avg("corr"), 6).alias("mean_corr"), F.count("corr").alias("n"))
 
 
+_SPANS = (6, 12, 24)
+_ROLLS = _PAIRS + ", rw AS (" + " UNION ALL ".join(f"SELECT {k} AS rows, sector, date, CASE WHEN count(*) OVER w{k} >= {k} THEN covar_samp(x, y) OVER w{k} / sqrt(var_samp(x) OVER w{k} * var_samp(y) OVER w{k}) END AS c FROM p WINDOW w{k} AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in _SPANS) + ")"
+
+
+@query(_ROLLS + " SELECT rows, sector, date, round(avg(c), 6) AS mean_corr, count(c) AS n FROM rw WHERE c IS NOT NULL GROUP BY 1, 2, 3", "rets", "sect")
+def a41_sector_rolling_correlation(spark, d):
+    """Mean correlation of each sector's pairs over windows of several lengths."""
+    p = _pairs(spark, d)
+    for k in _SPANS:
+        p = pairs.rolling_corr(p, ["sector"], "date", k).withColumnRenamed("corr", f"c{k}")
+    u = p.select("sector", "date", F.explode(F.array(*[F.struct(F.lit(k).alias("rows"), F.col(f"c{k}").alias("c")) for k in _SPANS])).alias("x")).select("sector", "date", "x.*").where("c IS NOT NULL")
+    return u.groupBy("rows", "sector", "date").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.count("c").alias("n"))
+
+
+@query(""", x AS (SELECT entity, date, r, m FROM rets JOIN market USING (date) WHERE r IS NOT NULL), c AS (SELECT entity, date, CASE WHEN count(*) OVER w >= 12 THEN covar_samp(r, m) OVER w / sqrt(var_samp(r) OVER w * var_samp(m) OVER w) END AS c FROM x WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+ SELECT entity, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS std, round(max_by(c, date), 6) AS newest FROM c WHERE c IS NOT NULL GROUP BY 1""", "market")
+def a41_market_stability(spark, d):
+    x = rets(spark, d).where("r IS NOT NULL")
+    m = x.groupBy("date").agg(F.avg("r").alias("m"))
+    c = windows.rolling_pair(x.join(m, "date"), "entity", "date", "r", "m", 12).where("corr IS NOT NULL")
+    return c.groupBy("entity").agg(F.round(F.avg("corr"), 6).alias("mean"), F.round(F.stddev_samp("corr"), 6).alias("std"), F.round(F.max_by("corr", "date"), 6).alias("newest"))
+
+
 @query(", s AS (SELECT sector, date, avg(r) AS g FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT -1, date, avg(r) FROM rets WHERE r IS NOT NULL GROUP BY 2) SELECT rets.entity, s.sector, round(corr(r, g), 6) AS corr, s.sector = sect.sector AS home, count(*) AS n FROM rets JOIN s USING (date) JOIN sect ON sect.entity = rets.entity WHERE r IS NOT NULL GROUP BY 1, 2, 4 HAVING count(*) >= 20", "rets", "sect")
 def a42_asset_group_correlation(spark, d):
     r, s = rets(spark, d).where("r IS NOT NULL"), sect(spark, d)
@@ -245,15 +276,16 @@ def a48_risk_contribution(spark, d):
     return c.withColumn("share", F.col("contribution") / F.sum("contribution").over(Window.partitionBy())).select("a", F.round("contribution", 8).alias("contribution"), *r6("share"))
 
 
-@query(_SHRINK + ", d AS (SELECT a, sqrt(s) AS v FROM s WHERE a = b), m AS (SELECT s.a, s.b, s, x.v AS va, y.v AS vb, s / (x.v * y.v) AS c FROM s JOIN d x ON s.a = x.a JOIN d y ON s.b = y.a), k AS (SELECT avg(c) FILTER (a <> b) AS mc FROM m) SELECT a, b, round(CASE WHEN a = b THEN s ELSE va * vb * (0.5 * c + 0.5 * greatest(mc, 0.8)) END, 8) AS blended FROM m, k", "rets", "sect")
+@query(_SHRINK + ", d AS (SELECT a, sqrt(s) AS v FROM s WHERE a = b), m AS (SELECT s.a, s.b, s, x.v AS va, y.v AS vb, s / (x.v * y.v) AS c FROM s JOIN d x ON s.a = x.a JOIN d y ON s.b = y.a), k AS (SELECT avg(c) FILTER (a <> b) AS mc FROM m) SELECT a, b, round(CASE WHEN a = b THEN s ELSE va * vb * (0.5 * c + 0.5 * greatest(mc, 0.8)) END, 8) AS blended, round(CASE WHEN a = b THEN s ELSE va * vb * (0.9 * c + 0.1 * greatest(mc, 0.8)) END, 8) AS blended_calm FROM m, k", "rets", "sect")
 def a51_regime_covariance(spark, d):
     g = returns.group_returns(rets(spark, d), sect(spark, d), "entity", "region", "date", "r")
     s = pairs.shrinkage(g, "region", "date", "r").select("a", "b", "s")
     v = s.where("a = b").select(F.col("a").alias("k"), F.sqrt("s").alias("v"))
     m = s.join(v.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b").withColumn("c", F.col("s") / (F.col("va") * F.col("vb")))
     mean = m.where("a <> b").agg(F.avg("c").alias("mc"))
-    up = F.col("va") * F.col("vb") * (0.5 * F.col("c") + 0.5 * F.greatest(F.col("mc"), F.lit(0.8)))
-    return m.join(F.broadcast(mean)).select("a", "b", F.round(F.when(F.col("a") == F.col("b"), F.col("s")).otherwise(up), 8).alias("blended"))
+    up = lambda k: F.col("va") * F.col("vb") * ((1 - k) * F.col("c") + k * F.greatest(F.col("mc"), F.lit(0.8)))
+    mixed = {"blended": 0.5, "blended_calm": 0.1}  # under stress and outside it
+    return m.join(F.broadcast(mean)).select("a", "b", *[F.round(F.when(F.col("a") == F.col("b"), F.col("s")).otherwise(up(k)), 8).alias(n) for n, k in mixed.items()])
 
 
 @query(_PAIRS + """, q AS (SELECT a, b, quantile_cont(x, 0.1) AS xl, quantile_cont(x, 0.9) AS xu, quantile_cont(y, 0.1) AS yl, quantile_cont(y, 0.9) AS yu FROM p GROUP BY 1, 2 HAVING count(*) >= 20)

@@ -214,11 +214,20 @@ def a23_rank_ic(spark, d):
     return _ic(spark, d).select("date", *r6("spearman", "pearson"), "n")
 
 
-@query(_RANKED + ", f AS (SELECT 'reversal' AS family, -avg(spearman) AS ic FROM ic UNION ALL SELECT 'momentum', avg(spearman) FROM ic UNION ALL SELECT 'stable', abs(avg(pearson)) FROM ic) SELECT family, round(ic, 6) AS ic, round(greatest(ic, 0) / sum(greatest(ic, 0)) OVER (), 6) AS weight FROM f", "rets")
+_FAMILIES = """, sg AS (SELECT entity, date, -r AS reversal, price / lag(price, 6) OVER w - 1 AS momentum, CASE WHEN count(r) OVER t >= 6 THEN -stddev_samp(r) OVER t END AS stable, lead(price, 1) OVER w / price - 1 AS fwd FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date), t AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+ u AS (SELECT family, date, s, fwd FROM sg UNPIVOT (s FOR family IN (reversal, momentum, stable)) WHERE fwd IS NOT NULL), rk AS (SELECT family, date, rank() OVER (PARTITION BY family, date ORDER BY s) + (count(*) OVER (PARTITION BY family, date, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY family, date ORDER BY fwd) + (count(*) OVER (PARTITION BY family, date, fwd) - 1) / 2.0 AS b FROM u),
+ fi AS (SELECT family, date, corr(a, b) AS ic FROM rk GROUP BY 1, 2), ff AS (SELECT family, avg(ic) AS ic, count(ic) AS n, greatest(avg(ic), 0) * sqrt(count(ic) / (count(ic) + 12.0)) AS up FROM fi GROUP BY 1)"""
+
+
+@query(_FAMILIES + " SELECT family, round(ic, 6) AS ic, n, round(up / nullif(sum(up) OVER (), 0), 6) AS weight FROM ff", "rets")
 def a34_family_weights(spark, d):
-    m = _ic(spark, d).agg(F.avg("spearman").alias("s"), F.avg("pearson").alias("p"))
-    f = m.selectExpr("stack(3, 'reversal', -s, 'momentum', s, 'stable', abs(p)) AS (family, ic)").withColumn("up", F.greatest("ic", F.lit(0.0)))
-    return f.withColumn("weight", div(F.col("up"), F.sum("up").over(Window.partitionBy()))).select("family", *r6("ic", "weight"))  # three rows
+    """Mean rank correlation of three signals with the next return, as weights that aren't negative; families of few dates count less."""
+    x = rets(spark, d)
+    w = Window.partitionBy("entity").orderBy("date")
+    tail = w.rowsBetween(-5, 0)
+    sg = x.select("date", (-F.col("r")).alias("reversal"), (div(F.col("price"), F.lag("price", 6).over(w)) - 1).alias("momentum"), F.when(F.count("r").over(tail) >= 6, -F.stddev_samp("r").over(tail)).alias("stable"), (div(F.lead("price").over(w), F.col("price")) - 1).alias("fwd"))
+    f = peers.family_weights(sg.unpivot(["date", "fwd"], ["reversal", "momentum", "stable"], "family", "s"), "family", "date", "s", "fwd", 12)
+    return f.select("family", *r6("ic"), "n", *r6("weight"))
 
 
 @query(_RANKED + ", g AS (SELECT regime, avg(spearman) AS ic, count(*) AS n FROM ic JOIN regime USING (date) GROUP BY 1), now AS (SELECT max_by(regime, date) AS regime FROM regime) SELECT g.regime, round(ic, 6) AS ic, n, g.regime = now.regime AS active, round(greatest(ic, 0) / nullif(sum(greatest(ic, 0)) OVER (), 0), 6) AS weight FROM g, now", "regime")
@@ -417,6 +426,18 @@ def a53_weight_comparison(spark, d):
     return v.withColumn("delta", F.col("current") - F.col("inv_vol")).select("sector", "entity", *r6("current", "inv_vol", "delta"))
 
 
+@query(", v AS (SELECT sector, entity, stddev_samp(r) AS vol, max_by(price * qty, date) AS mv FROM rets JOIN sect USING (entity) GROUP BY 1, 2), w AS (SELECT sector, entity, mv / sum(mv) OVER p AS c, 1 / vol / sum(1 / vol) OVER p AS i, 1.0::DOUBLE / count(*) OVER p AS e FROM v WINDOW p AS (PARTITION BY sector)), s AS (SELECT sector, date, sum(c * r) AS c, sum(i * r) AS i, sum(e * r) AS e FROM w JOIN rets USING (entity) WHERE r IS NOT NULL GROUP BY 1, 2) SELECT sector, round(stddev_samp(c) * sqrt(252), 6) AS current_vol, round(stddev_samp(i) * sqrt(252), 6) AS inv_vol, round(stddev_samp(e) * sqrt(252), 6) AS equal_vol FROM s GROUP BY 1", "rets", "sect")
+def a53_portfolio_volatility(spark, d):
+    """Volatility of each sector's portfolio under its current, inverse-volatility and equal weights."""
+    r = rets(spark, d)
+    v = r.join(sect(spark, d), "entity").groupBy("sector", "entity").agg(F.stddev_samp("r").alias("vol"), F.max_by(F.col("price") * F.col("qty"), "date").alias("mv"))
+    p = Window.partitionBy("sector")
+    inv = div(F.lit(1.0), F.col("vol"))
+    w = v.select("sector", "entity", (F.col("mv") / F.sum("mv").over(p)).alias("c"), (inv / F.sum(inv).over(p)).alias("i"), (F.lit(1.0) / F.count(F.lit(1)).over(p)).alias("e"))
+    s = w.join(r.where("r IS NOT NULL").select("entity", "date", "r"), "entity").groupBy("sector", "date").agg(*[F.sum(F.col(k) * F.col("r")).alias(k) for k in "cie"])
+    return s.groupBy("sector").agg(*[F.round(F.stddev_samp(k) * 252**0.5, 6).alias(n) for k, n in (("c", "current_vol"), ("i", "inv_vol"), ("e", "equal_vol"))])
+
+
 @query(", g AS (SELECT entity, avg(r) AS mu, stddev_samp(r) AS sd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS p, avg(r) FILTER (r > 0) / abs(avg(r) FILTER (r < 0)) AS b FROM rets WHERE r IS NOT NULL GROUP BY 1) SELECT entity, round((mu - 0.001) / (sd * sd), 5) AS continuous, round(p - (1 - p) / b, 6) AS binary FROM g", "rets")
 def a54_kelly(spark, d):
     r = F.col("r")

@@ -184,7 +184,7 @@ def p25_near_misses(spark, d):
     return x.select("entity", "n_failed", F.when(F.col("n_failed") == 1, F.col("failed_legs")).alias("failed_leg"), *r6(*g))
 
 
-@query(f""", s AS (SELECT *, {_FLAGS} FROM latest) SELECT entity, CASE WHEN b AND t THEN 'dual' WHEN b THEN 'quality_only' WHEN t THEN 'value_only' ELSE 'neither' END AS gap, near OR (b AND t) AS near_dual FROM (SELECT entity, p_roe AND p_roic AND p_de AS b, p_ev AND p_pb AND p_mca AS t, coalesce(roe >= 0.12, false) AND coalesce(roic >= 0.10, false) AND coalesce(de <= 1.2, false) AND coalesce(ev <= 12, false) AND coalesce(pb <= 2.5, false) AS near FROM s)
+@query(f""", s AS (SELECT *, {_FLAGS} FROM latest) SELECT entity, CASE WHEN b AND t THEN 'dual' WHEN b THEN 'quality_only' WHEN t THEN 'value_only' ELSE 'neither' END AS gap, near OR (b AND t) AS near_dual FROM (SELECT entity, p_roe AND p_roic AND p_de AS b, p_ev AND p_pb AND p_mca AS t, coalesce(roe >= 0.12, false) AND coalesce(roic >= 0.10, false) AND coalesce(de <= 1.2, false) AND coalesce(ev <= 10, false) AND coalesce(pb <= 2.0, false) AND coalesce(mca <= 0.9, false) AS near FROM s)
  WHERE entity NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)""", "latest")
 def p26_gap_class(spark, d):
     monitored = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("entity"))

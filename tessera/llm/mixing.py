@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.scratch import cut, ordered_prefix
+from tessera.scratch import cut, discard, ordered_prefix
 
 #: Sources up to this many rows are broadcast; beyond it the join is shuffled and its hot sources split.
 BROADCAST_SOURCES = 50_000
@@ -84,17 +84,19 @@ def mix(rows: DataFrame, source: str, size: str, key: Column, seed: str = "mix",
     """
     names = rows.columns
     drawn = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(source).alias("_src"), F.col(size).cast("long").alias("_size"), uniform(seed, key).alias("_u"))
-    targets = source_targets(drawn, "_src", "_size", cap).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0)))
+    narrow = cut(drawn.select("_src", "_size", "_u"), "draws")
+    targets = source_targets(narrow, "_src", "_size", cap).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0)))
     targets = cut(targets.withColumnRenamed("source", "_source"), "targets")
     small = targets.count() <= BROADCAST_SOURCES
 
     def told(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    per = drawn.select("_src", "_size", "_u").join(told(targets), F.col("_src").eqNullSafe(F.col("_source"))).where("_size > 0 AND rate > floor(rate)")
+    per = narrow.join(told(targets), F.col("_src").eqNullSafe(F.col("_source"))).where("_size > 0 AND rate > floor(rate)")
     limits = _limits(per.select(F.col("_src").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u"), (F.col("rate") - F.floor("rate")).alias("part"), "source_size"))
     limits = limits.withColumnRenamed("source", "_limited")
     plan = cut(targets.join(limits, F.col("_source").eqNullSafe(F.col("_limited")), "left").drop("_limited"), "plan")
+    discard(narrow, targets)
     joined = drawn.join(told(plan), F.col("_src").eqNullSafe(F.col("_source")))
     takes = F.when(F.col("_size") * LARGE > F.col("source_size"), F.array_contains("extra", F.col("_u"))).otherwise(F.col("_u") < F.col("limit"))
     copies = (F.floor("rate") + F.when(takes, 1).otherwise(0)).cast("int").alias("copies")
@@ -111,8 +113,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     Draws follow from doc_id and text, so rows that repeat both share one.
     """
-    narrow = cut(docs.select("doc_id", F.col("source").alias("_src"), word_count(F.col("text")).alias("size"), _key().alias("_key")), "sizes")
-    out = mix(narrow, "_src", "size", F.col("_key"))
+    sizes = cut(docs.select("doc_id", F.col("source").alias("_src"), word_count(F.col("text")).alias("size"), _key().alias("_key")), "sizes")
+    out = mix(sizes, "_src", "size", F.col("_key"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.kernel import distinct_sorted, mix64, shingles, slices, words_of
 from tessera.llm.scratch import bit_filter, connected_components, may_hold
@@ -566,13 +567,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     each = cut(_classes(docs).where("n > 0").groupBy("comp", "doc", "t").agg(F.count(F.lit(1)).alias("rows")), "each")
     first = F.struct(F.col("doc").isNull().alias("last"), "doc", "t", "rows")
     kept = cut(each.groupBy("comp").agg(F.min(first).alias("k")).select("k.doc", "k.t", "k.rows"), "kept")
-    here = [F.col("doc_id").cast("long").eqNullSafe(F.col("_one_doc")), F.xxhash64("text") == F.col("_one_text")]
     gone = cut(each.select("doc", "t").subtract(kept.select("doc", "t")).select(F.col("doc").alias("_one_doc"), F.col("t").alias("_one_text")), "gone")
-    left = docs.join(gone, here, "left_anti")
+    # Rows that the filter doesn't name stay where they lie; only the others, few beside those that go, are joined.
+    told = bit_filter(gone.select(F.xxhash64("_one_doc", "_one_text").alias("h")), "h")
+    hit = F.arrow_udf(lambda h: pa.array(may_hold(told, h.to_numpy())), T.BooleanType())
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("_t")).withColumn("_may", hit(F.xxhash64(F.col("doc_id").cast("long"), F.col("_t"))))
+    same = [F.col("doc_id").cast("long").eqNullSafe(F.col("_one_doc")), F.col("_t") == F.col("_one_text")]
+    left = marked.where("NOT _may").unionByName(marked.where("_may").join(gone, same, "left_anti")).select("_row.*")
     many = kept.where("rows > 1").select(F.col("doc").alias("_one_doc"), F.col("t").alias("_one_text"))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     if many.isEmpty():
-        return left.select(row.alias("_row")).select("_row.*")
+        return left
+    here = [F.col("doc_id").cast("long").eqNullSafe(F.col("_one_doc")), F.xxhash64("text") == F.col("_one_text")]
     keyed = left.join(many, here, "left_semi").select(F.col("doc_id").alias("_one_doc"), F.xxhash64("text").alias("_one_text"), row.alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_h"))
     one = keyed.groupBy("_one_doc", "_one_text").agg(F.min_by("_row", "_h").alias("_row"))
     return left.join(many, here, "left_anti").select(row.alias("_row")).unionByName(one.select("_row")).select("_row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Chunks that each half of a table holds (one text's own chunks come on top); about 200 bytes each. When the young half
 #: is full it becomes the old one, and chunks that are met again move to the new young half.
-TABLE_ROWS = 150_000
+TABLE_ROWS = 100_000
 #: Texts longer than this go in a batch of their own.
 BATCH_BYTES = 1 << 20
 
@@ -85,26 +85,17 @@ class ChunkTable:
         return ids, decoded
 
 
-_tables: dict[str, ChunkTable] = {}
-
-
-def _table(model_file: str) -> ChunkTable:
-    if model_file not in _tables:
-        _tables[model_file] = ChunkTable(model_file)
-    return _tables[model_file]
-
-
 def encoded(df: DataFrame, text: str, model_file: str, keep: list[str]) -> DataFrame:
     """keep, ids (binary: little-endian unsigned 32-bit integers, begin and end ids included) and the text decoded from them.
 
-    A null text is encoded as an empty one. No shuffle: a worker's table of distinct chunks serves all of its texts and
+    A null text is encoded as an empty one. No shuffle: a task's table of distinct chunks serves all of its texts and
     keeps TABLE_ROWS chunks in each of two halves. The model file must be readable on the executors.
     """
     fields = [f for f in df.schema.fields if f.name in keep]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_file)
+        table = ChunkTable(model_file)  # goes with the task: workers live on
         for b in batches:
             texts = b.column("_text").cast(pa.large_string()).fill_null("")
             ends = np.frombuffer(texts.buffers()[1], np.int64, count=len(texts) + 1, offset=8 * texts.offset)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -699,3 +700,128 @@ def test_pipeline_stages_compose(spark):
     assert corpus_pipeline.run(spark, at).count() == counts[4]
 
 
+
+
+def brute_statistics(text):
+    """The statistics of one text by plain loops, in the order of STATS."""
+    b = (text or "").encode()
+    raw = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    words_ = [m.group().lower() for m in raw]
+    n, size = max(1, len(raw)), max(1, len(b))
+    lines = [x for x in ([m.group().lower() for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)] for line in b.split(b"\n")) if x]
+    share = lambda signs: sum(c in signs for c in b)
+    return [
+        math.log1p(len(b)), math.log1p(len(raw)), sum(map(len, words_)) / n, share(range(65, 91)) / size, share(range(48, 58)) / size, share(b".,;:!?'\"-()") / size, share(b"|") / n, share(b"#$%&*+/<=>@[\\]^_`{|}~!") / n, share(range(128, 256)) / size,
+        len(set(words_)) / n, len(raw) / max(1, len(lines)), (len(lines) - len(set(map(tuple, lines)))) / max(1, len(lines)), sum(m.group()[-1] in b"#$%&*!" for m in raw) / n,
+        sum(len(w) <= 3 for w in words_) / n, sum(len(w) >= 12 for w in words_) / n, sum(sum(65 <= c <= 90 for c in m.group()) >= 2 for m in raw) / n, sum(x == y for x, y in zip(words_, words_[1:], strict=False)) / n,
+    ]
+
+
+def brute_score(model, stats):
+    from tessera.llm.quality import STATS
+
+    x = dict(zip(STATS, stats, strict=True))
+    total = model.bias + sum(w for terms, w in model.rules if all((x[k] <= v) if op == "<=" else (x[k] > v) for k, op, v in terms))
+    return 1 / (1 + math.exp(-total))
+
+
+def brute_mix(rows):
+    """Copies of each (doc_id, text, source) row: rates from targets, draws by MD5, limits of each source by plain loops."""
+    from tessera.llm import mixing
+
+    size = collections.defaultdict(int)
+    for _, t, s in rows:
+        size[s] += len(words(t))
+    names = sorted(x for x in size if x is not None) + ([None] if None in size else [])
+    weight, full = {s: k % 3 + 1 for k, s in enumerate(names)}, set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[s] for s in full)
+        target = {s: 3 * size[s] if s in full else left * weight[s] / sum(weight[x] for x in names if x not in full) for s in names}
+        over = {s for s in names if target[s] > 3 * size[s] + 1e-9}
+        if not over:
+            break
+        full |= over
+    draw = lambda i, t: int(hashlib.md5(f"mix:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
+    out = {}
+    for s in names:
+        rate = min(3.0, target[s] / size[s]) if size[s] else 0.0
+        part, owed, takes = rate - math.floor(rate), 0.0, set()
+        mine = sorted(((len(words(t)), draw(i, t)) for i, t, x in rows if x == s and words(t)), reverse=True)
+        large = [m for m in mine if m[0] * mixing.LARGE > size[s]] if part else []
+        for n, u in large:
+            yes = u < part + owed / n
+            owed += part * n - (n if yes else 0)
+            takes |= {u} if yes else set()
+        limit, best = 0.0, None
+        small = [m for m in mine if m not in large] if part else []
+        goal = part * sum(n for n, _ in small) + owed
+        for step in sorted({math.floor(u * mixing.STEPS) for _, u in small}):
+            off = abs(sum(n for n, u in small if math.floor(u * mixing.STEPS) <= step) - goal)
+            if best is None or off < best:
+                best, limit = off, (step + 1) / mixing.STEPS
+        if best is None or abs(goal) <= best:
+            limit = 0.0
+        for i, t, x in rows:
+            if x == s:
+                n, u = len(words(t)), draw(i, t)
+                extra = (u in takes) if n * mixing.LARGE > size[s] else u < limit
+                out[i, t] = math.floor(rate) + (1 if extra else 0)
+    return out
+
+
+def test_statistics_and_scores_equal_brute_force(spark):
+    from tessera.llm import quality
+
+    rows, labels = quality_rows(200)
+    rows += [(1000, None, "s"), (1001, "", "s"), (1002, "AB cd\nAB cd\n\nx,y! ÄÖ 12|3 same same\tsame", "s"), (1003, " \n\t ", "s")]
+    df = clash(frame(spark, rows))
+    got = {r.doc_id: [r[s] for s in quality.STATS] for r in quality.with_statistics(df, "text", ["doc_id"]).collect()}
+    assert all(np.allclose(got[i], brute_statistics(t), atol=1e-12) for i, t, _ in rows)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(df, lab)
+    out = {r.doc_id: r.score for r in quality.score_documents(df, lab).collect()}
+    assert model.rules and all(abs(out[i] - brute_score(model, brute_statistics(t))) < 1e-9 for i, t, _ in rows)
+
+
+def test_sample_of_labels_is_bounded(spark):
+    from tessera.llm.quality import sample_labels
+
+    lab = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic").repartition(16)
+    n = sample_labels(lab.unionByName(lab), sample=500).count()
+    assert 450 < n < 700 and sample_labels(lab, sample=50_000).count() < 30_000
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    import corpus_pipeline
+    from tessera.llm import pii, quality
+
+    rows, labels = quality_rows(150)
+    who = ["write to ab.cd@ef.gh.com", "call Mr John Smith", "see 192.168.3.4", "ask Dr Smith", "or g{}@ef.gh.com"]
+    rows = [(i, f"{t} {who[i % 5].format(i)} now" if i % 10 in (1, 3, 5, 7, 9) else t, f"s{i % 3}") for i, t, _ in rows]
+    rows += [(2000 + k, t + " more", None if k % 5 == 0 else "s1") for k, (_, t, _) in enumerate(rows[5:60])] + [(3000, rows[1][1], "s2"), rows[1], (None, rows[2][1] + " end", "s2")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.source, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept = [r for r in rows if brute_score(model, brute_statistics(r[1])) >= 0.5]
+    groups = collections.defaultdict(list)
+    comps = brute_components([(k, t, s) for k, (_, t, s) in enumerate(kept)])
+    for k, _, c in comps:
+        groups[c].append(kept[k])
+    one = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    table, left = brute_surrogates([t for _, t, _ in one], b"surrogates-1")
+    assert not left and len(one) < len(kept) < len(rows)
+    changed = [(i, pii.rewrite(t, table), s) for i, t, s in one]
+    assert any(a[1] != b[1] for a, b in zip(one, changed, strict=True))
+    copies = brute_mix(changed)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = collections.Counter()
+    for i, t, s in changed:
+        ids = sp.encode(t, add_bos=True, add_eos=True)
+        want[i, s, len(ids), np.array(ids, "<u4").tobytes(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()] += copies[i, t]
+    assert got == want - collections.Counter()

@@ -19,7 +19,7 @@ OUT_RATE = RATE * UP // DOWN
 WINDOW, HOP, FFT, MELS = 300, 120, 512, 32
 #: Frames of one tensor; the last tensor of a clip is padded with zeros.
 FRAMES = 64
-#: Input groups (of DOWN samples) and frames that are worked on at a time: memory doesn't grow with a clip's length.
+#: Input groups (of DOWN samples) and frames that are worked on at a time; beside them a clip needs its samples, resampled samples and tensors, some 10 bytes for each byte of its payload.
 GROUPS, STEP = 1 << 15, 16 * FRAMES
 
 
@@ -141,19 +141,21 @@ def pad(text: bytes) -> bytes:
     return text + b" " * (max(1, -(-len(text) // 192)) * 192 - len(text))
 
 
-_ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, tensors binary, segments array<struct<start_s:double,end_s:double>>"
+_ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, tensors binary, digest string, segments array<struct<start_s:double,end_s:double>>"
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): what was read back from the stored WAV file, the file, its tensors and its segments.
 
     A null text is an empty one, padded to 192 spaces. Each clip is worked on alone and in steps of fixed size, so
-    equal texts give equal values and memory doesn't grow with the feature count. No shuffle.
+    equal texts give equal values. A clip's tensors are held at once and leave as one value, so a clip whose tensors
+    reach 2 GB (a payload of about as many bytes) can't be stored; clips share a batch up to 8 MB. ``digest`` is of the
+    tensors in steps of 1/8, so that the last bits of a processor's arithmetic hardly ever show. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "tensors", "segments"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "tensors", "digest", "segments"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
         for b in batches:
             rows, held = [], 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -161,7 +163,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 media = store(pad(data))
                 back = load(media)
                 f = features(back)
-                rows.append((doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), media, to_arrow(f), [{"start_s": s, "end_s": e} for s, e in f.segments]))
+                rows.append((doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), media, to_arrow(f), hashlib.sha256(np.rint(f.tensors * 8).astype("<i2").tobytes()).hexdigest(), [{"start_s": s, "end_s": e} for s, e in f.segments]))
                 held += len(media) + f.tensors.nbytes
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -173,6 +175,6 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (digest of tensors, spans and segments)."""
-    text = F.concat_ws(":", F.sha2("tensors", 256), F.size("segments").cast("string"), F.sha2(F.to_json("segments").cast("binary"), 256))
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (digests of the tensors, in steps of 1/8, and of the segments)."""
+    text = F.concat_ws(":", "digest", F.size("segments").cast("string"), F.sha2(F.to_json("segments").cast("binary"), 256))
     return text_media(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), text.alias("feature"))

@@ -632,6 +632,50 @@ def test_resampling_keeps_a_tone_and_tensors_their_shape():
     assert spec.shape == (1, audio.MELS)
 
 
+def test_audio_features_equal_plain_loops():
+    """Resampling, filterbank and segments of a clip from their definitions, sample by sample."""
+    from tessera.llm import audio
+
+    rng = random.Random(11)
+    payload = bytes([rng.randrange(256) if 300 < k < 700 else 128 + rng.randrange(3) for k in range(192 * 6)])
+    x = [(b - 128) / 128 for b in payload]
+
+    def tap(d):  # at a distance of d input samples
+        c = min(1.0, audio.UP / audio.DOWN) * 0.92
+        return (c * math.sin(math.pi * c * d) / (math.pi * c * d) if d else c) * math.cos(math.pi * d / audio.TAPS) ** 2 if abs(d) < audio.TAPS / 2 else 0.0
+
+    y = []
+    for j in range(len(x) * audio.UP // audio.DOWN):
+        t = j * audio.DOWN / audio.UP
+        near = range(math.floor(t) - audio.TAPS, math.floor(t) + audio.TAPS)
+        y.append(sum(tap(i - t) * x[i] for i in near if 0 <= i < len(x)) / sum(tap(i - t) for i in near))
+    assert np.allclose(audio.resample(np.array(x, np.float32)), y, atol=2e-5)
+
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(audio.OUT_RATE / 2) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    frames = 1 + max(0, -(-(len(y) - audio.WINDOW) // audio.HOP))
+    rows, energy = [], []
+    for k in range(frames):
+        part = [(y[i] if i < len(y) else 0.0) * (0.5 - 0.5 * math.cos(2 * math.pi * n / (audio.WINDOW - 1))) for n, i in enumerate(range(k * audio.HOP, k * audio.HOP + audio.WINDOW))]
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * f * n / audio.FFT), -math.sin(2 * math.pi * f * n / audio.FFT)) for n, v in enumerate(part))) ** 2 for f in range(audio.FFT // 2 + 1)]
+        rows.append([math.log(sum(p * max(0.0, min((f * audio.OUT_RATE / audio.FFT - lo) / (mid - lo), (hi - f * audio.OUT_RATE / audio.FFT) / (hi - mid))) for f, p in enumerate(power)) + 1e-6) for lo, mid, hi in zip(edges, edges[1:], edges[2:], strict=False)])
+        energy.append(math.log(sum(power) + 1e-6))
+    f = audio.features(payload)
+    assert np.allclose(f.tensors.reshape(-1, audio.MELS)[:frames], rows, atol=2e-2) and not f.tensors.reshape(-1, audio.MELS)[frames:].any()
+
+    mean = sum(energy) / frames
+    dev = (sum((e - mean) ** 2 for e in energy) / frames) ** 0.5
+    spans, since = [], None
+    for k, e in enumerate(energy):
+        if since is None and e >= mean + 0.5 * dev:
+            since = k
+        elif since is not None and e < mean:
+            spans.append((since, k))
+            since = None
+    spans += [(since, frames)] if since is not None else []
+    assert spans and np.allclose(f.segments, [(a * audio.HOP / audio.OUT_RATE, ((b - 1) * audio.HOP + audio.WINDOW) / audio.OUT_RATE) for a, b in spans])
+
+
 # --- op9
 
 

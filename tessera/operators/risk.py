@@ -119,10 +119,11 @@ def binary_kelly(p: Column, odds: Column) -> Column:
 
 
 def start_rows(spark, entities: DataFrame, entity: str, paths: int, blocks: int, block: int, seed: int) -> DataFrame:
-    """(entity, path, block number, first row): seeded by hash, so a retried task draws the same blocks."""
+    """(entity, path, block number, first row): seeded by MD5, so a retried task draws the same blocks, and so does another engine."""
     grid = entities.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     room = F.greatest(F.col("n") - block + 1, F.lit(1))
-    return grid.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), entity, "path", "block"), room) + 1)
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(entity).cast("string"), F.col("path").cast("string"), F.col("block").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
+    return grid.withColumn("start", F.pmod(draw, room) + 1)
 
 
 def bootstrap(spark, rets: DataFrame, entity: str, time: str, r: str, paths: int, blocks: int, block: int, seed: int, ruin: float = 0.5, drop: float = 0.2) -> DataFrame:

@@ -476,9 +476,11 @@ def a60_variance_drag(spark, d):
     return g.withColumn("drag", F.col("arithmetic") - F.col("geometric")).select("entity", *r6("arithmetic", "geometric", "drag"))
 
 
-@query()
+@query(""", n AS (SELECT entity, r, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM rets WHERE r IS NOT NULL), g AS (SELECT DISTINCT entity, n, path, block FROM n, range(20) p(path), range(6) b(block)),
+ s AS (SELECT entity, path, block, CAST('0x' || substr(md5('11:' || entity || ':' || path || ':' || block), 1, 12) AS BIGINT) % greatest(n - 5, 1) + 1 AS start FROM g), d AS (SELECT s.entity, path, block, rn - start AS step, r FROM s JOIN n ON n.entity = s.entity AND rn BETWEEN start AND start + 5),
+ l AS (SELECT entity, path, block, step, exp(sum(ln(1 + greatest(r, -0.999999))) OVER (PARTITION BY entity, path ORDER BY block, step)) AS l FROM d), m AS (SELECT entity, path, l, l / greatest(max(l) OVER (PARTITION BY entity, path ORDER BY block, step), 1) - 1 AS dd FROM l),
+ w AS (SELECT entity, path, min(l) AS low, min(dd) AS dd FROM m GROUP BY 1, 2) SELECT entity, round(avg(CASE WHEN low < 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_ruin, round(avg(CASE WHEN dd < -0.2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_drop, count(*) AS paths FROM w GROUP BY 1""", "rets")
 def a61_bootstrap_ruin(spark, d):
-    """Seeded by Spark's xxhash64, which SQL lacks: tested against a brute-force path count."""
     return risk.bootstrap(spark, rets(spark, d), "entity", "date", "r", paths=20, blocks=6, block=6, seed=11).select("entity", *r6("p_ruin", "p_drop"), "paths")
 
 

@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SCRIPT = """
 import __spark_entry__ as e
@@ -17,7 +19,8 @@ assert e.entry(spark).count() > 0
 """
 
 
-def test_queries_load_without_the_training_data_part(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py" if os.environ.get("DROP_PIPELINE") else "none"))
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_queries_load_without_the_training_data_part(tmp_path, gone):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     done = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path / "r", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr[-3000:]

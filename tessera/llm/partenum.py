@@ -28,6 +28,8 @@ from tessera.scratch import cut, discard, shuffle_parts
 PAIRS_UP_TO = 24
 #: Sets and bytes of text on one side of a block comparison, and sets that one group compares with its hubs.
 BLOCK, BLOCK_BYTES, FAN = 512, 2 << 20, 256
+#: Bytes of text for each bucket of signatures at most, so that a bucket doesn't grow with the corpus.
+BUCKET_BYTES = 16 << 20
 #: Sets of each dense group with which all its members are compared first.
 HUBS = 4
 #: Signatures and set ids that a task remembers, to send each common one and each repeated set once only; forgetting them costs time.
@@ -219,50 +221,22 @@ def _emit(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 yield _pack(o, s, n, ids, sizes, buckets)
 
 
-_NAMES = ["key", "id", "doc", "n", "what"]
-
-
 def _bytes(column: pa.Array) -> np.ndarray:
     off = np.frombuffer(column.buffers()[1], np.int32, count=len(column) + 1, offset=4 * column.offset)
     return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, doc, n, what): a document's hash, set, doc_id and size; a signature, its set, size code and note; a common signature, its set and note."""
-
-    def rows(key: np.ndarray, ident: np.ndarray, doc: pa.Array, n: np.ndarray, what: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), doc, pa.array(n.astype(np.int32)), pa.array(np.full(len(key), what, np.int32))], _NAMES)
-
-    for batch in batches:
-        what = batch.column("what").to_numpy()
-        for kind in (DOC, COMMON):
-            for ids, meta, keys in zip(*(batch.filter(pa.array(what == kind)).column(c).to_pylist() for c in ("ids", "meta", "keys")), strict=True):
-                ids, keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
-                if kind == DOC:
-                    m = len(ids)
-                    doc = pa.array(np.frombuffer(meta, np.int64, m), mask=np.frombuffer(meta, np.uint8, m, 12 * m).astype(bool))
-                    yield rows(keys, ids, doc, np.frombuffer(meta, "<u4", m, 8 * m), DOC)
-                else:
-                    yield rows(keys, ids, pa.nulls(len(ids), pa.int64()), np.frombuffer(meta, "<u4"), COMMON)
-        some = batch.filter(pa.array(what == SIGNATURE))
-        if not some.num_rows:
-            continue
-        ids, meta, keys = _bytes(some.column("ids")).view(np.int64), _bytes(some.column("meta")).reshape(-1, 6), _bytes(some.column("keys")).reshape(-1, 6)
-        per = np.diff(np.frombuffer(some.column("ids").buffers()[1], np.int32, count=some.num_rows + 1, offset=4 * some.column("ids").offset)) // 8
-        bucket = np.repeat(some.column("bucket").to_numpy().astype(np.int64), per)
-        counts = meta[:, 3:].astype(np.int64)
-        notes = np.stack([_need(meta[:, 1]) * 4 + OWN, _need(meta[:, 2]) * 4 + UPPER, np.full(len(meta), 4 + PREFIX)], 1)
-        code = (notes << 8 | meta[:, :1]).ravel()
-        ends = np.concatenate([[0], np.cumsum(counts.sum(1))])
-        step = max(1, len(ids) * 200_000 // max(1, int(ends[-1])))
-        for lo in range(0, len(ids), step):
-            hi = min(len(ids), lo + step)
-            c = counts[lo:hi]
-            wide = np.zeros((ends[hi] - ends[lo], 8), np.uint8)
-            wide[:, :6] = keys[ends[lo] : ends[hi]]
-            each = c.sum(1)
-            key = wide.view("<i8").ravel() | np.repeat((bucket[lo:hi] & 0x7FFF) << 48, each)
-            yield rows(key, np.repeat(ids[lo:hi], each), pa.nulls(len(key), pa.int64()), np.repeat(code[3 * lo : 3 * hi], c.ravel()), SIGNATURE)
+def _signatures(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name of the signature, set id, note << 8 | size code) of each signature of the packed rows."""
+    ids, meta, keys = _bytes(rows.column("ids")).view(np.int64), _bytes(rows.column("meta")).reshape(-1, 6), _bytes(rows.column("keys")).reshape(-1, 6)
+    per = np.diff(np.frombuffer(rows.column("ids").buffers()[1], np.int32, count=rows.num_rows + 1, offset=4 * rows.column("ids").offset)) // 8
+    bucket = np.repeat(rows.column("bucket").to_numpy().astype(np.int64), per)
+    counts = meta[:, 3:].astype(np.int64)
+    notes = np.stack([_need(meta[:, 1]) * 4 + OWN, _need(meta[:, 2]) * 4 + UPPER, np.full(len(meta), 4 + PREFIX)], 1)
+    each = counts.sum(1)
+    wide = np.zeros((len(keys), 8), np.uint8)
+    wide[:, :6] = keys
+    return wide.view("<i8").ravel() | np.repeat((bucket & 0x7FFF) << 48, each), np.repeat(ids, each), np.repeat((notes << 8 | meta[:, :1]).ravel(), counts.ravel())
 
 
 #: what 0: document b (t: hash of its text) has set a of n shingles; 1: sets a and b share n signatures, their notes are x and y; 2: set b has the common signature a, its note is n.
@@ -270,71 +244,77 @@ _FOUND = "what int, a long, b long, n int, x int, y int, t long"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by key and set: passes documents on, turns signatures of few sets into pairs and names the members of common ones."""
+    """Reads packed rows sorted by bucket: passes documents on, turns signatures of few sets into pairs and names the members of common ones.
+
+    A bucket's signatures are sorted at once: buckets are sized by the bytes of the texts, and common signatures come as marks.
+    """
 
     def rows(what: int, a: np.ndarray, b: pa.Array, n: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None, t: np.ndarray | None = None) -> pa.RecordBatch:
         more = [pa.nulls(len(a), pa.int32()) if c is None else pa.array(c.astype(np.int32)) for c in (x, y)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), what, np.int32)), pa.array(a), b, pa.array(n.astype(np.int32)), *more, pa.nulls(len(a), pa.int64()) if t is None else pa.array(t)], ["what", "a", "b", "n", "x", "y", "t"])
 
-    pairs: list[np.ndarray] = []
-    held = 0
-    names = ("key", "id", "n")
-    carry = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
-    common: int | None = None  # a key that is known to be common, though its last rows are still to come
-
-    def settle(key: np.ndarray, ident: np.ndarray, n: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal pairs, held, carry, common
-        if len(key):
-            keep = np.ones(len(key), bool)
-            keep[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-            key, ident, n = key[keep], ident[keep], n[keep]
-            note, size = n >> 8, n & 255
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            counts = np.diff(np.concatenate([starts, [len(key)]]))
-            often = (counts > PAIRS_UP_TO) | (ident[starts] == _MARK)
-            if common is not None and key[0] == common:
-                often[0] = True
-            stop = len(starts)
-            if not last:
-                common = int(key[-1]) if often[-1] else None
-                stop -= common is None
-                carry = tuple(x[starts[-1] :] if common is None else x[:0] for x in (key, ident, n))
-            group = np.repeat(np.arange(len(starts)), counts)
-            named = often[group] & (group < stop) & (ident != _MARK)
-            if named.any():
-                yield rows(2, key[named], pa.array(ident[named]), note[named])
-            for m in np.unique(counts[:stop][~often[:stop] & (counts[:stop] > 1)]):
-                at = starts[:stop][~often[:stop] & (counts[:stop] == m)]
-                i, j = np.triu_indices(m, 1)  # ids ascend inside a key
-                i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                alike = np.abs(size[i] - size[j]) <= 4
-                i, j = i[alike], j[alike]
-                pairs.append(np.stack([ident[i], ident[j], note[i].astype(np.int64) << 32 | note[j]], 1))
-                held += len(i)
-        if held > 400_000 or last:
-            if held:
-                p = np.concatenate(pairs)
-                order = np.lexsort(p.T)
-                p = p[order]
-                new = np.concatenate([[True], (p[1:] != p[:-1]).any(1)])
-                at = np.flatnonzero(new)
-                shared = np.diff(np.concatenate([at, [len(p)]]))
-                p = p[at]
-                pairs, held = [], 0
-                yield rows(1, p[:, 0], pa.array(p[:, 1]), shared, p[:, 2] >> 32, p[:, 2] & 0xFFFFFFFF)
-
+    def settle(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ident, n = (np.concatenate(c) for c in zip(*map(_signatures, parts), strict=True))
+        order = np.lexsort((ident, key))
+        key, ident, n = key[order], ident[order], n[order]
+        keep = np.ones(len(key), bool)
+        keep[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+        # Most signatures have one set only.
+        alone = np.zeros(len(key), bool)
+        alone[1:-1] = (key[1:-1] != key[:-2]) & (key[1:-1] != key[2:])
+        keep &= ~alone
+        key, ident, n = key[keep], ident[keep], n[keep]
+        if not len(key):
+            return
+        note, size = n >> 8, n & 255
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(np.concatenate([starts, [len(key)]]))
+        often = (counts > PAIRS_UP_TO) | (ident[starts] == _MARK)
+        named = np.repeat(often, counts) & (ident != _MARK)
+        if named.any():
+            yield rows(COMMON, key[named], pa.array(ident[named]), note[named])
+        pairs: list[np.ndarray] = []
+        for m in np.unique(counts[~often & (counts > 1)]):
+            at = starts[~often & (counts == m)]
+            i, j = np.triu_indices(m, 1)  # ids ascend inside a key
+            i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            alike = np.abs(size[i] - size[j]) <= 4
+            i, j = i[alike], j[alike]
+            pairs.append(np.stack([ident[i], ident[j], note[i] << 32 | note[j]], 1))
+        p = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        if len(p):
+            p = p[np.lexsort(p.T)]
+            at = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(1)]))
+            shared = np.diff(np.concatenate([at, [len(p)]]))
+            p = p[at]
+            yield rows(SIGNATURE, p[:, 0], pa.array(p[:, 1]), shared, p[:, 2] >> 32, p[:, 2] & 0xFFFFFFFF)
+
+    held: list[pa.RecordBatch] = []
+    now: int | None = None
     for batch in batches:
         what = batch.column("what").to_numpy()
-        if (what == DOC).any():
-            some = batch.filter(pa.array(what == DOC))
-            yield rows(0, some.column("id").to_numpy(), some.column("doc"), some.column("n").to_numpy(), t=some.column("key").to_numpy())
-        if (what == COMMON).any():
-            some = batch.filter(pa.array(what == COMMON))
-            yield rows(2, some.column("key").to_numpy(), some.column("id"), some.column("n").to_numpy())
-        sigs = batch.filter(pa.array(what == SIGNATURE))
-        yield from settle(*(np.concatenate([c, sigs.column(x).to_numpy()]) for c, x in zip(carry, names, strict=True)), False)
-    final, carry = carry, tuple(x[:0] for x in carry)
-    yield from settle(*final, True)
+        for kind in (DOC, COMMON):
+            for ids, meta, keys in zip(*(batch.filter(pa.array(what == kind)).column(c).to_pylist() for c in ("ids", "meta", "keys")), strict=True):
+                ids, keys = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64)
+                m = len(ids)
+                if kind == DOC:
+                    doc = pa.array(np.frombuffer(meta, np.int64, m), mask=np.frombuffer(meta, np.uint8, m, 12 * m).astype(bool))
+                    yield rows(DOC, ids, doc, np.frombuffer(meta, "<u4", m, 8 * m), t=keys)
+                else:
+                    yield rows(COMMON, keys, pa.array(ids), np.frombuffer(meta, "<u4"))
+        some = batch.filter(pa.array(what == SIGNATURE))
+        bucket = some.column("bucket").to_numpy()
+        cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        for s, e in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+            if s == e:
+                continue
+            if held and bucket[s] != now:
+                yield from settle(held)
+                held = []
+            now = bucket[s]
+            held.append(some.slice(s, e - s))
+    if held:
+        yield from settle(held)
 
 
 def _roots(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -491,11 +471,11 @@ def _linked(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     """(doc, t, n, id, comp) for each row of docs (doc_id, text): the text's hash, its set's size and id, the set's component."""
     spark = docs.sparkSession
-    buckets = shuffle_parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_parts(spark), -(-size // BUCKET_BYTES))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     signed = plain.select(F.col("doc").alias("doc_id"), "text", F.xxhash64("text").alias("told")).mapInArrow(lambda b: _emit(b, buckets), _PACKED)
-    dealt = signed.repartitionById(buckets, "bucket").mapInArrow(_unpack, "key long, id long, doc long, n int, what int")
-    met = cut(dealt.sortWithinPartitions("key", "id").mapInArrow(_meet, _FOUND), "met")
+    met = cut(signed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND), "met")
     members = met.where(F.col("what") == DOC).select(F.col("a").alias("id"), F.col("b").alias("doc"), "n", "t")
 
     kind, need = (lambda c: F.col(c) % 4), (lambda c: F.floor(F.col(c) / 4))

@@ -73,8 +73,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii_surrogates, op3_audio_features, op4_mixing, op5_ngram_jaccard_join, op6_maxent_scores, op7_sentencepiece, op8_warc_revisits, op9_quality_rules, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii_surrogates, op3_audio_features, op4_mixing, op5_ngram_jaccard_join, op6_maxent_scores, op7_sentencepiece, op8_warc_revisits, op9_quality_rules, op10_embedding_near_dedup, op13_packing)}
 
 
 #: Compared with DuckDB. The others search, iterate, write files or train; their tests hold them against brute force,

@@ -73,6 +73,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,7 +88,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii_surrogates, op3_audio_features, op4_mixing, op5_ngram_jaccard_join, op6_maxent_scores, op7_sentencepiece, op8_warc_revisits, op9_quality_rules, op10_embedding_near_dedup, op13_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii_surrogates, op3_audio_features, op4_mixing, op5_ngram_jaccard_join, op6_maxent_scores, op7_sentencepiece, op8_warc_revisits, op9_quality_rules, op10_embedding_near_dedup, op12_prefix_trie, op13_packing)}
 
 
 #: Compared with DuckDB. The others search, iterate, write files or train; their tests hold them against brute force,
@@ -156,6 +162,34 @@ WITH d AS (
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to FROM k
 """
 
+#: CRC-32 of a decimal number by its eight shifts for each digit, then prefixes as lists; a node's ancestors are its own prefixes.
+_OP12 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, md5(concat(strlen(role), ':', role, text))) AS own,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d : [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x : CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) % 4 AS h
+  FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1 : c.h], []), c.own[c.h + 1 :]) AS path FROM lists c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 20
+), nodes AS (
+  SELECT path[1 : d] AS prefix, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = d), '')) AS ends_sha256
+  FROM rebuilt, unnest(generate_series(0, len(path))) AS g(d) GROUP BY 1, 2
+), grown AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.prefix[1 : n.depth] = n.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]
+), below AS (
+  SELECT prefix[1 : d] AS top, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[depth].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM grown, unnest(generate_series(0, depth)) AS g(d)
+), sums AS (
+  SELECT top, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM below GROUP BY 1
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM grown JOIN sums ON top = prefix
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _OP4, "op5_ngram_jaccard_join": _OP5, "op8_warc_revisits": _OP8}
+    return {"op4_mixing": _OP4, "op5_ngram_jaccard_join": _OP5, "op8_warc_revisits": _OP8, "op12_prefix_trie": _OP12}

@@ -1,6 +1,8 @@
 """Packing, tokenizer alignment and the conversation trie against brute-force versions."""
 
+import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -108,3 +110,89 @@ def test_faster_library_gives_the_same_ids():
         assert [list(x) for x in e.encode(strings)] == [x.ids for x in e.lib.encode_batch(strings, add_special_tokens=False)]
     words = ByteEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
     assert words.fast is None and [list(x) for x in words.encode(["One two"])] == [words.lib.encode("One two", add_special_tokens=False).ids]
+
+
+# --- op12
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def brute_trie(rows):
+    """All nodes of the rebuilt conversations, by sets of prefixes."""
+    key = lambda r, t: hashlib.md5(f"{len(r.encode())}:{r}{t}".encode()).hexdigest()
+    own = {}
+    for c, n, r, t in rows:
+        if c is not None:
+            own.setdefault(c, []).append((n is not None, n or 0, key(r or "", t or ""), r or "", t or ""))
+    own = {c: [x[3:] for x in sorted(v)] for c, v in own.items()}
+    paths = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        paths[c] = tuple(own.get(c - c % 20, [])[:h] + v[h:])
+    members = {}
+    for c, p in paths.items():
+        for d in range(len(p) + 1):
+            members.setdefault(p[:d], []).append(c)
+    saved = {p: (len(m) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0 for p, m in members.items()}
+    out = []
+    for p, m in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        leaves = [q for q in below if not any(len(x) == len(q) + 1 and x[: len(q)] == q for x in below)]
+        ends = ",".join(map(str, sorted(c for c in m if len(paths[c]) == len(p))))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), sum(len(q) == len(p) + 1 for q in below), len(leaves), sum(saved[q] for q in below), hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def turns(seed):
+    rng = random.Random(seed)
+    said = ["", "a", "b b", "c  c\tc", "d " * 40, None]
+    rows = []
+    for c in rng.sample(range(400), 150):
+        depth = rng.choice([1, 1, 2, 3, 4, 6, 9])
+        rows += [(c, n, rng.choice(["user", "user", None]), rng.choice(said[: rng.choice([1, 3, 6])])) for n in range(depth)]
+    rows += [(c, n, "user", "same") for c in range(1000, 1100) for n in range(3)]  # a large group of copies
+    rows += [(c, n, "user", f"long {n}") for c in (2000, 2001, 2023) for n in range(150)]
+    rows += [(20, None, "user", "null turn"), (20, None, "user", "null turn"), (None, 0, "user", "no conversation"), (7, 0, "user", "tie"), (7, 0, "user", "tie b"), (3005, 1, None, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("shard_turns", [1, 40, 500_000])
+def test_trie_equals_brute_force(spark, monkeypatch, shard_turns):
+    from tessera.llm import prefix_trie
+
+    monkeypatch.setattr(prefix_trie, "SHARD_TURNS", shard_turns)
+    monkeypatch.setattr(prefix_trie, "PIECE_IDS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = turns(shard_turns)
+        df = spark.createDataFrame(rows, TURNS).withColumn("key", F.lit("x")).withColumn("base", F.lit(1)).withColumn("words", F.lit(2)).withColumn("h", F.lit(0)).withColumn("t", F.lit("t"))
+        got = sorted((tuple(r) for r in prefix_trie.conversation_trie(df.repartition(3)).collect()), key=lambda r: r[:2])
+        assert got == brute_trie(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_trie_of_plain_conversations_and_of_none(spark):
+    from tessera.llm.prefix_trie import conversation_trie, conversations, prefix_nodes
+
+    df = spark.createDataFrame([(21, 0, "u", "x"), (22, 0, "u", "x"), (22, 1, "a", "y")], TURNS)
+    got = {(r.conv_id, r.depth): (r.n_convs, r.n_children, r.n_leaves, r.saved_tokens) for r in prefix_nodes(conversations(df)).collect()}
+    assert got == {(21, 0): (2, 1, 1, 1), (21, 1): (2, 1, 1, 1), (22, 2): (1, 0, 1, 0)}
+    assert conversation_trie(spark.createDataFrame([], TURNS)).count() == 0
+    assert conversation_trie(spark.createDataFrame([(None, 1, "u", "x")], TURNS)).count() == 0
+
+
+def test_excess_finds_the_next_place_of_a_value():
+    from tessera.llm import prefix_trie
+
+    rng = np.random.default_rng(4)
+    for n in (2, 63, 64, 65, 5000):
+        e = np.cumsum(rng.choice([-1, 1], n))
+        tree = prefix_trie.Excess(e)
+        start = rng.integers(0, n, 300)
+        value = e[rng.integers(0, n, 300)]
+        ok = [(s, v, s + 1 + int(np.argmax(e[s + 1 :] == v))) for s, v in zip(start, value, strict=True) if (e[s + 1 :] == v).any()]
+        if ok:
+            s, v, want = map(np.array, zip(*ok, strict=True))
+            assert (tree.next(s, v) == want).all()

@@ -73,6 +73,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.alignment import align_documents
+
+    return align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.prefix_trie import conversation_trie
 
@@ -88,7 +96,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_pii_surrogates, op3_audio_features, op4_mixing, op5_ngram_jaccard_join, op6_maxent_scores, op7_sentencepiece, op8_warc_revisits, op9_quality_rules, op10_embedding_near_dedup, op12_prefix_trie, op13_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_pii_surrogates, op3_audio_features, op4_mixing, op5_ngram_jaccard_join, op6_maxent_scores, op7_sentencepiece, op8_warc_revisits, op9_quality_rules, op10_embedding_near_dedup, op11_tokenizer_alignment, op12_prefix_trie, op13_packing)}
 
 
 #: Compared with DuckDB. The others search, iterate, write files or train; their tests hold them against brute force,

@@ -1,6 +1,9 @@
 """Packing, tokenizer alignment and the conversation trie against brute-force versions."""
 
+import bisect
+import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -196,3 +199,66 @@ def test_excess_finds_the_next_place_of_a_value():
         if ok:
             s, v, want = map(np.array, zip(*ok, strict=True))
             assert (tree.next(s, v) == want).all()
+
+
+# --- op11
+
+
+def brute_alignment(rows):
+    """Every document token by token, with the libraries themselves."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = {}
+    spare = 256
+    for x in range(256):
+        if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255:
+            letters[chr(x)] = x
+        else:
+            letters[chr(spare)], spare = x, spare + 1
+    piece = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    docs, count = [], collections.Counter()
+    for i, t in rows:
+        whole = (" " + t).encode() if t else b""
+        x = [(k, bytes(letters[c] for c in a.id_to_token(k))) for k in a.encode(" " + t, add_special_tokens=False).ids] if t else []
+        y = [(k, piece(k)) for k in b.encode(t)] if t else []
+        if b"".join(v for _, v in x) != whole or b"".join(v for _, v in y) != whole:
+            x = y = []
+        ends = [set(itertools.accumulate(len(v) for _, v in z)) for z in (x, y)]
+        common = sorted(ends[0] & ends[1])
+        groups = [([], []) for _ in common]
+        for side, z in enumerate((x, y)):
+            at = 0
+            for k, v in z:
+                at += len(v)
+                groups[bisect.bisect_left(common, at)][side].append(k)
+        links = collections.Counter((p, q) for g in groups for p in g[0] for q in g[1])
+        count.update(links.keys())
+        text = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in groups)
+        docs.append((i, len(x), len(y), len(groups), links, hashlib.sha256(text.encode()).hexdigest() if groups else ""))
+    most = collections.Counter()
+    for (p, _), n in count.items():
+        most[p] = max(most[p], n)
+    return sorted(((-1 if i is None else i, na, nb, ng, sum(ln.values()), sum(n for pq, n in ln.items() if count[pq] == most[pq[0]]), sum(n * count[pq] for pq, n in ln.items()), sha) for i, na, nb, ng, ln, sha in docs), key=str)
+
+
+@pytest.mark.parametrize(("head", "held", "large"), [(1_000_000, 1_000_000, 4096), (40, 30, 2), (0, 500, 4096)])
+def test_alignment_equals_brute_force(spark, monkeypatch, head, held, large):
+    import public_tokenizers
+
+    from tessera.llm import alignment
+
+    for name, value in (("HEAD_PAIRS", head), ("HELD_PAIRS", held), ("LARGE_GROUP", large)):
+        monkeypatch.setattr(alignment, name, value)
+    values = texts(3, 25) + ["日本語の文章です。" * 30, "naïve café — “quoted” text…", " odd spaces", "a" * 700 + "🙂" * 50]
+    df = docs(spark, values).withColumn("row", F.lit("x")).withColumn("pairs", F.lit(1)).withColumn("pair", F.lit(1)).withColumn("n", F.lit(2)).withColumn("docs", F.lit(2))
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    got = alignment.align_documents(df.repartition(3), *files)
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert got.columns == columns
+    assert sorted((tuple(-1 if v is None else v for v in r) for r in got.collect()), key=str) == brute_alignment([*enumerate(values), (None, "without id"), (3, values[3])])
+    assert alignment.align_documents(spark.createDataFrame([], DOCS), *files).count() == 0

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import safe_corr
-from tessera.operators import asof, pairs, returns, windows
+from tessera.operators import asof, blocks, pairs, quantiles, returns, windows
 from tessera.plans.common import bars, fund, latest, query, r6, regime, rets, sect
 from tessera.registry import table
+from tessera.scratch import cut
 
 
 @query(""", q AS (SELECT o_orderkey, o_custkey AS entity, CAST(o_orderdate AS DATE) AS t FROM orders)
@@ -79,18 +80,22 @@ def j04_factor_outer_join(spark, d):
 _PAIRS = ", p AS (SELECT x.sector, x.date, x.entity AS a, y.entity AS b, x.r AS x, y.r AS y FROM (SELECT * FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL) x JOIN (SELECT * FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL) y ON x.sector = y.sector AND x.date = y.date AND x.entity < y.entity)"
 
 
-def _pairs(spark, d):
-    return pairs.paired(rets(spark, d).join(sect(spark, d), "entity"), "entity", "date", "r", ["sector"])
+#: Entity, time, value and group of the pair statistics.
+_IN_SECTOR = ("entity", "date", "r", ["sector"])
+
+
+def _grouped(spark, d):
+    return rets(spark, d).join(sect(spark, d).select("entity", "sector"), "entity")
 
 
 @query(_PAIRS + " SELECT sector, a, b, count(*) AS n FROM p GROUP BY 1, 2, 3", "rets", "sect")
 def j10_pairs_in_groups(spark, d):
-    return _pairs(spark, d).groupBy("sector", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return blocks.pair_stats(_grouped(spark, d), *_IN_SECTOR, 1).select("sector", "a", "b", "n")
 
 
 @query(_PAIRS + " SELECT sector, a, b, count(*) AS n, round(corr(x, y), 6) AS corr, round(covar_samp(x, y), 8) AS cov, round(regr_slope(y, x), 6) AS beta, round(regr_intercept(y, x), 6) AS alpha FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 20", "rets", "sect")
 def j11_all_pair_statistics(spark, d):
-    return pairs.pair_stats(_pairs(spark, d), ["sector"], 20).select("sector", "a", "b", "n", *r6("corr"), F.round("cov", 8).alias("cov"), *r6("beta", "alpha"))
+    return blocks.pair_stats(_grouped(spark, d), *_IN_SECTOR, 20).select("sector", "a", "b", "n", *r6("corr"), F.round("cov", 8).alias("cov"), *r6("beta", "alpha"))
 
 
 @query(""", ev AS (SELECT DISTINCT o_orderkey, l_suppkey AS entity, CAST(o_orderdate AS DATE) AS t FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT *, lead(price, 5) OVER w / price - 1 AS r1, lead(price, 20) OVER w / price - 1 AS r2, lead(price, 63) OVER w / price - 1 AS r3 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
@@ -134,13 +139,15 @@ _REG = _PAIRS + ", c AS (SELECT g.regime, sector, a, b, corr(x, y) AS c FROM p J
 
 
 def _by_regime(spark, d):
-    p = _pairs(spark, d).join(F.broadcast(regime(spark, d).select("date", "regime")), "date")
-    return p.groupBy("regime", "sector", "a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("c"), F.count(F.lit(1)).alias("k")).where("k >= 5")
+    c = blocks.pair_stats(_grouped(spark, d), *_IN_SECTOR, 5, labels=regime(spark, d).select("date", "regime"))
+    return c.select("regime", "sector", "a", "b", F.col("corr").alias("c"))
 
 
 @query(_REG + " SELECT regime, round(avg(c), 6) AS mean_corr, round(median(c), 6) AS median_corr, count(*) AS n FROM c GROUP BY 1", "regime", "sect")
 def a37_regime_correlation(spark, d):
-    return _by_regime(spark, d).groupBy("regime").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.round(F.median("c"), 6).alias("median_corr"), F.count(F.lit(1)).alias("n"))
+    c = cut(_by_regime(spark, d), "pairs")
+    g = c.groupBy("regime").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.count(F.lit(1)).alias("n"))
+    return g.join(quantiles.quantiles(c, ["regime"], "c", {"median_corr": 0.5}), "regime", "left").select("regime", "mean_corr", *r6("median_corr"), "n")
 
 
 @query(_REG + " SELECT regime, sector, round(avg(c), 6) AS mean_corr, count(*) AS n FROM c GROUP BY 1, 2", "regime", "sect")
@@ -160,16 +167,16 @@ def a37_pair_deltas(spark, d):
 def a40_rolling_pair_history(spark, d):
     m = rets(spark, d).where("r IS NOT NULL").select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))  # one row per date
     ends = m.where("k % 6 = 0 AND k >= 12").select(F.col("date").alias("window_end"), F.explode(F.sequence(F.col("k") - 11, F.col("k"))).alias("k"))
-    p = _pairs(spark, d).join(F.broadcast(m.join(ends, "k").select("date", "window_end")), "date")
-    c = p.groupBy("window_end", "a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 8")
-    return c.groupBy("window_end").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.round(F.percentile("c", F.lit(0.25)), 6).alias("p25"), F.round(F.percentile("c", F.lit(0.75)), 6).alias("p75"))
+    c = cut(blocks.pair_stats(_grouped(spark, d), *_IN_SECTOR, 8, labels=m.join(ends, "k").select("date", "window_end")).select("window_end", "corr"), "pairs")
+    g = c.groupBy("window_end").agg(F.round(F.avg("corr"), 6).alias("mean_corr"))
+    return g.join(quantiles.quantiles(c, ["window_end"], "corr", {"p25": 0.25, "p75": 0.75}), "window_end", "left").select("window_end", "mean_corr", *r6("p25", "p75"))
 
 
 @query(_PAIRS + ", e AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM market) SELECT sector, a, b, count(*) AS n, round(corr(x, y), 6) AS corr FROM p JOIN e USING (date) WHERE k <= 12 GROUP BY 1, 2, 3 HAVING count(*) >= 8", "market", "sect")
 def a40_latest_matrix(spark, d):
     """Correlations of all pairs over the last 12 dates."""
     days = rets(spark, d).where("r IS NOT NULL").select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date")))).where("k <= 12").select("date")  # one row per date
-    c = _pairs(spark, d).join(F.broadcast(days), "date").groupBy("sector", "a", "b").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("x"), F.col("y")).alias("corr")).where("n >= 8")
+    c = blocks.pair_stats(_grouped(spark, d).join(F.broadcast(days), "date"), *_IN_SECTOR, 8)
     return c.select("sector", "a", "b", "n", *r6("corr"))
 
 
@@ -178,7 +185,8 @@ _ROLL = _PAIRS + """, rc AS (SELECT sector, a, b, date, CASE WHEN count(*) OVER
 
 @query(_ROLL + " SELECT date, round(avg(c), 6) AS mean_corr, count(c) AS n FROM rc GROUP BY 1", "rets", "sect")
 def a41_average_rolling_correlation(spark, d):
-    return pairs.rolling_corr(_pairs(spark, d), ["sector"], "date", 12).groupBy("date").agg(F.round(F.avg("corr"), 6).alias("mean_corr"), F.count("corr").alias("n"))
+    c = blocks.rolling_by_time(_grouped(spark, d), *_IN_SECTOR, [12]).groupBy("date").agg(F.try_divide(F.sum(F.col("mean_corr") * F.col("n")), F.sum("n")).alias("mean_corr"), F.sum("n").alias("n"))
+    return c.select("date", *r6("mean_corr"), "n")
 
 
 _SPANS = (6, 12, 24)
@@ -188,11 +196,7 @@ _ROLLS = _PAIRS + ", rw AS (" + " UNION ALL ".join(f"SELECT {k} AS rows, sector,
 @query(_ROLLS + " SELECT rows, sector, date, round(avg(c), 6) AS mean_corr, count(c) AS n FROM rw WHERE c IS NOT NULL GROUP BY 1, 2, 3", "rets", "sect")
 def a41_sector_rolling_correlation(spark, d):
     """Mean correlation of each sector's pairs over windows of several lengths."""
-    p = _pairs(spark, d)
-    for k in _SPANS:
-        p = pairs.rolling_corr(p, ["sector"], "date", k).withColumnRenamed("corr", f"c{k}")
-    u = p.select("sector", "date", F.explode(F.array(*[F.struct(F.lit(k).alias("rows"), F.col(f"c{k}").alias("c")) for k in _SPANS])).alias("x")).select("sector", "date", "x.*").where("c IS NOT NULL")
-    return u.groupBy("rows", "sector", "date").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.count("c").alias("n"))
+    return blocks.rolling_by_time(_grouped(spark, d), *_IN_SECTOR, list(_SPANS)).where("n > 0").select("rows", "sector", "date", *r6("mean_corr"), "n")
 
 
 @query(""", x AS (SELECT entity, date, r, m FROM rets JOIN market USING (date) WHERE r IS NOT NULL), c AS (SELECT entity, date, CASE WHEN count(*) OVER w >= 12 THEN covar_samp(r, m) OVER w / sqrt(var_samp(r) OVER w * var_samp(m) OVER w) END AS c FROM x WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
@@ -216,23 +220,21 @@ def a42_asset_group_correlation(spark, d):
 
 @query(_ROLL + " SELECT a, b, round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS std, round(max(c) - min(c), 6) AS span, round(quantile_cont(c, 0.75) - quantile_cont(c, 0.25), 6) AS iqr, round(avg(CASE WHEN c > 0 THEN 1.0 ELSE 0 END), 6) AS positive FROM rc WHERE c IS NOT NULL GROUP BY 1, 2", "rets", "sect")
 def a43_correlation_stability(spark, d):
-    c = pairs.rolling_corr(_pairs(spark, d), ["sector"], "date", 12).where("corr IS NOT NULL").groupBy("a", "b")
-    return c.agg(F.round(F.avg("corr"), 6).alias("mean"), F.round(F.stddev_samp("corr"), 6).alias("std"), F.round(F.max("corr") - F.min("corr"), 6).alias("span"), F.round(F.percentile("corr", F.lit(0.75)) - F.percentile("corr", F.lit(0.25)), 6).alias("iqr"), F.round(F.avg((F.col("corr") > 0).cast("double")), 6).alias("positive"))
+    return blocks.rolling_by_pair(_grouped(spark, d), *_IN_SECTOR, 12).select("a", "b", *r6("mean", "std", "span", "iqr", "positive"))
 
 
 @query(", s AS (SELECT sector AS g, date, avg(r) AS r FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL GROUP BY 1, 2) SELECT x.g AS a, y.g AS b, count(*) AS n, round(corr(x.r, y.r), 6) AS corr FROM s x JOIN s y ON x.date = y.date AND x.g < y.g GROUP BY 1, 2", "rets", "sect")
 def a44_group_correlation_matrix(spark, d):
     g = returns.group_returns(rets(spark, d), sect(spark, d), "entity", "sector", "date", "r")
-    return pairs.pair_stats(pairs.paired(g, "sector", "date", "r", []), []).select("a", "b", "n", *r6("corr"))
+    return blocks.pair_stats(g, "sector", "date", "r", []).select("a", "b", "n", *r6("corr"))
 
 
 @query(_PAIRS + ", q AS (SELECT p.*, g.regime FROM p JOIN regime g USING (date)) SELECT a, b, round(corr(x, y) FILTER (regime = 'low'), 6) AS low, round(corr(x, y) FILTER (regime <> 'low'), 6) AS other, round(corr(x, y) FILTER (regime <> 'low') - corr(x, y) FILTER (regime = 'low'), 6) AS delta FROM q GROUP BY 1, 2 HAVING count(*) FILTER (regime = 'low') > 9 AND count(*) FILTER (regime <> 'low') > 9", "regime", "sect")
 def a45_conditional_correlation(spark, d):
-    p = _pairs(spark, d).join(F.broadcast(regime(spark, d).select("date", "regime")), "date")
-    low = F.col("regime") == "low"
-    on = lambda c, k: F.when(c, F.col(k))
-    g = p.groupBy("a", "b").agg(safe_corr(on(low, "x"), on(low, "y")).alias("low"), safe_corr(on(~low, "x"), on(~low, "y")).alias("other"), F.count_if(low).alias("k1"), F.count_if(~low).alias("k2")).where("k1 > 9 AND k2 > 9")
-    return g.withColumn("delta", F.col("other") - F.col("low")).select("a", "b", *r6("low", "other", "delta"))
+    calm = regime(spark, d).select("date", (F.col("regime") == "low").alias("calm"))
+    c = blocks.pair_stats(_grouped(spark, d), *_IN_SECTOR, 10, labels=calm)
+    low, other = (c.where(k).select("sector", "a", "b", F.col("corr").alias(n)) for n, k in (("low", "calm"), ("other", "NOT calm")))
+    return low.join(other, ["sector", "a", "b"]).withColumn("delta", F.col("other") - F.col("low")).select("a", "b", *r6("low", "other", "delta"))
 
 
 _SHRINK = """, g AS (SELECT region AS e, date, avg(r) AS x FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL GROUP BY 1, 2), z AS (SELECT e, date, x - avg(x) OVER (PARTITION BY e) AS z FROM g),
@@ -262,7 +264,7 @@ def a46_estimate_gaps(spark, d):
 
 @query(_PAIRS + """, o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY date DESC) - 1 AS k, count(*) OVER (PARTITION BY a, b) AS n FROM p) SELECT a, b, round(sum(CASE WHEN k = n - 1 THEN pow(0.94, k) ELSE 0.06 * pow(0.94, k) END * x * y), 8) AS ewma FROM o GROUP BY 1, 2""", "rets", "sect")
 def a47_ewma_covariance(spark, d):
-    return pairs.ewma_cov(_pairs(spark, d), ["sector"], "date").select("a", "b", F.round("ewma", 8).alias("ewma"))
+    return blocks.ewma_cov(_grouped(spark, d), *_IN_SECTOR).select("a", "b", F.round("ewma", 8).alias("ewma"))
 
 
 @query(_SHRINK + ", w AS (SELECT e, 1.0 / count(*) OVER () AS w FROM (SELECT DISTINCT e FROM g)), full_s AS (SELECT a, b, s FROM s UNION ALL SELECT b, a, s FROM s WHERE a <> b), c AS (SELECT a, sum(x.w * y.w * s) AS rc FROM full_s JOIN w x ON x.e = a JOIN w y ON y.e = b GROUP BY 1) SELECT a, round(CAST(rc AS DOUBLE), 8) AS contribution, round(CAST(rc / sum(rc) OVER () AS DOUBLE), 6) AS share FROM c", "rets", "sect")
@@ -291,7 +293,7 @@ def a51_regime_covariance(spark, d):
 @query(_PAIRS + """, q AS (SELECT a, b, quantile_cont(x, 0.1) AS xl, quantile_cont(x, 0.9) AS xu, quantile_cont(y, 0.1) AS yl, quantile_cont(y, 0.9) AS yu FROM p GROUP BY 1, 2 HAVING count(*) >= 20)
  SELECT a, b, round(avg(CASE WHEN x > xu AND y > yu THEN 1.0 ELSE 0 END) / 0.1, 6) AS upper, round(avg(CASE WHEN x < xl AND y < yl THEN 1.0 ELSE 0 END) / 0.1, 6) AS lower FROM p JOIN q USING (a, b) GROUP BY 1, 2""", "rets", "sect")
 def a58_tail_dependence(spark, d):
-    return pairs.tail_dependence(_pairs(spark, d), ["sector"], 0.1).select("a", "b", *r6("upper", "lower"))
+    return blocks.tail_dependence(_grouped(spark, d), *_IN_SECTOR, 0.1).select("a", "b", *r6("upper", "lower"))
 
 
 _LEVELS = ", p AS (SELECT x.sector, x.date, x.entity AS a, y.entity AS b, ln(x.price) AS x, ln(y.price) AS y FROM (SELECT * FROM bars JOIN sect USING (entity)) x JOIN (SELECT * FROM bars JOIN sect USING (entity)) y ON x.sector = y.sector AND x.date = y.date AND x.entity < y.entity)"
@@ -301,10 +303,7 @@ _LEVELS = ", p AS (SELECT x.sector, x.date, x.entity AS a, y.entity AS b, ln(x.p
  SELECT a, b, round(beta, 6) AS beta, round(rho, 6) AS rho, CASE WHEN rho > 0 AND rho < 1 THEN round(-ln(2) / ln(rho), 6) END AS half_life FROM k JOIN h USING (a, b)""", "bars", "sect")
 def a68_pair_regression(spark, d):
     b = bars(spark, d).join(sect(spark, d), "entity").withColumn("lp", F.log("price"))
-    p = pairs.paired(b, "entity", "date", "lp", ["sector"])
-    k = pairs.pair_stats(p, ["sector"]).select("a", "b", "beta")
-    s = p.join(k, ["a", "b"]).withColumn("s", F.col("y") - F.col("beta") * F.col("x"))
-    return k.join(pairs.half_life(s, ["a", "b"], "date", "s"), ["a", "b"]).select("a", "b", *r6("beta", "rho", "half_life"))
+    return blocks.reversion(b, "entity", "date", "lp", ["sector"]).select("a", "b", *r6("beta", "rho", "half_life"))
 
 
 _TAIL = "CASE WHEN c IS NOT NULL THEN 2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE)))) END"
@@ -314,13 +313,13 @@ _TAIL = "CASE WHEN c IS NOT NULL THEN 2 * 0.3989422804014327::DOUBLE * exp(-z *
  o AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS k, count(*) OVER () AS n FROM v), m AS (SELECT coalesce(max(k), 0) AS best FROM o WHERE p <= 0.1::DOUBLE * k / n) SELECT a, b, round(p, 6) AS p, k <= best AS survives FROM o, m""", "rets", "sect")
 def a69_step_up_filter(spark, d):
     """p-values of the pairs' correlations, held against each other at a false discovery rate of 10 %."""
-    t = pairs.pair_stats(_pairs(spark, d), ["sector"], 20).where("corr IS NOT NULL").select("a", "b", F.round(pairs.corr_p_value(F.col("corr"), F.col("n")), 9).alias("p"))
+    t = blocks.pair_stats(_grouped(spark, d), *_IN_SECTOR, 20).where("corr IS NOT NULL").select("a", "b", F.round(pairs.corr_p_value(F.col("corr"), F.col("n")), 9).alias("p"))
     return pairs.step_up(t, "p", 0.1, ties=["a", "b"]).select("a", "b", *r6("p"), "survives")
 
 
 @query(_PAIRS + ", c AS (SELECT a, b, abs(corr(x, y)) AS c FROM p GROUP BY 1, 2 HAVING count(*) >= 30), s AS (SELECT a AS target, b AS peer, c FROM c UNION ALL SELECT b, a, c FROM c) SELECT target, peer, round(c, 6) AS c FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY c DESC, peer) <= 2 OR row_number() OVER (PARTITION BY target ORDER BY c, peer) <= 2", "rets", "sect")
 def t05_peers_by_correlation(spark, d):
-    c = pairs.pair_stats(_pairs(spark, d), ["sector"], 30).select("a", "b", F.abs("corr").alias("c"))
+    c = blocks.pair_stats(_grouped(spark, d), *_IN_SECTOR, 30).select("a", "b", F.abs("corr").alias("c"))
     s = c.select(F.col("a").alias("target"), F.col("b").alias("peer"), "c").unionByName(c.select(F.col("b").alias("target"), F.col("a").alias("peer"), "c"))
     w = Window.partitionBy("target")
     s = s.withColumn("hi", F.row_number().over(w.orderBy(F.desc("c"), "peer"))).withColumn("lo", F.row_number().over(w.orderBy("c", "peer")))
@@ -329,5 +328,8 @@ def t05_peers_by_correlation(spark, d):
 
 @query(_ROLL + ", m AS (SELECT date, avg(c) AS m, stddev_samp(c) AS disp FROM rc GROUP BY 1) SELECT date, round(m, 6) AS mean_corr, round(disp, 6) AS dispersion, round((rank() OVER (ORDER BY m) - 1) / nullif(count(*) OVER () - 1, 0), 6) AS pctile FROM m WHERE m IS NOT NULL", "rets", "sect")
 def w38_rolling_average_correlation(spark, d):
-    m = pairs.rolling_corr(_pairs(spark, d), ["sector"], "date", 12).groupBy("date").agg(F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("dispersion")).where("mean_corr IS NOT NULL")
+    # Sectors are blocks of one universe here: sums over sectors give the mean and deviation over all pairs.
+    c = blocks.rolling_by_time(_grouped(spark, d), *_IN_SECTOR, [12]).where("n > 0")
+    n, s, q = F.sum("n"), F.sum(F.col("n") * F.col("mean_corr")), F.sum(F.coalesce(F.col("std_corr") ** 2 * (F.col("n") - 1), F.lit(0.0)) + F.col("n") * F.col("mean_corr") ** 2)
+    m = c.groupBy("date").agg((s / n).alias("mean_corr"), F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))).alias("dispersion"))
     return m.withColumn("pctile", F.percent_rank().over(Window.orderBy("mean_corr"))).select("date", *r6("mean_corr", "dispersion", "pctile"))  # one row per date

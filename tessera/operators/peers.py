@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div, pct_rank, safe_corr
-from tessera.scratch import ordered_prefix
+from tessera.operators.keys import meet
+from tessera.operators.quantiles import quantiles
+from tessera.scratch import cut, ordered_prefix
 
 
 def group_summary(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     """N, mean, median, population deviation and quartiles of each metric in each group."""
-    u = df.unpivot(group, metrics, "metric", "v").where("v IS NOT NULL")
-    return u.groupBy(group, "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"), F.percentile("v", F.lit(0.25)).alias("p25"), F.percentile("v", F.lit(0.75)).alias("p75"))
+    u = cut(df.unpivot(group, metrics, "metric", "v").where("v IS NOT NULL"), "metrics")
+    g = u.groupBy(group, "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return meet(g, quantiles(u, [group, "metric"], "v", {"median": 0.5, "p25": 0.25, "p75": 0.75}), [group, "metric"])
 
 
 def leave_one_out_rank(df: DataFrame, group: str | list[str], x: str, name: str, low_is_good: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div
-from tessera.operators import grouped, index, returns, windows
+from tessera.operators import grouped, index, quantiles, returns, windows
 from tessera.plans.common import bars, query, r6, rets, sect
 from tessera.registry import table
 
@@ -230,7 +230,8 @@ def a74_index_snapshots(spark, d):
     from tessera.plans.common import latest
 
     x = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n")).withColumn("u", F.lit(1))
-    f = latest(spark, d).agg(F.median("roe").alias("median_roe"), F.median("pb").alias("median_pb")).withColumn("u", F.lit(1))
+    f = latest(spark, d).select("roe", "pb").unpivot([], ["roe", "pb"], "metric", "v")
+    f = quantiles.medians(f, ["metric"], "v", "m").agg(*[F.max(F.when(F.col("metric") == c, F.col("m"))).alias(f"median_{c}") for c in ("roe", "pb")]).withColumn("u", F.lit(1))
     return returns.levels(x, "u", "date", "r").join(f, "u").select("date", "n", *r6("level", "median_roe", "median_pb"))
 
 

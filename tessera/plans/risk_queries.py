@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import bins, div, pct_rank, safe_corr, zscore
-from tessera.operators import asof, pairs, peers, regimes, returns, risk, screens, windows
+from tessera.operators import asof, blocks, pairs, peers, quantiles, regimes, returns, risk, screens, windows
 from tessera.plans.common import bars, fund, latest, market, query, r6, regime, rets, sect
 from tessera.operators.ranks import with_pct_ranks, with_rank, with_zscores
 from tessera.registry import table
@@ -139,7 +139,7 @@ def a18_baseline_comparison(spark, d):
 def a19_liquidity(spark, d):
     g = returns.last_rows(bars(spark, d).where("qty > 0"), "entity", "date", 21).groupBy("entity").agg(F.avg(F.col("price") * F.col("qty")).alias("dv"), F.avg("qty").alias("shares"))
     g = cut(g, "liquidity")
-    q = g.agg(F.percentile("dv", F.lit(0.2)).alias("q"))
+    q = quantiles.quantiles(g, [], "dv", {"q": 0.2})
     out = with_pct_ranks(g, {"pctile": "dv"})
     return out.join(F.broadcast(q)).select("entity", F.round("dv", 2).alias("dv"), F.round("shares", 4).alias("shares"), *r6("pctile"), (F.col("dv") <= F.col("q")).alias("illiquid"))
 
@@ -382,10 +382,10 @@ def a39_crisis_correlation(spark, d):
     calm = ~F.col("high_vol") & ~F.col("worst") & ~F.col("deep")
     names = F.array_compact(F.array(F.lit("all"), F.when(calm, "calm"), *[F.when(F.col(c), c) for c in ("high_vol", "worst", "deep")]))
     k = m.select("date", F.explode(names).alias("mask"))
-    p = pairs.paired(rets(spark, d).join(sect(spark, d), "entity"), "entity", "date", "r", ["sector"]).join(F.broadcast(k), "date")
-    c = p.groupBy("mask", "a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    c = cut(blocks.pair_stats(rets(spark, d).join(sect(spark, d), "entity"), "entity", "date", "r", ["sector"], 4, labels=k).select("mask", "corr"), "pairs")
     days = k.groupBy("mask").agg(F.count(F.lit(1)).alias("days"))
-    return c.groupBy("mask").agg(F.count("c").alias("pairs"), F.round(F.avg("c"), 6).alias("mean_corr"), F.round(F.median("c"), 6).alias("median_corr")).join(days, "mask").select("mask", "days", "pairs", "mean_corr", "median_corr")
+    g = c.groupBy("mask").agg(F.count("corr").alias("pairs"), F.round(F.avg("corr"), 6).alias("mean_corr")).join(days, "mask")
+    return g.join(quantiles.medians(c, ["mask"], "corr", "median_corr"), "mask", "left").select("mask", "days", "pairs", "mean_corr", *r6("median_corr"))
 
 
 @query(", v AS (SELECT sector, entity, stddev_samp(r) * sqrt(252) AS vol FROM rets JOIN sect USING (entity) GROUP BY 1, 2), w AS (SELECT *, 1 / vol / sum(1 / vol) OVER (PARTITION BY sector) AS iv, least(greatest(0.15 / vol, 0.02), 0.25) AS raw FROM v) SELECT sector, entity, round(iv, 6) AS inv_vol, round(raw / sum(raw) OVER (PARTITION BY sector), 6) AS target FROM w", "rets", "sect")
@@ -658,5 +658,6 @@ def w45_majority_regime(spark, d):
 @query(", v AS (SELECT entity, stddev_samp(r) AS vol FROM rets GROUP BY 1) SELECT entity, CAST(round(least(greatest(1000 * vol / (SELECT median(vol) FROM v), 250), 4000), 2) AS DOUBLE) AS steps FROM v", "rets")
 def w39_volatility_allocation(spark, d):
     v = rets(spark, d).groupBy("entity").agg(F.stddev_samp("r").alias("vol"))
-    m = v.agg(F.median("vol").alias("med"))
+    v = cut(v, "volatility")
+    m = quantiles.medians(v, [], "vol", "med")
     return v.join(F.broadcast(m)).select("entity", F.round(F.least(F.greatest(1000 * F.col("vol") / F.col("med"), F.lit(250.0)), F.lit(4000.0)), 2).alias("steps"))

@@ -121,11 +121,11 @@ class Aligner:
         if not len(a_ids):
             none = np.zeros(0, np.int64)
             return out | {"n_groups": np.zeros(n, np.int64), "n_links": np.zeros(n, np.int64), "sha": pa.array([""] * n), "doc": none, "pair": none, "n": none}
-        common = pa.table({"doc": a_doc, "end": a_end}).join(pa.table({"doc": b_doc, "end": b_end}), ["doc", "end"], join_type="inner", use_threads=False).sort_by([("doc", "ascending"), ("end", "ascending")])
-        cut_doc, cut_end = common["doc"].to_numpy(), common["end"].to_numpy()
-        shift = np.int64(max(map(len, whole)) + 1)
-        key = cut_doc * shift + cut_end
-        a_group, b_group = np.searchsorted(key, a_doc * shift + a_end), np.searchsorted(key, b_doc * shift + b_end)
+        begin = np.concatenate([[0], np.cumsum([len(w) for w in whole])])
+        a_key, b_key = begin[a_doc] + a_end, begin[b_doc] + b_end  # document and end in one: the place in the batch
+        key = np.sort(pa.table({"end": a_key}).join(pa.table({"end": b_key}), "end", join_type="inner", use_threads=False)["end"].to_numpy())
+        cut_doc = np.searchsorted(begin[1:], key)
+        a_group, b_group = np.searchsorted(key, a_key), np.searchsorted(key, b_key)
         links = _links(a_group, a_ids.to_numpy(), b_group, b_ids.to_numpy())
         pairs = pa.table({"doc": cut_doc[links["group"].to_numpy()], "pair": pc.add(pc.multiply(links["a"], self.width), links["b"]), "n": links["n"]})
         counted = pairs.group_by(["doc", "pair"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["doc", "pair", "n"])

@@ -1,26 +1,52 @@
-"""Joins by time: as-of, interval membership and nearest event. Spark has no as-of join; a union and one window does it in linear work."""
+"""Joins by time: as-of, interval membership and nearest event. Spark has no as-of join; a scan by ranges of time does it in linear work."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.keys import meet
 
-def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str], by: list[str], forward: bool = False) -> DataFrame:
+
+def carry(df: DataFrame, keys: list[str], time: str, columns: list[str], then: list[str] | None = None, forward: bool = False, unit: str = "month") -> DataFrame:
+    """df with each column's last value that isn't null up to the row, in order of time (and of ``then`` inside one), per key; forward: the first from the row on.
+
+    A scan by ranges of time: the last values of each key and range are aggregated before any shuffle, a window over these
+    few rows tells what every range begins with, and the rows are filled inside their range. So a key that holds all rows
+    spreads over as many tasks as it has ranges; a task sees one range of one key (``unit`` of a date, or 1,000 steps of a
+    number). Rows without time come first, as a range of their own.
+    """
+    kind = df.schema[time].dataType.typeName()
+    span = F.date_trunc(unit, F.col(time)) if kind in ("date", "timestamp", "timestamp_ntz") else F.floor(F.col(time) / 1000)
+    then = then or []
+    place = F.struct(F.col(time).isNotNull(), F.col(time), *then)
+    pick = F.min_by if forward else F.max_by
+    rows = df.withColumn("_span", span)
+    ends = rows.groupBy(*keys, "_span").agg(*[pick(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns])
+    turn = F.desc if forward else F.asc
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy(turn("_span")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    begins = ends.select(*keys, "_span", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in columns], F.lit(0).alias("_real"))
+    both = rows.withColumn("_real", F.lit(1)).unionByName(begins, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_span").orderBy("_real", turn(time), *[turn(c) for c in then]).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}).where("_real = 1").select(*df.columns)
+
+
+def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str], by: list[str], forward: bool = False, unit: str = "month") -> DataFrame:
     """Each left row with the named columns of the last right row at or before its time (forward: the first at or after it).
 
-    Without a matching row the columns are null. Both sides are unioned and carried along in one window per ``by`` key;
-    with an empty ``by`` the right side must be small enough for one task, one row per date for instance.
+    Without a matching row the columns are null; of right rows at one time the greatest in order of the columns counts;
+    null keys meet. The right rows are carried (see ``carry``) to the distinct keys and times of the left side, which its
+    rows then look up, so neither a hot key nor an empty ``by`` puts a side into one task.
     """
-    names = left.columns
     fields = F.struct(*[F.col(c) for c in columns])
-    lrows = left.select(F.struct(*names).alias("_l"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(left_time).alias("_t"), F.lit(1).alias("_side"))
-    rrows = right.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), fields.alias("_r"))
-    both = lrows.unionByName(rrows, allowMissingColumns=True)
-    time = F.desc("_t") if forward else F.asc("_t")
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(by))] or [F.lit(0)]).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_v", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select("_l.*", *[F.col("_v").getField(c).alias(c) for c in columns])
+    key = [f"_k{i}" for i in range(len(by))]
+    asked = left.select(*[F.col(c).alias(k) for c, k in zip(by, key, strict=True)], F.col(left_time).alias("_t")).where("_t IS NOT NULL").distinct()
+    known = right.where(F.col(right_time).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, key, strict=True)], F.col(right_time).alias("_t")).agg(F.max(fields).alias("_r"))
+    # A right row comes before a left one at the same time, whichever way the scan runs.
+    both = asked.withColumn("_side", F.lit(-1 if forward else 1)).unionByName(known.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    told = carry(both, key, "_t", ["_r"], ["_side"], forward, unit).where("_side <> 0").drop("_side")
+    rows = left.withColumn("_l", F.struct(*[F.col(f"`{c}`") for c in left.columns])).select("_l", *[F.col(c).alias(k) for c, k in zip(by, key, strict=True)], F.col(left_time).alias("_t"))
+    return meet(rows, told, [*key, "_t"], "left").select("_l.*", *[F.col("_r").getField(c).alias(c) for c in columns])
 
 
 def members_at(dates: DataFrame, time: str, adds: DataFrame, removes: DataFrame, entity: str, event_time: str, floor: str = "1900-01-01") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div, over, row_hash, so_far
+from tessera.operators.asof import carry
 
 
 def resample(ticks: DataFrame, unit: str, entity: str, time: str, value: str, qty: str) -> DataFrame:
@@ -41,9 +42,8 @@ def last_rows(panel: DataFrame, entity: str, time: str, n: int) -> DataFrame:
 
 
 def forward_fill(panel: DataFrame, entity: str, time: str, *columns: str) -> DataFrame:
-    """Each null takes the entity's last value before it."""
-    w = so_far(entity, time)
-    return panel.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    """Each null takes the entity's last value before it, by a scan over ranges of time."""
+    return carry(panel, [entity], time, list(columns))
 
 
 def date_pairs(dates: DataFrame, time: str) -> DataFrame:

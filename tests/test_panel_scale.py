@@ -91,3 +91,52 @@ def test_quantiles_equal_percentile(spark, monkeypatch, rows, splits):
     whole = df.agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in wanted.items()])
     same(quantiles.quantiles(df, [], "v", wanted), whole, 0)
     assert quantiles.quantiles(df.where("false"), ["g"], "v", wanted).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["year", "month", "day"])
+@pytest.mark.parametrize("forward", [False, True])
+def test_carried_values_equal_one_window(spark, unit, forward):
+    from tessera.operators.asof import carry
+
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(900)), i, rng.choice([None, None, None, float(i)]), rng.choice([None, str(i)])) for i in range(300)]
+    rows += [(3, None, 300, 1.5, None), (3, datetime.date(2021, 5, 5), 301, None, None), (4, datetime.date(2020, 1, 1), 302, 2.0, "x"), (4, datetime.date(2022, 12, 31), 303, None, None)]
+    df = spark.createDataFrame(rows, "k int, t date, i int, x double, s string")
+    turn = F.desc if forward else F.asc
+    w = Window.partitionBy("k").orderBy(turn("t"), turn("i")).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("x", "s")})
+    got = carry(df, ["k"], "t", ["x", "s"], ["i"], forward, unit)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_equals_brute_force(spark, by, forward):
+    from tessera.operators.asof import asof
+
+    rng = random.Random(11)
+    day = lambda: datetime.date(2020, 1, 1) + datetime.timedelta(rng.randrange(700))
+    left = [(i, rng.choice([1, 2, 3, None]), rng.choice([day(), day(), datetime.date(2020, 3, 3), None])) for i in range(200)] + [(200, 9, day())]
+    right = [(rng.choice([1, 2, 3, None]), day(), float(i)) for i in range(40)] + [(1, None, -1.0), (1, datetime.date(2020, 3, 3), 5.0), (1, datetime.date(2020, 3, 3), 6.0)]
+    got = asof(spark.createDataFrame(left, "i int, k int, t date"), spark.createDataFrame(right, "k int, d date, v double"), "t", "d", ["d", "v"], by, forward)
+    want = []
+    for i, k, t in left:
+        fits = [(d, v) for rk, d, v in right if t and d and (not by or rk == k) and (d >= t if forward else d <= t)]
+        best = (min if forward else max)(d for d, _ in fits) if fits else None
+        want.append((i, k, t, best, max(v for d, v in fits if d == best) if fits else None))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == want
+
+
+def test_one_key_is_spread_over_its_ranges(spark):
+    """The plan partitions rows by key and range, so a single key's rows go to many partitions."""
+    from tessera.operators.asof import carry
+
+    df = spark.range(0, 3000).selectExpr("1 AS k", "date_add(DATE '2000-01-01', int(id)) AS t", "CASE WHEN id % 10 = 0 THEN double(id) END AS x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = carry(df, ["k"], "t", ["x"]).groupBy(F.spark_partition_id()).count().collect()
+        assert len(got) > 1 and max(r["count"] for r in got) < 3000
+        assert carry(df, ["k"], "t", ["x"]).where("x <> floor(datediff(t, DATE '2000-01-01') / 10) * 10").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -551,14 +551,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # Rows that the filter doesn't name stay where they lie; only the others, few beside those that go, are joined.
     told = bit_filter(gone.select(F.xxhash64("_one_doc", "_one_text").alias("h")), "h")
     hit = F.arrow_udf(lambda h: pa.array(may_hold(told, h.to_numpy())), T.BooleanType())
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("_t")).withColumn("_may", hit(F.xxhash64(F.col("doc_id").cast("long"), F.col("_t"))))
-    same = [F.col("doc_id").cast("long").eqNullSafe(F.col("_one_doc")), F.col("_t") == F.col("_one_text")]
-    left = marked.where("NOT _may").unionByName(marked.where("_may").join(gone, same, "left_anti")).select("_row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in names])  # rows travel whole, so no column of theirs can clash with one of these
+    marked = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t")).withColumn("_may", hit(F.xxhash64("_d", "_t")))
+    same = [F.col("_d").eqNullSafe(F.col("_one_doc")), F.col("_t") == F.col("_one_text")]
+    left = marked.where("NOT _may").unionByName(marked.where("_may").join(gone, same, "left_anti")).drop("_may")
     many = kept.where("rows > 1").select(F.col("doc").alias("_one_doc"), F.col("t").alias("_one_text"))
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
     if many.isEmpty():
-        return left
-    here = [F.col("doc_id").cast("long").eqNullSafe(F.col("_one_doc")), F.xxhash64("text") == F.col("_one_text")]
-    keyed = left.join(many, here, "left_semi").select(F.col("doc_id").alias("_one_doc"), F.xxhash64("text").alias("_one_text"), row.alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_h"))
-    one = keyed.groupBy("_one_doc", "_one_text").agg(F.min_by("_row", "_h").alias("_row"))
-    return left.join(many, here, "left_anti").select(row.alias("_row")).unionByName(one.select("_row")).select("_row.*")
+        return left.select("_row.*")
+    keyed = left.join(many, same, "left_semi").withColumn("_h", F.xxhash64(*[F.col("_row").getField(c) for c, kind in docs.dtypes if "map<" not in kind]))
+    one = keyed.groupBy("_d", "_t").agg(F.min_by("_row", "_h").alias("_row"))
+    return left.join(many, same, "left_anti").select("_row").unionByName(one.select("_row")).select("_row.*")

@@ -262,3 +262,19 @@ def test_alignment_equals_brute_force(spark, monkeypatch, head, held, large):
     assert got.columns == columns
     assert sorted((tuple(-1 if v is None else v for v in r) for r in got.collect()), key=str) == brute_alignment([*enumerate(values), (None, "without id"), (3, values[3])])
     assert alignment.align_documents(spark.createDataFrame([], DOCS), *files).count() == 0
+
+
+# --- one document of each group
+
+
+def test_one_of_each_with_clashing_columns_and_repeated_rows(spark):
+    from tessera.llm.partenum import one_of_each
+
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near), (1, near), (2, near + " more"), (3, "another text of several words here"), (3, "another text of several words here"), (4, None), (None, near)]
+    df = spark.createDataFrame(rows, DOCS)
+    for c in ("_one_doc", "_one_text", "_row", "_d", "_t", "_h", "_may", "h", "comp"):
+        df = df.withColumn(c, F.lit("x"))
+    out = one_of_each(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text) for r in out.collect()) == [(1, near), (3, rows[3][1]), (4, None)]
+    assert one_of_each(df.where("false")).count() == 0

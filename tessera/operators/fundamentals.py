@@ -1,28 +1,11 @@
-"""Ratios from statement lines, trailing sums and revisions."""
+"""Trailing sums and revisions of statement lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import clip, div, over
-
-
-def _truthy(c: Column) -> Column:
-    """Zero counts as missing."""
-    return F.when(c != 0, c)
-
-
-def ratios(df: DataFrame) -> DataFrame:
-    """Ratios from income, assets, equity, debt, cash, ebit, interest, tax, pretax, ebitda, shares and price; zero denominators give null."""
-    c = F.col
-    tax = F.coalesce(clip(div(c("tax"), _truthy(c("pretax"))), 0, 0.5), F.lit(0.21))
-    cap = c("shares") * c("price")
-    ev = cap + F.coalesce(c("debt"), F.lit(0.0)) - F.coalesce(c("cash"), F.lit(0.0))
-    return df.withColumns({
-        "market_cap": cap, "roe": div(c("income"), _truthy(c("equity"))), "roic": div(c("ebit") * (1 - tax), _truthy(c("equity") + F.coalesce(c("debt"), F.lit(0.0)))), "debt_to_equity": div(c("debt"), _truthy(c("equity"))),
-        "ev_ebitda": div(ev, _truthy(c("ebitda"))), "pb": div(cap, _truthy(c("equity"))), "coverage": div(c("ebit"), _truthy(c("interest"))), "cap_to_assets": div(cap, _truthy(c("assets"))),
-    })
+from tessera.functions.columns import div, over
 
 
 def trailing_year(df: DataFrame, entity: str, time: str, x: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import div, pct_rank, safe_corr
 from tessera.operators.keys import meet
 from tessera.operators.quantiles import quantiles
+from tessera.operators.ranks import with_pct_ranks, with_rank
 from tessera.scratch import cut, ordered_prefix
 
 
@@ -77,11 +78,28 @@ def rank_ic(df: DataFrame, by: list[str], signal: str, target: str) -> DataFrame
     return ranked.groupBy(*by).agg(safe_corr(F.col("_s"), F.col("_t")).alias("spearman"), safe_corr(F.col(signal), F.col(target)).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
-def family_weights(df: DataFrame, family: str, time: str, signal: str, target: str, settle: int | None = None) -> DataFrame:
-    """Mean rank correlation of each family's signal with the target over dates, and its share of those above 0; with ``settle``, times the root of n / (n + settle), the history factor."""
+#: Fixed value: dates of history at which a family's weight counts in full; more count more.
+FULL_HISTORY = 504
+
+
+def family_weights(df: DataFrame, family: str, time: str, signal: str, target: str, aged: bool = False) -> DataFrame:
+    """Mean rank correlation (ic) of each family's signal with the target over n dates, and its share (weight) of those above 0; ``aged``: times the root of n / FULL_HISTORY."""
     ic = rank_ic(df, [family, time], signal, target).groupBy(family).agg(F.avg("spearman").alias("ic"), F.count("spearman").alias("n"))
-    up = F.greatest("ic", F.lit(0.0)) * (F.sqrt(F.col("n") / (F.col("n") + settle)) if settle else F.lit(1.0))
-    return ic.withColumn("weight", div(up, F.sum(up).over(Window.partitionBy())))  # one row per family
+    up = F.greatest("ic", F.lit(0.0)) * (F.sqrt(F.col("n") / FULL_HISTORY) if aged else F.lit(1.0))
+    return ic.withColumn("weight", F.coalesce(div(up, F.sum(up).over(Window.partitionBy())), F.lit(0.0)))  # one row per family
+
+
+def family_composite(scores: DataFrame, entity: str, families: list[str], weights: DataFrame) -> DataFrame:
+    """(entity, composite, rank): weighted mean of the families' percentile ranks over all entities, 0.5 where an entity has no value; families without weight don't count, and without any the composite is null.
+
+    weights: (family, weight), one row per family, as ``family_weights`` gives them.
+    """
+    ranked = with_pct_ranks(cut(scores.select(entity, *families), "scores"), {f"_p_{f}": f for f in families})
+    held = weights.agg(*[F.coalesce(F.max(F.when((F.col("family") == f) & (F.col("weight") > 0), F.col("weight"))), F.lit(0.0)).alias(f"_w_{f}") for f in families])
+    total = sum((F.col(f"_w_{f}") for f in families), F.lit(0.0))
+    mixed = sum((F.col(f"_w_{f}") * F.coalesce(f"_p_{f}", F.lit(0.5)) for f in families), F.lit(0.0))
+    out = ranked.join(F.broadcast(held)).select(entity, F.round(div(mixed, total), 4).alias("composite"))  # weights are one row
+    return with_rank(cut(out, "composite"), "composite")
 
 
 def average_rolling_beta(rolled: DataFrame, entity: str, group: str, beta: str, time: str, rows: int) -> DataFrame:

@@ -141,11 +141,11 @@ def near_dual() -> Column:
 
 
 def dupont(df: DataFrame) -> DataFrame:
-    """Equity multiplier, the return without leverage, the boost and its share."""
+    """Equity multiplier, the return without leverage, the boost and its share, and what a return of 15 % or more rests on: a multiplier up to 1.5, up to 2 or above."""
     em = 1 + F.col("de")
     out = df.withColumns({"multiplier": em, "operating": div(F.col("roe"), em)})
     out = out.withColumn("boost", F.col("roe") - F.col("operating")).withColumn("boost_share", div(F.col("boost"), F.col("roe")))
-    return out.withColumn("roe_class", F.when(F.col("roe").isNull() | F.col("de").isNull(), "unknown").when(F.col("boost_share") > 0.5, "leverage_driven").when(F.col("roe") >= 0.15, "operating").otherwise("weak"))
+    return out.withColumn("roe_class", F.when(F.col("roe").isNull() | F.col("de").isNull(), "unknown").when(F.col("roe") < 0, "negative").when(F.col("roe") < 0.15, "modest").when(em <= 1.5, "high_ops").when(em > 2.0, "leverage_driven").otherwise("mixed"))
 
 
 def stressed(df: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -55,10 +55,10 @@ def w35_alert_run(spark, d):
     return alerts.run(rules, bars(spark, d), priority="high", at="2000-01-01 00:00:00").select("rule_id", "entity", *r6("value", "threshold"), "run_at")
 
 
-@query(""", x AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM bars), g AS (SELECT entity, max(n) AS n, min_by(price, date) AS a, max_by(price, date) AS z, list(price ORDER BY rn) FILTER (rn > n - 10) AS t FROM x GROUP BY 1), h AS (SELECT *, unnest([1, 2, 3]) AS h FROM g)
- SELECT entity, h, round(CASE WHEN n >= 10 THEN z + (z - a) / (n - 1) * h + 0.5 * (t[5 + h] - t[h] - (z - a) / (n - 1) * 5) ELSE z END, 6) AS forecast FROM h""", "bars")
+@query(""", x AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM bars), g AS (SELECT entity, max(n) AS n, min_by(price, date) AS a, max_by(price, date) AS z FROM x GROUP BY 1), h AS (SELECT *, unnest(generate_series(1, 7)) AS h FROM g)
+ SELECT h.entity, CAST(h AS INTEGER) AS h, round(CASE WHEN h.n < 5 THEN z ELSE 0.6::DOUBLE * (z + (z - a) / (h.n - 1) * h) + 0.4::DOUBLE * x.price END, 6) AS forecast FROM h LEFT JOIN x ON x.entity = h.entity AND x.rn = 10 - h % 5""", "bars")
 def w40_drift_forecast(spark, d):
-    return backtest.drift_forecast(bars(spark, d), "entity", "date", "price", 3).select("entity", "h", *r6("forecast"))
+    return backtest.drift_seasonal(bars(spark, d), "entity", "date", "price", list(range(1, 8))).select("entity", "h", *r6("forecast"))
 
 
 @query(""", x AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM bars), o AS (SELECT DISTINCT entity, unnest(generate_series(24, n - 3, 12)) AS origin FROM x WHERE n >= 27)
@@ -139,15 +139,6 @@ def a82_event_calendar(spark, d):
     return backtest.event_calendar([("order", o), ("event", e)], days, "2000-01-01").select("date", "name", "kind", "trading", "days_until")
 
 
-@query("""SELECT o_custkey AS entity, o_orderkey, round(income / equity, 6) AS roe, round(debt / equity, 6) AS debt_to_equity, round((shares * price + debt) / ebitda, 6) AS ev_ebitda, round(shares * price / equity, 6) AS pb,
- round(o_totalprice * 0.15 * (1 - 0.2) / (equity + debt), 6) AS roic, round(o_totalprice * 0.15 / (o_totalprice * 0.01), 6) AS coverage, round(shares * price, 4) AS market_cap, round(shares * price / o_totalprice, 6) AS cap_to_assets FROM
- (SELECT *, o_totalprice * 0.1 AS income, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice * 0.8 END AS equity, o_totalprice * 0.3 AS debt, o_totalprice * 0.2 AS ebitda, 10.0 AS shares, o_totalprice / 20 AS price FROM orders)""")
-def p32_statement_ratios(spark, d):
-    p = F.col("o_totalprice")
-    x = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", (p * 0.1).alias("income"), F.when(F.col("o_orderstatus") == "P", F.lit(0.0)).otherwise(p * 0.8).alias("equity"), (p * 0.3).alias("debt"), F.lit(0.0).alias("cash"), (p * 0.15).alias("ebit"), (p * 0.01).alias("interest"), (p * 0.02).alias("tax"), (p * 0.1).alias("pretax"), (p * 0.2).alias("ebitda"), p.alias("assets"), F.lit(10.0).alias("shares"), (p / 20).alias("price"))
-    return fundamentals.ratios(x).select("entity", "o_orderkey", *r6("roe", "debt_to_equity", "ev_ebitda", "pb"), F.when(F.col("roe").isNotNull(), F.round("roic", 6)).alias("roic"), *r6("coverage"), F.round("market_cap", 4).alias("market_cap"), *r6("cap_to_assets"))
-
-
 @query(" SELECT entity, as_of, CASE WHEN count(*) OVER f = 4 THEN round(sum(amount) OVER f, 2) END AS ttm, CASE WHEN count(*) OVER e = 8 THEN round(abs(avg(amount) OVER e) / stddev_pop(amount) OVER e, 6) END AS stability FROM fund WINDOW f AS (PARTITION BY entity ORDER BY as_of ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), e AS (PARTITION BY entity ORDER BY as_of ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)", "fund")
 def p33_trailing_year(spark, d):
     return fundamentals.trailing_year(fund(spark, d), "entity", "as_of", "amount").select("entity", "as_of", F.round("ttm", 2).alias("ttm"), *r6("stability"))

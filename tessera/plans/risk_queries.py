@@ -216,17 +216,27 @@ def a23_rank_ic(spark, d):
 
 _FAMILIES = """, sg AS (SELECT entity, date, -r AS reversal, price / lag(price, 6) OVER w - 1 AS momentum, CASE WHEN count(r) OVER t >= 6 THEN -stddev_samp(r) OVER t END AS stable, lead(price, 1) OVER w / price - 1 AS fwd FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date), t AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
  u AS (SELECT family, date, s, fwd FROM sg UNPIVOT (s FOR family IN (reversal, momentum, stable)) WHERE fwd IS NOT NULL), rk AS (SELECT family, date, rank() OVER (PARTITION BY family, date ORDER BY s) + (count(*) OVER (PARTITION BY family, date, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY family, date ORDER BY fwd) + (count(*) OVER (PARTITION BY family, date, fwd) - 1) / 2.0 AS b FROM u),
- fi AS (SELECT family, date, corr(a, b) AS ic FROM rk GROUP BY 1, 2), ff AS (SELECT family, avg(ic) AS ic, count(ic) AS n, greatest(avg(ic), 0) * sqrt(count(ic) / (count(ic) + 12.0)) AS up FROM fi GROUP BY 1)"""
+ fi AS (SELECT family, date, corr(a, b) AS ic FROM rk GROUP BY 1, 2), ff AS (SELECT family, avg(ic) AS ic, count(ic) AS n, greatest(avg(ic), 0) * sqrt(count(ic) / 504.0::DOUBLE) AS up FROM fi GROUP BY 1)"""
 
 
-@query(_FAMILIES + " SELECT family, round(ic, 6) AS ic, n, round(up / nullif(sum(up) OVER (), 0), 6) AS weight FROM ff", "rets")
-def a34_family_weights(spark, d):
-    """Mean rank correlation of three signals with the next return, as weights that aren't negative; families of few dates count less."""
-    x = rets(spark, d)
+_SIGNALS = ["reversal", "momentum", "stable"]
+
+
+def _signals(spark, d):
+    """Three signals of each entity and date, and the next return."""
     w = Window.partitionBy("entity").orderBy("date")
     tail = w.rowsBetween(-5, 0)
-    sg = x.select("date", (-F.col("r")).alias("reversal"), (div(F.col("price"), F.lag("price", 6).over(w)) - 1).alias("momentum"), F.when(F.count("r").over(tail) >= 6, -F.stddev_samp("r").over(tail)).alias("stable"), (div(F.lead("price").over(w), F.col("price")) - 1).alias("fwd"))
-    f = peers.family_weights(sg.unpivot(["date", "fwd"], ["reversal", "momentum", "stable"], "family", "s"), "family", "date", "s", "fwd", 12)
+    return rets(spark, d).select("entity", "date", (-F.col("r")).alias("reversal"), (div(F.col("price"), F.lag("price", 6).over(w)) - 1).alias("momentum"), F.when(F.count("r").over(tail) >= 6, -F.stddev_samp("r").over(tail)).alias("stable"), (div(F.lead("price").over(w), F.col("price")) - 1).alias("fwd"))
+
+
+def _weights(spark, d):
+    return peers.family_weights(_signals(spark, d).unpivot(["date", "fwd"], _SIGNALS, "family", "s"), "family", "date", "s", "fwd", aged=True)
+
+
+@query(_FAMILIES + " SELECT family, round(ic, 6) AS ic, n, round(up / nullif(sum(up) OVER (), 0), 6) AS weight FROM ff", "rets")
+def a34_family_weights(spark, d):
+    """Mean rank correlation of three signals with the next return, as weights that aren't negative and grow with the length of the history."""
+    f = _weights(spark, d)
     return f.select("family", *r6("ic"), "n", *r6("weight"))
 
 
@@ -357,12 +367,18 @@ def a33_event_catalyst(spark, d):
     return j.select("entity", F.round(0.6 * F.col("pe") + 0.4 * F.col("ps"), 6).alias("score"))
 
 
-@query(""", k AS (SELECT entity, CASE WHEN roic IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY roic NULLS LAST) + (count(*) OVER (PARTITION BY roic) - 1) / 2.0) / count(roic) OVER () END AS a, (rank() OVER (ORDER BY pb) + (count(*) OVER (PARTITION BY pb) - 1) / 2.0) / count(*) OVER () AS b FROM latest)
- SELECT entity, round(0.7 * a + 0.3 * b, 6) AS score, rank() OVER (ORDER BY round(0.7 * a + 0.3 * b, 6) DESC) AS rank FROM k""", "latest")
+_COMPOSITE = _FAMILIES + ", wf AS (SELECT family, coalesce(up / nullif(sum(up) OVER (), 0), 0) AS weight FROM ff), ls AS (SELECT * FROM sg QUALIFY row_number() OVER (PARTITION BY entity ORDER BY date DESC) = 1), lp AS (SELECT entity, " + ", ".join(f"(CASE WHEN {c} IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE) / count({c}) OVER () END) * coalesce((SELECT weight FROM wf WHERE family = '{c}'), 0) AS {c}" for c in _SIGNALS) + " FROM ls), cp AS (SELECT entity, round((" + " + ".join(_SIGNALS) + ") / (SELECT nullif(sum(weight), 0) FROM wf), 4) AS composite FROM lp)"
+
+
+def composite(spark, d):
+    """Each entity's newest signals, weighted by how well they told the next return."""
+    now = returns.latest(_signals(spark, d).select("entity", "date", *_SIGNALS), "entity", "date")
+    return peers.family_composite(now, "entity", _SIGNALS, _weights(spark, d))
+
+
+@query(_COMPOSITE + " SELECT entity, composite, rank() OVER (ORDER BY composite DESC NULLS LAST) AS rank FROM cp", "rets")
 def a36_ranked_composite(spark, d):
-    x = with_pct_ranks(cut(latest(spark, d).select("entity", "roic", "pb"), "latest"), {"a": "roic", "b": "pb"})
-    x = cut(x.select("entity", F.round(0.7 * F.coalesce("a", F.lit(0.5)) + 0.3 * F.col("b"), 6).alias("score")), "scores")
-    return with_rank(x, "score").select("entity", "score", "rank")
+    return composite(spark, d).select("entity", "composite", "rank")
 
 
 _MASKS = """, v AS (SELECT *, CASE WHEN count(*) OVER w >= 6 THEN stddev_samp(m) OVER w END AS vol, exp(sum(ln(1 + m)) OVER (ORDER BY date)) AS l FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), x AS (SELECT *, l / max(l) OVER (ORDER BY date) - 1 AS dd FROM v), q AS (SELECT quantile_cont(vol, 0.8) AS qv, quantile_cont(m, 0.05) AS qr, quantile_cont(dd, 0.1) AS qd FROM x), mask AS (SELECT date, m, vol, dd, coalesce(vol >= qv, false) AS high_vol, m <= qr AS worst, dd <= qd AS deep FROM x, q)"""
@@ -498,11 +514,14 @@ _PR = lambda c: f"CASE WHEN {c} IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY {c}
 FRAGILITY = {"leverage": 0.18, "asset_coverage": 0.12, "interest_coverage": 0.12, "iv_skew": 0.12, "illiquidity": 0.12, "gap_share": 0.14, "tail_fatness": 0.14, "kurtosis": 0.06}
 
 
-@query(f""", g AS (SELECT entity, max_by(price * qty, date) AS last, kurtosis(r) AS kurtosis, -avg(price * qty) AS illiquidity, count(r) AS n FROM rets GROUP BY 1), o AS (SELECT entity, ((high + low) / 2) / lag(price) OVER w - 1 AS gap, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
+_FRAGILE = f""", g AS (SELECT entity, max_by(price * qty, date) AS last, kurtosis(r) AS kurtosis, -avg(price * qty) AS illiquidity, count(r) AS n FROM rets GROUP BY 1), o AS (SELECT entity, ((high + low) / 2) / lag(price) OVER w - 1 AS gap, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
  gs AS (SELECT entity, var_samp(gap) / var_samp(r) AS gap_share FROM o GROUP BY 1), x AS (SELECT entity, abs(r) AS x, row_number() OVER (PARTITION BY entity ORDER BY abs(r) DESC) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM rets WHERE abs(r) > 0), t AS (SELECT *, least(greatest(5, floor(0.1 * n)), n - 1) AS k FROM x),
  h AS (SELECT entity, -max(k) / (sum(ln(x)) - max(k) * ln(min(x))) AS tail_fatness FROM t WHERE rn <= k GROUP BY 1),
  j AS (SELECT g.entity, de AS leverage, mca AS asset_coverage, 1 / nullif(ic, 0) AS interest_coverage, stab AS iv_skew, illiquidity, gap_share, tail_fatness, kurtosis FROM g LEFT JOIN latest USING (entity) LEFT JOIN gs USING (entity) LEFT JOIN h USING (entity)),
- p AS (SELECT entity, ({" + ".join(f"{w} * {_PR(c)}" for c, w in FRAGILITY.items())}) / {sum(FRAGILITY.values())} AS s FROM j) SELECT entity, round(s, 6) AS fragility, {_PR('round(s, 6)')} >= 0.9 AS flagged FROM p""", "rets", "latest")
+ p AS (SELECT entity, ({" + ".join(f"{w} * {_PR(c)}" for c, w in FRAGILITY.items())}) / {sum(FRAGILITY.values())} AS s FROM j), fg AS (SELECT entity, round(s, 6) AS fragility, {_PR('round(s, 6)')} >= 0.9 AS flagged FROM p)"""
+
+
+@query(_FRAGILE + " SELECT entity, fragility, flagged FROM fg", "rets", "latest")
 def a63_fragility(spark, d):
     """Parts without a table of their own stand in: leverage, coverage and skew are those of the customer with the supplier's number; a missing part is neutral."""
     b = bars(spark, d)

@@ -98,18 +98,6 @@ def p20_decision_table(spark, d):
     return _decided(spark, d).select("entity", *r6("q", "v", "score"), "demoted", "decision")
 
 
-@query(f""", s AS (SELECT *, {_FLAGS} FROM latest), t AS (SELECT *, {_NFAIL} AS n_failed, {_FAILED} AS failed_legs FROM s)
- SELECT entity, n_failed, failed_legs, CASE WHEN stab < 0.2 THEN 'EXCLUDE' WHEN n_failed = 0 THEN 'INCLUDE' WHEN n_failed <= 2 THEN 'NEAR_MISS' ELSE 'NO' END AS candidacy, c_custkey IS NOT NULL AS monitored,
- CASE WHEN stab < 0.2 THEN 'reject' WHEN n_failed = 0 THEN CASE WHEN c_custkey IS NOT NULL THEN 'keep' ELSE 'add' END WHEN n_failed <= 2 THEN 'watch' WHEN c_custkey IS NOT NULL THEN 'review' ELSE 'ignore' END AS decision FROM t LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = entity""", "latest")
-def p21_inclusion(spark, d):
-    own = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("entity"), F.lit(True).alias("own"))
-    x = screens.with_legs(latest(spark, d)).join(own, "entity", "left")
-    low, own = F.col("stab") < 0.2, F.col("own").isNotNull()
-    candidacy = F.when(low, "EXCLUDE").when(F.col("n_failed") == 0, "INCLUDE").when(F.col("n_failed") <= 2, "NEAR_MISS").otherwise("NO")
-    decision = F.when(low, "reject").when(F.col("n_failed") == 0, F.when(own, "keep").otherwise("add")).when(F.col("n_failed") <= 2, "watch").when(own, "review").otherwise("ignore")
-    return x.select("entity", "n_failed", "failed_legs", candidacy.alias("candidacy"), own.alias("monitored"), decision.alias("decision"))
-
-
 @query(f", s AS (SELECT *, {_FLAGS} FROM latest), t AS (SELECT unnest(string_split({_FAILED}, ',')) AS leg FROM s) SELECT leg, count(*) AS n FROM t WHERE leg <> '' GROUP BY 1", "latest")
 def p22_failed_leg_histogram(spark, d):
     x = screens.with_legs(latest(spark, d)).select(F.explode(F.split("failed_legs", ",")).alias("leg")).where("leg <> ''")
@@ -192,7 +180,7 @@ def p26_gap_class(spark, d):
 
 
 @query("""SELECT entity, round(1 + de, 6) AS multiplier, round(roe / (1 + de), 6) AS operating, round(roe - roe / (1 + de), 6) AS boost, round((roe - roe / (1 + de)) / roe, 6) AS boost_share,
- CASE WHEN roe IS NULL OR de IS NULL THEN 'unknown' WHEN (roe - roe / (1 + de)) / roe > 0.5 THEN 'leverage_driven' WHEN roe >= 0.15 THEN 'operating' ELSE 'weak' END AS roe_class FROM latest""", "latest")
+ CASE WHEN roe IS NULL OR de IS NULL THEN 'unknown' WHEN roe < 0 THEN 'negative' WHEN roe < 0.15 THEN 'modest' WHEN 1 + de <= 1.5 THEN 'high_ops' WHEN 1 + de <= 2 THEN 'mixed' ELSE 'leverage_driven' END AS roe_class FROM latest""", "latest")
 def p27_dupont(spark, d):
     return screens.dupont(latest(spark, d)).select("entity", *r6("multiplier", "operating", "boost", "boost_share"), "roe_class")
 
@@ -204,47 +192,6 @@ def p28_all_regimes(spark, d):
     return x.groupBy("regime").agg(F.count_if("dual_pass").alias("n_pass")).withColumn("active", F.col("regime") == "normal")
 
 
-@query(_SCORED + """ SELECT entity, points, reasons, CASE WHEN points >= 3 THEN 'BUY' WHEN points >= 1 THEN 'WATCH' ELSE 'PASS' END AS action FROM (SELECT entity,
- CAST(decision = 'INCLUDE_CORE' AS INTEGER) * 2 + CAST(buffett AS INTEGER) + CAST(trifecta AS INTEGER) - CAST(flag = 'levered-assets' AS INTEGER) + CAST(score >= 0.6 AS INTEGER) AS points,
- concat_ws(',', CASE WHEN decision = 'INCLUDE_CORE' THEN 'core' END, CASE WHEN buffett THEN 'quality' END, CASE WHEN trifecta THEN 'value' END, CASE WHEN flag = 'levered-assets' THEN 'levered' END, CASE WHEN score >= 0.6 THEN 'score' END) AS reasons FROM decided)""", "fund", "latest")
-def p29_decision_points(spark, d):
-    terms = {"core": (F.col("decision") == "INCLUDE_CORE", 2), "quality": (F.col("buffett"), 1), "value": (F.col("trifecta"), 1), "levered": (F.col("flag") == "levered-assets", -1), "score": (F.col("score") >= 0.6, 1)}
-    points = sum((F.when(c, w).otherwise(0) for c, w in terms.values()), F.lit(0))
-    x = _decided(spark, d).select("entity", points.cast("int").alias("points"), F.concat_ws(",", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, (c, _) in terms.items()]))).alias("reasons"))
-    return x.withColumn("action", F.when(F.col("points") >= 3, "BUY").when(F.col("points") >= 1, "WATCH").otherwise("PASS"))
-
-
-@query(_SCORED + """, vw AS (SELECT entity, CASE decision WHEN 'INCLUDE_CORE' THEN 0.04::DOUBLE WHEN 'INCLUDE_VALUE' THEN 0.02 WHEN 'INCLUDE_QUALITY' THEN 0.02 WHEN 'AVOID' THEN -0.02 ELSE 0.0 END * CASE WHEN flag = 'levered-assets' THEN 0.5::DOUBLE ELSE 1.0 END AS view, score AS confidence FROM decided)
- SELECT entity, round(view, 6) AS view, round(greatest(view, 0) * confidence / sum(greatest(view, 0) * confidence) OVER (), 8) AS weight FROM vw""", "fund", "latest")
-def p30_views(spark, d):
-    view = F.expr("CASE decision WHEN 'INCLUDE_CORE' THEN 0.04D WHEN 'INCLUDE_VALUE' THEN 0.02D WHEN 'INCLUDE_QUALITY' THEN 0.02D WHEN 'AVOID' THEN -0.02D ELSE 0.0D END") * F.when(F.col("flag") == "levered-assets", 0.5).otherwise(1.0)
-    v = _decided(spark, d).select("entity", view.alias("view"), F.greatest(view, F.lit(0.0)).alias("up"), "score").withColumn("raw", F.col("up") * F.col("score"))
-    total = v.agg(F.sum("raw").alias("total"))
-    return v.join(F.broadcast(total)).select("entity", *r6("view"), F.round(F.col("raw") / F.col("total"), 8).alias("weight"))
-
-
-@query(""", x AS (SELECT entity, as_of, amount, lead(amount) OVER w AS nxt, lag(amount) OVER w AS prev FROM fund WINDOW w AS (PARTITION BY entity ORDER BY as_of))
- SELECT entity, as_of, CASE WHEN nxt / amount - 1 > 0.03 THEN 'up' WHEN nxt / amount - 1 < -0.03 THEN 'down' ELSE 'flat' END AS label, abs(nxt / amount - 1) < coalesce(abs(amount / prev - 1), 1) AS beats FROM x WHERE nxt IS NOT NULL""", "fund")
-def p31_forecast_labels(spark, d):
-    w = Window.partitionBy("entity").orderBy("as_of")
-    x = fund(spark, d).select("entity", "as_of", (F.lead("amount").over(w) / F.col("amount") - 1).alias("chg"), (F.col("amount") / F.lag("amount").over(w) - 1).alias("base")).where("chg IS NOT NULL")
-    return x.select("entity", "as_of", F.when(F.col("chg") > 0.03, "up").when(F.col("chg") < -0.03, "down").otherwise("flat").alias("label"), (F.abs("chg") < F.coalesce(F.abs("base"), F.lit(1.0))).alias("beats"))
-
-
-_PARTS = {"roe": (0.0, 0.3, 0.25), "roic": (0.0, 0.25, 0.25), "ic": (0.0, 15.0, 0.2), "stab": (0.0, 1.0, 0.15)}
-_STRENGTH_SQL = "(" + " + ".join(f"coalesce({w} * least(greatest(({c} - {lo}) / {hi - lo}, 0), 1), 0)" if c != "roic" else f"CASE WHEN roic IS NULL THEN 0 ELSE {w} * least(greatest((roic - {lo}) / {hi - lo}, 0), 1) END" for c, (lo, hi, w) in _PARTS.items()) + " + 0.15 * least(greatest((2.0 - de) / 2.0, 0), 1)) / (CASE WHEN roic IS NULL THEN 0.75 ELSE 1.0 END)"
-
-
-@query(f"SELECT entity, round({_STRENGTH_SQL}, 6) AS strength, CASE WHEN mca >= 1 THEN 'large' WHEN mca >= 0.4 THEN 'mid' ELSE 'small' END AS tier, mca >= 0.4 AND roe > 0 AS eligible FROM latest", "latest")
-def p34_membership_strength(spark, d):
-    part = lambda x, lo, hi: F.when(x.isNotNull(), F.least(F.greatest((x - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
-    parts = [(part(F.col(c), lo, hi), w) for c, (lo, hi, w) in _PARTS.items()] + [(part(-F.col("de"), -2.0, 0.0), 0.15)]  # lower is better: the scale reversed
-    total = sum((F.coalesce(p * w, F.lit(0.0)) for p, w in parts), F.lit(0.0))
-    weight = sum((F.when(p.isNotNull(), w).otherwise(0.0) for p, w in parts), F.lit(0.0))
-    tier = F.when(F.col("mca") >= 1, "large").when(F.col("mca") >= 0.4, "mid").otherwise("small")
-    return latest(spark, d).select("entity", F.round(total / weight, 6).alias("strength"), tier.alias("tier"), ((F.col("mca") >= 0.4) & (F.col("roe") > 0)).alias("eligible"))
-
-
 @query("""SELECT c_custkey AS entity, roe IS NOT NULL AS covered, coalesce(CASE WHEN mca >= 1 THEN 'large' WHEN mca >= 0.4 THEN 'mid' ELSE 'small' END, 'none') AS tier FROM customer LEFT JOIN latest ON c_custkey = entity""", "latest")
 def p35_member_universe(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"))

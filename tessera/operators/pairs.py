@@ -68,6 +68,22 @@ def frobenius(matrix: DataFrame, base: str, others: list[str]) -> DataFrame:
     return g.select(rows.alias("x")).select("x.*")
 
 
+#: The mean correlation of a crisis and how far covariances are moved towards it under stress and outside it.
+CRISIS_CORRELATION, BLEND_STRESS, BLEND_CALM = 0.40, 0.5, 0.1
+
+
+def crisis_blend(matrix: DataFrame, stress: dict[str, bool]) -> DataFrame:
+    """Covariances (a, b, s), pairs a <= b, blended with those whose correlations are all shifted by the gap of their mean from the crisis level and held inside -1 and 1; a column for each name, under stress or not."""
+    v = matrix.where("a = b").select(F.col("a").alias("_k"), F.sqrt(F.greatest("s", F.lit(1e-18))).alias("_v"))
+    m = matrix.join(v.select(F.col("_k").alias("a"), F.col("_v").alias("_va")), "a").join(v.select(F.col("_k").alias("b"), F.col("_v").alias("_vb")), "b")
+    m = m.withColumn("_c", F.col("s") / (F.col("_va") * F.col("_vb")))
+    mean = m.where("a <> b").agg(F.avg("_c").alias("_mean"))
+    shifted = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.least(F.greatest(F.col("_c") + (CRISIS_CORRELATION - F.coalesce("_mean", F.lit(CRISIS_CORRELATION))), F.lit(-1.0)), F.lit(1.0)))
+    crisis = F.col("_va") * F.col("_vb") * shifted
+    share = lambda on: BLEND_STRESS if on else BLEND_CALM
+    return m.join(F.broadcast(mean)).withColumns({n: share(on) * crisis + (1 - share(on)) * F.col("s") for n, on in stress.items()}).drop("_va", "_vb", "_c", "_mean")  # the mean is one row
+
+
 def ewma_cov(pairs: DataFrame, by: list[str], time: str, lam: float = 0.94) -> DataFrame:
     """A47 in closed form: the weight of a row is (1 - lam) * lam ** (rows after it); the first row's product seeds it."""
     w = Window.partitionBy(*by, "a", "b").orderBy(F.col(time).desc())

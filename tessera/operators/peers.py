@@ -27,17 +27,52 @@ def leave_one_out_rank(df: DataFrame, group: str | list[str], x: str, name: str,
 
 
 def trends(history: DataFrame, entity: str, time: str, metrics: list[str], least: int = 4) -> DataFrame:
-    """Slope per row, total and relative change and the change from the first to the last two rows' means."""
-    u = history.unpivot([entity, time], metrics, "metric", "v").where("v IS NOT NULL")
+    """Per entity and metric the slope over the entity's rows, the total change along it, that over the first value (relative), and by how much the last two values' mean exceeds the first two's (shift, relative).
+
+    Entities and metrics of fewer than ``least`` rows or values are left out. The slope divides a sample covariance by a
+    population variance, as the reference's results do, and is rounded to 12 decimals, so that a level series has none.
+    """
+    w = Window.partitionBy(entity)
+    u = history.withColumns({"_i": F.row_number().over(w.orderBy(time)).cast("double"), "_rows": F.count(F.lit(1)).over(w)}).where(F.col("_rows") >= least)
+    u = u.unpivot([entity, "_i"], metrics, "metric", "v").where("v IS NOT NULL")
     part = Window.partitionBy(entity, "metric")
-    u = u.withColumn("i", F.row_number().over(part.orderBy(time)).cast("double")).withColumn("n", F.count(F.lit(1)).over(part))
-    g = u.where(F.col("n") >= least).groupBy(entity, "metric").agg(div(F.covar_pop("i", "v"), F.var_pop("i")).alias("slope"), F.min_by("v", "i").alias("first"), F.max_by("v", "i").alias("last"), F.avg(F.when(F.col("i") <= 2, F.col("v"))).alias("early"), F.avg(F.when(F.col("i") > F.col("n") - 2, F.col("v"))).alias("recent"))
-    return g.withColumns({"change": F.col("last") - F.col("first"), "relative": div(F.col("last") - F.col("first"), F.abs("first")), "shift": F.col("recent") - F.col("early")})
+    u = u.withColumns({"_k": F.row_number().over(part.orderBy("_i")), "n": F.count(F.lit(1)).over(part)}).where(F.col("n") >= least)
+    mean = lambda c: F.avg(F.when(c, F.col("v")))
+    g = u.groupBy(entity, "metric").agg(F.max("n").alias("n"), F.round(div(F.covar_samp("_i", "v"), F.var_pop("_i")), 12).alias("slope"), F.min_by("v", "_i").alias("first"), F.max_by("v", "_i").alias("last"), (F.max("_i") - F.min("_i")).alias("_span"), mean(F.col("_k") <= 2).alias("_early"), mean(F.col("_k") > F.col("n") - 2).alias("_recent"))
+    g = g.withColumn("change", F.col("slope") * F.col("_span"))
+    return g.withColumns({"relative": div(F.col("change"), F.col("first")), "shift": div(F.col("_recent") - F.col("_early"), F.col("_early"))}).drop("_span", "_early", "_recent")
+
+
+#: Relative shift of a turn, slope of a strong trend, and how many metrics make a signal.
+TURN, STRONG = 0.05, 0.01
+TURNS, STRONGS = 2, 3
+#: Shares of peers below from which an entity leads or lags.
+LEADER, LAGGARD = 0.75, 0.25
+
+
+def trend_flags(trends_: DataFrame) -> DataFrame:
+    """Recovering (falling, but lately higher by over 5 %), deteriorating (the reverse) and strong (a slope over 0.01 in size whose sign the shift shares)."""
+    s, shift = F.col("slope"), F.col("shift")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    return trends_.withColumns({"recovering": known((s < 0) & (shift > TURN)), "deteriorating": known((s > 0) & (shift < -TURN)), "strong": known((F.abs(s) > STRONG) & (F.signum(s) == F.signum(shift)))})
+
 
+def assembled_signals(entities: DataFrame, entity: str, flags: DataFrame, ranks: DataFrame, betas: DataFrame) -> DataFrame:
+    """One row per entity: counts of its metrics' flags and the signal they give, its best group with the ranks there, and its betas over all groups.
 
-def trend_flags(trend: DataFrame, strong: float = 0.2) -> DataFrame:
-    """Recovering, deteriorating or strong, by slope and by the shift of the means."""
-    return trend.withColumns({"recovering": (F.col("change") < 0) & (F.col("shift") > 0), "deteriorating": (F.col("change") > 0) & (F.col("shift") < 0), "strong": F.coalesce(F.abs("relative") > strong, F.lit(False))})
+    flags: (entity, recovering, deteriorating, strong) per metric; ranks: (entity, group, ret_rank, vol_rank, ratio_rank)
+    per group, the best one by ratio_rank, then by name; betas: (entity, beta, off_median, high, low) per group.
+    """
+    f = flags.groupBy(entity).agg(*[F.count_if(c).cast("int").alias(c) for c in ("recovering", "deteriorating", "strong")])
+    order = F.struct(F.col("ratio_rank").isNotNull(), F.col("ratio_rank"))
+    first = Window.partitionBy(entity).orderBy(order.desc(), "group")
+    best = ranks.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(entity, F.col("group").alias("best_group"), *[F.col(c).alias(f"best_{c}") for c in ("ret_rank", "vol_rank", "ratio_rank")])
+    b = betas.groupBy(entity).agg(F.avg("beta").alias("mean_beta"), F.avg("off_median").alias("mean_off_median"), F.bool_or("high").alias("high_any"), F.bool_or("low").alias("low_any"))
+    out = entities.join(f, entity, "left").join(best, entity, "left").join(b, entity, "left").fillna(0, ["recovering", "deteriorating", "strong"])
+    trend = F.when(F.col("recovering") >= TURNS, "RECOVERING").when(F.col("deteriorating") >= TURNS, "DETERIORATING").when(F.col("strong") >= STRONGS, "STRONG_TREND").otherwise("NEUTRAL")
+    peer = F.when(F.col("best_ratio_rank") >= LEADER, "PEER_LEADER").when(F.col("best_ratio_rank") <= LAGGARD, "PEER_LAGGARD").otherwise("PEER_AVERAGE")
+    beta = F.when(F.col("high_any"), "HIGH_BETA").when(F.col("low_any"), "LOW_BETA").otherwise("NEUTRAL_BETA")
+    return out.withColumns({"fundamental_signal": trend, "peer_signal": peer, "beta_signal": beta})
 
 
 def quintile(df: DataFrame, part: str, x: str, n: int = 5) -> DataFrame:
@@ -104,8 +139,27 @@ def family_composite(scores: DataFrame, entity: str, families: list[str], weight
 
 def average_rolling_beta(rolled: DataFrame, entity: str, group: str, beta: str, time: str, rows: int) -> DataFrame:
     """Mean of the last rolling betas of each entity with the group's median and the quartile flags."""
-    w = Window.partitionBy(entity).orderBy(F.desc(time))
+    w = Window.partitionBy(group, entity).orderBy(F.desc(time))
     last = rolled.where(F.col(beta).isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows)
     mean = last.groupBy(group, entity).agg(F.avg(beta).alias("mean_beta"))
     q = mean.groupBy(group).agg(F.median("mean_beta").alias("median_beta"), F.percentile("mean_beta", F.lit(0.25)).alias("_a"), F.percentile("mean_beta", F.lit(0.75)).alias("_z"))
     return mean.join(q, group).withColumns({"high": F.col("mean_beta") > F.col("_z"), "low": F.col("mean_beta") < F.col("_a")}).drop("_a", "_z")
+
+
+def surprise_bucket(percent: Column) -> Column:
+    """Miss, beat or big_beat (5 % and more) by the surprise in percent."""
+    return F.when(percent >= 5.0, "big_beat").when(percent >= 0, "beat").when(percent.isNotNull(), "miss")
+
+
+#: Shares of the two ranks in the catalyst score, and the percentiles that make momentum hot or cold.
+DRIFT_RANK, MOMENTUM_RANK = 0.7, 0.3
+HOT, COLD = 0.67, 0.33
+
+
+def catalyst(df: DataFrame, expected: str, momentum: str) -> DataFrame:
+    """Df with score and momentum_flag. The score blends the percentile ranks of the expected drift and of the momentum, 0.5 where one is missing; without an expected drift it is 0."""
+    x = with_pct_ranks(cut(df, "events"), {"_e": expected, "_m": momentum})
+    half = lambda c: F.coalesce(c, F.lit(0.5))
+    score = F.when(F.col(expected).isNotNull(), DRIFT_RANK * half("_e") + MOMENTUM_RANK * half("_m")).otherwise(0.0)
+    flag = F.when(F.col(momentum) >= HOT, "hot").when(F.col(momentum) <= COLD, "cold").when(F.col(momentum).isNotNull(), "neutral")
+    return x.withColumns({"score": score, "momentum_flag": flag}).drop("_e", "_m")

@@ -6,13 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Least posterior of a label, floor of a probability, and the upper ends of the entropy bins.
+SOFT, FLOOR = 0.7, 1e-12
+ENTROPY_BINS = {"low": 0.3, "mid": 0.6, "high": 1.0}
+
+
 def entropy(p: Column) -> Column:
-    """Shannon entropy of an array of probabilities; zeros add nothing."""
-    return -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log(x)).otherwise(0.0))
+    """Shannon entropy of an array of probabilities over that of equal ones, so from 0 to 1; probabilities are held above a floor and made to sum to 1."""
+    held = F.transform(p, lambda x: F.least(F.greatest(x, F.lit(FLOOR)), F.lit(1.0)))
+    total = F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
+    return -F.aggregate(held, F.lit(0.0), lambda a, x: a + x / total * F.log(x / total)) / F.log(F.size(p))
+
+
+def soft_label(p: Column, labels: list[str], soft: float = SOFT) -> Column:
+    """The label of the largest posterior, the first of equal ones; "uncertain" where that is below soft."""
+    best = F.array_position(p, F.array_max(p)).cast("int")
+    return F.when(F.array_max(p) < soft, "uncertain").otherwise(F.element_at(F.array(*map(F.lit, labels)), best))
 
 
-def soft_label(p: Column, label: Column, soft: float = 0.7, most: float = 0.8) -> Column:
-    return F.when((F.array_max(p) < soft) | (entropy(p) > most), "uncertain").otherwise(label)
+def entropy_bin(h: Column) -> Column:
+    """Low, mid or high, each up to its end; null for an entropy of 0 or less."""
+    out = F.when(h <= 0, F.lit(None).cast("string"))
+    for name, end in ENTROPY_BINS.items():
+        out = out.when(h <= end, name)
+    return out
 
 
 def transitions(states: DataFrame, time: str, state: str) -> DataFrame:
@@ -61,3 +78,14 @@ def majority(states: DataFrame, entity: str | None, time: str, state: str, rows:
     count = F.transform(F.array_sort(F.array_distinct(held)), lambda s: F.struct(F.size(F.filter(held, lambda x: x == s)).alias("n"), s.alias("s")))
     best = F.aggregate(count, F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("s")), lambda a, c: F.when(c["n"] > a["n"], c).otherwise(a))
     return states.withColumn("majority", best["s"])
+
+
+#: What a rebalancing date does and how far it may go, under stress and otherwise.
+PLANS = {True: ("reduced_rebalance", 0.5), False: ("full_rebalance", 1.0)}
+
+
+def rebalance_plan(dates: DataFrame, regime: str = "regime") -> DataFrame:
+    """Dates with their regime (unknown: normal), action and turnover band; every regime whose name speaks of stress halves the band."""
+    stress = F.lower(F.col(regime)).contains("stress")
+    known = dates.withColumn(regime, F.coalesce(regime, F.lit("normal")))
+    return known.withColumns({"action": F.when(stress, PLANS[True][0]).otherwise(PLANS[False][0]), "turnover_band": F.when(stress, PLANS[True][1]).otherwise(PLANS[False][1])})

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div, over, so_far
+from tessera.operators.quantiles import quantiles
 from tessera.operators.ranks import with_pct_ranks
+from tessera.scratch import cut
 
 
 def ann_stats(rets: DataFrame, by: list[str], r: str, rf: float = 0.04, periods: int = 252) -> DataFrame:
@@ -91,13 +93,13 @@ def weighted_ranks(df: DataFrame, weights: dict[str, float], name: str) -> DataF
     return ranked.withColumn(name, total).drop(*[f"_p_{c}" for c in used])
 
 
-def gaps(panel: DataFrame, entity: str, time: str, opened: str, close: str) -> DataFrame:
+def gaps(panel: DataFrame, entity: str, time: str, opened: str, close: str, count: str | None = None) -> DataFrame:
     """Deviation of overnight gaps and of returns, the gaps' variance share and how often they exceed 2 and 5 %."""
     w = over(entity, time)
     before = F.lag(close).over(w)
     g = panel.withColumn("_gap", div(F.col(opened), before) - 1).withColumn("_ret", div(F.col(close), before) - 1)
     share = div(F.var_samp("_gap"), F.var_samp("_ret"))
-    return g.groupBy(entity).agg(F.stddev_samp("_gap").alias("gap_std"), F.stddev_samp("_ret").alias("ret_std"), share.alias("variance_share"), F.avg((F.abs("_gap") > 0.02).cast("double")).alias("over_2"), F.avg((F.abs("_gap") > 0.05).cast("double")).alias("over_5"), F.min("_gap").alias("worst"))
+    return g.groupBy(entity).agg(F.stddev_samp("_gap").alias("gap_std"), F.stddev_samp("_ret").alias("ret_std"), share.alias("variance_share"), F.avg((F.abs("_gap") > 0.02).cast("double")).alias("over_2"), F.avg((F.abs("_gap") > 0.05).cast("double")).alias("over_5"), F.min("_gap").alias("worst"), *([F.count("_ret").alias(count)] if count else []))
 
 
 def concentration(weights: DataFrame, by: list[str], w: str, entity: str, means: list[str] | None = None) -> DataFrame:
@@ -138,3 +140,35 @@ def bootstrap(spark, rets: DataFrame, entity: str, time: str, r: str, paths: int
     level = level.withColumn("_dd", F.col("_l") / F.greatest(F.max("_l").over(path), F.lit(1.0)) - 1)
     worst = level.groupBy(entity, "path").agg(F.min("_l").alias("low"), F.min("_dd").alias("dd"))
     return worst.groupBy(entity).agg(F.avg((F.col("low") < ruin).cast("double")).alias("p_ruin"), F.avg((F.col("dd") < -drop).cast("double")).alias("p_drop"), F.count(F.lit(1)).alias("paths"))
+
+
+#: Direction shares up to which a forecast is weak or mixed.
+WEAK, MIXED = 0.45, 0.55
+
+
+def reliability_tier(direction: Column) -> Column:
+    """Weak, mixed or strong by the share of right directions; null without one."""
+    return F.when(direction <= WEAK, "weak").when(direction <= MIXED, "mixed").when(direction.isNotNull(), "strong")
+
+
+def turnover_cap(weights: DataFrame, by: list[str], target: str, current: str, band: float, name: str) -> DataFrame:
+    """Targets held within ``band`` times the current weight on either side, not below 0, and made to sum to 1 again per group; a band of 1 or more changes nothing."""
+    if band >= 1:
+        return weights.withColumn(name, F.col(target))
+    now = F.col(current)
+    held = F.least(F.greatest(F.col(target), F.greatest(now - band * now, F.lit(0.0))), now + band * now)
+    total = F.sum(held).over(Window.partitionBy(*by))
+    return weights.withColumn(name, F.when(total > 0, held / total).otherwise(F.col(target)))
+
+
+#: Quantiles of volatility and of the gap share, and the share of gaps that makes a name convex by itself.
+SAFE_VOL, CONVEX_VOL, SAFE_GAP, CONVEX_GAP = 0.25, 0.80, 0.90, 1.2
+
+
+def barbell(names: DataFrame) -> DataFrame:
+    """(columns of names, bucket): safe, middle or convex by the places of ``vol`` and ``gap_share`` among all names."""
+    x = cut(names, "names")
+    q = quantiles(x, [], "vol", {"_vq": SAFE_VOL, "_vh": CONVEX_VOL}).join(F.broadcast(quantiles(x, [], "gap_share", {"_gh": SAFE_GAP})))  # both are one row
+    safe = (F.col("vol") <= F.col("_vq")) & (F.col("gap_share") <= F.col("_gh"))
+    convex = (F.col("vol") >= F.col("_vh")) | (F.col("gap_share") > CONVEX_GAP)
+    return x.join(F.broadcast(q)).withColumn("bucket", F.when(safe, "safe").when(convex, "convex").otherwise("middle")).drop("_vq", "_vh", "_gh")

@@ -79,14 +79,14 @@ def anomalies(panel: DataFrame, entity: str, time: str, price: str, qty: str, ro
     return out.join(days, time, "left")
 
 
-def term_structure(rets: DataFrame, entity: str | list[str], time: str, r: str, rows: list[int]) -> DataFrame:
-    """Volatilities of several horizons, the slope of each to the next (slope_<rows>), from the first to the last, and a contango flag."""
+def term_structure(rets: DataFrame, entity: str | list[str], time: str, r: str, rows: list[int], short: int, mid: int, long: int) -> DataFrame:
+    """Yearly volatilities in percent over several horizons (vol_<rows>); slopes from mid to long and from short to mid, whether the former rises (contango) or falls, and the convexity of the three. Null until all windows are full."""
     out = rets
     for k in rows:
-        out = rolling_vol(out, entity, time, r, k, f"vol_{k}")
-    steps = {f"slope_{b}": div(F.col(f"vol_{b}"), F.col(f"vol_{a}")) - 1 for a, b in zip(rows, rows[1:], strict=False)}
-    slope = div(F.col(f"vol_{rows[-1]}"), F.col(f"vol_{rows[0]}")) - 1
-    return out.withColumns(steps | {"slope": slope, "contango": slope > 0})
+        out = rolling_vol(out, entity, time, r, k, f"vol_{k}").withColumn(f"vol_{k}", 100 * F.col(f"vol_{k}"))
+    near, middle, far = (F.col(f"vol_{k}") for k in (short, mid, long))
+    slope = far - middle
+    return out.withColumns({"slope_long": slope, "slope_short": middle - near, "contango": slope > 0, "backwardation": slope < 0, "convexity": (near + far) / 2 - middle})
 
 
 def skip_return(panel: DataFrame, entity: str, time: str, price: str, far: int, near: int) -> DataFrame:
@@ -95,12 +95,13 @@ def skip_return(panel: DataFrame, entity: str, time: str, price: str, far: int,
     return panel.withColumn("skip", div(F.lag(price, near).over(w), F.lag(price, far).over(w)) - 1)
 
 
-def recent_percentile(panel: DataFrame, entity: str, time: str, x: str, rows: int) -> DataFrame:
-    """Per entity the share of the last rows whose x lies below the last x."""
-    w = Window.partitionBy(entity).orderBy(F.col(time).desc())
-    last = panel.where(F.col(x).isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows)
-    last = last.withColumn("_now", F.first(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return last.groupBy(entity).agg(F.avg((F.col(x) < F.col("_now")).cast("double")).alias("pctile"), F.max("_now").alias("now"), F.count(F.lit(1)).alias("n"))
+def recent_percentile(panel: DataFrame, entity: str, time: str, price: str, back: int = 21, rows: int = 252, least: int = 260) -> DataFrame:
+    """Per entity the last return over ``back`` rows (now) and its place among the last ``rows`` such returns: the share that lies below it. Entities of fewer than ``least`` rows are left out."""
+    w = over(entity, time)
+    x = panel.where(F.col(price).isNotNull()).withColumns({"_r": div(F.col(price), F.lag(price, back).over(w)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(entity))}).where((F.col("_n") >= least) & F.col("_r").isNotNull())
+    newest = Window.partitionBy(entity).orderBy(F.col(time).desc())
+    last = x.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= rows).withColumn("_now", F.first("_r").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    return last.groupBy(entity).agg(F.avg((F.col("_r") < F.col("_now")).cast("double")).alias("pctile"), F.max("_now").alias("now"), F.count(F.lit(1)).alias("n"))
 
 
 def spells(panel: DataFrame, entity: str | list[str], time: str, flag: str) -> DataFrame:

@@ -76,6 +76,11 @@ def regime(spark: SparkSession, d: str) -> DataFrame:
     return market(spark, d).withColumn("regime", F.expr("CASE WHEN abs(m) > 0.17 THEN 'high' WHEN abs(m) < 0.13 THEN 'low' ELSE 'normal' END"))
 
 
+def named_regime(spark: SparkSession, d: str) -> DataFrame:
+    """The regimes under the names that policies and plans know."""
+    return regime(spark, d).withColumn("regime", F.expr("CASE regime WHEN 'high' THEN 'high_vol_stress' WHEN 'low' THEN 'low_vol' ELSE regime END"))
+
+
 def fund(spark: SparkSession, d: str) -> DataFrame:
     o = registry.table(spark, d, "orders")
     p = F.col("o_totalprice")
@@ -95,4 +100,4 @@ def r6(*names: str) -> list:
     return [F.round(F.col(n), 6).alias(n) for n in names]
 
 
-__all__ = ["bars", "fund", "latest", "market", "over", "query", "r6", "rets", "sect", "sql"]
+__all__ = ["bars", "fund", "latest", "market", "named_regime", "over", "query", "r6", "rets", "sect", "sql"]

@@ -121,9 +121,10 @@ def a84_lexicon_score(spark, d):
     return x.select("doc_id", "words", "positive", "negative", *r6("score"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS entity, CASE WHEN l_returnflag = 'A' THEN 'put' ELSE 'call' END AS side, l_extendedprice / l_quantity / 15 AS strike, l_discount + l_tax AS iv, l_quantity AS volume, 100.0::DOUBLE AS spot FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
- SELECT entity, round(median(iv) FILTER (abs(strike / spot - 1) <= 0.05), 6) AS atm, round(sum(volume) FILTER (side = 'put') / nullif(sum(volume) FILTER (side = 'call'), 0), 6) AS put_call,
- round(arg_min(iv, (abs(strike - 0.9::DOUBLE * spot), strike, iv)) FILTER (side = 'put') - arg_min(iv, (abs(strike - 1.1::DOUBLE * spot), strike, iv)) FILTER (side = 'call'), 6) + 0.0 AS skew FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT o_custkey AS entity, CASE WHEN l_returnflag = 'A' THEN 'put' ELSE 'call' END AS side, l_extendedprice / l_quantity / 15 AS strike, l_discount + l_tax AS iv, l_quantity AS volume, 100.0::DOUBLE AS spot FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT * FROM c WHERE iv > 0.05::DOUBLE),
+ g AS (SELECT entity, count(*) FILTER (side = 'call') AS calls, median(iv) FILTER (side = 'call' AND abs(strike - spot) / spot <= 0.05::DOUBLE) AS atm, coalesce(sum(volume) FILTER (side = 'put'), 0) AS p, coalesce(sum(volume) FILTER (side = 'call'), 0) AS v,
+ arg_min(iv, (abs(strike - 0.9::DOUBLE * spot), strike, iv)) FILTER (side = 'call') - arg_min(iv, (abs(strike - 1.1::DOUBLE * spot), strike, iv)) FILTER (side = 'call') AS skew FROM k GROUP BY 1)
+ SELECT entity, CASE WHEN atm > 0.05 AND atm < 3 THEN round(atm, 6) END AS atm, CASE WHEN v > 0 THEN round(p / v, 6) END AS put_call, round(skew, 6) + 0.0 AS skew FROM g WHERE calls > 0""")
 def a83_option_measures(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity")), "l_orderkey")
     c = li.select("entity", F.when(F.col("l_returnflag") == "A", "put").otherwise("call").alias("side"), (F.col("l_extendedprice") / F.col("l_quantity") / 15).alias("strike"), (F.col("l_discount") + F.col("l_tax")).alias("iv"), F.col("l_quantity").alias("volume"), F.lit(100.0).alias("spot"))

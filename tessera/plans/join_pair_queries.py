@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import safe_corr
-from tessera.operators import asof, blocks, pairs, quantiles, returns, windows
-from tessera.plans.common import bars, fund, latest, query, r6, regime, rets, sect
+from tessera.operators import asof, blocks, pairs, quantiles, regimes, returns, windows
+from tessera.plans.common import bars, fund, latest, named_regime, query, r6, regime, rets, sect
 from tessera.registry import table
 from tessera.scratch import cut
 
@@ -27,10 +27,11 @@ def j07_regime_tags(spark, d):
     return q.join(days, "t").select("o_orderkey", "regime")
 
 
-@query(""", q AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) + 14 AS t FROM orders) SELECT q.t, g.regime, CASE g.regime WHEN 'high' THEN 'defensive' WHEN 'low' THEN 'full' ELSE 'neutral' END AS band, CASE g.regime WHEN 'high' THEN 'reduce' WHEN 'low' THEN 'rebalance' ELSE 'hold' END AS action FROM q ASOF LEFT JOIN regime g ON q.t >= g.date""", "regime")
+@query(""", q AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) + 14 AS t FROM orders), l AS (SELECT q.t, coalesce(CASE g.regime WHEN 'high' THEN 'high_vol_stress' WHEN 'low' THEN 'low_vol' ELSE g.regime END, 'normal') AS regime FROM q ASOF LEFT JOIN regime g ON q.t >= g.date)
+ SELECT t, regime, CASE WHEN regime = 'high_vol_stress' THEN 'reduced_rebalance' ELSE 'full_rebalance' END AS action, CASE WHEN regime = 'high_vol_stress' THEN 0.5 ELSE 1.0 END::DOUBLE AS turnover_band FROM l""", "regime")
 def j08_calendar_state(spark, d):
     q = table(spark, d, "orders").select(F.date_add(F.date_trunc("month", "o_orderdate").cast("date"), 14).alias("t")).distinct()
-    return asof.asof(q, regime(spark, d), "t", "date", ["regime"], []).withColumn("band", F.expr("CASE regime WHEN 'high' THEN 'defensive' WHEN 'low' THEN 'full' ELSE 'neutral' END")).withColumn("action", F.expr("CASE regime WHEN 'high' THEN 'reduce' WHEN 'low' THEN 'rebalance' ELSE 'hold' END"))
+    return regimes.rebalance_plan(asof.asof(q, named_regime(spark, d), "t", "date", ["regime"], [])).select("t", "regime", "action", "turnover_band")
 
 
 _MEMB = """, days AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS date FROM orders), a AS (SELECT o_custkey AS entity, min(CAST(o_orderdate AS DATE)) AS ad FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
@@ -278,16 +279,11 @@ def a48_risk_contribution(spark, d):
     return c.withColumn("share", F.col("contribution") / F.sum("contribution").over(Window.partitionBy())).select("a", F.round("contribution", 8).alias("contribution"), *r6("share"))
 
 
-@query(_SHRINK + ", d AS (SELECT a, sqrt(s) AS v FROM s WHERE a = b), m AS (SELECT s.a, s.b, s, x.v AS va, y.v AS vb, s / (x.v * y.v) AS c FROM s JOIN d x ON s.a = x.a JOIN d y ON s.b = y.a), k AS (SELECT avg(c) FILTER (a <> b) AS mc FROM m) SELECT a, b, round(CASE WHEN a = b THEN s ELSE va * vb * (0.5 * c + 0.5 * greatest(mc, 0.8)) END, 8) AS blended, round(CASE WHEN a = b THEN s ELSE va * vb * (0.9 * c + 0.1 * greatest(mc, 0.8)) END, 8) AS blended_calm FROM m, k", "rets", "sect")
+@query(_SHRINK + ", d AS (SELECT a, sqrt(greatest(s, 1e-18)) AS v FROM s WHERE a = b), m AS (SELECT s.a, s.b, s, x.v AS va, y.v AS vb, s / (x.v * y.v) AS c FROM s JOIN d x ON s.a = x.a JOIN d y ON s.b = y.a), k AS (SELECT avg(c) FILTER (a <> b) AS mc FROM m), zz AS (SELECT *, CASE WHEN a = b THEN va * vb ELSE va * vb * least(greatest(c + (0.40::DOUBLE - mc), -1), 1) END AS z FROM m, k) SELECT a, b, round(0.5::DOUBLE * z + 0.5::DOUBLE * s, 8) AS blended, round(0.1::DOUBLE * z + 0.9::DOUBLE * s, 8) AS blended_calm FROM zz", "rets", "sect")
 def a51_regime_covariance(spark, d):
     g = returns.group_returns(rets(spark, d), sect(spark, d), "entity", "region", "date", "r")
     s = pairs.shrinkage(g, "region", "date", "r").select("a", "b", "s")
-    v = s.where("a = b").select(F.col("a").alias("k"), F.sqrt("s").alias("v"))
-    m = s.join(v.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b").withColumn("c", F.col("s") / (F.col("va") * F.col("vb")))
-    mean = m.where("a <> b").agg(F.avg("c").alias("mc"))
-    up = lambda k: F.col("va") * F.col("vb") * ((1 - k) * F.col("c") + k * F.greatest(F.col("mc"), F.lit(0.8)))
-    mixed = {"blended": 0.5, "blended_calm": 0.1}  # under stress and outside it
-    return m.join(F.broadcast(mean)).select("a", "b", *[F.round(F.when(F.col("a") == F.col("b"), F.col("s")).otherwise(up(k)), 8).alias(n) for n, k in mixed.items()])
+    return pairs.crisis_blend(s, {"blended": True, "blended_calm": False}).select("a", "b", F.round("blended", 8).alias("blended"), F.round("blended_calm", 8).alias("blended_calm"))
 
 
 @query(_PAIRS + """, q AS (SELECT a, b, quantile_cont(x, 0.1) AS xl, quantile_cont(x, 0.9) AS xu, quantile_cont(y, 0.1) AS yl, quantile_cont(y, 0.9) AS yu FROM p GROUP BY 1, 2 HAVING count(*) >= 20)

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div
-from tessera.operators import grouped, index, quantiles, returns, windows
-from tessera.plans.common import bars, query, r6, rets, sect
+from tessera.operators import asof, grouped, index, quantiles, regimes, returns, windows
+from tessera.plans.common import bars, named_regime, query, r6, rets, sect
 from tessera.registry import table
 
 #: Levels as products of the ratios between neighbouring dates of the panel, numbered; the first date has 100.
@@ -99,10 +99,10 @@ def w12_horizon_and_skip_returns(spark, d):
     return out.select("entity", "date", *r6("h6", "skip"))
 
 
-@query(""", x AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM rets WHERE r IS NOT NULL), y AS (SELECT *, max(CASE WHEN rn = 1 THEN r END) OVER (PARTITION BY entity) AS now FROM x WHERE rn <= 24)
- SELECT entity, round(avg(CASE WHEN r < now THEN 1.0 ELSE 0 END), 6) AS pctile, round(max(now), 6) AS now, count(*) AS n FROM y GROUP BY 1""", "rets")
+@query(""", x AS (SELECT entity, date, price / lag(price, 6) OVER (PARTITION BY entity ORDER BY date) - 1 AS r, count(*) OVER (PARTITION BY entity) AS n FROM bars), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM x WHERE r IS NOT NULL AND n >= 30), y AS (SELECT *, max(CASE WHEN rn = 1 THEN r END) OVER (PARTITION BY entity) AS now FROM k WHERE rn <= 24)
+ SELECT entity, round(avg(CASE WHEN r < now THEN 1.0 ELSE 0 END), 6) AS pctile, round(max(now), 6) AS now, count(*) AS n FROM y GROUP BY 1""", "bars")
 def w13_recent_percentile(spark, d):
-    return windows.recent_percentile(rets(spark, d), "entity", "date", "r", 24).select("entity", *r6("pctile", "now"), "n")
+    return windows.recent_percentile(bars(spark, d), "entity", "date", "price", 6, 24, 30).select("entity", *r6("pctile", "now"), "n")
 
 
 @query("""SELECT entity, date, CASE WHEN count(r) OVER l >= 12 THEN round(stddev_samp(r) OVER s / stddev_samp(r) OVER l, 6) END AS vol_ratio FROM rets
@@ -175,13 +175,12 @@ def w22_anomaly_score(spark, d):
     return out.select("entity", "date", *[F.round(c, 5).alias(c) for c in ("ret_z", "resid_z", "vol_z", "score")], "is_anomaly", *r6("market_shock"))
 
 
-@query(", v AS (SELECT date, " + ", ".join(f"CASE WHEN count(*) OVER w{k} >= {k} THEN stddev_samp(m) OVER w{k} * sqrt(252) END AS vol_{k}" for k in (3, 6, 9, 12, 18)) + " FROM market WINDOW " + ", ".join(f"w{k} AS (ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (3, 6, 9, 12, 18)) + """)
- SELECT date, round(vol_3, 6) AS vol_3, round(vol_6, 6) AS vol_6, round(vol_9, 6) AS vol_9, round(vol_12, 6) AS vol_12, round(vol_18, 6) AS vol_18, round(vol_6 / vol_3 - 1, 6) AS slope_6, round(vol_9 / vol_6 - 1, 6) AS slope_9, round(vol_12 / vol_9 - 1, 6) AS slope_12, round(vol_18 / vol_12 - 1, 6) AS slope_18,
- round(vol_18 / vol_3 - 1, 6) AS slope, vol_18 > vol_3 AS contango FROM v""", "market")
+@query(", v AS (SELECT date, " + ", ".join(f"CASE WHEN count(*) OVER w{k} >= {k} THEN 100 * stddev_samp(m) OVER w{k} * sqrt(252) END AS vol_{k}" for k in (3, 6, 9, 12, 18)) + " FROM market WINDOW " + ", ".join(f"w{k} AS (ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (3, 6, 9, 12, 18)) + """)
+ SELECT date, round(vol_3, 6) AS vol_3, round(vol_6, 6) AS vol_6, round(vol_9, 6) AS vol_9, round(vol_12, 6) AS vol_12, round(vol_18, 6) AS vol_18, round(vol_18 - vol_9, 6) AS slope_long, round(vol_9 - vol_6, 6) AS slope_short, vol_18 - vol_9 > 0 AS contango, vol_18 - vol_9 < 0 AS backwardation, round((vol_6 + vol_18) / 2 - vol_9, 6) AS convexity FROM v""", "market")
 def w28_term_structure(spark, d):
     m = rets(spark, d).where("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("m")).withColumn("universe", F.lit("all"))
     rows = [3, 6, 9, 12, 18]
-    return windows.term_structure(m, "universe", "date", "m", rows).select("date", *r6(*[f"vol_{k}" for k in rows], *[f"slope_{k}" for k in rows[1:]], "slope"), "contango")
+    return windows.term_structure(m, "universe", "date", "m", rows, 6, 9, 18).select("date", *r6(*[f"vol_{k}" for k in rows], "slope_long", "slope_short"), "contango", "backwardation", *r6("convexity"))
 
 
 @query("SELECT entity, as_of, round(roe, 6) AS roe, round(amount, 2) AS amount FROM latest", "latest")
@@ -219,6 +218,14 @@ def a07_period_bars(spark, d):
     return bars(spark, d).select("entity", "date", *r6("price"), "qty", *r6("high", "low"))
 
 
+@query(""", e AS (SELECT max(date) AS month_end FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) GROUP BY date_trunc('month', date)), l AS (SELECT month_end, coalesce(CASE g.regime WHEN 'high' THEN 'high_vol_stress' WHEN 'low' THEN 'low_vol' ELSE g.regime END, 'normal') AS regime FROM e ASOF LEFT JOIN regime g ON e.month_end >= g.date)
+ SELECT month_end, regime, CASE WHEN regime = 'high_vol_stress' THEN 'reduced_rebalance' ELSE 'full_rebalance' END AS action, CASE WHEN regime = 'high_vol_stress' THEN 0.5 ELSE 1.0 END::DOUBLE AS turnover_band FROM l""", "regime")
+def a38_rebalance_plan(spark, d):
+    """What each month's last trading date does, by the regime known on it."""
+    e = returns.month_ends(table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).distinct(), "date").select("month_end")
+    return regimes.rebalance_plan(asof.asof(e, named_regime(spark, d), "month_end", "date", ["regime"], [])).select("month_end", "regime", "action", "turnover_band")
+
+
 @query("SELECT CAST(date_trunc('month', date) AS DATE) AS month, max(date) AS month_end FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) GROUP BY 1")
 def a38_month_ends(spark, d):
     return returns.month_ends(table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).distinct(), "date")

@@ -307,27 +307,30 @@ def a27_peer_ranks(spark, d):
     return v.select("rows", "sector", "entity", *r6("ret_rank", "vol_rank", "ratio_rank"))
 
 
-@query(""", x AS (SELECT rets.entity, sector, date, r, avg(r) OVER (PARTITION BY sector, date) AS g FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL), b AS (SELECT *, CASE WHEN count(*) OVER w >= 12 THEN covar_samp(r, g) OVER w / var_samp(g) OVER w END AS beta FROM x WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+@query(""", x AS (SELECT rets.entity, sector, date, r, avg(r) OVER (PARTITION BY sector, date) AS g FROM rets JOIN sect USING (entity) WHERE r IS NOT NULL), b AS (SELECT *, CASE WHEN count(*) OVER w >= 12 THEN coalesce(covar_samp(r, g) OVER w / nullif(var_pop(g) OVER w, 0), 1) END AS beta FROM x WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
  l AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM b WHERE beta IS NOT NULL), m AS (SELECT sector, entity, avg(beta) AS mean_beta FROM l WHERE rn <= 20 GROUP BY 1, 2), q AS (SELECT sector, median(mean_beta) AS md, quantile_cont(mean_beta, 0.25) AS a, quantile_cont(mean_beta, 0.75) AS z FROM m GROUP BY 1)
  SELECT sector, entity, round(mean_beta, 6) AS mean_beta, round(md, 6) AS median_beta, mean_beta > z AS high, mean_beta < a AS low FROM m JOIN q USING (sector)""", "rets", "sect")
 def a28_group_betas(spark, d):
     x = rets(spark, d).where("r IS NOT NULL").join(sect(spark, d), "entity").withColumn("g", F.avg("r").over(Window.partitionBy("sector", "date")))
     rolled = windows.rolling_pair(x, "entity", "date", "r", "g", 12)
+    # The covariance is the sample's, the variance the population's; a group without variance counts as 1.
+    rolled = rolled.withColumn("beta", F.when(F.col("cov").isNotNull(), F.coalesce(F.col("beta") * 12 / 11, F.lit(1.0))))
     return peers.average_rolling_beta(rolled, "entity", "sector", "beta", "date", 20).select("sector", "entity", *r6("mean_beta", "median_beta"), "high", "low")
 
 
-_TREND = """, u AS (SELECT entity, as_of, metric, v FROM fund UNPIVOT (v FOR metric IN (roe, pb))), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity, metric ORDER BY as_of) AS DOUBLE) AS i, count(*) OVER (PARTITION BY entity, metric) AS n FROM u WHERE v IS NOT NULL),
- t AS (SELECT entity, metric, regr_slope(v, i) AS slope, min_by(v, i) AS f, max_by(v, i) AS l, avg(v) FILTER (i > n - 2) - avg(v) FILTER (i <= 2) AS shift FROM n WHERE n >= 4 GROUP BY 1, 2),
- fl AS (SELECT *, l - f < 0 AND shift > 0 AS recovering, l - f > 0 AND shift < 0 AS deteriorating, coalesce(abs((l - f) / nullif(abs(f), 0)) > 0.2, false) AS strong FROM t)"""
+_METRICS = ["roe", "roic", "de", "ev", "pb", "mca", "stab", "ic"]
+_TREND = """, h AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY as_of) AS DOUBLE) AS i, count(*) OVER (PARTITION BY entity) AS m FROM fund), u AS (SELECT entity, i, metric, v FROM (SELECT * FROM h WHERE m >= 4) UNPIVOT (v FOR metric IN (roe, roic, de, ev, pb, mca, stab, ic))), n AS (SELECT *, row_number() OVER (PARTITION BY entity, metric ORDER BY i) AS k, count(*) OVER (PARTITION BY entity, metric) AS n FROM u WHERE v IS NOT NULL),
+ t0 AS (SELECT entity, metric, round(covar_samp(i, v) / var_pop(i), 12) AS slope, max(i) - min(i) AS span, min_by(v, i) AS f, avg(v) FILTER (k > n - 2) AS recent, avg(v) FILTER (k <= 2) AS early FROM n WHERE n >= 4 GROUP BY 1, 2), t AS (SELECT *, slope * span AS change, slope * span / nullif(f, 0) AS relative, (recent - early) / nullif(early, 0) AS shift FROM t0),
+ fl AS (SELECT *, coalesce(slope < 0 AND shift > 0.05::DOUBLE, false) AS recovering, coalesce(slope > 0 AND shift < -0.05::DOUBLE, false) AS deteriorating, coalesce(abs(slope) > 0.01::DOUBLE AND sign(slope) = sign(shift), false) AS strong FROM t)"""
 
 
 def _trends(spark, d):
-    return peers.trend_flags(peers.trends(fund(spark, d), "entity", "as_of", ["roe", "pb"]))
+    return peers.trend_flags(peers.trends(fund(spark, d), "entity", "as_of", _METRICS))
 
 
-@query(_TREND + " SELECT entity, metric, round(slope, 6) AS slope, round(l - f, 6) AS change, round(shift, 6) AS shift FROM t", "fund")
+@query(_TREND + " SELECT entity, metric, round(slope, 6) AS slope, round(change, 6) AS change, round(relative, 6) AS relative, round(shift, 6) AS shift FROM t", "fund")
 def a29_fundamental_trends(spark, d):
-    return _trends(spark, d).select("entity", "metric", *r6("slope", "change", "shift"))
+    return _trends(spark, d).select("entity", "metric", *r6("slope", "change", "relative", "shift"))
 
 
 @query(_TREND + " SELECT entity, metric, recovering, deteriorating, strong FROM fl", "fund")
@@ -335,22 +338,48 @@ def a30_trend_flags(spark, d):
     return _trends(spark, d).select("entity", "metric", "recovering", "deteriorating", "strong")
 
 
-@query(_TREND + """ SELECT entity, CAST(sum(CAST(recovering AS INTEGER)) AS BIGINT) AS recovering, CAST(sum(CAST(deteriorating AS INTEGER)) AS BIGINT) AS deteriorating, bool_or(strong) AS any_strong, round(avg(CAST(strong AS DOUBLE)), 6) AS mean_strong, max_by(metric, coalesce((l - f) / nullif(abs(f), 0), -1e9::DOUBLE) + CASE metric WHEN 'roe' THEN 1e-12::DOUBLE ELSE 0 END) AS best,
- CASE WHEN sum(CAST(recovering AS INTEGER)) > sum(CAST(deteriorating AS INTEGER)) THEN 'up' WHEN sum(CAST(recovering AS INTEGER)) < sum(CAST(deteriorating AS INTEGER)) THEN 'down' ELSE 'flat' END AS label FROM fl GROUP BY 1""", "fund")
+#: Each supplier's groups: its nation and its region.
+_GROUPS = """, gm AS (SELECT entity, 'nation ' || sector AS grp FROM sect UNION ALL SELECT entity, 'region ' || region FROM sect),
+ k AS (SELECT grp, entity, r, row_number() OVER (PARTITION BY grp, entity ORDER BY date DESC) AS rn FROM rets JOIN gm USING (entity) WHERE r IS NOT NULL), pv AS (SELECT grp, entity, avg(r) AS m, stddev_samp(r) AS s FROM k WHERE rn <= 36 GROUP BY 1, 2 HAVING stddev_samp(r) > 0),
+ pr AS (SELECT grp, entity, """ + ", ".join(f"(rank() OVER (PARTITION BY grp ORDER BY {c}{o}) - 1) / nullif(count(*) OVER (PARTITION BY grp) - 1, 0)::DOUBLE AS {n}" for c, o, n in (("m", "", "ret_rank"), ("s", " DESC", "vol_rank"), ("round(m / s, 12)", "", "ratio_rank"))) + """ FROM pv),
+ pb AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ratio_rank DESC NULLS LAST, grp) = 1),
+ gx AS (SELECT grp, entity, date, r, avg(r) OVER (PARTITION BY grp, date) AS g FROM rets JOIN gm USING (entity) WHERE r IS NOT NULL), gb AS (SELECT *, CASE WHEN count(*) OVER w >= 12 THEN coalesce(covar_samp(r, g) OVER w / nullif(var_pop(g) OVER w, 0), 1) END AS beta FROM gx WINDOW w AS (PARTITION BY grp, entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+ gl AS (SELECT *, row_number() OVER (PARTITION BY grp, entity ORDER BY date DESC) AS rn FROM gb WHERE beta IS NOT NULL), gmn AS (SELECT grp, entity, avg(beta) AS beta FROM gl WHERE rn <= 20 GROUP BY 1, 2), gq AS (SELECT grp, median(beta) AS md, quantile_cont(beta, 0.25) AS a, quantile_cont(beta, 0.75) AS z FROM gmn GROUP BY 1),
+ bt AS (SELECT entity, avg(beta) AS mean_beta, avg(beta - md) AS mean_off_median, bool_or(beta > z) AS high_any, bool_or(beta < a) AS low_any FROM gmn JOIN gq USING (grp) GROUP BY 1)"""
+
+
+def _peer_ranks(x, rows):
+    """Ranks of each entity among the others of each of its groups over its last rows."""
+    v = x.withColumn("rn", F.row_number().over(Window.partitionBy("group", "entity").orderBy(F.desc("date")))).where(F.col("rn") <= rows).groupBy("group", "entity").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s")).where("s > 0").withColumn("ms", F.round(F.col("m") / F.col("s"), 12))
+    for c, name, low in (("m", "ret_rank", False), ("s", "vol_rank", True), ("ms", "ratio_rank", False)):
+        v = peers.leave_one_out_rank(v, "group", c, name, low)
+    return v.select("entity", "group", "ret_rank", "vol_rank", "ratio_rank")
+
+
+@query(_TREND + _GROUPS + """, f AS (SELECT entity, CAST(count(*) FILTER (recovering) AS INTEGER) AS recovering, CAST(count(*) FILTER (deteriorating) AS INTEGER) AS deteriorating, CAST(count(*) FILTER (strong) AS INTEGER) AS strong FROM fl GROUP BY 1)
+ SELECT sect.entity, coalesce(recovering, 0) AS recovering, coalesce(deteriorating, 0) AS deteriorating, coalesce(strong, 0) AS strong, pb.grp AS best_group, round(ratio_rank, 6) AS best_ratio_rank, round(mean_beta, 6) AS mean_beta, round(mean_off_median, 6) AS mean_off_median,
+ CASE WHEN recovering >= 2 THEN 'RECOVERING' WHEN deteriorating >= 2 THEN 'DETERIORATING' WHEN strong >= 3 THEN 'STRONG_TREND' ELSE 'NEUTRAL' END AS fundamental_signal, CASE WHEN ratio_rank >= 0.75 THEN 'PEER_LEADER' WHEN ratio_rank <= 0.25 THEN 'PEER_LAGGARD' ELSE 'PEER_AVERAGE' END AS peer_signal, CASE WHEN high_any THEN 'HIGH_BETA' WHEN low_any THEN 'LOW_BETA' ELSE 'NEUTRAL_BETA' END AS beta_signal
+ FROM sect LEFT JOIN f USING (entity) LEFT JOIN pb ON pb.entity = sect.entity LEFT JOIN bt ON bt.entity = sect.entity""", "fund", "rets", "sect")
 def a31_signal_assembly(spark, d):
-    score = F.coalesce("relative", F.lit(-1e9)) + F.when(F.col("metric") == "roe", 1e-12).otherwise(0.0)  # ties go to the first metric
-    g = _trends(spark, d).groupBy("entity").agg(F.count_if("recovering").alias("recovering"), F.count_if("deteriorating").alias("deteriorating"), F.bool_or("strong").alias("any_strong"), F.round(F.avg(F.col("strong").cast("double")), 6).alias("mean_strong"), F.max_by("metric", score).alias("best"))
-    return g.withColumn("label", F.when(F.col("recovering") > F.col("deteriorating"), "up").when(F.col("recovering") < F.col("deteriorating"), "down").otherwise("flat"))
+    """Trends of the customer of the supplier's number, peers and betas in the supplier's nation and region."""
+    s = sect(spark, d)
+    groups = s.select("entity", F.concat(F.lit("nation "), F.col("sector").cast("string")).alias("group")).unionByName(s.select("entity", F.concat(F.lit("region "), F.col("region").cast("string")).alias("group")))
+    x = rets(spark, d).where("r IS NOT NULL").join(groups, "entity")
+    rolled = windows.rolling_pair(x.withColumn("g", F.avg("r").over(Window.partitionBy("group", "date"))), ["group", "entity"], "date", "r", "g", 12)
+    beta = F.when(F.col("cov").isNotNull(), F.coalesce(F.col("beta") * 12 / 11, F.lit(1.0)))
+    betas = peers.average_rolling_beta(rolled.withColumn("beta", beta), "entity", "group", "beta", "date", 20).select("entity", F.col("mean_beta").alias("beta"), (F.col("mean_beta") - F.col("median_beta")).alias("off_median"), "high", "low")
+    out = peers.assembled_signals(s.select("entity"), "entity", _trends(spark, d), _peer_ranks(x, 36), betas)
+    return out.select("entity", "recovering", "deteriorating", "strong", "best_group", *r6("best_ratio_rank", "mean_beta", "mean_off_median"), "fundamental_signal", "peer_signal", "beta_signal")
 
 
 _DRIFT = """, ev AS (SELECT entity, as_of, amount / lag(amount) OVER (PARTITION BY entity ORDER BY as_of) - 1 AS surprise, lead(amount, 1) OVER (PARTITION BY entity ORDER BY as_of) / amount - 1 AS d1, lead(amount, 3) OVER (PARTITION BY entity ORDER BY as_of) / amount - 1 AS d3 FROM fund),
- bk AS (SELECT *, CASE WHEN surprise <= -0.5 THEN 'miss' WHEN surprise <= 0.5 THEN 'inline' ELSE 'beat' END AS bucket FROM ev WHERE surprise IS NOT NULL)"""
+ bk AS (SELECT *, CASE WHEN 100 * surprise >= 5 THEN 'big_beat' WHEN surprise >= 0 THEN 'beat' ELSE 'miss' END AS bucket FROM ev WHERE surprise IS NOT NULL)"""
 
 
 def _events(spark, d):
     w = Window.partitionBy("entity").orderBy("as_of")
     x = fund(spark, d).select("entity", "as_of", (div(F.col("amount"), F.lag("amount").over(w)) - 1).alias("surprise"), *[(div(F.lead("amount", h).over(w), F.col("amount")) - 1).alias(f"d{h}") for h in (1, 3)])
-    return x.where("surprise IS NOT NULL").withColumn("bucket", bins(F.col("surprise"), [-0.5, 0.5], ["miss", "inline", "beat"]))
+    return x.where("surprise IS NOT NULL").withColumn("bucket", peers.surprise_bucket(100 * F.col("surprise")))
 
 
 @query(_DRIFT + " SELECT bucket, count(*) AS n, round(avg(d1), 6) AS d1, round(avg(d3), 6) AS d3 FROM bk GROUP BY 1", "fund")
@@ -358,13 +387,19 @@ def a32_event_drift(spark, d):
     return _events(spark, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d1"), 6).alias("d1"), F.round(F.avg("d3"), 6).alias("d3"))
 
 
-@query(_DRIFT + """, e AS (SELECT bucket, avg(d1) AS exp FROM bk GROUP BY 1), l AS (SELECT * FROM bk QUALIFY row_number() OVER (PARTITION BY entity ORDER BY as_of DESC) = 1), j AS (SELECT l.entity, exp, surprise FROM l JOIN e USING (bucket)),
- k AS (SELECT entity, (rank() OVER (ORDER BY exp) + (count(*) OVER (PARTITION BY exp) - 1) / 2.0) / count(*) OVER () AS pe, (rank() OVER (ORDER BY surprise) + (count(*) OVER (PARTITION BY surprise) - 1) / 2.0) / count(*) OVER () AS ps FROM j) SELECT entity, round(0.6 * pe + 0.4 * ps, 6) AS score FROM k""", "fund")
+@query(_DRIFT + """, e AS (SELECT bucket, avg(d3) AS exp FROM bk GROUP BY 1), l AS (SELECT * FROM bk QUALIFY row_number() OVER (PARTITION BY entity ORDER BY as_of DESC) = 1),
+ pm AS (WITH x AS (SELECT entity, date, price / lag(price, 6) OVER (PARTITION BY entity ORDER BY date) - 1 AS r, count(*) OVER (PARTITION BY entity) AS n FROM bars), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM x WHERE r IS NOT NULL AND n >= 30), y AS (SELECT *, max(CASE WHEN rn = 1 THEN r END) OVER (PARTITION BY entity) AS now FROM k WHERE rn <= 24) SELECT entity, round(avg(CASE WHEN r < now THEN 1.0::DOUBLE ELSE 0 END), 3) AS mom FROM y GROUP BY 1),
+ j AS (SELECT c_custkey AS entity, exp, mom FROM customer LEFT JOIN l ON l.entity = c_custkey LEFT JOIN e USING (bucket) LEFT JOIN pm ON pm.entity = c_custkey),
+ r AS (SELECT *, CASE WHEN exp IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY exp NULLS LAST) + (count(*) OVER (PARTITION BY exp) - 1) / 2.0::DOUBLE) / count(exp) OVER () END AS pe, CASE WHEN mom IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY mom NULLS LAST) + (count(*) OVER (PARTITION BY mom) - 1) / 2.0::DOUBLE) / count(mom) OVER () END AS pm FROM j)
+ SELECT entity, round((0.7::DOUBLE * pe + 0.3::DOUBLE * pm) * CASE WHEN exp IS NULL THEN 0 ELSE 1 END, 6) AS score, CASE WHEN mom >= 0.67 THEN 'hot' WHEN mom <= 0.33 THEN 'cold' WHEN mom IS NOT NULL THEN 'neutral' END AS momentum_flag FROM r""", "fund", "bars")
 def a33_event_catalyst(spark, d):
+    """All customers: the drift that their last surprise's bucket lets expect, and the momentum before it of the supplier of their number."""
     x = _events(spark, d)
-    e = x.groupBy("bucket").agg(F.avg("d1").alias("exp"))
-    j = with_pct_ranks(cut(returns.latest(x, "entity", "as_of").join(F.broadcast(e), "bucket").select("entity", "exp", "surprise"), "latest"), {"pe": "exp", "ps": "surprise"})
-    return j.select("entity", F.round(0.6 * F.col("pe") + 0.4 * F.col("ps"), 6).alias("score"))
+    e = x.groupBy("bucket").agg(F.avg("d3").alias("expected"))
+    last = returns.latest(x, "entity", "as_of").join(F.broadcast(e), "bucket").select("entity", "expected")  # one row per bucket
+    momentum = windows.recent_percentile(bars(spark, d), "entity", "date", "price", 6, 24, 30).select("entity", F.round("pctile", 3).alias("momentum"))
+    every = table(spark, d, "customer").select(F.col("c_custkey").alias("entity")).join(last, "entity", "left").join(momentum, "entity", "left")
+    return peers.catalyst(every, "expected", "momentum").select("entity", *r6("score"), "momentum_flag")
 
 
 _COMPOSITE = _FAMILIES + ", wf AS (SELECT family, coalesce(up / nullif(sum(up) OVER (), 0), 0) AS weight FROM ff), ls AS (SELECT * FROM sg QUALIFY row_number() OVER (PARTITION BY entity ORDER BY date DESC) = 1), lp AS (SELECT entity, " + ", ".join(f"(CASE WHEN {c} IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE) / count({c}) OVER () END) * coalesce((SELECT weight FROM wf WHERE family = '{c}'), 0) AS {c}" for c in _SIGNALS) + " FROM ls), cp AS (SELECT entity, round((" + " + ".join(_SIGNALS) + ") / (SELECT nullif(sum(weight), 0) FROM wf), 4) AS composite FROM lp)"
@@ -412,13 +447,12 @@ def a49_inverse_volatility(spark, d):
     return v.withColumns({"inv_vol": F.col("i") / F.sum("i").over(p), "target": F.col("raw") / F.sum("raw").over(p)}).select("sector", "entity", *r6("inv_vol", "target"))
 
 
-@query(", v AS (SELECT sector, entity, stddev_samp(r) AS vol FROM rets JOIN sect USING (entity) GROUP BY 1, 2), w AS (SELECT *, 1 / vol / sum(1 / vol) OVER p AS t, 1.0 / count(*) OVER p AS c FROM v WINDOW p AS (PARTITION BY sector)), k AS (SELECT *, least(greatest(t, c - 0.02), c + 0.02) AS k FROM w) SELECT sector, entity, round(CAST(c AS DOUBLE), 6) AS now, round(k / sum(k) OVER (PARTITION BY sector), 6) AS capped FROM k", "rets", "sect")
+@query(", v AS (SELECT sector, entity, stddev_samp(r) AS vol FROM rets JOIN sect USING (entity) GROUP BY 1, 2), w AS (SELECT *, 1 / vol / sum(1 / vol) OVER p AS t, 1.0::DOUBLE / count(*) OVER p AS c FROM v WINDOW p AS (PARTITION BY sector)), k AS (SELECT *, least(greatest(t, greatest(c - 0.1::DOUBLE * c, 0)), c + 0.1::DOUBLE * c) AS k FROM w) SELECT sector, entity, round(c, 6) AS now, round(k / sum(k) OVER (PARTITION BY sector), 6) AS capped FROM k", "rets", "sect")
 def a50_turnover_cap(spark, d):
     v = rets(spark, d).join(sect(spark, d), "entity").groupBy("sector", "entity").agg(F.stddev_samp("r").alias("vol"))
     p = Window.partitionBy("sector")
     v = v.withColumn("i", div(F.lit(1.0), F.col("vol"))).withColumns({"t": F.col("i") / F.sum("i").over(p), "now": F.lit(1.0) / F.count(F.lit(1)).over(p)})
-    v = v.withColumn("k", F.least(F.greatest(F.col("t"), F.col("now") - 0.02), F.col("now") + 0.02))
-    return v.withColumn("capped", F.col("k") / F.sum("k").over(p)).select("sector", "entity", *r6("now", "capped"))
+    return risk.turnover_cap(v, ["sector"], "t", "now", 0.1, "capped").select("sector", "entity", *r6("now", "capped"))
 
 
 @query(""", v AS (SELECT entity, date, CASE WHEN count(r) OVER w >= 12 THEN stddev_samp(r) OVER w * sqrt(252) END AS vol FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), g AS (SELECT entity, max_by(vol, date) AS now, median(vol) AS med, quantile_cont(vol, 0.75) AS p75 FROM v WHERE vol IS NOT NULL GROUP BY 1), h AS (SELECT entity, max_by(price, date) AS price, max_by(qty, date) AS held, sum(max_by(price * qty, date)) OVER () AS total FROM bars GROUP BY 1)
@@ -500,13 +534,33 @@ def a61_bootstrap_ruin(spark, d):
     return risk.bootstrap(spark, rets(spark, d), "entity", "date", "r", paths=20, blocks=6, block=6, seed=11).select("entity", *r6("p_ruin", "p_drop"), "paths")
 
 
-@query(", v AS (SELECT date, m, stddev_samp(m) OVER (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS v FROM market), dv AS (SELECT date, v - lag(v) OVER (ORDER BY date) AS dv FROM v), x AS (SELECT entity, regr_slope(r, dv) AS b FROM rets JOIN dv USING (date) WHERE r IS NOT NULL AND dv IS NOT NULL GROUP BY 1), q AS (SELECT quantile_cont(b, 0.33) AS a, quantile_cont(b, 0.67) AS z FROM x) SELECT entity, round(b, 5) AS vol_beta, CASE WHEN b <= a THEN 'safe' WHEN b <= z THEN 'middle' ELSE 'convex' END AS bucket FROM x, q", "market")
+_BARBELL = """, o AS (SELECT entity, ((high + low) / 2) / lag(price) OVER w - 1 AS gap, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)), nv AS (SELECT entity, stddev_samp(r) * sqrt(252) AS vol, coalesce(var_samp(gap) / nullif(var_samp(r), 0), 0.5) AS gap_share FROM o GROUP BY 1 HAVING count(r) > 30),
+ qq AS (SELECT quantile_cont(vol, 0.25) AS vq, quantile_cont(vol, 0.8) AS vh, quantile_cont(gap_share, 0.9) AS gh FROM nv), bb AS (SELECT entity, vol, gap_share, CASE WHEN vol <= vq AND gap_share <= gh THEN 'safe' WHEN vol >= vh OR gap_share > 1.2 THEN 'convex' ELSE 'middle' END AS bucket FROM nv, qq)"""
+
+
+def _barbell(spark, d):
+    g = risk.gaps(bars(spark, d).withColumn("opened", (F.col("high") + F.col("low")) / 2), "entity", "date", "opened", "price", "_n").where("_n > 30")
+    return risk.barbell(g.select("entity", (F.col("ret_std") * 252**0.5).alias("vol"), F.coalesce("variance_share", F.lit(0.5)).alias("gap_share")))
+
+
+@query(_BARBELL + " SELECT entity, round(vol, 5) AS vol, round(gap_share, 5) AS gap_share, bucket FROM bb", "bars")
 def a62_volatility_beta(spark, d):
+    """The bucket of each supplier: calm without gaps, wild or full of gaps, or between."""
+    return _barbell(spark, d).select("entity", F.round("vol", 5).alias("vol"), F.round("gap_share", 5).alias("gap_share"), "bucket")
+
+
+@query(_BARBELL + """, v AS (SELECT date, m, CASE WHEN count(*) OVER w >= 6 THEN stddev_samp(m) OVER w END * sqrt(252) AS v FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), dv AS (SELECT m, v - lag(v) OVER (ORDER BY date) AS dv FROM v), pf AS (SELECT regr_slope(m, dv) AS vol_beta, regr_slope(m, abs(dv)) AS size_beta FROM dv WHERE dv IS NOT NULL),
+ sh AS (SELECT avg(CASE WHEN bucket = 'safe' THEN 1.0::DOUBLE ELSE 0 END) AS safe, avg(CASE WHEN bucket = 'middle' THEN 1.0::DOUBLE ELSE 0 END) AS middle, avg(CASE WHEN bucket = 'convex' THEN 1.0::DOUBLE ELSE 0 END) AS convex FROM bb) SELECT round(vol_beta, 5) AS vol_beta, round(size_beta, 5) AS size_beta, round(safe, 6) AS safe, round(middle, 6) AS middle, round(convex, 6) AS convex, round(safe + convex - middle, 6) AS barbell FROM pf, sh""", "bars", "market")
+def a62_bucket_shares(spark, d):
+    """The shares of the buckets, and how the average return moves with changes of its volatility and with their size."""
     w = Window.orderBy("date")  # one row per date
-    v = market(spark, d).withColumn("v", F.stddev_samp("m").over(w.rowsBetween(-5, 0))).withColumn("dv", F.col("v") - F.lag("v").over(w)).where("dv IS NOT NULL").select("date", "dv")
-    x = rets(spark, d).where("r IS NOT NULL").join(v, "date").groupBy("entity").agg(div(F.covar_samp("r", "dv"), F.var_samp("dv")).alias("b"))
-    q = x.agg(F.percentile("b", F.lit(0.33)).alias("a"), F.percentile("b", F.lit(0.67)).alias("z"))
-    return x.join(F.broadcast(q)).select("entity", F.round("b", 5).alias("vol_beta"), F.when(F.col("b") <= F.col("a"), "safe").when(F.col("b") <= F.col("z"), "middle").otherwise("convex").alias("bucket"))
+    six = w.rowsBetween(-5, 0)
+    m = market(spark, d).withColumn("v", F.when(F.count(F.lit(1)).over(six) >= 6, F.stddev_samp("m").over(six)) * 252**0.5).withColumn("dv", F.col("v") - F.lag("v").over(w)).where("dv IS NOT NULL")
+    slope = lambda x: div(F.covar_samp("m", x), F.var_samp(x))
+    betas = m.withColumn("size", F.abs("dv")).agg(F.round(slope("dv"), 5).alias("vol_beta"), F.round(slope("size"), 5).alias("size_beta"))
+    share = lambda b: F.avg((F.col("bucket") == b).cast("double"))
+    shares = _barbell(spark, d).agg(*[share(b).alias(b) for b in ("safe", "middle", "convex")]).withColumn("barbell", F.col("safe") + F.col("convex") - F.col("middle"))
+    return betas.join(F.broadcast(shares)).select("vol_beta", "size_beta", *r6("safe", "middle", "convex", "barbell"))  # both are one row
 
 
 _PR = lambda c: f"CASE WHEN {c} IS NULL THEN 0.5 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count({c}) OVER () END"
@@ -537,15 +591,28 @@ def a63_fragility(spark, d):
 _FC = ", f AS (SELECT entity, date, price, lag(price) OVER w AS f1, lag(price, 3) OVER w AS f3, lag(price, 4) OVER w AS f4 FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)), h AS (SELECT entity, date, 1 AS horizon, f1 AS fc, price, f4 AS before FROM f UNION ALL SELECT entity, date, 3, f3, price, f4 FROM f)"
 
 
-@query(_FC + ", e AS (SELECT entity, horizon, count(*) AS n, avg(CASE WHEN sign(price - before) = sign(fc - before) THEN 1.0::DOUBLE ELSE 0 END) FILTER (before IS NOT NULL) AS direction, avg(abs(fc - price)) AS mae, sqrt(avg((fc - price) * (fc - price))) AS rmse, avg(abs(fc - price) / price) AS mape FROM h WHERE fc IS NOT NULL GROUP BY 1, 2) SELECT entity, horizon, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, CASE WHEN mape <= 0.08 THEN 'high' WHEN mape <= 0.12 THEN 'medium' ELSE 'low' END AS tier, round(direction, 6) AS direction, rank() OVER (PARTITION BY entity ORDER BY round(mape, 9)) AS setup FROM e", "bars")
-def a67_forecast_errors(spark, d):
+_ERRORS = _FC + ", e AS (SELECT entity, horizon, count(*) AS n, avg(CASE WHEN sign(price - before) = sign(fc - before) THEN 1.0::DOUBLE ELSE 0 END) FILTER (before IS NOT NULL) AS direction, avg(abs(fc - price)) AS mae, sqrt(avg((fc - price) * (fc - price))) AS rmse, 100 * avg(abs(fc - price) / price) AS mape FROM h WHERE fc IS NOT NULL GROUP BY 1, 2)"
+
+
+def _errors(spark, d):
     w = Window.partitionBy("entity").orderBy("date")
     b = bars(spark, d).select("entity", "price", F.lag("price").over(w).alias("f1"), F.lag("price", 3).over(w).alias("f3"), F.lag("price", 4).over(w).alias("before")).selectExpr("entity", "price", "before", "stack(2, 1, f1, 3, f3) AS (horizon, fc)").where("fc IS NOT NULL")
     hit = F.when(F.col("before").isNotNull(), (F.signum(F.col("price") - F.col("before")) == F.signum(F.col("fc") - F.col("before"))).cast("double"))
     err = F.col("fc") - F.col("price")
-    g = b.groupBy("entity", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err) / F.col("price")).alias("mape"), F.avg(hit).alias("direction"))
-    setup = F.rank().over(Window.partitionBy("entity").orderBy(F.round("mape", 9))).cast("long").alias("setup")
-    return g.select("entity", "horizon", "n", *r6("mae", "rmse", "mape", "direction"), bins(F.col("mape"), [0.08, 0.12], ["high", "medium", "low"]).alias("tier"), setup)
+    return b.groupBy("entity", "horizon").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), (100 * F.avg(F.abs(err) / F.col("price"))).alias("mape"), F.avg(hit).alias("direction"))
+
+
+@query(_ERRORS + " SELECT entity, horizon, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, round(direction, 6) AS direction, CASE WHEN direction IS NULL THEN NULL WHEN round(direction, 6) <= 0.45 THEN 'weak' WHEN round(direction, 6) <= 0.55 THEN 'mixed' ELSE 'strong' END AS tier FROM e", "bars")
+def a67_forecast_errors(spark, d):
+    g = _errors(spark, d).withColumn("direction", F.round("direction", 6))
+    return g.select("entity", "horizon", "n", *r6("mae", "rmse", "mape"), "direction", risk.reliability_tier(F.col("direction")).alias("tier"))
+
+
+@query(_ERRORS + ", s AS (SELECT horizon, round(avg(direction), 6) AS mean_direction, round(avg(mae), 6) AS mean_mae, round(avg(mape), 6) AS mean_mape, count(DISTINCT entity) AS entities, CAST(sum(n) AS BIGINT) AS origins FROM e GROUP BY 1) SELECT *, row_number() OVER (ORDER BY mean_direction DESC NULLS LAST, mean_mae, horizon) AS rank FROM s", "bars")
+def a67_setup_ranking(spark, d):
+    """Setups, here horizons, from the best mean direction on, then by the mean error; one row per setup."""
+    g = _errors(spark, d).groupBy("horizon").agg(F.round(F.avg("direction"), 6).alias("mean_direction"), F.round(F.avg("mae"), 6).alias("mean_mae"), F.round(F.avg("mape"), 6).alias("mean_mape"), F.count_distinct("entity").alias("entities"), F.sum("n").alias("origins"))
+    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean_direction"), "mean_mae", "horizon")).cast("long"))
 
 
 @query(_FC + ", b AS (SELECT horizon, avg(abs(fc - price)) AS mae FROM h WHERE fc IS NOT NULL GROUP BY 1) SELECT horizon, round(mae, 6) AS mae FROM b", "bars")
@@ -619,40 +686,40 @@ def a79_mixture_states(spark, d):
     return regimes.mixture_labels(x, ["m", "vol", "corr"], "vol", 2).select("date", "state", F.round(F.array_max("posterior"), 4).alias("p_max"))
 
 
-_POST = ", p AS (SELECT entity, as_of, stab AS p1, (1 - stab) * 0.7 AS p2, (1 - stab) * 0.3 AS p3 FROM fund), e AS (SELECT *, -(CASE WHEN p1 > 0 THEN p1 * ln(p1) ELSE 0 END + CASE WHEN p2 > 0 THEN p2 * ln(p2) ELSE 0 END + CASE WHEN p3 > 0 THEN p3 * ln(p3) ELSE 0 END) AS h FROM p)"
+_PK = [f"least(greatest(p{k}, 1e-12::DOUBLE), 1)" for k in (1, 2, 3)]
+_POST = ", p AS (SELECT entity, as_of, amount, stab AS p1, (1 - stab) * 0.7::DOUBLE AS p2, (1 - stab) * 0.3::DOUBLE AS p3 FROM fund), pn AS (SELECT *, " + ", ".join(f"{x} / ({' + '.join(_PK)}) AS n{k}" for k, x in enumerate(_PK, 1)) + " FROM p), e AS (SELECT *, -(" + " + ".join(f"n{k} * ln(n{k})" for k in (1, 2, 3)) + ") / ln(3) AS h, greatest(p1, p2, p3) AS top FROM pn)"
+_STATES = ["low_vol", "normal", "high_vol_stress"]
 
 
 def _posteriors(spark, d):
     p = F.array(F.col("stab"), (1 - F.col("stab")) * 0.7, (1 - F.col("stab")) * 0.3)
-    return fund(spark, d).select("entity", "as_of", p.alias("p")).withColumn("h", regimes.entropy(F.col("p")))
+    return fund(spark, d).select("entity", "as_of", "amount", p.alias("p")).withColumn("h", regimes.entropy(F.col("p"))).withColumn("top", F.array_max("p"))
 
 
-@query(_POST + " SELECT entity, as_of, round(h, 6) AS entropy, CASE WHEN greatest(p1, p2, p3) < 0.7 OR h > 0.8 THEN 'uncertain' ELSE 'known' END AS label FROM e", "fund")
+@query(_POST + " SELECT entity, as_of, round(h, 6) + 0.0 AS entropy, round(top, 6) AS top, CASE WHEN top < 0.7 THEN 'uncertain' WHEN p1 = top THEN 'low_vol' WHEN p2 = top THEN 'normal' ELSE 'high_vol_stress' END AS label FROM e", "fund")
 def a80_posterior_entropy(spark, d):
-    return _posteriors(spark, d).select("entity", "as_of", F.round("h", 6).alias("entropy"), regimes.soft_label(F.col("p"), F.lit("known")).alias("label"))
+    return _posteriors(spark, d).select("entity", "as_of", (F.round("h", 6) + 0.0).alias("entropy"), *r6("top"), regimes.soft_label(F.col("p"), _STATES).alias("label"))
 
 
-@query(_POST + " SELECT CAST(least(floor(h / 0.2), 5) AS INTEGER) AS bin, count(*) AS n, round(avg(greatest(p1, p2, p3)), 6) AS top, count(*) FILTER (greatest(p1, p2, p3) < 0.7 OR h > 0.8) AS uncertain FROM e GROUP BY 1", "fund")
+@query(_POST + ", x AS (SELECT *, lead(amount) OVER (PARTITION BY entity ORDER BY as_of) AS nxt, CASE WHEN h <= 0 THEN NULL WHEN h <= 0.3 THEN 'low' WHEN h <= 0.6 THEN 'mid' ELSE 'high' END AS bin FROM e) SELECT bin, round(avg(nxt), 2) AS next_mean, round(stddev_samp(nxt), 2) AS next_std, count(nxt) AS n FROM x WHERE bin IS NOT NULL GROUP BY 1", "fund")
 def a80_entropy_bins(spark, d):
-    """Rows, mean largest posterior and uncertain rows by bins of 0.2."""
-    top = F.array_max("p")
-    x = _posteriors(spark, d).withColumn("bin", F.least(F.floor(F.col("h") / 0.2), F.lit(5)).cast("int"))
-    return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(top), 6).alias("top"), F.count_if((top < 0.7) | (F.col("h") > 0.8)).alias("uncertain"))
+    """What follows on low, middle and high entropy: the next row's value."""
+    x = _posteriors(spark, d).withColumn("nxt", F.lead("amount").over(Window.partitionBy("entity").orderBy("as_of"))).withColumn("bin", regimes.entropy_bin(F.col("h"))).where("bin IS NOT NULL")
+    return x.groupBy("bin").agg(F.round(F.avg("nxt"), 2).alias("next_mean"), F.round(F.stddev_samp("nxt"), 2).alias("next_std"), F.count("nxt").alias("n"))
 
 
-@query(_POST + " SELECT entity, as_of, round(h, 6) AS entropy, round(greatest(p1, p2, p3), 6) AS top FROM e WHERE greatest(p1, p2, p3) < 0.7 OR h > 0.8", "fund")
+@query(_POST + " SELECT entity, as_of, round(h, 6) + 0.0 AS entropy, round(top, 6) AS top FROM e WHERE top < 0.7", "fund")
 def a80_uncertain_days(spark, d):
-    x = _posteriors(spark, d).withColumn("top", F.array_max("p")).where("top < 0.7 OR h > 0.8")
-    return x.select("entity", "as_of", F.round("h", 6).alias("entropy"), F.round("top", 6).alias("top"))
+    return _posteriors(spark, d).where(F.col("top") < regimes.SOFT).select("entity", "as_of", (F.round("h", 6) + 0.0).alias("entropy"), *r6("top"))
 
 
 _LEADS = ", ".join(f"round(corr(h, v{k}), 6) AS lead_{k}" for k in range(11))
 
 
-@query(_POST + ", t AS (SELECT as_of, avg(h) AS h, avg(amount) AS v FROM e JOIN fund USING (entity, as_of) GROUP BY 1), l AS (SELECT h, " + ", ".join(f"lead(v, {k}) OVER (ORDER BY as_of) AS v{k}" for k in range(11)) + f" FROM t) SELECT {_LEADS} FROM l", "fund")
+@query(_POST + ", t AS (SELECT as_of, avg(h) AS h, avg(amount) AS v FROM e GROUP BY 1), l AS (SELECT h, " + ", ".join(f"lead(v, {k}) OVER (ORDER BY as_of) AS v{k}" for k in range(11)) + f" FROM t) SELECT {_LEADS} FROM l", "fund")
 def w27_entropy_leads(spark, d):
     """Correlation of the mean entropy with the mean amount so many dates later; one row per date."""
-    t = _posteriors(spark, d).join(fund(spark, d).select("entity", "as_of", "amount"), ["entity", "as_of"]).groupBy("as_of").agg(F.avg("h").alias("h"), F.avg("amount").alias("v"))
+    t = _posteriors(spark, d).groupBy("as_of").agg(F.avg("h").alias("h"), F.avg("amount").alias("v"))
     w = Window.orderBy("as_of")
     l = t.select("h", *[F.lead("v", k).over(w).alias(f"v{k}") for k in range(11)])
     return l.agg(*[F.round(safe_corr(F.col("h"), F.col(f"v{k}")), 6).alias(f"lead_{k}") for k in range(11)])

@@ -99,6 +99,22 @@ def normal_tail(x: Column) -> Column:
     return F.when(x >= 0, upper).otherwise(1 - upper)
 
 
+#: MacKinnon's (1994) response surfaces of the unit-root statistic with a constant, by the number of series: coefficients up to the border and beyond it, the border, and where p is 0 and 1.
+UNIT_ROOT = {
+    1: ((2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368), -1.61, -18.83, 2.74),
+    2: ((2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377), -2.62, -18.86, 0.92),
+    3: ((3.4699, 1.4856, 0.03164), (2.5893, 0.45168, -0.36529, -0.050074), -3.13, -23.48, 0.55),
+}
+
+
+def unit_root_p(t: Column, series: int = 2) -> Column:
+    """P-value of a unit-root statistic, small (negative) where the series reverts; ``series``: 1 for a series of its own, 2 for the residual of one on another."""
+    near, far, border, low, high = UNIT_ROOT[series]
+    z = lambda c: sum((F.lit(k) * F.pow(t, F.lit(float(i))) for i, k in enumerate(c)), F.lit(0.0))
+    p = normal_tail(-F.when(t <= border, z(near)).otherwise(z(far)))
+    return F.when(t <= low, 0.0).when(t >= high, 1.0).when(t.isNotNull(), p)
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Correlation as an aggregate over rows where both are given; null where either is constant."""
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)

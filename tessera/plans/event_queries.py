@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import normal_tail
+from tessera.functions.columns import unit_root_p
 from tessera.operators import alerts, backtest, fundamentals, grouped, pairs, windows
 from tessera.plans.common import bars, fund, latest, query, r6, rets, sect
 from tessera.registry import table
@@ -110,15 +110,15 @@ def a86_equity_flags(spark, d):
     return backtest.equity_flags(bars(spark, d), "entity", "date", "price", 0.5, 0.6, 6).select("entity", "date", *r6("dd"), "breach", "first_breach")
 
 
-_POS, _NEG = ["the", "and", "in", "to"], ["of", "is", "at"]
-
-
-@query("""WITH x AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g')) AS t FROM documents), y AS (SELECT doc_id, len(regexp_extract_all(t, '[a-z]+')) AS w, len(list_filter(regexp_extract_all(t, '[a-z]+'), lambda k : k IN ('the', 'and', 'in', 'to'))) AS p, len(list_filter(regexp_extract_all(t, '[a-z]+'), lambda k : k IN ('of', 'is', 'at'))) AS n FROM x)
- SELECT doc_id, CAST(w AS INTEGER) AS words, CAST(p AS INTEGER) AS positive, CAST(n AS INTEGER) AS negative, round(coalesce(1000.0::DOUBLE * (p - n) / nullif(w, 0), 0), 6) AS score FROM y""")
+@query("""WITH x AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g')), '[a-z]+') AS w FROM documents), l AS (SELECT word, CASE WHEN len(word) % 2 = 0 THEN 1 ELSE -1 END AS weight FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)),
+ t AS (SELECT doc_id, unnest(w) AS word FROM x), h AS (SELECT doc_id, count(*) FILTER (weight > 0) AS p, count(*) FILTER (weight < 0) AS n FROM t JOIN l USING (word) GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS words, coalesce(p, 0) AS positive, coalesce(n, 0) AS negative, round(coalesce(1000.0::DOUBLE * (coalesce(p, 0) - coalesce(n, 0)) / nullif(len(w), 0), 0), 6) AS score FROM x LEFT JOIN h USING (doc_id)""")
 def a84_lexicon_score(spark, d):
-    s = backtest.lexicon_score(F.col("text"), _POS, _NEG)
-    x = table(spark, d, "documents").select("doc_id", *[v.alias(k) for k, v in s.items()])
-    return x.select("doc_id", "words", "positive", "negative", *r6("score"))
+    """A lexicon of the benchmark's words: those of even length count for, the others against."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    lexicon = words.withColumn("weight", F.when(F.length("word") % 2 == 0, 1).otherwise(-1))
+    s = backtest.lexicon_scores(table(spark, d, "documents"), "doc_id", "text", lexicon)
+    return s.select("doc_id", "words", "positive", "negative", *r6("score"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS entity, CASE WHEN l_returnflag = 'A' THEN 'put' ELSE 'call' END AS side, l_extendedprice / l_quantity / 15 AS strike, l_discount + l_tax AS iv, l_quantity AS volume, 100.0::DOUBLE AS spot FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT * FROM c WHERE iv > 0.05::DOUBLE),
@@ -243,7 +243,7 @@ def w47_pair_trades(spark, d):
 def w48_walk_forward_pairs(spark, d):
     """In each fold, pairs whose spread reverts on the training dates (step-up filter over p-values of the unit-root statistic, half-life from 0.5 to 24 rows) are traded on the test dates, net of costs."""
     s = _spread(spark, d)
-    fit = pairs.half_life(s.where("train"), _KEYS, "date", "s").withColumn("p", normal_tail(F.col("t"))).where("p IS NOT NULL")
+    fit = pairs.half_life(s.where("train"), _KEYS, "date", "s").withColumn("p", unit_root_p(-F.col("t"))).where("p IS NOT NULL")
     chosen = pairs.step_up(fit, "p", 0.2, ["fold"], _KEYS).where("survives AND half_life BETWEEN 0.5 AND 24").select(*_KEYS)
     t = _trades(s.join(chosen, _KEYS, "left_semi"))
     net = F.col("hedged_pnl") - 10.0 / 10000 - 25.0 / 10000 * F.col("bars_held") / 252

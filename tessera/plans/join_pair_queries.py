@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import safe_corr
+from tessera.functions.columns import safe_corr, unit_root_p
 from tessera.operators import asof, blocks, pairs, quantiles, regimes, returns, windows
 from tessera.plans.common import bars, fund, latest, named_regime, query, r6, regime, rets, sect
 from tessera.registry import table
@@ -295,11 +295,17 @@ def a58_tail_dependence(spark, d):
 _LEVELS = ", p AS (SELECT x.sector, x.date, x.entity AS a, y.entity AS b, ln(x.price) AS x, ln(y.price) AS y FROM (SELECT * FROM bars JOIN sect USING (entity)) x JOIN (SELECT * FROM bars JOIN sect USING (entity)) y ON x.sector = y.sector AND x.date = y.date AND x.entity < y.entity)"
 
 
-@query(_LEVELS + """, k AS (SELECT a, b, regr_slope(y, x) AS beta FROM p GROUP BY 1, 2), s AS (SELECT a, b, date, y - beta * x AS s FROM p JOIN k USING (a, b)), l AS (SELECT *, lag(s) OVER (PARTITION BY a, b ORDER BY date) AS l FROM s), h AS (SELECT a, b, regr_slope(s, l) AS rho FROM l WHERE l IS NOT NULL GROUP BY 1, 2)
- SELECT a, b, round(beta, 6) AS beta, round(rho, 6) AS rho, CASE WHEN rho > 0 AND rho < 1 THEN round(-ln(2) / ln(rho), 6) END AS half_life FROM k JOIN h USING (a, b)""", "bars", "sect")
+_SURFACE = "CASE WHEN {t} <= -2.62 THEN 2.92::DOUBLE + 1.5012::DOUBLE * {t} + 0.039796::DOUBLE * {t} * {t} ELSE 2.1945::DOUBLE + 0.64695::DOUBLE * {t} - 0.29198::DOUBLE * {t} * {t} - 0.042377::DOUBLE * {t} * {t} * {t} END"
+_UPPER = "0.3989422804014327::DOUBLE * exp(-z * z / 2) * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE))))"
+
+
+@query(_LEVELS + """, k AS (SELECT a, b, regr_slope(y, x) AS beta FROM p GROUP BY 1, 2), s AS (SELECT a, b, date, y - beta * x AS s FROM p JOIN k USING (a, b)), l AS (SELECT *, lag(s) OVER (PARTITION BY a, b ORDER BY date) AS l FROM s), h AS (SELECT a, b, regr_slope(s, l) AS rho, var_samp(l) AS vl, var_samp(s) AS vs, count(*) AS n FROM l WHERE l IS NOT NULL GROUP BY 1, 2),
+ e AS (SELECT *, (rho - 1) / sqrt((vs - rho * rho * vl) / (vl * (n - 2))) AS t FROM h), w AS (SELECT *, """ + _SURFACE.format(t="t") + """ AS x FROM e), z AS (SELECT *, abs(x) AS z, 1 / (1 + 0.2316419::DOUBLE * abs(x)) AS k FROM w), u AS (SELECT *, CASE WHEN t <= -18.86 THEN 0 WHEN t >= 0.92 THEN 1 WHEN x <= 0 THEN """ + _UPPER + " ELSE 1 - " + _UPPER + """ END AS p FROM z)
+ SELECT a, b, round(beta, 6) AS beta, round(rho, 6) AS rho, CASE WHEN rho > 0 AND rho < 1 THEN round(-ln(2) / ln(rho), 6) END AS half_life, round(p, 6) AS p_value FROM k JOIN u USING (a, b)""", "bars", "sect")
 def a68_pair_regression(spark, d):
     b = bars(spark, d).join(sect(spark, d), "entity").withColumn("lp", F.log("price"))
-    return blocks.reversion(b, "entity", "date", "lp", ["sector"]).select("a", "b", *r6("beta", "rho", "half_life"))
+    x = blocks.reversion(b, "entity", "date", "lp", ["sector"]).withColumn("p_value", unit_root_p(-F.col("t")))
+    return x.select("a", "b", *r6("beta", "rho", "half_life", "p_value"))
 
 
 _TAIL = "CASE WHEN c IS NOT NULL THEN 2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE)))) END"

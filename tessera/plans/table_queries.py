@@ -93,16 +93,21 @@ def s14_schema_contract(spark, d):
     return src.contract({n: table(spark, d, n) for n in ("lineitem", "orders")}, {"lineitem": ["l_orderkey", "l_shipdate"], "orders": ["o_orderkey", "o_channel"]})
 
 
-@query("""SELECT entity, tag, frame_end AS "end", val FROM (SELECT o_custkey AS entity, o_orderpriority AS tag, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS frame_end, o_totalprice AS val, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus <> 'P')
- QUALIFY row_number() OVER (PARTITION BY entity, tag, frame_end ORDER BY o_orderdate DESC, val DESC) = 1""")
+@query("""SELECT entity, taxonomy, tag, unit, frame_end AS "end", val, filed FROM (SELECT o_custkey AS entity, CASE WHEN o_orderkey % 3 = 0 THEN 'house' ELSE 'trade' END AS taxonomy, o_orderpriority AS tag, CASE WHEN o_totalprice < 200000 THEN 'USD' ELSE 'shares' END AS unit, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS frame_end, o_totalprice AS val, CAST(o_orderdate AS DATE) AS filed FROM orders WHERE o_orderstatus <> 'P')
+ QUALIFY row_number() OVER (PARTITION BY entity, taxonomy, tag, unit, frame_end ORDER BY filed DESC, val DESC) = 1""")
 def s15_nested_facts(spark, d):
+    """One JSON text per customer, built of the orders, taken apart again: taxonomies, tags and units as they come."""
     o = table(spark, d, "orders")
     q = F.date_trunc("quarter", "o_orderdate").cast("date")
     frame = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("CY"), F.year("o_orderdate"))).otherwise(F.concat(F.lit("CY"), F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate")))
-    entry = F.struct(q.alias("end"), F.col("o_totalprice").alias("val"), frame.alias("frame"), F.struct(F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("v")).alias("filed"))
-    tags = o.groupBy(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("tag")).agg(F.collect_list(entry).alias("e"))  # one customer's filings of one tag
-    nested = tags.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.create_map(F.lit("USD"), F.col("e"))))).alias("facts"))
-    return src.single_quarters(nested).select("entity", "tag", "end", "val")
+    entry = F.struct(q.alias("end"), F.col("o_totalprice").alias("val"), frame.alias("frame"), F.col("o_orderdate").cast("date").alias("filed"))
+    taxonomy = F.when(F.col("o_orderkey") % 3 == 0, "house").otherwise("trade")
+    unit = F.when(F.col("o_totalprice") < 200000, "USD").otherwise("shares")
+    nest = lambda df, keys, name, held: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, held))).alias("m"))
+    units = o.groupBy(F.col("o_custkey").alias("entity"), taxonomy.alias("taxonomy"), F.col("o_orderpriority").alias("tag"), unit.alias("unit")).agg(F.collect_list(entry).alias("m"))  # one customer's filings
+    tags = nest(units, ["entity", "taxonomy", "tag"], "unit", "m").withColumn("m", F.struct(F.col("m").alias("units")))
+    text = nest(nest(tags, ["entity", "taxonomy"], "tag", "m"), ["entity"], "taxonomy", "m").select("entity", F.to_json(F.struct(F.col("m").alias("facts"))).alias("json"))
+    return src.single_quarters(src.fact_rows(text, "entity", "json")).select("entity", "taxonomy", "tag", "unit", "end", "val", "filed")
 
 
 @query("SELECT CAST(c_custkey AS BIGINT) AS entity, CASE WHEN o.n > 12 THEN 'busy' ELSE c_mktsegment END AS segment, c_acctbal AS bal FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey")

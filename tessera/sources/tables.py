@@ -118,14 +118,34 @@ def contract(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> Da
     return reduce(DataFrame.unionByName, out)
 
 
-def single_quarters(facts: DataFrame) -> DataFrame:
-    """Nested facts (entity, facts: map of tag to units to entries) as rows: frames of one quarter, the latest filing per period end.
+def fact_rows(docs: DataFrame, entity: str, text: str) -> DataFrame:
+    """(entity, taxonomy, tag, unit, end, val, frame, filed) for each entry of JSON documents {facts: {taxonomy: {tag: {units: {unit: [entry]}}}}}.
 
-    entity string, facts map<string, map<string, array<struct<end:date, val:double, frame:string, filed:date>>>>.
+    Whatever taxonomies, tags and units a document has are kept, and so are entries that lack fields or hold what can't
+    be cast (null there). Texts that aren't JSON, or have no facts, give no rows.
     """
-    rows = facts.select("entity", F.explode("facts").alias("tag", "units")).select("entity", "tag", F.explode("units").alias("unit", "entries")).select("entity", "tag", "unit", F.explode("entries").alias("e")).select("entity", "tag", "unit", "e.*")
-    quarter = rows.where(F.col("frame").rlike(r"^CY[0-9]{4}Q[1-4]I?$"))
-    w = Window.partitionBy("entity", "tag", "unit", "end").orderBy(F.col("filed").desc(), F.col("val").desc())
+    spark = docs.sparkSession
+    each = docs.select(F.col(entity).alias("entity"), F.try_parse_json(text).alias("_v"))
+    each = each.select("entity", F.try_variant_get("_v", "$.facts", "variant").alias("_v"))
+    for name in ("taxonomy", "tag"):
+        each = _exploded(spark, each, name)
+    each = _exploded(spark, each.withColumn("_v", F.try_variant_get("_v", "$.units", "variant")), "unit")
+    each = _exploded(spark, each, None)
+    get = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind).alias(name)
+    return each.select("entity", "taxonomy", "tag", "unit", get("end", "date"), get("val", "double"), get("frame", "string"), get("filed", "date"))
+
+
+def _exploded(spark: SparkSession, df: DataFrame, name: str | None) -> DataFrame:
+    """A row for each field of the object, or entry of the array, in _v; the field's key under ``name``."""
+    kept = [c for c in df.columns if c != "_v"]
+    out = df.withColumnRenamed("_v", "_from").lateralJoin(spark.tvf.variant_explode(F.col("_from").outer()))
+    return out.select(*kept, *([F.col("key").alias(name)] if name else []), F.col("value").alias("_v"))
+
+
+def single_quarters(facts: DataFrame) -> DataFrame:
+    """Rows of fact_rows() whose frame is one quarter, the latest filing per entity, taxonomy, tag, unit and period end."""
+    quarter = facts.where(F.col("frame").rlike(r"^CY[0-9]{4}Q[1-4]I?$"))
+    w = Window.partitionBy("entity", "taxonomy", "tag", "unit", "end").orderBy(F.col("filed").desc(), F.col("val").desc())
     return quarter.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

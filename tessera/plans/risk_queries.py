@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import bins, div, pct_rank, safe_corr, zscore
-from tessera.operators import asof, blocks, pairs, peers, quantiles, regimes, returns, risk, screens, windows
-from tessera.plans.common import bars, fund, latest, market, query, r6, regime, rets, sect
+from tessera.operators import asof, blocks, overlays, pairs, peers, quantiles, regimes, returns, risk, screens, windows
+from tessera.plans.common import bars, fund, latest, market, named_regime, query, r6, regime, rets, sect
 from tessera.operators.ranks import with_pct_ranks, with_rank, with_zscores
 from tessera.registry import table
 from tessera.scratch import cut
@@ -87,45 +87,68 @@ def _sleeves(spark, d):
     return g.withColumn("v", F.stddev_samp("mkt").over(Window.orderBy("date").rowsBetween(-6, -1)))  # one row per date
 
 
-#: Strategies as combinations of the two sleeves; the last follows the regime of each date.
-_OVERLAYS = {"base": "core", "cash": "0.7 * core", "tilt": "0.5 * core + 0.5 * safe", "put": "core + 0.5 * greatest(-0.02 - core, 0) - 0.001", "combo": "0.5 * core + 0.4 * safe + 0.1 * greatest(-0.02 - core, 0)", "regime": "CASE regime WHEN 'high' THEN 0.5 * core + 0.4 * safe + 0.1 * greatest(-0.02 - core, 0) WHEN 'low' THEN core ELSE 0.85 * core + 0.15 * (0.5 * core + 0.5 * safe) END"}
+_LEGS = "coalesce(roe >= 0.15, false) AND coalesce(roic >= 0.15, false) AND coalesce(de <= 1.0, false)"
+_VALUE = "coalesce(ev <= 9.0, false) AND coalesce(pb <= 1.5, false) AND coalesce(mca <= 0.5, false)"
 
 
-@query(_G + ", x AS (SELECT * FROM gv JOIN regime USING (date)), s AS (" + " UNION ALL ".join(f"SELECT date, v, '{k}' AS strategy, {e} AS r FROM x" for k, e in _OVERLAYS.items()) + """), q AS (SELECT quantile_cont(v, 0.8) AS q FROM gv), l AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY date)) AS l FROM s), k AS (SELECT *, l / max(l) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM l), p AS (SELECT strategy, quantile_cont(r, 0.05) AS p FROM s GROUP BY 1)
- SELECT strategy, round(avg(r) * 12, 6) AS ret, round(stddev_samp(r) * sqrt(12), 6) AS vol, round(min(dd), 6) AS max_dd, round(avg(r) FILTER (r <= p), 6) AS shortfall, round(avg(r) FILTER (v >= q) * 12, 6) AS crisis_ret, round(stddev_samp(r) FILTER (v >= q) * sqrt(12), 6) AS crisis_vol FROM k JOIN p USING (strategy), q GROUP BY 1""", "regime", "sect")
+def _held(least: int, share: int) -> str:
+    """Log returns with each supplier's sleeves; ratios are those of the customer of its number."""
+    return f""", lx AS (SELECT rets.entity, date, lr, region, row_number() OVER (PARTITION BY rets.entity ORDER BY date DESC) AS rn FROM rets JOIN sect USING (entity) WHERE lr IS NOT NULL), lv AS (SELECT entity, stddev_samp(lr) AS v FROM lx WHERE rn <= 24 GROUP BY 1 HAVING count(*) > 1), lo AS (SELECT entity FROM lv QUALIFY row_number() OVER (ORDER BY v, entity) <= greatest({least}, count(*) OVER () // {share})),
+ fd AS (SELECT entity, {_LEGS} AS q, {_VALUE} AS v FROM latest), sl AS (SELECT date, coalesce(avg(lr) FILTER (region < 2), 0) AS base, coalesce(avg(lr) FILTER (lo.entity IS NOT NULL), 0) AS low, coalesce(avg(lr) FILTER (region = 4), 0) AS etf, coalesce(avg(lr) FILTER (q AND v), 0) AS dual, coalesce(avg(lr) FILTER (q), 0) AS quality, coalesce(avg(lr) FILTER (v), 0) AS val, avg(lr) AS mkt FROM lx LEFT JOIN lo ON lo.entity = lx.entity LEFT JOIN fd ON fd.entity = lx.entity GROUP BY 1)"""
+
+
+def _sleeve_returns(spark, d, least, share):
+    x = rets(spark, d).where("lr IS NOT NULL").join(sect(spark, d).select("entity", "region"), "entity")
+    low = overlays.calmest(x, "entity", "date", "lr", 24, least, share).withColumn("calm", F.lit(True))
+    f = latest(spark, d).select("entity", F.expr(_LEGS).alias("q"), F.expr(_VALUE).alias("v"))
+    x = x.join(low, "entity", "left").join(f, "entity", "left")
+    of = lambda c: F.coalesce(F.avg(F.when(F.expr(c), F.col("lr"))), F.lit(0.0))
+    return x.groupBy("date").agg(*[of(c).alias(n) for n, c in (("base", "region < 2"), ("low", "calm"), ("etf", "region = 4"), ("dual", "q AND v"), ("quality", "q"), ("value", "v"))], F.avg("lr").alias("mkt"))
+
+
+_MIX = {"defensive_ew": "base", "cash_10": "0.9::DOUBLE * base", "cash_20": "0.8::DOUBLE * base", "low_vol_tilt": "0.7::DOUBLE * base + 0.3::DOUBLE * low", "dividend_etf_30": "0.7::DOUBLE * base + 0.3::DOUBLE * etf", "put_proxy": "base - CASE WHEN mkt < -0.015 THEN 0.4::DOUBLE * mkt ELSE 0 END", "dual_quality": "0.5::DOUBLE * dual + 0.5::DOUBLE * quality", "tail_combo": "0.2::DOUBLE * low + 0.2::DOUBLE * etf + 0.5::DOUBLE * base"}
+_PICK = f"CASE now WHEN 'high' THEN {_MIX['tail_combo']} WHEN 'low' THEN base WHEN 'uncertain' THEN {_MIX['cash_10']} ELSE 0.85::DOUBLE * base + 0.15::DOUBLE * ({_MIX['low_vol_tilt']}) END"
+_STAT = """SELECT strategy, count(*) AS n, avg(r) * 12 AS ret, stddev_samp(r) * sqrt(12) AS vol, min(dd) AS max_dd, max(q) AS var, avg(r) FILTER (r <= q) AS shortfall FROM (SELECT *, l / max(l) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd, quantile_cont(r, 0.05) OVER (PARTITION BY strategy) AS q FROM (SELECT *, exp(sum(r) OVER (PARTITION BY strategy ORDER BY date)) AS l FROM {0})) GROUP BY 1 HAVING count(*) >= 10"""
+
+
+@query(_held(8, 4) + ", nw AS (SELECT max_by(regime, date) AS now FROM regime), st AS (" + " UNION ALL ".join(f"SELECT date, '{k}' AS strategy, {e} AS r FROM sl, nw" for k, e in {**_MIX, "regime_recommended": _PICK}.items()) + """), cv AS (SELECT date, CASE WHEN count(*) OVER w >= 6 THEN stddev_samp(mkt) OVER w END AS v FROM sl WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)), cd AS (SELECT date FROM cv WHERE v >= (SELECT quantile_cont(v, 0.8) FROM cv)), sc AS (SELECT st.* FROM st JOIN cd USING (date)),
+ a AS (""" + _STAT.format("st") + "), c AS (" + _STAT.format("sc") + """) SELECT a.strategy, round(a.ret, 6) AS ret, round(a.vol, 6) AS vol, CASE WHEN a.vol > 0 THEN round(a.ret / a.vol, 6) END AS sharpe, round(a.max_dd, 6) AS max_dd, round(a.var, 6) AS var, round(a.shortfall, 6) AS shortfall, round(c.ret, 6) AS crisis_ret, round(c.vol, 6) AS crisis_vol, round(c.shortfall, 6) AS crisis_shortfall FROM a LEFT JOIN c USING (strategy)""", "regime", "sect", "latest")
 def a16_overlay_strategies(spark, d):
-    g = _sleeves(spark, d)
-    q = g.agg(F.percentile("v", F.lit(0.8)).alias("q"))
-    x = g.join(regime(spark, d).select("date", "regime"), "date").join(F.broadcast(q))
-    s = x.select("date", "v", "q", F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.expr(e.replace("-0.02", "-0.02D").replace("0.001", "0.001D")).cast("double").alias("r")) for k, e in _OVERLAYS.items()])).alias("x")).select("date", "v", "q", "x.*")
-    dd = windows.drawdown(returns.levels(s, "strategy", "date", "r"), "strategy", "date", "level").groupBy("strategy").agg(F.min("dd").alias("max_dd"))
-    tail = risk.tail_loss(s, ["strategy"], "r").select("strategy", F.col("es").alias("shortfall"))
-    crisis = F.when(F.col("v") >= F.col("q"), F.col("r"))
-    out = s.groupBy("strategy").agg((F.avg("r") * 12).alias("ret"), (F.stddev_samp("r") * 12**0.5).alias("vol"), (F.avg(crisis) * 12).alias("crisis_ret"), (F.stddev_samp(crisis) * 12**0.5).alias("crisis_vol"))
-    return out.join(dd, "strategy").join(tail, "strategy").select("strategy", *r6("ret", "vol", "max_dd", "shortfall", "crisis_ret", "crisis_vol"))
+    """Eight overlays and the one that the present regime recommends, over all dates and over those of high volatility."""
+    x = cut(_sleeve_returns(spark, d, 8, 4), "sleeves")
+    now = named_regime(spark, d).agg(F.max_by("regime", "date").alias("now"))
+    s = overlays.strategies(x.join(F.broadcast(now)), "date", F.col("now"))  # one row
+    crisis = s.join(overlays.crisis_dates(x, "date", 6).where("crisis").select("date"), "date")
+    every = overlays.log_return_stats(s, ["strategy"], "date", "r", 12)
+    hard = overlays.log_return_stats(crisis, ["strategy"], "date", "r", 12).select("strategy", *[F.col(c).alias(f"crisis_{c}") for c in ("ret", "vol", "shortfall")])
+    return every.join(hard, "strategy", "left").select("strategy", *r6("ret", "vol", "sharpe", "max_dd", "var", "shortfall", "crisis_ret", "crisis_vol", "crisis_shortfall"))
 
 
-_ROTATE = _G + """, lagged AS (SELECT date, core, safe, mkt, v, lag(regime) OVER (ORDER BY date) AS state FROM gv JOIN regime USING (date)), ro AS (SELECT date, v, state, CASE WHEN state = 'high' OR v > 0.15 THEN 'safe' WHEN state = 'low' THEN 'core' ELSE 'both' END AS sleeve, core, safe FROM lagged WHERE v IS NOT NULL AND state IS NOT NULL)"""
+_WEIGHT = lambda k: "CASE tb " + " ".join(f"WHEN '{t}' THEN {row[k]}::DOUBLE" for t, row in overlays.WEIGHTS.items()) + " END"
+_ROTATE = _held(5, 3) + """, rg AS (SELECT sl.*, lag(CASE regime WHEN 'high' THEN 'high_vol_stress' WHEN 'low' THEN 'low_vol' ELSE regime END) OVER (ORDER BY date) AS regime FROM sl JOIN regime USING (date)), vo AS (SELECT * REPLACE (coalesce(regime, 'normal') AS regime), CASE WHEN count(*) OVER w >= 6 THEN stddev_samp(mkt) OVER w END AS v FROM rg WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+ kn AS (SELECT *, lag(v IGNORE NULLS) OVER (ORDER BY date) AS now, count(v) OVER b AS seen, quantile_cont(v, 0.8) OVER s AS high, count(*) OVER e >= 6 AND sum(val) OVER e < sum(quality) OVER e AS cheap FROM vo WINDOW b AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (ORDER BY date ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), e AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+ fl AS (SELECT *, (now >= high OR regime = 'high_vol_stress') AND regime <> 'uncertain' AS off, regime = 'low_vol' AS onn FROM kn),
+ tt AS (SELECT *, CASE WHEN seen < 8 THEN 'start' WHEN off THEN 'risk_off' WHEN onn AND NOT cheap THEN 'risk_on' WHEN cheap THEN 'value_cheap' ELSE 'neutral' END AS tb, CASE WHEN seen >= 8 AND off THEN 'risk_off' WHEN seen >= 8 AND onn THEN 'risk_on' ELSE 'neutral' END AS state FROM fl),
+ ro AS (SELECT date, state, regime, """ + ", ".join(f"{_WEIGHT(k)} AS w_{n}" for k, n in enumerate(overlays.SLEEVES)) + ", " + " + ".join(f"{_WEIGHT(k)} * {c}" for k, c in enumerate(("quality", "val", "low", "etf", "dual", "base"))) + " AS ret, base AS static FROM tt)"
 
 
 def _rotation(spark, d):
-    """The sleeve of each month by the volatility of the months before it and the last month's regime."""
-    x = _sleeves(spark, d).join(regime(spark, d).select("date", "regime"), "date")
-    x = x.withColumn("state", F.lag("regime").over(Window.orderBy("date"))).where("v IS NOT NULL AND state IS NOT NULL")  # one row per date
-    return x.withColumn("sleeve", F.when((F.col("state") == "high") | (F.col("v") > 0.15), "safe").when(F.col("state") == "low", "core").otherwise("both"))
+    """Each month's weights by the volatility and the regime of the month before."""
+    x = _sleeve_returns(spark, d, 5, 3).select("date", "mkt", "quality", "value", "dual", F.col("low").alias("low_vol"), F.col("etf").alias("dividend"), F.col("base").alias("defensive"))
+    x = x.join(named_regime(spark, d).select("date", "regime"), "date").withColumn("regime", F.coalesce(F.lag("regime").over(Window.orderBy("date")), F.lit("normal")))  # one row per date
+    return overlays.rotation(x, "date", "regime", 6, 24, 8, 6)
 
 
-@query(_ROTATE + " SELECT date, state, sleeve, round(CASE sleeve WHEN 'safe' THEN safe WHEN 'core' THEN core ELSE (core + safe) / 2 END, 6) AS r, round(core, 6) AS core, round(safe, 6) AS safe FROM ro", "regime", "sect")
+@query(_ROTATE + " SELECT date, state, regime, " + ", ".join(f"w_{n}" for n in overlays.SLEEVES) + ", round(ret, 6) AS ret, round(static, 6) AS static FROM ro", "regime", "sect", "latest")
 def a17_sleeve_rotation(spark, d):
-    r = F.when(F.col("sleeve") == "safe", F.col("safe")).when(F.col("sleeve") == "core", F.col("core")).otherwise((F.col("core") + F.col("safe")) / 2)
-    return _rotation(spark, d).select("date", "state", "sleeve", F.round(r, 6).alias("r"), *r6("core", "safe"))
+    return _rotation(spark, d).select("date", "state", "regime", *[f"w_{n}" for n in overlays.SLEEVES], *r6("ret", "static"))
 
 
-@query(_ROTATE + " SELECT sleeve, count(*) AS months, round(avg(core) * 12, 6) AS core, round(avg(safe) * 12, 6) AS safe, round(stddev_samp(core) * sqrt(12), 6) AS core_vol, round(stddev_samp(safe) * sqrt(12), 6) AS safe_vol FROM ro GROUP BY 1", "regime", "sect")
+@query(_ROTATE + " SELECT state, count(*) AS months, round(avg(ret) * 12, 6) AS ret, round(avg(static) * 12, 6) AS static, round(stddev_samp(ret) * sqrt(12), 6) AS vol, round(stddev_samp(static) * sqrt(12), 6) AS static_vol FROM ro GROUP BY 1", "regime", "sect", "latest")
 def a17_sleeve_statistics(spark, d):
-    """Both sleeves in the months in which each choice was made."""
-    g = _rotation(spark, d).groupBy("sleeve")
-    return g.agg(F.count(F.lit(1)).alias("months"), *[F.round(F.avg(c) * 12, 6).alias(c) for c in ("core", "safe")], *[F.round(F.stddev_samp(c) * 12**0.5, 6).alias(f"{c}_vol") for c in ("core", "safe")])
+    """The rotation and the standing defensive sleeve in the months of each state."""
+    g = _rotation(spark, d).groupBy("state")
+    return g.agg(F.count(F.lit(1)).alias("months"), *[F.round(F.avg(c) * 12, 6).alias(c) for c in ("ret", "static")], F.round(F.stddev_samp("ret") * 12**0.5, 6).alias("vol"), F.round(F.stddev_samp("static") * 12**0.5, 6).alias("static_vol"))
 
 
 @query(_G + " SELECT round(avg(core) * 12, 6) AS ret, round((avg(core) - avg(mkt)) * 12, 6) AS excess, round(avg(core - mkt) / stddev_samp(core - mkt) * sqrt(12), 6) AS info_ratio, round(avg(CASE WHEN core > mkt THEN 1.0 ELSE 0 END), 6) AS win_rate, round(avg(CASE WHEN sign(core) = sign(mkt) THEN 1.0 ELSE 0 END), 6) AS agree FROM g", "rets", "sect")

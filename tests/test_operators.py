@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import alerts, asof, backtest, clean, fundamentals, grouped, index, pairs, peers, ranks, regimes, returns, risk, screens, windows
+from tessera.operators import alerts, asof, backtest, clean, grouped, index, pairs, peers, ranks, regimes, returns, risk, screens, windows
 from tessera.sources import tables as src
 from tessera.streaming import panels
 
@@ -298,15 +298,18 @@ def test_append_stream_keeps_the_last_write(spark):
     spark.createDataFrame([(2, t0, 9.0, 3)], schema).write.mode("append").parquet(f"{at}/in")
     q = panels.append_stream(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/out", ["entity", "ts"], "ts").trigger(availableNow=True).option("checkpointLocation", f"{at}/cp").start()
     q.awaitTermination()
-    assert sorted((r.entity, r.price) for r in spark.read.parquet(f"{at}/out/table").collect()) == [(1, 6.0), (2, 9.0)]
+    assert sorted((r.entity, r.price) for r in panels.current(spark, f"{at}/out").collect()) == [(1, 6.0), (2, 9.0)]
     import os
 
-    before = {x: os.path.getmtime(f"{at}/out/table/{x}") for x in os.listdir(f"{at}/out/table") if x.startswith("day=")}
+    def files():
+        return {x: os.path.getmtime(x) for x in panels.current(spark, f"{at}/out").inputFiles() for x in [x.removeprefix("file://")]}
+
+    before = files()
     spark.createDataFrame([(5, t0 + dt.timedelta(days=1), 2.0, 4)], schema).write.mode("append").parquet(f"{at}/in")
     q = panels.append_stream(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/out", ["entity", "ts"], "ts").trigger(availableNow=True).option("checkpointLocation", f"{at}/cp").start()
     q.awaitTermination()
-    assert len(before) == 1 and all(os.path.getmtime(f"{at}/out/table/{x}") == t for x, t in before.items())  # other days stay as they are
-    assert spark.read.parquet(f"{at}/out/table").count() == 3
+    assert before.items() <= files().items()  # other days stay as they are
+    assert panels.current(spark, f"{at}/out").count() == 3
 
 
 # --- alerts, ratios, empty tables
@@ -325,10 +328,12 @@ def test_alert_rules_need_enough_rows(spark):
 
 
 def test_ratios_treat_zero_as_missing(spark):
-    cols = "income equity debt cash ebit interest tax pretax ebitda assets shares price".split()
-    df = spark.createDataFrame([(1.0, 0.0, 2.0, None, 3.0, 0.0, 1.0, 0.0, 4.0, 5.0, 6.0, 7.0)], ", ".join(f"{c} double" for c in cols))
-    r = fundamentals.ratios(df).first()
-    assert r.roe is None and r.coverage is None and r.market_cap == 42 and r.ev_ebitda == 11.0 and r.roic == pytest.approx(3 * 0.79 / 2)
+    from tessera.operators import decisions
+
+    cols = "ttm_ni equity debt cash ttm_oi ttm_int ttm_da assets shares price invested tax_rate".split()
+    df = spark.createDataFrame([(1.0, 0.0, 2.0, 0.0, 3.0, 0.0, 1.0, 5.0, 6.0, 7.0, None, None)], ", ".join(f"{c} double" for c in cols))
+    r = decisions.ratios(df).first()
+    assert r.roe is None and r.coverage is None and r.market_cap == 42 and r.ev_ebitda == 11.0 and r.roic == pytest.approx(3 * 0.75 / 2)
 
 
 def test_operators_take_empty_tables(spark):

@@ -66,3 +66,12 @@ def pit_dedupe(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """One row per key, that of the highest sequence number."""
     w = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def jump_summary(panel: DataFrame, entity: str, time: str, price: str) -> DataFrame:
+    """How many moves there are, the shares of those over 10, 25 and 35 % either way, and how many look like splits: within 3 % of halving, doubling and so on up to five."""
+    ratio = div(F.col(price), F.lag(price).over(over(entity, time)))
+    x = panel.select(ratio.alias("_q")).where("_q IS NOT NULL")
+    near = F.exists(F.array(*[F.lit(t) for k in (2.0, 3.0, 4.0, 5.0) for t in (k, 1 / k)]), lambda t: F.abs(F.col("_q") - t) / t < 0.03)
+    share = lambda k: F.avg((F.abs(F.col("_q") - 1) > k).cast("double"))
+    return x.agg(F.count(F.lit(1)).alias("n"), share(0.10).alias("over_10"), share(0.25).alias("over_25"), share(0.35).alias("over_35"), F.count_if(near).alias("splits"))

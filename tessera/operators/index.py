@@ -37,13 +37,16 @@ def fisher_chain(panel: DataFrame, entity: str, time: str, price: str, qty: str,
     return all_links.select(*by, time, "n_items", *[(100 * F.exp(F.sum(F.log(F.greatest(F.col(k), F.lit(1e-12)))).over(w))).alias(k) for k in KINDS])
 
 
-def rates(index: DataFrame, by: list[str], time: str, rows: int = 21, periods: int = 252) -> DataFrame:
-    """Price and quantity rates, the gap of their product to the nominal rate, cumulative factors, and percent rates a year over the last ``rows`` rows (ann_p, ann_q, ann_n)."""
+def rates(index: DataFrame, by: list[str], time: str, periods: int = 252, most: int = 21, least: int = 5) -> DataFrame:
+    """Price and quantity rates, the gap of their product to the nominal rate, cumulative factors, and percent rates a year (ann_p, ann_q, ann_n) over a tenth of the group's rows, ``least`` to ``most`` of them."""
     w = over(by, time)
     out = index.withColumns({f"rate_{k}": div(F.col(f"fisher_{k}"), F.lag(f"fisher_{k}").over(w)) - 1 for k in ("p", "q")})
     nominal = F.col("fisher_p") * F.col("fisher_q")
     out = out.withColumn("rate_n", div(nominal, F.lag(nominal).over(w)) - 1)
     gap = F.col("rate_n") - ((1 + F.col("rate_p")) * (1 + F.col("rate_q")) - 1)
-    ann = lambda level: 100 * (F.pow(div(level, F.lag(level, rows).over(w)), F.lit(periods / rows)) - 1)
+    rows = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(F.count(F.lit(1)).over(Window.partitionBy(*by)) / 10))).cast("int")
+    held = lambda level: F.collect_list(level).over(w.rowsBetween(-most, 0))  # noqa: E731 - the levels of the last rows, the present one last
+    back = lambda level: F.get(held(level), F.size(held(level)) - 1 - rows)
+    ann = lambda level: 100 * (F.pow(div(level, back(level)), periods / rows) - 1)
     out = out.withColumns({"ann_p": ann(F.col("fisher_p")), "ann_q": ann(F.col("fisher_q")), "ann_n": ann(nominal)})
     return out.withColumn("gap", gap).withColumns({f"cum_{k}": F.col(f"fisher_{k}") / 100 for k in ("p", "q")})

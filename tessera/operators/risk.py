@@ -17,16 +17,18 @@ def ann_stats(rets: DataFrame, by: list[str], r: str, rf: float = 0.04, periods:
     return g.withColumn("sharpe", div(F.col("ann_ret") - rf, F.col("ann_vol")))
 
 
-def full_metrics(rets: DataFrame, by: list[str], time: str, r: str, periods: int = 252) -> DataFrame:
-    """A10 with Sortino, drawdown of exp(cumulated returns), Calmar, hit rate, profit factor and turnover."""
-    x = F.col(r)
-    path = rets.where(x.isNotNull()).withColumn("_cum", F.exp(F.sum(x).over(so_far(by, time))))
-    path = path.withColumn("_dd", F.col("_cum") / F.max("_cum").over(so_far(by, time)) - 1)
-    g = path.groupBy(*by).agg(
-        (F.avg(x) * periods).alias("ann_ret"), (F.stddev_samp(x) * periods**0.5).alias("ann_vol"), (F.stddev_samp(F.when(x < 0, x)) * periods**0.5).alias("_down"), F.min("_dd").alias("max_dd"),
-        F.avg((x > 0).cast("double")).alias("hit_rate"), div(F.sum(F.when(x > 0, x)), F.abs(F.sum(F.when(x < 0, x)))).alias("profit_factor"), (F.avg(F.abs(x)) * periods).alias("turnover"), F.count(x).alias("n"),
-    )
-    return g.withColumns({"sharpe": div(F.col("ann_ret"), F.col("ann_vol")), "sortino": div(F.col("ann_ret"), F.col("_down")), "calmar": F.when(F.col("max_dd") < 0, F.col("ann_ret") / F.abs("max_dd"))}).drop("_down")
+def full_metrics(rets: DataFrame, by: list[str], time: str, r: str, trades: DataFrame | None = None, pnl: str | None = None, year: int = 252, least: int = 5) -> DataFrame:
+    """Sharpe, Sortino and Calmar ratios, the deepest drawdown of exp(cumulated returns), turnover and n; hit rate and profit factor of the trades (by, pnl), null without trades or losses. Groups of fewer than ``least`` returns are left out."""
+    w = so_far(by, time)
+    x = rets.where(F.col(r).isNotNull()).withColumn("_c", F.exp(F.sum(r).over(w)))
+    x = x.withColumn("_dd", F.col("_c") / F.max("_c").over(w) - 1)
+    ret, root = F.avg(r) * year, year**0.5
+    g = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), div(ret, F.stddev_samp(r) * root).alias("sharpe"), div(ret, F.stddev_samp(F.when(F.col(r) < 0, F.col(r))) * root).alias("sortino"), F.min("_dd").alias("max_dd"), F.when(F.min("_dd") < 0, div(ret, F.abs(F.min("_dd")))).alias("calmar"), (F.avg(F.abs(r)) * year).alias("turnover")).where(F.col("n") >= least)
+    if trades is None:
+        return g.withColumns({"hit_rate": F.lit(None).cast("double"), "profit_factor": F.lit(None).cast("double")})
+    p = F.col(pnl)
+    t = trades.where(p.isNotNull()).groupBy(*by).agg(F.avg((p > 0).cast("double")).alias("hit_rate"), div(F.sum(F.when(p > 0, p)), F.abs(F.sum(F.when(p < 0, p)))).alias("profit_factor"))
+    return g.join(t, by, "left")
 
 
 def level_stats(levels: DataFrame, by: list[str], time: str, level: str, periods: int = 12) -> DataFrame:
@@ -94,12 +96,12 @@ def weighted_ranks(df: DataFrame, weights: dict[str, float], name: str) -> DataF
 
 
 def gaps(panel: DataFrame, entity: str, time: str, opened: str, close: str, count: str | None = None) -> DataFrame:
-    """Deviation of overnight gaps and of returns, the gaps' variance share and how often they exceed 2 and 5 %."""
+    """Mean and deviation of overnight gaps, deviation of returns, the gaps' variance share, how often they exceed 3 and 5 %, the largest in size and the lowest; with ``count``, how many gaps there are under that name."""
     w = over(entity, time)
     before = F.lag(close).over(w)
     g = panel.withColumn("_gap", div(F.col(opened), before) - 1).withColumn("_ret", div(F.col(close), before) - 1)
     share = div(F.var_samp("_gap"), F.var_samp("_ret"))
-    return g.groupBy(entity).agg(F.stddev_samp("_gap").alias("gap_std"), F.stddev_samp("_ret").alias("ret_std"), share.alias("variance_share"), F.avg((F.abs("_gap") > 0.02).cast("double")).alias("over_2"), F.avg((F.abs("_gap") > 0.05).cast("double")).alias("over_5"), F.min("_gap").alias("worst"), *([F.count("_ret").alias(count)] if count else []))
+    return g.groupBy(entity).agg(F.stddev_samp("_gap").alias("gap_std"), F.stddev_samp("_ret").alias("ret_std"), share.alias("variance_share"), F.avg("_gap").alias("mean_gap"), F.avg((F.abs("_gap") > 0.03).cast("double")).alias("over_3"), F.max(F.abs("_gap")).alias("largest"), F.avg((F.abs("_gap") > 0.05).cast("double")).alias("over_5"), F.min("_gap").alias("worst"), *([F.count("_gap").alias(count)] if count else []))
 
 
 def concentration(weights: DataFrame, by: list[str], w: str, entity: str, means: list[str] | None = None) -> DataFrame:
@@ -172,3 +174,24 @@ def barbell(names: DataFrame) -> DataFrame:
     safe = (F.col("vol") <= F.col("_vq")) & (F.col("gap_share") <= F.col("_gh"))
     convex = (F.col("vol") >= F.col("_vh")) | (F.col("gap_share") > CONVEX_GAP)
     return x.join(F.broadcast(q)).withColumn("bucket", F.when(safe, "safe").when(convex, "convex").otherwise("middle")).drop("_vq", "_vh", "_gh")
+
+
+def gap_events(panel: DataFrame, entity: str, time: str, opened: str, close: str, least: float = 0.05) -> DataFrame:
+    """(entity, time, gap_pct, close_pct) of every gap over ``least`` in size."""
+    before = F.lag(close).over(over(entity, time))
+    g = panel.select(entity, time, (100 * (div(F.col(opened), before) - 1)).alias("gap_pct"), (100 * (div(F.col(close), before) - 1)).alias("close_pct"))
+    return g.where(F.abs("gap_pct") > 100 * least)
+
+
+def volatility_steps(panel: DataFrame, entity: str, time: str, price: str, windows: DataFrame, base: int = 9000, rows: int = 1260, ref: int = 200, floor: int = 2000, ceil: int = 20000, year: int = 252) -> DataFrame:
+    """(entity, steps): base times an entity's volatility over the median one and the root of its windows over ``ref``, rounded and held between floor and ceil; base where there is no volatility.
+
+    Volatility is that of the last ``rows`` log returns between prices above 1, of which there must be ten, with three
+    returns. windows: (entity, windows), all entities that get steps.
+    """
+    p = panel.where(F.col(price) > 1).withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(entity)), "_r": F.log(div(F.col(price), F.lag(price).over(over(entity, time))))}).where("_r IS NOT NULL")
+    p = p.withColumn("_rn", F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(time)))).where(F.col("_rn") <= rows)
+    v = cut(p.groupBy(entity).agg(F.when((F.max("_n") >= 10) & (F.count(F.lit(1)) >= 3), F.stddev_samp("_r") * year**0.5).alias("_v")), "volatility")
+    told = windows.join(v, entity, "left").join(F.broadcast(quantiles(v, [], "_v", {"_med": 0.5})), how="left")  # one row
+    steps = F.bround(base * (F.col("_v") / F.col("_med")) * F.sqrt(F.col("windows") / ref))
+    return told.select(entity, F.when((F.col("_med") > 0) & F.col("_v").isNotNull(), F.least(F.greatest(steps, F.lit(float(floor))), F.lit(float(ceil)))).otherwise(F.lit(float(base))).cast("long").alias("steps"))

@@ -77,9 +77,9 @@ def w43_split_windows(spark, d):
 
 
 @query(""", x AS (SELECT entity, date, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM bars), f AS (SELECT *, unnest([0, 1, 2, 3]) AS fold FROM x), b AS (SELECT *, fold * n // 4 + 1 AS lo, (fold + 1) * n // 4 AS hi FROM f)
- SELECT entity, date, fold, CASE WHEN rn BETWEEN lo AND hi THEN 'test' WHEN rn < lo - 2 OR rn > hi + 2 THEN 'train' ELSE 'purged' END AS part FROM b""", "bars")
+ SELECT entity, date, fold, CASE WHEN rn BETWEEN lo AND hi THEN 'test' WHEN rn < lo - 2 OR rn > hi + 2 THEN 'train' ELSE 'purged' END AS part FROM b WHERE hi - lo + 1 >= 20 AND greatest(lo - 1 - 2, 0) + greatest(n - hi - 2, 0) >= 60""", "bars")
 def w44_purged_folds(spark, d):
-    return backtest.purged_folds(bars(spark, d), "entity", "date", 4, 2).select("entity", "date", "fold", "part")
+    return backtest.purged_folds(bars(spark, d), "entity", "date", 4, 2, 60, 20).select("entity", "date", "fold", "part")
 
 
 @query(""", s AS (SELECT b.entity, sector, date, price FROM bars b JOIN sect USING (entity)), px AS (SELECT sector, date, avg(price) AS p FROM s GROUP BY 1, 2), f AS (SELECT entity, sector, min(date) AS fd, min_by(price, date) AS v, count(*) AS n FROM s GROUP BY 1, 2),
@@ -169,8 +169,8 @@ _EMA = """, n AS (SELECT entity, date, price, row_number() OVER w AS k, price -
  cr AS (SELECT *, near - far AS gap, lag(near - far) OVER (PARTITION BY entity ORDER BY date) AS was FROM mv)"""
 
 
-@query(_EMA + """ SELECT entity, date, CASE WHEN k > 14 THEN round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 5) END AS rsi, round(f - s, 5) AS macd, round(g, 5) AS macd_signal, round(f - s - g, 5) AS macd_hist, round(near + 2 * sd, 5) AS bb_upper, round(near - 2 * sd, 5) AS bb_lower,
- CASE WHEN sd > 0 THEN round((price - near) / (2 * sd), 5) END AS bollinger, round(near, 5) AS sma_short, round(far, 5) AS sma_long, CASE WHEN gap > 0 AND was <= 0 THEN 1 WHEN gap < 0 AND was >= 0 THEN -1 ELSE 0 END AS sma_cross, date = max(date) OVER (PARTITION BY entity) AS newest FROM rec JOIN cr USING (entity, date)""", "bars")
+@query(_EMA + """ SELECT entity, date, CASE WHEN k > 14 THEN round(CASE WHEN down <> 0 THEN 100 - 100 / (1 + up / down) END, 5) END AS rsi, round(f - s, 5) AS macd, round(g, 5) AS macd_signal, round(f - s - g, 5) AS macd_hist, round(near + 2 * sd, 5) AS bb_upper, round(near - 2 * sd, 5) AS bb_lower,
+ CASE WHEN sd > 0 THEN round((price - (near - 2 * sd)) / (4 * sd), 5) END AS bollinger, round(near, 5) AS sma_short, round(far, 5) AS sma_long, CASE WHEN gap > 0 AND was <= 0 THEN 1 WHEN gap < 0 AND was >= 0 THEN -1 ELSE 0 END AS sma_cross, date = max(date) OVER (PARTITION BY entity) AS newest FROM rec JOIN cr USING (entity, date)""", "bars")
 def w15_indicators(spark, d):
     """All rows; ``newest`` marks each entity's last one, the report of the current state."""
     out = grouped.indicators(bars(spark, d), "entity", "date", "price")
@@ -179,7 +179,7 @@ def w15_indicators(spark, d):
 
 
 @query(""", n AS (SELECT entity, date, row_number() OVER w AS k, greatest(high - low, abs(high - lag(price) OVER w), abs(low - lag(price) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)),
- rec AS (SELECT entity, date, k, tr AS atr FROM n WHERE k = 1 UNION ALL SELECT n.entity, n.date, n.k, atr + (n.tr - atr) / 14 FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1) SELECT entity, date, round(atr, 5) AS atr FROM rec""", "bars")
+ rec AS (SELECT entity, date, k, tr AS atr FROM n WHERE k = 1 UNION ALL SELECT n.entity, n.date, n.k, atr + (n.tr - atr) / 14 FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1) SELECT entity, date, CASE WHEN k >= 14 THEN round(atr, 5) END AS atr FROM rec""", "bars")
 def w16_average_true_range(spark, d):
     return grouped.average_true_range(windows.true_range(bars(spark, d), "entity", "date", "high", "low", "price"), "entity", "date", "tr").select("entity", "date", F.round("atr", 5).alias("atr"))
 

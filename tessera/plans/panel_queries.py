@@ -28,11 +28,11 @@ def w03_fisher_chain(spark, d):
     return _chain(spark, d).select("region", "date", "n_items", *r6(*index.KINDS))
 
 
-@query(_LEVEL + """, x AS (SELECT region, date, fisher_p AS p, fisher_q AS q, fisher_p * fisher_q AS n, lag(fisher_p) OVER w AS p0, lag(fisher_q) OVER w AS q0, lag(fisher_p, 21) OVER w AS p21, lag(fisher_q, 21) OVER w AS q21 FROM level WINDOW w AS (PARTITION BY region ORDER BY date))
+@query(_LEVEL + """, x AS (SELECT region, date, fisher_p AS p, fisher_q AS q, fisher_p * fisher_q AS n, lag(fisher_p) OVER w AS p0, lag(fisher_q) OVER w AS q0, lag(fisher_p, k) OVER w AS p21, lag(fisher_q, k) OVER w AS q21, k FROM (SELECT *, least(21, greatest(5, count(*) OVER (PARTITION BY region) // 10)) AS k FROM level) WINDOW w AS (PARTITION BY region ORDER BY date))
  SELECT region, date, round(p / p0 - 1, 6) AS rate_p, round(q / q0 - 1, 6) AS rate_q, round(n / (p0 * q0) - 1, 6) AS rate_n, abs(round(n / (p0 * q0) - (p / p0) * (q / q0), 6)) AS gap, round(p / 100, 6) AS cum_p, round(q / 100, 6) AS cum_q,
- round(100 * (pow(p / p21, 12 / 21.0) - 1), 5) AS ann_p, round(100 * (pow(q / q21, 12 / 21.0) - 1), 5) AS ann_q, round(100 * (pow(n / (p21 * q21), 12 / 21.0) - 1), 5) AS ann_n FROM x""", "bars", "sect")
+ round(100 * (pow(p / p21, 12.0::DOUBLE / k) - 1), 5) AS ann_p, round(100 * (pow(q / q21, 12.0::DOUBLE / k) - 1), 5) AS ann_q, round(100 * (pow(n / (p21 * q21), 12.0::DOUBLE / k) - 1), 5) AS ann_n FROM x""", "bars", "sect")
 def w23_rate_decomposition(spark, d):
-    out = index.rates(_chain(spark, d), ["region"], "date", 21, 12)
+    out = index.rates(_chain(spark, d), ["region"], "date", 12)
     return out.select("region", "date", *r6("rate_p", "rate_q", "rate_n"), F.abs(F.round("gap", 6)).alias("gap"), *r6("cum_p", "cum_q"), *[F.round(c, 5).alias(c) for c in ("ann_p", "ann_q", "ann_n")])
 
 

@@ -60,11 +60,13 @@ def a12_index_backtest(spark, d):
     return s.select("basket", F.round("ann_ret", 6).alias("ret"), F.round("ann_vol", 6).alias("vol"), F.round(F.col("ann_ret") - F.col("bench"), 6).alias("excess"), *r6("max_dd"), F.round(div(F.col("ann_ret"), F.abs("max_dd")), 5).alias("calmar"), F.rank().over(Window.orderBy(F.desc(F.round("sharpe", 9)))).cast("long").alias("rank"))
 
 
-@query(""", c AS (SELECT entity, date, r, exp(sum(r) OVER (PARTITION BY entity ORDER BY date)) AS cum FROM rets WHERE r IS NOT NULL), x AS (SELECT *, cum / max(cum) OVER (PARTITION BY entity ORDER BY date) - 1 AS dd FROM c)
+@query(""", c AS (SELECT entity, date, r, exp(sum(r) OVER (PARTITION BY entity ORDER BY date)) AS cum FROM rets WHERE r IS NOT NULL), x AS (SELECT *, cum / max(cum) OVER (PARTITION BY entity ORDER BY date) - 1 AS dd FROM c), t AS (SELECT l_suppkey AS entity, l_extendedprice * (l_discount - l_tax) AS pnl FROM lineitem), h AS (SELECT entity, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) AS hit_rate, sum(pnl) FILTER (pnl > 0) / abs(nullif(sum(pnl) FILTER (pnl < 0), 0)) AS profit_factor FROM t GROUP BY 1)
  SELECT entity, round(avg(r) * 252 / (stddev_samp(r) * sqrt(252)), 6) AS sharpe, round(avg(r) * 252 / (stddev_samp(r) FILTER (r < 0) * sqrt(252)), 6) AS sortino, round(min(dd), 6) AS max_dd, round(CASE WHEN min(dd) < 0 THEN avg(r) * 252 / abs(min(dd)) END, 5) AS calmar,
- round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END), 6) AS hit_rate, round(sum(r) FILTER (r > 0) / abs(sum(r) FILTER (r < 0)), 6) AS profit_factor, round(avg(abs(r)) * 252, 6) AS turnover, count(*) AS n FROM x GROUP BY 1""", "rets")
+ round(max(hit_rate), 6) AS hit_rate, round(max(profit_factor), 6) AS profit_factor, round(avg(abs(r)) * 252, 6) AS turnover, count(*) AS n FROM x LEFT JOIN h USING (entity) GROUP BY 1 HAVING count(*) >= 5""", "rets")
 def a13_performance_metrics(spark, d):
-    return risk.full_metrics(rets(spark, d), ["entity"], "date", "r").select("entity", *r6("sharpe", "sortino", "max_dd"), F.round("calmar", 5).alias("calmar"), *r6("hit_rate", "profit_factor", "turnover"), "n")
+    """Returns of each supplier; its lines are the trades, what they give less the tax their profit."""
+    trades = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), (F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))).alias("pnl"))
+    return risk.full_metrics(rets(spark, d), ["entity"], "date", "r", trades, "pnl").select("entity", *r6("sharpe", "sortino", "max_dd"), F.round("calmar", 5).alias("calmar"), *r6("hit_rate", "profit_factor", "turnover"), "n")
 
 
 @query("SELECT entity, round(avg(price * qty), 2) AS adv, round(avg(price * qty) * 0.05 / 0.2, 2) AS capacity FROM bars GROUP BY 1", "bars")
@@ -189,19 +191,19 @@ def a21_entity_risk(spark, d):
 _MOM = """, b AS (SELECT entity, date, price, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM bars), px AS (SELECT entity, max(price) FILTER (rn = 1) AS z, max(price) FILTER (rn = 2) AS p1, max(price) FILTER (rn = 4) AS p3, max(price) FILTER (rn = 7) AS p6, max(price) FILTER (rn = 13) AS p12 FROM b GROUP BY 1),
  k AS (SELECT entity, date, r, m, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM rets JOIN market USING (date) WHERE r IS NOT NULL), be AS (SELECT entity, covar_samp(r, m) / var_samp(m) AS beta FROM k GROUP BY 1 HAVING count(*) > 12), re AS (SELECT entity, avg(r - beta * m) FILTER (rn <= 3) * 3 AS resid3 FROM k JOIN be USING (entity) GROUP BY 1),
  g AS (SELECT entity, z / p1 - 1 AS m1, z / p3 - 1 AS m3, z / p6 - 1 AS m6, z / p12 - 1 AS m12, p1 / p12 - 1 AS m12_1, resid3 FROM px LEFT JOIN re USING (entity)),
- s AS (SELECT *, round((""" + " + ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 0)" for c in ("m1", "m3", "m6", "m12_1", "resid3")) + """) / 5, 6) AS score FROM g),
+ s AS (SELECT *, round((""" + " + ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 0)" for c in ("m1", "m3", "m6", "m12_1", "resid3")) + ") / nullif(" + " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in ("m1", "m3", "m6", "m12_1", "resid3")) + """, 0), 6) AS score FROM g),
  q AS (SELECT *, CAST(1 + floor((row_number() OVER (ORDER BY score, entity) - 1) * 5 / count(*) OVER ()) AS INTEGER) AS bucket FROM s)"""
 
 
 def _momentum(spark, d):
-    """Returns over 1, 3, 6 and 12 rows, 12 less the newest, residual of the market over 3, their mean z-score and its fifths of equal number."""
+    """Returns over 1, 3, 6 and 12 rows, 12 less the newest, residual of the market over 3, the mean z-score of those that an entity has and its fifths of equal number."""
     b = bars(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("date"))))
     at = lambda n: F.max(F.when(F.col("rn") == n + 1, F.col("price")))
     g = b.where("rn <= 13").groupBy("entity").agg(*[(div(at(0), at(k)) - 1).alias(f"m{k}") for k in (1, 3, 6, 12)], (div(at(1), at(12)) - 1).alias("m12_1"))
     resid = peers.residual_momentum(rets(spark, d).join(market(spark, d), "date"), "entity", "date", "r", "m", 3, 12).withColumnRenamed("resid", "resid3")
     parts = ["m1", "m3", "m6", "m12_1", "resid3"]
     x = with_zscores(cut(g.join(resid, "entity", "left"), "momentum"), {f"z_{c}": c for c in parts})
-    x = cut(x.withColumn("score", F.round(sum((F.col(f"z_{c}") for c in parts), F.lit(0.0)) / len(parts), 6)).drop(*[f"z_{c}" for c in parts]), "scores")
+    x = cut(x.withColumn("score", F.round(div(sum((F.col(f"z_{c}") for c in parts), F.lit(0.0)), sum((F.col(c).isNotNull().cast("int") for c in parts), F.lit(0))), 6)).drop(*[f"z_{c}" for c in parts]), "scores")
     return peers.even_buckets(x, ["score", "entity"], 5)
 
 
@@ -518,10 +520,20 @@ def a54_kelly(spark, d):
     return g.select("entity", F.round(risk.kelly(F.col("mu"), F.col("sd"), F.lit(0.001)), 5).alias("continuous"), F.round(risk.binary_kelly(F.col("p"), F.col("b")), 6).alias("binary"))
 
 
-@query(""", x AS (SELECT entity, ((high + low) / 2) / lag(price) OVER w - 1 AS g, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date)) SELECT entity, round(stddev_samp(g), 6) AS gap_std, round(stddev_samp(r), 6) AS ret_std, round(var_samp(g) / var_samp(r), 6) AS variance_share, round(avg(CASE WHEN abs(g) > 0.02 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0 END), 6) AS over_2, round(avg(CASE WHEN abs(g) > 0.05 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0 END), 6) AS over_5, round(min(g), 6) AS worst FROM x GROUP BY 1""", "bars")
+_GAPS = """, x AS (SELECT entity, date, ((high + low) / 2) / lag(price) OVER w - 1 AS g, price / lag(price) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date))"""
+
+
+@query(_GAPS + """ SELECT entity, count(g) AS n, round(avg(g), 6) AS mean_gap, round(stddev_samp(g), 6) AS gap_std, round(stddev_samp(r), 6) AS ret_std, round(var_samp(g) / var_samp(r), 6) AS variance_share, round(avg(CASE WHEN abs(g) > 0.03 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0 END), 6) AS over_3, round(avg(CASE WHEN abs(g) > 0.05 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0 END), 6) AS over_5, round(max(abs(g)), 6) AS largest, round(min(g), 6) AS worst FROM x GROUP BY 1 HAVING count(g) >= 30""", "bars")
 def a55_gap_profile(spark, d):
     b = bars(spark, d).withColumn("opened", (F.col("high") + F.col("low")) / 2)
-    return risk.gaps(b, "entity", "date", "opened", "price").select("entity", *r6("gap_std", "ret_std", "variance_share", "over_2", "over_5", "worst"))
+    return risk.gaps(b, "entity", "date", "opened", "price", "n").where("n >= 30").select("entity", "n", *r6("mean_gap", "gap_std", "ret_std", "variance_share", "over_3", "over_5", "largest", "worst"))
+
+
+@query(_GAPS + " SELECT entity, date, round(100 * g, 4) AS gap_pct, round(100 * r, 4) AS close_pct FROM x WHERE abs(g) > 0.05", "bars")
+def a55_gap_events(spark, d):
+    """Every gap of over 5 %, with the whole move."""
+    b = bars(spark, d).withColumn("opened", (F.col("high") + F.col("low")) / 2)
+    return risk.gap_events(b, "entity", "date", "opened", "price").select("entity", "date", F.round("gap_pct", 4).alias("gap_pct"), F.round("close_pct", 4).alias("close_pct"))
 
 
 @query(""", x AS (SELECT entity, abs(r) AS x, row_number() OVER (PARTITION BY entity ORDER BY abs(r) DESC) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM rets WHERE abs(r) > 0), t AS (SELECT *, least(greatest(5, floor(0.1 * n)), n - 1) AS k FROM x) SELECT entity, CAST(max(k) AS BIGINT) AS k, round(max(k) / (sum(ln(x)) - max(k) * ln(min(x))), 6) AS alpha FROM t WHERE rn <= k GROUP BY 1""", "rets")
@@ -764,9 +776,9 @@ def w45_majority_regime(spark, d):
     return regimes.majority(regime(spark, d), None, "date", "regime", 20).select("date", "majority")
 
 
-@query(", v AS (SELECT entity, stddev_samp(r) AS vol FROM rets GROUP BY 1) SELECT entity, CAST(round(least(greatest(1000 * vol / (SELECT median(vol) FROM v), 250), 4000), 2) AS DOUBLE) AS steps FROM v", "rets")
+@query(""", p AS (SELECT entity, date, price, count(*) OVER (PARTITION BY entity) AS n, ln(price / lag(price) OVER (PARTITION BY entity ORDER BY date)) AS lr FROM bars WHERE price > 1), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM p WHERE lr IS NOT NULL), v AS (SELECT entity, CASE WHEN max(n) >= 10 AND count(*) >= 3 THEN stddev_samp(lr) * sqrt(252) END AS vol FROM k WHERE rn <= 60 GROUP BY 1), w AS (SELECT entity, count(*) AS windows FROM bars GROUP BY 1), m AS (SELECT median(vol) AS med FROM v)
+ SELECT w.entity, CASE WHEN vol IS NULL THEN 1000 ELSE CAST(least(greatest(round_even(1000 * (vol / med) * sqrt(windows / 60.0::DOUBLE), 0), 250), 4000) AS BIGINT) END AS steps FROM w LEFT JOIN v USING (entity), m""", "bars")
 def w39_volatility_allocation(spark, d):
-    v = rets(spark, d).groupBy("entity").agg(F.stddev_samp("r").alias("vol"))
-    v = cut(v, "volatility")
-    m = quantiles.medians(v, [], "vol", "med")
-    return v.join(F.broadcast(m)).select("entity", F.round(F.least(F.greatest(1000 * F.col("vol") / F.col("med"), F.lit(250.0)), F.lit(4000.0)), 2).alias("steps"))
+    b = bars(spark, d)
+    windows_ = b.groupBy("entity").agg(F.count(F.lit(1)).alias("windows"))
+    return risk.volatility_steps(b, "entity", "date", "price", windows_, base=1000, rows=60, ref=60, floor=250, ceil=4000).select("entity", "steps")

@@ -142,6 +142,12 @@ def p04_suspected_splits(spark, d):
     return clean.suspected_splits(bars(spark, d), "entity", "date", "high").select("entity", "date", *r6("ratio", "split"))
 
 
+@query(""", x AS (SELECT entity, date, high / lag(high) OVER (PARTITION BY entity ORDER BY date) AS q FROM bars), y AS (SELECT q, list_bool_or(list_transform([0.5, 2.0, 1 / 3.0, 3.0, 0.25, 4.0, 0.2, 5.0], lambda t : abs(q - t) / t < 0.03)) AS split FROM x WHERE q IS NOT NULL)
+ SELECT count(*) AS n, round(avg(CASE WHEN abs(q - 1) > 0.1 THEN 1.0 ELSE 0 END), 6) AS over_10, round(avg(CASE WHEN abs(q - 1) > 0.25 THEN 1.0 ELSE 0 END), 6) AS over_25, round(avg(CASE WHEN abs(q - 1) > 0.35 THEN 1.0 ELSE 0 END), 6) AS over_35, count(*) FILTER (split) AS splits FROM y""", "bars")
+def p04_jump_summary(spark, d):
+    return clean.jump_summary(bars(spark, d), "entity", "date", "high").select("n", *r6("over_10", "over_25", "over_35"), "splits")
+
+
 @query(""", x AS (SELECT entity, date, price, CASE WHEN floor(price / 1000) = lag(floor(price / 1000)) OVER (PARTITION BY entity ORDER BY date) THEN 0 ELSE 1 END AS chg FROM bars), y AS (SELECT *, sum(chg) OVER (PARTITION BY entity ORDER BY date) AS isl FROM x),
  z AS (SELECT entity, isl, count(*) AS n FROM y GROUP BY 1, 2) SELECT entity, max(n) AS longest FROM z GROUP BY 1 HAVING max(n) >= 3""", "bars")
 def p05_flat_runs(spark, d):

@@ -18,12 +18,12 @@ def ann_stats(rets: DataFrame, by: list[str], r: str, rf: float = 0.04, periods:
 
 
 def full_metrics(rets: DataFrame, by: list[str], time: str, r: str, trades: DataFrame | None = None, pnl: str | None = None, year: int = 252, least: int = 5) -> DataFrame:
-    """Sharpe, Sortino and Calmar ratios, the deepest drawdown of exp(cumulated returns), turnover and n; hit rate and profit factor of the trades (by, pnl), null without trades or losses. Groups of fewer than ``least`` returns are left out."""
+    """Yearly return and volatility, Sharpe, Sortino and Calmar ratios, the deepest drawdown of exp(cumulated returns), turnover and n; hit rate and profit factor of the trades (by, pnl), null without trades or losses. Groups of fewer than ``least`` returns are left out."""
     w = so_far(by, time)
     x = rets.where(F.col(r).isNotNull()).withColumn("_c", F.exp(F.sum(r).over(w)))
     x = x.withColumn("_dd", F.col("_c") / F.max("_c").over(w) - 1)
     ret, root = F.avg(r) * year, year**0.5
-    g = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), div(ret, F.stddev_samp(r) * root).alias("sharpe"), div(ret, F.stddev_samp(F.when(F.col(r) < 0, F.col(r))) * root).alias("sortino"), F.min("_dd").alias("max_dd"), F.when(F.min("_dd") < 0, div(ret, F.abs(F.min("_dd")))).alias("calmar"), (F.avg(F.abs(r)) * year).alias("turnover")).where(F.col("n") >= least)
+    g = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ret.alias("ann_ret"), (F.stddev_samp(r) * root).alias("ann_vol"), div(ret, F.stddev_samp(r) * root).alias("sharpe"), div(ret, F.stddev_samp(F.when(F.col(r) < 0, F.col(r))) * root).alias("sortino"), F.min("_dd").alias("max_dd"), F.when(F.min("_dd") < 0, div(ret, F.abs(F.min("_dd")))).alias("calmar"), (F.avg(F.abs(r)) * year).alias("turnover")).where(F.col("n") >= least)
     if trades is None:
         return g.withColumns({"hit_rate": F.lit(None).cast("double"), "profit_factor": F.lit(None).cast("double")})
     p = F.col(pnl)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import unit_root_p
-from tessera.operators import alerts, backtest, fundamentals, grouped, pairs, windows
+from tessera.operators import alerts, backtest, fundamentals, grouped, pairs, returns, windows
 from tessera.plans.common import bars, fund, latest, query, r6, rets, sect
 from tessera.registry import table
 from tessera.streaming import panels
@@ -193,10 +193,10 @@ def w36_local_level_filter(spark, d):
     return grouped.kalman(rets(spark, d), ["entity"], "date", "r").select("entity", "date", *r6("level", "gain", "innovation"))
 
 
-@query(", n AS (SELECT entity, date, CASE WHEN qty > 200 THEN r END AS r, row_number() OVER (PARTITION BY entity ORDER BY date) AS k FROM rets), rec AS (" + _STEP.format(seen="n.r IS NOT NULL") + " FROM n JOIN (SELECT 0.0::DOUBLE AS m, 1.0::DOUBLE AS p) ON n.k = 1 UNION ALL " + _STEP.format(seen="n.r IS NOT NULL") + " FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1) SELECT entity, date, round(m, 6) AS level_x, round(gain, 6) AS gain, round(innovation, 6) AS innovation_x FROM rec", "rets")
+@query(", n AS (SELECT entity, date, CASE WHEN lag(price, 3) OVER (PARTITION BY entity ORDER BY date) IS NOT NULL THEN r END AS r, row_number() OVER (PARTITION BY entity ORDER BY date) AS k FROM rets), rec AS (" + _STEP.format(seen="n.r IS NOT NULL") + " FROM n JOIN (SELECT 0.0::DOUBLE AS m, 1.0::DOUBLE AS p) ON n.k = 1 UNION ALL " + _STEP.format(seen="n.r IS NOT NULL") + " FROM rec JOIN n ON n.entity = rec.entity AND n.k = rec.k + 1) SELECT entity, date, round(m, 6) AS level_x, round(gain, 6) AS gain, round(innovation, 6) AS innovation_x FROM rec", "rets")
 def w36_two_level_filter(spark, d):
-    """The two-dimensional form: a row where either value is missing moves neither level."""
-    x = rets(spark, d).withColumn("y", F.when(F.col("qty") > 200, F.col("price")))
+    """The two-dimensional form, over returns of one and of three rows: a row where either is missing, as in the first three, moves neither level."""
+    x = returns.horizon(rets(spark, d), "entity", "date", "price", 3, "y")
     return grouped.kalman_two(x, ["entity"], "date", "r", "y").select("entity", "date", *r6("level_x", "gain", "innovation_x"))
 
 

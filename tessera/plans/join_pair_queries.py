@@ -58,23 +58,24 @@ def a72_membership_quality(spark, d):
     return g.select("*", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"))
 
 
-@query(", x AS (SELECT entity, count(*) AS n FROM rets GROUP BY 1) SELECT entity, sector, region, n FROM sect LEFT JOIN x USING (entity) WHERE entity IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)", "rets", "sect")
+@query(", x AS (SELECT entity, count(*) AS n FROM rets GROUP BY 1) SELECT entity, sector, region, n FROM sect LEFT JOIN x USING (entity) WHERE entity IN (SELECT l_suppkey FROM lineitem)", "rets", "sect")
 def j02_feature_joins(spark, d):
     x = rets(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    big = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("entity"))
-    return sect(spark, d).join(x, "entity", "left").join(big, "entity", "left_semi").select("entity", "sector", "region", "n")  # J05: the semi join
+    traded = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"))
+    return sect(spark, d).join(x, "entity", "left").join(traded, "entity", "left_semi").select("entity", "sector", "region", "n")  # J05: the semi join
 
 
-@query(", a AS (SELECT entity, roe FROM latest WHERE roe > 0.16), b AS (SELECT entity, pb FROM latest WHERE pb > 1) SELECT coalesce(a.entity, b.entity) AS entity, round(roe, 6) AS roe, round(pb, 6) AS pb FROM a FULL JOIN b ON a.entity = b.entity", "latest")
+@query(", a AS (SELECT entity, roe, pb FROM latest) SELECT coalesce(a.entity, sect.entity) AS entity, round(roe, 6) AS roe, round(pb, 6) AS pb, region FROM a FULL JOIN sect ON a.entity = sect.entity", "latest", "sect")
 def j03_full_outer_latest(spark, d):
-    x = latest(spark, d)
-    return x.where("roe > 0.16").select("entity", "roe").join(x.where("pb > 1").select("entity", "pb"), "entity", "full_outer").select("entity", *r6("roe", "pb"))
+    """Newest ratios of customers beside the suppliers of their numbers: customers without a supplier, suppliers whose customer has no orders."""
+    return latest(spark, d).select("entity", "roe", "pb").join(sect(spark, d).select("entity", "region"), "entity", "full_outer").select("entity", *r6("roe", "pb"), "region")
 
 
-@query(""", a AS (SELECT date, entity, r FROM rets WHERE qty > 150), b AS (SELECT date, entity, high - low AS spread FROM bars WHERE high > 2000) SELECT date, entity, round(r, 6) AS r, round(spread, 6) AS spread FROM a FULL JOIN b USING (date, entity)""", "rets")
+@query(""", a AS (SELECT date, entity, r FROM rets WHERE r IS NOT NULL), b AS (SELECT CAST(date + INTERVAL 1 MONTH AS DATE) AS date, entity, high - low AS spread FROM bars) SELECT date, entity, round(r, 6) AS r, round(spread, 6) AS spread FROM a FULL JOIN b USING (date, entity)""", "rets")
 def j04_factor_outer_join(spark, d):
-    a = rets(spark, d).where("qty > 150").select("date", "entity", "r")
-    b = bars(spark, d).where("high > 2000").select("date", "entity", (F.col("high") - F.col("low")).alias("spread"))
+    """Returns beside the spread of the month before: each has dates that the other lacks."""
+    a = rets(spark, d).where("r IS NOT NULL").select("date", "entity", "r")
+    b = bars(spark, d).select(F.add_months("date", 1).alias("date"), "entity", (F.col("high") - F.col("low")).alias("spread"))
     return a.join(b, ["date", "entity"], "full_outer").select("date", "entity", *r6("r", "spread"))
 
 
@@ -118,9 +119,9 @@ def j13_exogenous_fill(spark, d):
     return returns.forward_fill(bars(spark, d).join(e, "date", "left"), "entity", "date", "m").select("entity", "date", *r6("m"))
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS entity, o.k IS NOT NULL AS member, coalesce(n_name, 'none') AS place FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 450000) o ON c_custkey = o.k LEFT JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT CAST(c_custkey AS BIGINT) AS entity, o.k IS NOT NULL AS member, coalesce(n_name, 'none') AS place FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c_custkey = o.k LEFT JOIN nation ON c_nationkey = n_nationkey")
 def j14_reconcile_dimension(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("m", F.lit(True))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("m", F.lit(True))
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return table(spark, d, "customer").join(o, "c_custkey", "left").join(n, "c_nationkey", "left").select(F.col("c_custkey").alias("entity"), F.col("m").isNotNull().alias("member"), F.coalesce("n_name", F.lit("none")).alias("place"))
 

@@ -56,11 +56,13 @@ def w01_date_pairs(spark, d):
     return returns.date_pairs(table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")), "date")
 
 
-@query(""", gappy AS (SELECT entity, date, CASE WHEN qty > 200 THEN price END AS price FROM bars)
- SELECT entity, date, round(last_value(price IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS price FROM gappy""", "bars")
+@query(""", g AS (SELECT entity, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 MONTH)) AS DATE) AS date FROM bars GROUP BY 1) SELECT g.entity, g.date, round(last_value(price IGNORE NULLS) OVER (PARTITION BY g.entity ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS price, price IS NULL AS filled FROM g LEFT JOIN bars USING (entity, date)""", "bars")
 def w02_forward_fill(spark, d):
-    gappy = bars(spark, d).select("entity", "date", F.when(F.col("qty") > 200, F.col("price")).alias("price"))
-    return returns.forward_fill(gappy, "entity", "date", "price").select("entity", "date", *r6("price"))
+    """Every month between an entity's first and last; those without a bar take the one before."""
+    b = bars(spark, d)
+    grid = b.groupBy("entity").agg(F.explode(F.sequence(F.min("date"), F.max("date"), F.expr("INTERVAL 1 MONTH"))).alias("date"))
+    whole = grid.join(b.select("entity", "date", "price"), ["entity", "date"], "left").withColumn("filled", F.col("price").isNull())
+    return returns.forward_fill(whole, "entity", "date", "price").select("entity", "date", *r6("price"), "filled")
 
 
 @query("SELECT entity, date, round(r, 6) AS r, round(lr, 6) AS lr FROM rets", "rets")

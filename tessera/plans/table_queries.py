@@ -64,10 +64,11 @@ def s08_rescale_detection(spark, d):
     return src.rescaled(one(li), one(new), keys, "entity", "v", 0.01).withColumn("shift", F.round("shift", 6))
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS entity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)")
+@query("SELECT doc_id AS entity FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def s10_coverage_gap(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"))
-    return src.uncovered(c, table(spark, d, "orders").where("o_totalprice > 490000").select(F.col("o_custkey").alias("entity")), "entity")
+    """Documents that no label covers."""
+    members = table(spark, d, "documents").select(F.col("doc_id").alias("entity"))
+    return src.uncovered(members, table(spark, d, "labels").select(F.col("doc_id").alias("entity")), "entity")
 
 
 @query("SELECT '{\"o_orderkey\":' || o_orderkey || ',\"date\":\"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '\",\"flag\":' || CASE WHEN o_totalprice > 250000 THEN 'null' ELSE '1.5' END || '}' AS record FROM orders")

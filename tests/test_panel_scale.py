@@ -140,3 +140,30 @@ def test_one_key_is_spread_over_its_ranges(spark):
         assert carry(df, ["k"], "t", ["x"]).where("x <> floor(datediff(t, DATE '2000-01-01') / 10) * 10").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("block", [60, 97, 5000])
+def test_scans_equal_the_steps_through_whole_series(spark, monkeypatch, block):
+    from tessera.operators import grouped, scans
+
+    monkeypatch.setattr(scans, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for e, n in ((1, 1000), (2, 61), (3, 5), (4, 1), (None, 130)):
+        p = 100.0
+        for t in range(n):
+            p = max(1.0, p + rng.choice([0, rng.gauss(0, 1)]))
+            rows.append((e, datetime.date(2000, 1, 1) + datetime.timedelta(t), p, None if rng.random() < 0.2 else rng.gauss(0, 0.02)))
+    df = spark.createDataFrame(rows, "e int, t date, p double, r double")
+    names = "rsi macd macd_signal macd_hist bb_upper bb_lower bollinger sma_short sma_long sma_cross".split()
+    same(scans.indicators(df, "e", "t", "p", 14, 12, 26, 9, 20, 20, 50), grouped.indicators(df, "e", "t", "p").select("e", "t", *names), 2)
+    level = scans.local_level(scans.blocked(df, ["e"], "t", ["r"]), ["e"], "r", 1e-5, 1e-3)
+    same(level, grouped.kalman(df, ["e"], "t", "r").select("e", "t", "level", "gain", "innovation"), 2)
+    monkeypatch.setattr(scans, "LONG_SERIES", 500)
+    assert scans.is_long(df, ["e"]) and not scans.is_long(df.where("e <> 1"), ["e"])
+    if block == 97:  # the operators take the scan where a series is long
+        same(grouped.average_true_range(df, "e", "t", "p"), grouped.per_series(df, ["e"], "t", ["p"], "atr double", lambda s: {"atr": np.where(s.row >= 13, grouped.ema(s, s.values("p"), 1 / 14), np.nan)}), 2)
+        same(grouped.kalman(df, ["e"], "t", "r").select("e", "t", "level", "gain", "innovation"), level.select("e", "t", "level", "gain", "innovation"), 2)
+        two = grouped.kalman_two(df, ["e"], "t", "r", "p")
+        monkeypatch.setattr(scans, "LONG_SERIES", 10**9)
+        same(two, grouped.kalman_two(df, ["e"], "t", "r", "p"), 2)

@@ -75,17 +75,25 @@ class Side:
 
 
 def _links(group: np.ndarray, ids: np.ndarray, other_group: np.ndarray, other_ids: np.ndarray) -> pa.Table:
-    """(group, a, b, n): the pairs of ids in each group. Groups of many links are counted by id first, so equal ids meet once."""
+    """(group, a, b, n): the pairs of ids in each group, tokens given in order of their groups.
+
+    Groups of one token each way, which are most, are pairs as they stand; the others are joined. Groups of many links
+    are counted by id first, so equal ids meet once.
+    """
     n = int(max(group[-1], other_group[-1])) + 1
-    large = np.bincount(group, minlength=n) * np.bincount(other_group, minlength=n) > LARGE_GROUP
+    left, right = np.bincount(group, minlength=n), np.bincount(other_group, minlength=n)
+    one, large = (left == 1) & (right == 1), left * right > LARGE_GROUP
 
     def side(g: np.ndarray, x: np.ndarray, name: str, big: bool) -> pa.Table:
-        here = large[g] if big else ~large[g]
+        here = large[g] if big else ~(large | one)[g]
         t = pa.table({"group": g[here], name: x[here]})
         return t.group_by(["group", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"]) if big else t
 
+    single = one[group]
+    plain = pa.table({"group": group[single], "a": ids[single], "b": other_ids[one[other_group]]})
     few = side(group, ids, "a", False).join(side(other_group, other_ids, "b", False), "group", join_type="inner", use_threads=False)
-    few = few.select(["group", "a", "b"]).append_column("n", pa.array(np.ones(len(few), np.int64)))
+    few = pa.concat_tables([plain, few.select(["group", "a", "b"])])
+    few = few.append_column("n", pa.array(np.ones(len(few), np.int64)))
     if not large.any():
         return few
     many = side(group, ids, "a", True).join(side(other_group, other_ids, "b", True), "group", join_type="inner", use_threads=False)

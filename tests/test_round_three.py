@@ -39,3 +39,10 @@ def test_a_basket_without_a_drawdown_has_an_infinite_ratio(spark, tmp_path):
     d = tables(tmp_path, {2: 0, 3: 2, 4: 2}, lineitem=lines(rising | {4: [100 - m for m in range(30)]}))
     got, want = both(spark, "a12_index_backtest", d)
     assert got == want and float("inf") in {r[5] for r in got}
+
+
+def test_equal_means_of_a_ratio_of_counts_make_no_shift(spark, tmp_path):
+    rows = [(c, q) for c, counts in enumerate([(1, 4, 2, 3), (1, 5, 3, 3), (1, 6, 5, 2), (1, 1, 2, 5)]) for q, n in enumerate(counts) for _ in range(n)]
+    o = pd.DataFrame({"o_orderkey": range(len(rows)), "o_custkey": [r[0] for r in rows], "o_totalprice": [1000.0 + 17 * k for k in range(len(rows))], "o_orderdate": [pd.Timestamp("1994-01-05") + pd.DateOffset(months=3 * r[1]) for r in rows]}).astype({"o_orderdate": "datetime64[us]"})
+    got, want = both(spark, "a30_trend_flags", tables(tmp_path, {1: 0}, orders=o))
+    assert got == want and len(got) == 28  # no customer has four values of roic

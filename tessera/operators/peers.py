@@ -138,12 +138,15 @@ def family_composite(scores: DataFrame, entity: str, families: list[str], weight
 
 
 def average_rolling_beta(rolled: DataFrame, entity: str, group: str, beta: str, time: str, rows: int) -> DataFrame:
-    """Mean of the last rolling betas of each entity with the group's median and the quartile flags."""
+    """Mean of the last rolling betas of each entity with the group's median and the quartile flags.
+
+    Flags compare to 12 decimals: entities with equal series lie on a quartile of theirs, not beside it by how their sums were added up.
+    """
     w = Window.partitionBy(group, entity).orderBy(F.desc(time))
     last = rolled.where(F.col(beta).isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows)
     mean = last.groupBy(group, entity).agg(F.avg(beta).alias("mean_beta"))
     q = mean.groupBy(group).agg(F.median("mean_beta").alias("median_beta"), F.percentile("mean_beta", F.lit(0.25)).alias("_a"), F.percentile("mean_beta", F.lit(0.75)).alias("_z"))
-    return mean.join(q, group).withColumns({"high": F.col("mean_beta") > F.col("_z"), "low": F.col("mean_beta") < F.col("_a")}).drop("_a", "_z")
+    return mean.join(q, group).withColumns({"high": F.round("mean_beta", 12) > F.round("_z", 12), "low": F.round("mean_beta", 12) < F.round("_a", 12)}).drop("_a", "_z")
 
 
 def surprise_bucket(percent: Column) -> Column:

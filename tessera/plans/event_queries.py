@@ -77,9 +77,10 @@ def w43_split_windows(spark, d):
 
 
 @query(""", x AS (SELECT entity, date, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM bars), f AS (SELECT *, unnest([0, 1, 2, 3]) AS fold FROM x), b AS (SELECT *, fold * n // 4 + 1 AS lo, (fold + 1) * n // 4 AS hi FROM f)
- SELECT entity, date, fold, CASE WHEN rn BETWEEN lo AND hi THEN 'test' WHEN rn < lo - 2 OR rn > hi + 2 THEN 'train' ELSE 'purged' END AS part FROM b WHERE hi - lo + 1 >= 20 AND greatest(lo - 1 - 2, 0) + greatest(n - hi - 2, 0) >= 60""", "bars")
+ SELECT entity, date, fold, CASE WHEN rn BETWEEN lo AND hi THEN 'test' WHEN rn < lo - 2 OR rn > hi + 2 THEN 'train' ELSE 'purged' END AS part FROM b""", "bars")
 def w44_purged_folds(spark, d):
-    return backtest.purged_folds(bars(spark, d), "entity", "date", 4, 2, 60, 20).select("entity", "date", "fold", "part")
+    """All four folds of every series, however short."""
+    return backtest.purged_folds(bars(spark, d), "entity", "date", 4, 2, 0, 0).select("entity", "date", "fold", "part")
 
 
 @query(""", s AS (SELECT b.entity, sector, date, price FROM bars b JOIN sect USING (entity)), px AS (SELECT sector, date, avg(price) AS p FROM s GROUP BY 1, 2), f AS (SELECT entity, sector, min(date) AS fd, min_by(price, date) AS v, count(*) AS n FROM s GROUP BY 1, 2),

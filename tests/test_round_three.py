@@ -50,6 +50,11 @@ def test_equal_means_of_a_ratio_of_counts_make_no_shift(spark, tmp_path):
     assert got == want and len(got) == 28  # no customer has four values of roic
 
 
+def test_short_series_have_all_folds(spark, tmp_path):
+    got, want = both(spark, "w44_purged_folds", tables(tmp_path, {1: 0}, lineitem=lines({1: range(100, 110), 2: range(100, 190)})))
+    assert got == want and len(got) == 4 * 100
+
+
 def test_betas_equal_but_for_their_last_bits_lie_on_the_quartile(spark):
     v = np.random.default_rng(3).normal(size=200)
     rolled = spark.createDataFrame([(int(g), e, 1, float(v[g] * (1 + 2e-16 * e))) for g in range(200) for e in range(7)], "g int, e int, t int, beta double")

@@ -201,10 +201,6 @@ def w36_two_level_filter(spark, d):
     return grouped.kalman_two(x, ["entity"], "date", "r", "y").select("entity", "date", *r6("level_x", "gain", "innovation_x"))
 
 
-def _pairs(spark, d):
-    return pairs.paired(rets(spark, d).join(sect(spark, d), "entity"), "entity", "date", "r", ["sector"])
-
-
 def _in_sectors(spark, d):
     return rets(spark, d).join(sect(spark, d).select("entity", "sector"), "entity"), "entity", "date", "r", ["sector"]
 
@@ -221,7 +217,7 @@ def w37_filtered_correlation(spark, d):
 
 @query()
 def a81_lead_lag(spark, d):
-    return grouped.lead_lag(_pairs(spark, d), ["sector", "a", "b"], "date").select("a", "b", "n", *r6("f"))
+    return blocks.lead_lag(*_in_sectors(spark, d)).select("a", "b", "n", *r6("f"))
 
 
 def _spread(spark, d):

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import div, normal_tail, safe_corr
-from tessera.scratch import ordered_prefix
+from tessera.operators.keys import meet
+from tessera.scratch import cut, discard
 
 
 def paired(panel: DataFrame, entity: str, time: str, x: str, by: list[str]) -> DataFrame:
@@ -115,15 +116,30 @@ def corr_p_value(corr: Column, n: Column) -> Column:
     return F.when(F.abs(corr) >= 1, F.lit(0.0)).otherwise(2 * normal_tail(t))
 
 
-def step_up(df: DataFrame, p: str, alpha: float = 0.1, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg step-up over all rows, or over those of each ``by`` group; ``ties`` order equal p-values.
+def step_up_limits(tests: DataFrame, p: str, alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """(by, limit): the largest p-value that the Benjamini-Hochberg step-up over each group's rows lets pass, alpha * k / n with the largest k such that k values are at most that; 0 where none passes but values of 0.
 
-    Ranks come from range partitions and their prefix sums, so pairs, which are many, never meet in one task.
+    From k = n on, each round counts the values below the limit of the round before, which falls to the wanted one: rows
+    are only counted, never put in order. Rows without p are no tests.
     """
-    by, ties = by or [], ties or []
-    placed = ordered_prefix(df, [*by, p, *ties], [], "tests")
-    ends = placed.groupBy(*by).agg(F.min("pos").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    ranked = (placed.join(ends, by) if by else placed.join(F.broadcast(ends))).withColumn("_rank", F.col("pos") - F.col("_lo") + 1)
-    best = ranked.where(F.col(p) <= alpha * F.col("_rank") / F.col("_n")).groupBy(*by).agg(F.max("_rank").alias("_best"))
-    told = ranked.join(best, by, "left") if by else ranked.join(F.broadcast(best), how="left")
-    return told.withColumn("survives", F.coalesce(F.col("_rank") <= F.col("_best"), F.lit(False))).drop("pos", "_rank", "_n", "_lo", "_best")
+    by = by or []
+    given = tests.where(F.col(p).isNotNull() & ~F.isnan(p))
+    now = cut(given.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.col("_n")), "limits")
+    limit = F.lit(alpha) * F.col("_k") / F.col("_n")
+    while True:
+        counted = meet(given.select(*by, p), now, by).groupBy(*by).agg(F.count_if(F.col(p) <= limit).alias("_next"), F.max("_k").alias("_was"), F.max("_n").alias("_n"))
+        then = cut(counted.select(*by, "_n", F.col("_next").alias("_k"), "_was"), "limits")
+        moved = then.where("_k <> _was").limit(1).count()
+        discard(now)
+        now = then.drop("_was")
+        if not moved:
+            return now.select(*by, limit.alias("limit"))
+
+
+def step_up(df: DataFrame, p: str, alpha: float = 0.1, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Benjamini-Hochberg step-up over all rows, or over those of each ``by`` group. Equal p-values share their fate, so ``ties`` (which once ordered them) decide nothing."""
+    by = by or []
+    rows = cut(df, "tests")
+    limits = step_up_limits(rows, p, alpha, by).withColumnRenamed("limit", "_limit")
+    told = meet(rows, limits, by, "left") if by else rows.join(F.broadcast(limits), how="left")
+    return told.withColumn("survives", F.coalesce(F.col(p) <= F.col("_limit"), F.lit(False))).drop("_limit")

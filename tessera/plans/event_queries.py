@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import unit_root_p
 from tessera.operators import alerts, backtest, blocks, fundamentals, grouped, pairs, returns, spreads, windows
 from tessera.plans.common import bars, fund, latest, query, r6, rets, sect
 from tessera.registry import table
+from tessera.scratch import cut
 from tessera.streaming import panels
 
 _B = ", b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date DESC) AS rn FROM bars)"
@@ -220,23 +220,11 @@ def a81_lead_lag(spark, d):
     return blocks.lead_lag(*_in_sectors(spark, d)).select("a", "b", "n", *r6("f"))
 
 
-def _spread(spark, d):
-    """Spreads of all pairs in walk-forward folds: fitted and standardised on each fold's training dates, with both kinds of rows."""
-    b = bars(spark, d).join(sect(spark, d), "entity").withColumn("lp", F.log("price"))
+def _spreads(spark, d):
+    """Logarithms of prices inside sectors, walk-forward folds of their dates and the trade rule."""
+    b = bars(spark, d).join(sect(spark, d).select("entity", "sector"), "entity").withColumn("lp", F.log("price"))
     folds = backtest.fold_dates(b, "date", folds=2, lookback=36, test=18)
-    p = pairs.paired(b, "entity", "date", "lp", ["sector"]).join(F.broadcast(folds), "date")
-    fit = pairs.pair_stats(p.where("train"), ["fold"], 20).select("fold", "a", "b", "beta")
-    s = p.join(fit, ["fold", "a", "b"]).withColumn("s", F.col("y") - F.col("beta") * F.col("x"))
-    base = s.where("train").groupBy("fold", "a", "b").agg(F.avg("s").alias("mu"), F.stddev_samp("s").alias("sd")).where("sd > 0")
-    s = s.join(base, ["fold", "a", "b"]).withColumn("z", (F.col("s") - F.col("mu")) / F.col("sd"))
-    return s.withColumns({"px": F.exp("x"), "py": F.exp("y")})
-
-
-_KEYS = ["fold", "a", "b"]
-
-
-def _trades(spread):
-    return grouped.pair_trades(spread.where("NOT train"), _KEYS, "date", "z", entry=1.5, hold=12, prices=("px", "py", "beta"))
+    return b, "entity", "date", "lp", ["sector"], folds, spreads.Rule(least=20, entry=1.5, hold=12)
 
 
 @query()
@@ -248,19 +236,10 @@ def w47_pair_trades(spark, d):
 @query()
 def w48_walk_forward_pairs(spark, d):
     """In each fold, pairs whose spread reverts on the training dates (step-up filter over p-values of the unit-root statistic, half-life from 0.5 to 24 rows) are traded on the test dates, net of costs."""
-    s = _spread(spark, d)
-    fit = pairs.half_life(s.where("train"), _KEYS, "date", "s").withColumn("p", unit_root_p(-F.col("t"))).where("p IS NOT NULL")
-    chosen = pairs.step_up(fit, "p", 0.2, ["fold"], _KEYS).where("survives AND half_life BETWEEN 0.5 AND 24").select(*_KEYS)
-    t = _trades(s.join(chosen, _KEYS, "left_semi"))
-    net = F.col("hedged_pnl") - 10.0 / 10000 - 25.0 / 10000 * F.col("bars_held") / 252
-    return t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trades"), F.count_distinct("fold").alias("folds"), F.round(F.avg((net > 0).cast("double")), 6).alias("win_rate"), F.round(F.sum(net), 6).alias("net"))
-
-
-def _spreads(spark, d):
-    """Logarithms of prices inside sectors, walk-forward folds of their dates and the trade rule."""
-    b = bars(spark, d).join(sect(spark, d).select("entity", "sector"), "entity").withColumn("lp", F.log("price"))
-    folds = backtest.fold_dates(b, "date", folds=2, lookback=36, test=18)
-    return b, "entity", "date", "lp", ["sector"], folds, spreads.Rule(least=20, entry=1.5, hold=12)
+    given = _spreads(spark, d)
+    limits = pairs.step_up_limits(cut(spreads.tests(*given).select("fold", "p"), "tests"), "p", 0.2, ["fold"])
+    limits = {r.fold: r.limit for r in limits.collect()}  # one row for each fold
+    return spreads.chosen_trades(*given, limits, (0.5, 24.0), 10.0 / 10000, 25.0 / 10000).select("a", "b", "trades", "folds", *r6("win_rate", "net"))
 
 
 @query()

@@ -103,7 +103,7 @@ def test_filtered_correlations_of_blocks_equal_a_loop(spark, monkeypatch):
                         var += 1e-4
                         gain = var / (var + 0.05)
                         m, var = m + gain * (z - m), var * (1 - gain)
-                    want.append((group[a], a, b, day, min(max(m, -1.0), 1.0) if k >= 5 else None))
+                    want.append((group[a], int(a), int(b), day, float(min(max(m, -1.0), 1.0)) if k >= 5 else None))
     got = blocks.filtered_correlation(p, *IN)
     same(got, spark.createDataFrame(want, "sector string, a int, b int, date date, corr double"), ["a", "b", "date"])
 

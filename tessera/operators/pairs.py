@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import div, normal_tail, safe_corr
 from tessera.operators.keys import meet
-from tessera.scratch import cut, discard
+from tessera.scratch import cut
 
 
 def paired(panel: DataFrame, entity: str, time: str, x: str, by: list[str]) -> DataFrame:
@@ -116,30 +116,36 @@ def corr_p_value(corr: Column, n: Column) -> Column:
     return F.when(F.abs(corr) >= 1, F.lit(0.0)).otherwise(2 * normal_tail(t))
 
 
+#: Cells that p-values are counted in.
+STEP_UP_CELLS = 1 << 16
+
+
 def step_up_limits(tests: DataFrame, p: str, alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
     """(by, limit): the largest p-value that the Benjamini-Hochberg step-up over each group's rows lets pass, alpha * k / n with the largest k such that k values are at most that; 0 where none passes but values of 0.
 
-    From k = n on, each round counts the values below the limit of the round before, which falls to the wanted one: rows
-    are only counted, never put in order. Rows without p are no tests.
+    Counts by cell of the p-values bound it: a cell passes whole if its upper end does, and holds no passing value if its
+    lower end doesn't. Only the values of the cells above the last that passes whole, and not ruled out, are put in order;
+    rows are counted twice and never written. Rows without p are no tests.
     """
     by = by or []
-    given = tests.where(F.col(p).isNotNull() & ~F.isnan(p))
-    now = cut(given.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.col("_n")), "limits")
-    limit = F.lit(alpha) * F.col("_k") / F.col("_n")
-    while True:
-        counted = meet(given.select(*by, p), now, by).groupBy(*by).agg(F.count_if(F.col(p) <= limit).alias("_next"), F.max("_k").alias("_was"), F.max("_n").alias("_n"))
-        then = cut(counted.select(*by, "_n", F.col("_next").alias("_k"), "_was"), "limits")
-        moved = then.where("_k <> _was").limit(1).count()
-        discard(now)
-        now = then.drop("_was")
-        if not moved:
-            return now.select(*by, limit.alias("limit"))
+    given = tests.where(F.col(p).isNotNull() & ~F.isnan(p)).select(*by, F.col(p).alias("_p"), F.floor(F.col(p) * STEP_UP_CELLS).alias("_cell"))
+    cells = given.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by or [F.lit(0)])  # a row for each cell
+    cells = cells.withColumns({"_upto": F.sum("_c").over(group.orderBy("_cell")), "_n": F.sum("_c").over(group)})
+    limit = lambda k: F.lit(alpha) * k / F.col("_n")
+    whole = F.max(F.when((F.col("_cell") + 1) / F.lit(float(STEP_UP_CELLS)) <= limit(F.col("_upto")), F.col("_upto"))).over(group)
+    told = cut(cells.withColumn("_whole", F.coalesce(whole, F.lit(0))), "cells")
+    open_cells = told.where((F.col("_upto") > F.col("_whole")) & (F.col("_cell") / F.lit(float(STEP_UP_CELLS)) <= limit(F.col("_upto"))))
+    values = meet(given, open_cells.select(*by, "_cell", (F.col("_upto") - F.col("_c")).alias("_before"), "_n"), [*by, "_cell"])
+    values = values.groupBy(*by, "_cell", "_before", "_n", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    k = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_p"))  # the distinct values of one cell
+    best = values.withColumn("_k", k).where(F.col("_p") <= limit(F.col("_k"))).select(*by, "_k", "_n")
+    return told.select(*by, F.col("_whole").alias("_k"), "_n").unionByName(best).groupBy(*by).agg(F.max("_k").alias("_k"), F.max("_n").alias("_n")).select(*by, limit(F.col("_k")).alias("limit"))
 
 
 def step_up(df: DataFrame, p: str, alpha: float = 0.1, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg step-up over all rows, or over those of each ``by`` group. Equal p-values share their fate, so ``ties`` (which once ordered them) decide nothing."""
     by = by or []
-    rows = cut(df, "tests")
-    limits = step_up_limits(rows, p, alpha, by).withColumnRenamed("limit", "_limit")
-    told = meet(rows, limits, by, "left") if by else rows.join(F.broadcast(limits), how="left")
+    limits = cut(step_up_limits(df, p, alpha, by).withColumnRenamed("limit", "_limit"), "limits")
+    told = meet(df, limits, by, "left") if by else df.join(F.broadcast(limits), how="left")
     return told.withColumn("survives", F.coalesce(F.col(p) <= F.col("_limit"), F.lit(False))).drop("_limit")

@@ -73,6 +73,28 @@ def test_rolling_statistics_of_tiles_equal_windows_of_rows_of_pairs(spark, panel
     assert blocks.rolling_by_time(panel, *IN, [9]).agg(F.sum("n")).first()[0] == c.count()
 
 
+@pytest.mark.parametrize("shared, values, rows", [(3, 600, 9), (9, 1 << 21, 9), (2, 1, 4)])
+def test_rolling_sums_over_series_with_the_same_times_equal_windows_of_rows_of_pairs(spark, panel, monkeypatch, shared, values, rows):
+    for name, value in {"BLOCK_SERIES": 4, "SHARED_SERIES": shared, "SHARED_CHUNK": 5, "TILE_VALUES": values}.items():
+        monkeypatch.setattr(blocks, name, value)
+    short = F.col("date") < F.lit(D[7])
+    x = panel.where(~short | ~F.col("entity").isin(0, 1, 2, 4, 7)).where("entity NOT IN (5, 9)").where(short | ~F.col("entity").isin(10, 11, 13, 16))
+    c = _rolled(x, rows)
+    by_time = c.groupBy("sector", "date").agg(F.count("corr").alias("n"), F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"))
+    same(blocks.rolling_by_time(x, *IN, [rows]).drop("rows"), by_time, ["sector", "date"])
+    assert blocks.rolling_by_time(panel, *IN, [9]).agg(F.sum("n")).first()[0] == _rolled(panel, 9).where("corr IS NOT NULL").count()
+
+
+def test_series_with_the_same_times_are_in_no_block_pair(spark, panel, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_SERIES", 4)
+    monkeypatch.setattr(blocks, "SHARED_SERIES", 3)
+    dealt, keep = [], blocks.run_blocks
+    monkeypatch.setattr(blocks, "run_blocks", lambda d, *rest: dealt.append(d) or keep(d, *rest))
+    whole = panel.where("entity % 3 <> 0")
+    assert blocks.rolling_by_time(whole, *IN, [9]).where("n > 0").count() > 0
+    assert dealt[0].tasks == 1 and dealt[0].series.where("_own > 0").count() == 0
+
+
 def test_tails_and_spreads_of_tiles_equal_those_of_rows_of_pairs(spark, panel, sized):
     p = pairs.paired(panel, *IN)
     same(blocks.tail_dependence(panel, *IN, 0.2, 20), pairs.tail_dependence(p, ["sector"], 0.2, 20), ["a", "b"])

@@ -9,7 +9,7 @@ from tessera.functions.columns import clip, div
 from tessera.operators import asof, backtest, decisions, returns
 from tessera.operators.ranks import with_pct_ranks
 from tessera.plans import risk_queries, screen_queries
-from tessera.plans.common import bars, fund, latest, query, r6, regime, rets
+from tessera.plans.common import bars, fund, latest, panels_once, query, r6, regime, rets
 from tessera.registry import table
 from tessera.scratch import cut
 
@@ -43,6 +43,7 @@ def _buy_sql() -> str:
 
 
 @query(screen_queries._SCORED + _INPUTS + _buy_sql(), "fund", "latest", "market", "regime", "sect")
+@panels_once("bars", "fund")
 def p29_decision_points(spark, d):
     """All twelve parts. What the customers' tables lack comes from the supplier of the same number; stability stands in for the options' skew."""
     momentum = risk_queries._momentum(spark, d).select("entity", F.col("score").alias("momentum"), F.round("resid3", 6).alias("residual"))

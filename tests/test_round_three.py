@@ -5,11 +5,14 @@ import datetime as dt
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera import registry
 from tessera.functions.columns import unit_root_p
 from tessera.operators import backtest, blocks, grouped, pairs, peers, spreads
+from tessera.plans import common
 
 D = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(400)]
 
@@ -170,3 +173,12 @@ def test_no_rows_of_pairs_and_dates_are_shuffled(spark, tmp_path):
     for name in ("w37_filtered_correlation", "a81_lead_lag", "a70_pair_summary", "w47_pair_trades", "w48_walk_forward_pairs"):
         plan = entry.queries()[name](spark, d)._jdf.queryExecution().toString()
         assert "FlatMapGroupsInArrow" in plan and "Join" not in plan.split("FlatMapGroupsInArrow")[0], name
+
+
+@pytest.mark.parametrize("name", ["a63_fragility", "p29_decision_points"])
+def test_steps_of_one_query_read_one_table_of_bars(spark, monkeypatch, name):
+    made, keep = [], common.registry.table
+    monkeypatch.setattr(common.registry, "table", lambda s, d, n: made.append(n) or keep(s, d, n))
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert (made.count("lineitem"), made.count("orders")) == (1, 1)
+    assert common._written.get() is None

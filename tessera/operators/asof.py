@@ -63,17 +63,44 @@ def members_at(dates: DataFrame, time: str, adds: DataFrame, removes: DataFrame,
     return spans.join(F.broadcast(days)).select(F.explode(inside).alias(time), entity)
 
 
-def nearest(events: DataFrame, panel: DataFrame, entity: str, event_time: str, time: str, price: str, offsets: list[int]) -> DataFrame:
-    """Each event's nearest observation (the earlier on ties) and the returns so many rows later."""
+def _spread(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df dealt by the keys over so many tasks; as Spark has it without a number."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def around(df: DataFrame, keys: list[str], time: str, column: str, then: str, unit: str = "month", tasks: int | None = None) -> DataFrame:
+    """df with ``_back`` and ``_next``: the column's last value that isn't null up to the row and the first one from it on, per key; of rows of one time those with lower ``then`` come first both ways.
+
+    One scan by ranges of time as in ``carry``: what a range begins and ends with is told by a row for each range, and both
+    directions are filled where the range lies. Times aren't null.
+    """
+    rows = df.withColumn("_span", F.date_trunc(unit, F.col(time)))
+    place = F.when(F.col(column).isNotNull(), F.col(time))
+    ends = _spread(rows, tasks, *keys, "_span").groupBy(*keys, "_span").agg(F.max_by(column, place).alias("_last"), F.min_by(column, place).alias("_first"))
+    beside = lambda turn: Window.partitionBy(*keys).orderBy(turn("_span")).rowsBetween(Window.unboundedPreceding, -1)  # noqa: E731 - a row for each range
+    begins = _spread(ends, tasks, *keys).select(*keys, "_span", F.last("_last", ignorenulls=True).over(beside(F.asc)).alias("_back"), F.last("_first", ignorenulls=True).over(beside(F.desc)).alias("_next"), F.lit(0).alias("_real"))
+    both = rows.withColumns({"_back": F.col(column), "_next": F.col(column), "_real": F.lit(1)}).unionByName(begins, allowMissingColumns=True)
+    inside = lambda turn: Window.partitionBy(*keys, "_span").orderBy("_real", turn(time), then).rowsBetween(Window.unboundedPreceding, 0)
+    filled = _spread(both, tasks, *keys, "_span").withColumns({c: F.last(c, ignorenulls=True).over(inside(turn)) for c, turn in (("_back", F.asc), ("_next", F.desc))})
+    return filled.where("_real = 1").drop("_span", "_real")
+
+
+def nearest(events: DataFrame, panel: DataFrame, entity: str, event_time: str, time: str, price: str, offsets: list[int], tasks: int | None = None) -> DataFrame:
+    """Each event's nearest observation (the earlier on ties) and the returns so many rows later; null without one, and events without entity or time meet none.
+
+    The distinct entities and times of the events find theirs in one scan (``around``) and are looked up by the events.
+    tasks: over how many tasks the events are dealt, where they are more than Spark's own number of tasks can hold.
+    """
     w = Window.partitionBy(entity).orderBy(time)
-    numbered = panel.select(entity, F.col(time).alias("_d"), F.row_number().over(w).alias("_rn"), F.col(price).alias("_p"))
-    for h in offsets:
-        numbered = numbered.withColumn(f"ret_{h}", F.try_divide(F.lead("_p", h).over(Window.partitionBy(entity).orderBy("_d")), F.col("_p")) - 1)
-    cols = ["_d", *[f"ret_{h}" for h in offsets]]
-    back = asof(events, numbered, event_time, "_d", cols, [entity])
-    keep = [c for c in events.columns]
-    back = back.select(*keep, F.struct(*cols).alias("_back"))
-    both = asof(back, numbered, event_time, "_d", cols, [entity], forward=True).select(*keep, "_back", F.struct(*cols).alias("_next"))
-    gap = lambda s: F.abs(F.datediff(F.col(f"{s}._d"), F.col(event_time)))
-    use_back = F.col("_back._d").isNotNull() & (F.col("_next._d").isNull() | (gap("_back") <= gap("_next")))
-    return both.select(*keep, F.when(use_back, F.col("_back")).otherwise(F.col("_next")).alias("_n")).select(*keep, F.col("_n._d").alias("observed"), *[F.col(f"_n.ret_{h}").alias(f"ret_{h}") for h in offsets])
+    names = [f"ret_{h}" for h in offsets]
+    later = [(F.try_divide(F.lead(price, h).over(w), F.col(price)) - 1).alias(n) for n, h in zip(names, offsets, strict=True)]
+    given = panel.where(F.col(entity).isNotNull() & F.col(time).isNotNull()).select(entity, time, price)
+    known = _spread(given, tasks, entity).select(F.col(entity).alias("_k"), F.col(time).alias("_t"), *later).groupBy("_k", "_t").agg(F.max(F.struct("_t", *names)).alias("_r"))
+    asked = _spread(events.select(F.col(entity).alias("_k"), F.col(event_time).alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL"), tasks, "_k", "_t").distinct()
+    both = asked.withColumn("_side", F.lit(1)).unionByName(known.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    gap = lambda s: F.abs(F.datediff(F.col(f"{s}._t"), F.col("_t")))
+    use_back = F.col("_back").isNotNull() & (F.col("_next").isNull() | (gap("_back") <= gap("_next")))
+    told = around(both, ["_k"], "_t", "_r", "_side", tasks=tasks).where("_side = 1").select("_k", "_t", F.when(use_back, F.col("_back")).otherwise(F.col("_next")).alias("_n"))
+    told = _spread(told.select("_k", "_t", F.col("_n._t").alias("_seen"), *[F.col(f"_n.{n}").alias(f"_{n}") for n in names]), tasks, "_k", "_t")
+    found = _spread(events, tasks, entity, event_time).join(told, [F.col(entity) == F.col("_k"), F.col(event_time) == F.col("_t")], "left")
+    return found.select(*[F.col(f"`{c}`") for c in events.columns], F.col("_seen").alias("observed"), *[F.col(f"_{n}").alias(n) for n in names])

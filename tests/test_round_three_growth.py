@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera import registry
 from tessera.functions import arrays
 from tessera.functions import columns as C
-from tessera.operators import blocks
+from tessera.operators import asof, blocks
+from tessera.plans import join_pair_queries
 
 SF = "/root/testdata/sf0.001"
 D = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(400)]
@@ -39,3 +40,24 @@ def test_p_values_and_half_lives_of_spreads_are_made_inside_their_blocks(spark):
     plan = registry.queries()["a68_pair_regression"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("FlatMapGroupsInArrow")].lower()
     assert not any(f in above for f in ("round(", "exp(", "pow", "case when"))
+
+
+def test_events_of_a_larger_table_are_dealt_over_more_tasks(spark, monkeypatch):
+    j12 = registry.queries()["j12_nearest_event"]
+    want = j12(spark, SF).toPandas()
+    lines = len(pd.read_parquet(f"{SF}/lineitem.parquet"))
+    monkeypatch.setattr(join_pair_queries, "EVENT_ROWS", 300)
+    got = j12(spark, SF)
+    assert f", {-(-lines // 300)})" in got._jdf.queryExecution().executedPlan().toString()  # hash partitions of the events
+    keys = ["o_orderkey", "entity"]
+    pd.testing.assert_frame_equal(*(x.sort_values(keys).reset_index(drop=True) for x in (got.toPandas(), want)))
+
+
+def test_events_without_entity_or_time_meet_nothing_and_ties_go_back(spark):
+    panel = spark.createDataFrame([(1, D[10], 10.0), (1, D[20], 11.0), (1, D[300], 22.0), (None, D[15], 5.0)], "e int, d date, p double")
+    events = spark.createDataFrame([(1, 1, D[15]), (2, 1, D[16]), (3, 1, D[0]), (4, 1, D[399]), (5, 1, D[150]), (6, 2, D[15]), (7, None, D[15]), (8, 1, None), (9, 1, D[20])], "k int, e int, t date")
+    for tasks in (None, 3):
+        got = {r.k: (r.observed, r.ret_1) for r in asof.nearest(events, panel, "e", "t", "d", "p", [1], tasks).collect()}
+        at = {k: None if v[0] is None else D.index(v[0]) for k, v in got.items()}
+        assert at == {1: 10, 2: 20, 3: 10, 4: 300, 5: 20, 6: None, 7: None, 8: None, 9: 20}
+        assert abs(got[1][1] - 0.1) < 1e-12 and abs(got[2][1] - 1.0) < 1e-12 and got[4][1] is None

@@ -61,3 +61,17 @@ def test_events_without_entity_or_time_meet_nothing_and_ties_go_back(spark):
         at = {k: None if v[0] is None else D.index(v[0]) for k, v in got.items()}
         assert at == {1: 10, 2: 20, 3: 10, 4: 300, 5: 20, 6: None, 7: None, 8: None, 9: 20}
         assert abs(got[1][1] - 0.1) < 1e-12 and abs(got[2][1] - 1.0) < 1e-12 and got[4][1] is None
+
+
+def test_larger_groups_get_larger_blocks_and_the_same_pairs(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    rows = [(s, "u" if s < 40 else "v", D[t], float(g.normal())) for s in range(48) for t in range(30) if s % 5 or t > 4]
+    panel = spark.createDataFrame(rows, "entity int, sector string, date date, r double")
+    whole = blocks.pair_stats(panel, *IN).toPandas().sort_values(["a", "b"]).reset_index(drop=True)
+    assert len(whole) == 40 * 39 // 2 + 8 * 7 // 2
+    monkeypatch.setattr(blocks, "BLOCK_SERIES", 4)
+    most = lambda: {r.sector: r["n"] for r in blocks.deal(panel, *IN).series.groupBy("sector").agg(F.max("_blocks").alias("n")).collect()}
+    assert most() == {"u": 10, "v": 2}
+    monkeypatch.setattr(blocks, "BLOCK_PAIRS", 4)  # about 14 series a block, which kernels take in parts of 4
+    assert most() == {"u": 3, "v": 1}
+    pd.testing.assert_frame_equal(blocks.pair_stats(panel, *IN).toPandas().sort_values(["a", "b"]).reset_index(drop=True), whole, rtol=1e-9, atol=1e-12)

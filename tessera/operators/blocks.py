@@ -872,12 +872,89 @@ def filtered_correlation(panel: DataFrame, entity: str, time: str, x: str, by: l
     return over_blocks(panel, entity, time, x, by, kernel, fields, digits)
 
 
-def lead_lag(panel: DataFrame, entity: str, time: str, x: str, by: list[str], lag: int = 2) -> DataFrame:
-    """(by, a, b, n, f): F statistic of a's lags in a regression of b's values on their own lags over the pair's common times, null with too few; n is how many times have all lags."""
+#: What of a series its partner's lags leave, as a share of its square: none is left up to the first, and up to the second the sums are too rough.
+SPANNED, ROUGH = 1e-14, 1e-7
+
+
+def lead_lag(panel: DataFrame, entity: str, time: str, x: str, by: list[str], lag: int = 2, digits: dict[str, int] | None = None) -> DataFrame:
+    """(by, a, b, n, f): F statistic of a's lags in a regression of b's values on their own lags over the pair's common times, null with too few; n is how many times have all lags.
+
+    For series that share their times the first regression is made once for each series. What a partner's lags add to it
+    follows from their products with its residual and with the orthonormal own lags, which are matrix products.
+    """
     fields = _pair_fields(panel, entity, f=T.DoubleType(), n=T.IntegerType())
 
+    def fitted(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each series: its lags (lag, series, time), these orthonormal, the residual of its values, the share of its square that this is, and whether its lags are sound."""
+        rows = v.shape[1] - lag
+        d = np.stack([v[:, lag - k : lag - k + rows] for k in range(lag + 1)])
+        d = d - d.mean(2, keepdims=True)
+        lags, own, e = d[1:], [], d[0]
+        sound = np.ones(len(v), bool)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for k in range(lag):
+                left = lags[k]
+                for _ in range(2):  # twice, so that the directions are at right angles to the last digit
+                    for o in own:
+                        left = left - (left * o).sum(1, keepdims=True) * o
+                size = (left * left).sum(1, keepdims=True)
+                sound &= size[:, 0] > ROUGH * (lags[k] * lags[k]).sum(1)
+                own.append(left / np.sqrt(size))
+            for _ in range(2):
+                for o in own:
+                    e = e - (e * o).sum(1, keepdims=True) * o
+            share = (e * e).sum(1) / (d[0] * d[0]).sum(1)
+        return lags, np.stack(own), e, share, sound & (share > ROUGH)
+
+    def tile(block: BlockPair, i: np.ndarray, j: np.ndarray, columns: np.ndarray) -> Iterator[Rows]:
+        x, y = block.x[np.ix_(i, columns)], block.y[np.ix_(j, columns)]
+        one, two, first, second, turned = block.cells(i, j)
+        n = len(columns) - lag
+        f = np.full(len(one), np.nan)
+        if n > 2 * lag + 2 and len(one):
+            sides = [fitted(v) for v in (x, y)]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                for (lags, _, _, _, _), (_, own, e, share, sound), which, p, q in ((sides[0], sides[1], ~turned, one, two), (sides[1], sides[0], turned, two, one)):
+                    at = np.flatnonzero(which)
+                    if not len(at):
+                        continue
+                    p, q = p[at], q[at]
+                    cross = [[l @ o.T for o in own] for l in lags]
+                    gain, ok, none = added([[c[p, q] for c in row] for row in cross], [(l @ e.T)[p, q] for l in lags], lags, p)
+                    rest = (e * e).sum(1)
+                    sse = rest[q] - gain
+                    f[at] = np.where(none, 0.0, gain / lag / (sse / (n - 2 * lag - 1)))
+                    rough = at[~(sound[q] & (none | (ok & (sse > ROUGH * rest[q]))))]
+                    for part in np.array_split(rough, len(rough) * len(columns) // TILE_VALUES + 1):
+                        u, w = (x[one[part]], y[two[part]]) if which is not turned else (y[two[part]], x[one[part]])
+                        f[part] = lead_lag_f(Layout(np.full(len(part), len(columns))), u.ravel(), w.ravel(), lag) if len(part) else f[part]
+        yield {"a": first, "b": second, "f": f, "n": np.full(len(one), n)}
+
+    def added(along: list[list[np.ndarray]], with_e: list[np.ndarray], lags: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By how much the lags lower the sum of squares, step by step of a Cholesky factorisation of what the own lags leave of them; whether its digits suffice, and whether nothing is left of any of them."""
+        size = [(l * l).sum(1)[p] for l in lags]
+        left = [[(lags[a] * lags[b]).sum(1)[p] - sum(s * t for s, t in zip(along[a], along[b], strict=True)) for b in range(a + 1)] for a in range(lag)]
+        gain, ok, none = 0.0, True, True
+        for a in range(lag):
+            none = none & (left[a][a] <= SPANNED * size[a])
+        g = list(with_e)
+        for a in range(lag):
+            pivot = left[a][a]
+            ok = ok & (pivot > ROUGH * size[a])
+            gain = gain + g[a] * g[a] / pivot
+            for b in range(a + 1, lag):
+                share = left[b][a] / pivot
+                g[b] = g[b] - share * g[a]
+                for c in range(a + 1, b + 1):
+                    left[b][c] = left[b][c] - share * left[c][a]
+        return gain, ok, none
+
     def kernel(block: BlockPair) -> Iterator[Rows]:
-        for i, j, vx, vy, valid, _ in block.rows():
+        tiles, rest = block.tiles()
+        for i, j, columns in tiles:
+            if len(columns):
+                yield from tile(block, i, j, columns)
+        for i, j, vx, vy, valid, _ in block.rows(rest):
             some = valid.any(1)
             if some.any():
                 j, vx, vy, valid = j[some], vx[some], vy[some], valid[some]
@@ -886,4 +963,4 @@ def lead_lag(panel: DataFrame, entity: str, time: str, x: str, by: list[str], la
                 one, two = np.where(turned[:, None], vy, vx), np.where(turned[:, None], vx, vy)
                 yield {"a": first, "b": second, "f": lead_lag_f(Layout(n), one[valid], two[valid], lag), "n": n - lag}
 
-    return over_blocks(panel, entity, time, x, by, kernel, fields)
+    return over_blocks(panel, entity, time, x, by, kernel, fields, digits)

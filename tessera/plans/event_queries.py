@@ -217,7 +217,7 @@ def w37_filtered_correlation(spark, d):
 
 @query()
 def a81_lead_lag(spark, d):
-    return blocks.lead_lag(*_in_sectors(spark, d)).select("a", "b", "n", *r6("f"))
+    return blocks.lead_lag(*_in_sectors(spark, d), digits={"f": 6}).select("a", "b", "n", "f")
 
 
 def _spreads(spark, d):

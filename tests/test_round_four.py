@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tessera.operators import blocks
+from tessera.operators import blocks, grouped
 
 D = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(400)]
 IN = ("entity", "date", "r", ["sector"])
@@ -62,3 +62,59 @@ def test_filtered_correlations_of_partners_that_miss_other_dates_equal_a_loop(pa
     got = {(r.a, r.b, r.date): r["corr"] for r in blocks.filtered_correlation(panel, *IN).collect()}
     assert set(got) == set(want)
     assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+
+
+def rows_of(values, make, module=blocks):
+    """The rows that the kernel of an operator makes of series as one block with itself and as two halves, in this process."""
+    held = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(module, "over_blocks", lambda panel, entity, time, x, by, kernel, *rest: held.append(kernel))
+        make()
+    name, at = np.arange(len(values)) * 3, np.array(D[: values.shape[1]], "datetime64[D]")
+    name = np.random.default_rng(1).permutation(name)
+    half = len(name) // 2
+    pair = lambda p, q: blocks.BlockPair(name[p], name[q], at, values[p], values[q], name[p][:, None] < name[q][None, :] if p == q else np.ones((len(name[p]), len(name[q])), bool))
+    for block in (pair(slice(None, half), slice(None, half)), pair(slice(None, half), slice(half, None)), pair(slice(half, None), slice(half, None))):
+        for rows in held[0](block):
+            plain = {c: v.to_pylist() if hasattr(v, "to_pylist") else v.tolist() for c, v in rows.items()}
+            yield from (dict(zip(plain, r, strict=True)) for r in zip(*plain.values(), strict=True))
+
+
+def _f(x, y, lag):
+    """F statistic of x's lags by least squares."""
+    n = len(y) - lag
+    lags = lambda v: [v[lag - k - 1 : len(v) - k - 1] for k in range(lag)]
+    rest = []
+    for columns in ([np.ones(n), *lags(y)], [np.ones(n), *lags(y), *lags(x)]):
+        m = np.column_stack(columns)
+        rest.append(((y[lag:] - m @ np.linalg.lstsq(m, y[lag:])[0]) ** 2).sum())
+    return (rest[0] - rest[1]) / lag / (rest[1] / (n - 2 * lag - 1))
+
+
+@pytest.mark.parametrize("lag, tile", [(2, 4), (2, 1), (2, 1000), (1, 4), (3, 1)])
+def test_lead_lag_fits_of_tiles_equal_least_squares(spark, panel, values, monkeypatch, lag, tile):
+    v = values.copy()
+    v[1, 1:] = v[0, :-1]  # follows the other one to the last digit
+    v[2] = 3 * v[3] + 1e-6 * v[2]
+    name = np.random.default_rng(1).permutation(np.arange(len(v)) * 3)
+    monkeypatch.setattr(blocks, "TILE_SERIES", tile)
+    got = {(r["a"], r["b"]): r for r in rows_of(v, lambda: blocks.lead_lag(panel, *IN, lag=lag))}
+    of = {n: k for k, n in enumerate(name)}
+    assert len(got) == len(v) * (len(v) - 1) // 2
+    for (a, b), r in got.items():
+        x, y = v[of[a]], v[of[b]]
+        at = ~np.isnan(x) & ~np.isnan(y)
+        want = grouped.lead_lag_f(grouped.Layout(np.array([at.sum()])), x[at], y[at], lag)[0]
+        assert a < b and r["n"] == at.sum() - lag
+        assert r["f"] == pytest.approx(want, rel=1e-5, abs=1e-6, nan_ok=True), (of[a], of[b])
+        if min(of[a], of[b]) > 5 and (of[a], of[b]) not in ((8, 9), (9, 8)):
+            assert r["f"] == pytest.approx(_f(x[at], y[at], lag), rel=1e-6)
+
+
+def test_pairs_that_share_their_dates_are_fitted_by_products(panel, values, monkeypatch):
+    fits, keep = [], blocks.lead_lag_f
+    v = np.random.default_rng(3).normal(0, 1, (60, 50))
+    v[7] = v[8]
+    monkeypatch.setattr(blocks, "lead_lag_f", lambda s, *rest: fits.extend(s.length) or keep(s, *rest))
+    assert len(list(rows_of(v, lambda: blocks.lead_lag(panel, *IN)))) == 60 * 59 // 2
+    assert len(fits) == 0

@@ -36,6 +36,13 @@ def normal_tail(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, upper, 1 - upper)
 
 
+def corr_p_value(corr: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """``pairs.corr_p_value`` of an array, NaN where corr is."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        t = np.abs(corr) * np.sqrt((n - 2) / (1 - corr * corr))
+        return np.where(np.abs(corr) >= 1, 0.0, 2 * normal_tail(t))
+
+
 def unit_root_p(t: np.ndarray, series: int = 2) -> np.ndarray:
     """``columns.unit_root_p`` of an array, NaN where t is."""
     near, far, border, low, high = UNIT_ROOT[series]

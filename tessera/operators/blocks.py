@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.arrays import round_half_up, unit_root_p
+from tessera.functions.arrays import corr_p_value, round_half_up, unit_root_p
 from tessera.functions.columns import div
+from tessera.operators import pairs
 from tessera.operators.grouped import Layout, lead_lag_f
 from tessera.operators.keys import meet
 from tessera.scratch import cut
@@ -461,6 +462,83 @@ def corr_quantiles(panel: DataFrame, entity: str, time: str, x: str, by: list[st
     return base.where("n > 0").join(F.broadcast(picked), "_k", "left").drop("_k")  # a row for each label
 
 
+def step_up_limits(dealt: Dealt, tests: Callable[[BlockPair], Iterator[tuple[int, np.ndarray]]], alpha: float) -> dict[int, float]:
+    """The limit of ``pairs.step_up_limits`` for each family of p-values, which ``tests`` gives with their family for each block pair; NaN are no tests.
+
+    P-values never leave their tasks: the blocks are computed once for the counts of their cells, where those above alpha,
+    which never pass, are one cell, and once more for the values of the few cells that the counts leave open.
+    """
+    spark, size = dealt.series.sparkSession, pairs.STEP_UP_CELLS
+
+    def placed(block: BlockPair) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        for family, p in tests(block):
+            low = p[p <= alpha]
+            yield family, low, np.floor(low * size).astype(np.int64), int(np.count_nonzero(p > alpha))
+
+    def counts(block: BlockPair) -> Iterator[Rows]:
+        total: dict[int, np.ndarray] = {}
+        for family, _, cell, above in placed(block):
+            held = total.setdefault(family, np.zeros(size + 2, np.int64))
+            held += np.bincount(cell, minlength=size + 2)
+            held[size + 1] += above
+        for family, held in total.items():
+            cell = np.flatnonzero(held)
+            yield {"_family": np.full(len(cell), family), "_cell": cell, "_c": held[cell]}
+
+    def opened(some: DataFrame) -> DataFrame:
+        held: dict[int, list[int]] = {}
+        for r in some.collect():  # at most a row for each cell of a family
+            held.setdefault(r["_family"], []).append(r["_cell"])
+        sent = spark.sparkContext.broadcast({family: np.array(cells) for family, cells in held.items()})
+
+        def values(block: BlockPair) -> Iterator[Rows]:
+            for family, low, cell, _ in placed(block):
+                here = np.isin(cell, sent.value.get(family, np.zeros(0, np.int64)))
+                if here.any():
+                    p, n = np.unique(low[here], return_counts=True)
+                    yield {"_family": np.full(len(p), family), "_cell": np.floor(p * size).astype(np.int64), "_p": p, "_c": n}
+
+        if not held:
+            return spark.createDataFrame([], "_family long, _cell long, _p double, _c long")
+        fields = [T.StructField(n, T.DoubleType() if n == "_p" else T.LongType()) for n in ("_family", "_cell", "_p", "_c")]
+        return run_blocks(dealt, values, fields).groupBy("_family", "_cell", "_p").agg(F.sum("_c").alias("_c"))
+
+    fields = [T.StructField(n, T.LongType()) for n in ("_family", "_cell", "_c")]
+    cells = run_blocks(dealt, counts, fields).groupBy("_family", "_cell").agg(F.sum("_c").alias("_c"))
+    return {r["_family"]: r["limit"] for r in pairs.limits_of_cells(cells, opened, alpha, ["_family"]).collect()}  # a row for each family
+
+
+def step_up_pairs(panel: DataFrame, entity: str, time: str, x: str, by: list[str], least: int, alpha: float, places: int, digits: dict[str, int] | None = None) -> DataFrame:
+    """(by, a, b, p, survives): p-value of the correlation of each pair with at least so many common times, to so many decimals, and whether it passes the Benjamini-Hochberg step-up over all of them; pairs without a correlation are left out."""
+    dealt = deal(panel, entity, time, x, by)
+    dealt.series = cut(dealt.series, "dealt")
+
+    def tests(block: BlockPair) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs with a correlation as a mask over some series of both sides, those series, and the p-values."""
+        tiles, rest = block.tiles()
+        for i, j, common in tiles:
+            if len(common) >= max(least, 1):
+                c = _unit(block.x[np.ix_(i, common)]) @ _unit(block.y[np.ix_(j, common)]).T
+                here = block.wanted[np.ix_(i, j)] & ~np.isnan(c)
+                yield i, j, here, round_half_up(corr_p_value(c[here], len(common)), places)
+        i, j = np.flatnonzero(rest.any(1)), np.flatnonzero(rest.any(0))
+        if len(i):
+            m = _moments(block.x[i], block.y[j])
+            c = _corr(m)
+            here = rest[np.ix_(i, j)] & (m["n"] >= max(least, 1)) & ~np.isnan(c)
+            yield i, j, here, round_half_up(corr_p_value(c[here], m["n"][here]), places)
+
+    limit = step_up_limits(dealt, lambda block: ((0, p) for *_, p in tests(block)), alpha).get(0, 0.0)
+
+    def kernel(block: BlockPair) -> Iterator[Rows]:
+        for i, j, here, p in tests(block):
+            r, c = np.nonzero(here)
+            first, second, _ = block.names(i[r], j[c])
+            yield {"a": first, "b": second, "p": p, "survives": p <= limit}
+
+    return run_blocks(dealt, kernel, _pair_fields(panel, entity, p=T.DoubleType(), survives=T.BooleanType()), digits)
+
+
 def _window_corr(x: np.ndarray, y: np.ndarray, valid: np.ndarray, rows: int) -> np.ndarray:
     """Correlation of each row's last ``rows`` values up to each place from place rows - 1 on; NaN where there are fewer or one side is constant."""
     if x.shape[1] < rows:

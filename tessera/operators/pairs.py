@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,23 +125,30 @@ STEP_UP_CELLS = 1 << 16
 def step_up_limits(tests: DataFrame, p: str, alpha: float = 0.1, by: list[str] | None = None) -> DataFrame:
     """(by, limit): the largest p-value that the Benjamini-Hochberg step-up over each group's rows lets pass, alpha * k / n with the largest k such that k values are at most that; 0 where none passes but values of 0.
 
-    Counts by cell of the p-values bound it: a cell passes whole if its upper end does, and holds no passing value if its
-    lower end doesn't. Only the values of the cells above the last that passes whole, and not ruled out, are put in order;
-    rows are counted twice and never written. Rows without p are no tests.
+    Rows are counted twice and never written. Rows without p are no tests.
     """
     by = by or []
     given = tests.where(F.col(p).isNotNull() & ~F.isnan(p)).select(*by, F.col(p).alias("_p"), F.floor(F.col(p) * STEP_UP_CELLS).alias("_cell"))
     cells = given.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    return limits_of_cells(cells, lambda some: meet(given, some, [*by, "_cell"]).groupBy(*by, "_cell", "_p").agg(F.count(F.lit(1)).alias("_c")), alpha, by)
+
+
+def limits_of_cells(cells: DataFrame, values: Callable[[DataFrame], DataFrame], alpha: float, by: list[str]) -> DataFrame:
+    """(by, limit) of ``step_up_limits`` from (by, _cell, _c), how many p-values lie in each cell of STEP_UP_CELLS, and from ``values``, which gives (by, _cell, _p, _c), how often each value of some cells (by, _cell) occurs.
+
+    The counts bound the limit: a cell passes whole if its upper end does, and holds no passing value if its lower end
+    doesn't. Only the values of the cells above the last that passes whole, and not ruled out, are put in order. Values
+    above alpha never pass and may be counted in any cell above it.
+    """
     group = Window.partitionBy(*by or [F.lit(0)])  # a row for each cell
     cells = cells.withColumns({"_upto": F.sum("_c").over(group.orderBy("_cell")), "_n": F.sum("_c").over(group)})
     limit = lambda k: F.lit(alpha) * k / F.col("_n")
     whole = F.max(F.when((F.col("_cell") + 1) / F.lit(float(STEP_UP_CELLS)) <= limit(F.col("_upto")), F.col("_upto"))).over(group)
     told = cut(cells.withColumn("_whole", F.coalesce(whole, F.lit(0))), "cells")
     open_cells = told.where((F.col("_upto") > F.col("_whole")) & (F.col("_cell") / F.lit(float(STEP_UP_CELLS)) <= limit(F.col("_upto"))))
-    values = meet(given, open_cells.select(*by, "_cell", (F.col("_upto") - F.col("_c")).alias("_before"), "_n"), [*by, "_cell"])
-    values = values.groupBy(*by, "_cell", "_before", "_n", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    found = meet(values(open_cells.select(*by, "_cell")), open_cells.select(*by, "_cell", (F.col("_upto") - F.col("_c")).alias("_before"), "_n"), [*by, "_cell"])
     k = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_p"))  # the distinct values of one cell
-    best = values.withColumn("_k", k).where(F.col("_p") <= limit(F.col("_k"))).select(*by, "_k", "_n")
+    best = found.withColumn("_k", k).where(F.col("_p") <= limit(F.col("_k"))).select(*by, "_k", "_n")
     return told.select(*by, F.col("_whole").alias("_k"), "_n").unionByName(best).groupBy(*by).agg(F.max("_k").alias("_k"), F.max("_n").alias("_n")).select(*by, limit(F.col("_k")).alias("limit"))
 
 

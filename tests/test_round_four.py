@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tessera.operators import blocks, grouped, pairs
+from tessera.operators import blocks, grouped, pairs, spreads
 
 D = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(400)]
 IN = ("entity", "date", "r", ["sector"])
@@ -149,3 +149,70 @@ def test_no_p_value_of_a_pair_is_counted_outside_the_blocks(spark, panel, monkey
     made = pairs.step_up_limits
     monkeypatch.setattr(pairs, "step_up_limits", lambda *a, **k: pytest.fail("rows of all pairs") or made(*a, **k))
     entry.queries()["a69_step_up_filter"](spark, "/root/testdata/sf0.001")
+
+
+RULE = spreads.Rule(least=10, entry=0.8, hold=6)
+
+
+@pytest.fixture(scope="module")
+def folds(spark):
+    rows = [(D[t], f, t < 20 * f + 25) for f in range(2) for t in range(20 * f, 20 * f + 40)]
+    return spark.createDataFrame(rows, "date date, fold int, train boolean")
+
+
+def _sorted(rows, keys):
+    return sorted(rows, key=lambda r: tuple(r[k] for k in keys))
+
+
+def _alike(got, want, keys):
+    assert len(got) == len(want) > 0
+    for g, w in zip(_sorted(got, keys), _sorted(want, keys), strict=True):
+        assert all(g[k] == (pytest.approx(w[k], rel=1e-7, abs=1e-9, nan_ok=True) if isinstance(w[k], float) else w[k]) for k in w), (g, w)
+
+
+def _spread_values(values):
+    v = np.cumsum(values, 1)
+    v[5] = 4.0
+    v[7] = 2 * v[6] + 1e-5 * values[7]
+    return v
+
+
+@pytest.mark.parametrize("make, keys", [(spreads.trades, ("fold", "a", "b", "entry_date")), (spreads.summary, ("a", "b"))])
+@pytest.mark.parametrize("size", [1 << 14, 5])
+def test_trades_of_tiles_are_those_of_single_pairs(spark, panel, folds, values, monkeypatch, make, keys, size):
+    monkeypatch.setattr(spreads, "TILE_PAIRS", size)
+    each = {}
+    for tile in (1000, 4, 1):
+        monkeypatch.setattr(blocks, "TILE_SERIES", tile)
+        each[tile] = list(rows_of(_spread_values(values), lambda: make(panel, *IN, folds, RULE), spreads))
+        assert not [r for r in each[tile] if r["a"] >= r["b"]]
+    _alike(each[4], each[1000], keys)
+    _alike(each[1], each[1000], keys)
+
+
+def test_pairs_that_share_their_dates_make_no_rows_of_a_spread(spark, panel, folds, monkeypatch):
+    monkeypatch.setattr(spreads, "_spread", lambda *a: pytest.fail("a spread of single pairs"))
+    v = np.cumsum(np.random.default_rng(3).normal(0, 0.1, (60, 60)), 1)
+    v[:30, 50:] = np.nan
+    assert len(list(rows_of(v, lambda: spreads.summary(panel, *IN, folds, RULE), spreads))) > 1000
+    assert len(list(rows_of(v, lambda: spreads.trades(panel, *IN, folds, RULE), spreads))) > 1000
+
+
+@pytest.mark.parametrize("tile", [4, 1000])
+def test_walk_forward_keeps_the_limits_of_all_p_values_and_writes_none_of_them(spark, values, folds, monkeypatch, tile):
+    monkeypatch.setattr(blocks, "TILE_SERIES", tile)
+    g = np.random.default_rng(8)
+    v = np.cumsum(0.1 * g.normal(0, 1, 60)) + 0.05 * g.normal(0, 1, (18, 60))  # spreads that revert
+    v[14:][np.isnan(values[14:])] = np.nan
+    v[9] = v[8]
+    p = spark.createDataFrame([(s, "u", D[t], float(x)) for (s, t), x in np.ndenumerate(v) if not np.isnan(x)], "entity int, sector string, date date, r double").cache()
+    limits = {r.fold: r.limit for r in pairs.step_up_limits(spreads.tests(p, *IN, folds, RULE), "p", 0.2, ["fold"]).collect()}
+    assert len(limits) == 2 and max(limits.values()) > 0
+    want = spreads.chosen_trades(p, *IN, folds, RULE, limits, (0.1, 24.0), 0.001, 0.0025).toPandas().to_dict("records")
+    written = []
+    for module in (blocks, pairs, spreads):
+        monkeypatch.setattr(module, "cut", lambda df, name="cut", keep=module.cut: written.append(name) or keep(df, name))
+    got = spreads.walk_forward(p, *IN, folds, RULE, 0.2, (0.1, 24.0), 0.001, 0.0025).toPandas().to_dict("records")
+    _alike(got, want, ("a", "b"))
+    entry.queries()["w48_walk_forward_pairs"](spark, "/root/testdata/sf0.001")
+    assert set(written) == {"series", "dealt", "cells"}

@@ -242,7 +242,8 @@ def w48_walk_forward_pairs(spark, d):
 
 @query()
 def a70_pair_summary(spark, d):
-    return spreads.summary(*_spreads(spark, d)).select("a", "b", "trades", *r6("win_rate", "mean", "total", "sharpe"))
+    told = ("win_rate", "mean", "total", "sharpe")
+    return spreads.summary(*_spreads(spark, d), digits=dict.fromkeys(told, 6)).select("a", "b", "trades", *told)
 
 
 @query("SELECT user_id, date_trunc('day', ts) AS start, max_by(value, ts) AS price, round(sum(value), 4) AS qty, count(*) AS n FROM events GROUP BY 1, 2")

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.operators import blocks, grouped, pairs, spreads
@@ -216,3 +217,16 @@ def test_walk_forward_keeps_the_limits_of_all_p_values_and_writes_none_of_them(s
     _alike(got, want, ("a", "b"))
     entry.queries()["w48_walk_forward_pairs"](spark, "/root/testdata/sf0.001")
     assert set(written) == {"series", "dealt", "cells"}
+
+
+@pytest.mark.parametrize("name", ["w37_filtered_correlation", "a81_lead_lag", "a69_step_up_filter", "w48_walk_forward_pairs", "w47_pair_trades", "a70_pair_summary", "a43_correlation_stability"])
+def test_no_expression_rounds_the_rows_of_pairs(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "InArrow" in plan and "round(" not in plan
+
+
+def test_rolling_statistics_are_rounded_as_spark_rounds_them(panel):
+    told = ("mean", "std", "span", "iqr", "positive")
+    raw = {(r.a, r.b): r for r in blocks.rolling_by_pair(panel, *IN, 12).select("a", "b", *[F.round(c, 6).alias(c) for c in told]).collect()}
+    got = {(r.a, r.b): r for r in blocks.rolling_by_pair(panel, *IN, 12, dict.fromkeys(told, 6)).select("a", "b", *told).collect()}
+    assert got == raw and len(got) > 100
